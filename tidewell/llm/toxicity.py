@@ -24,7 +24,9 @@ from tidewell.llm.learned import SAMPLE, bucket, only, sample
 
 BUCKETS, STEM, PRIOR, SIGMAS = 1 << 18, 5, 2.0, 2.0
 #: What each word costs, so that segments end; bounds of a word's score; most significant segments kept.
-COST, LOWEST, HIGHEST = 0.25, -1.0, 6.0
+COST, LOWEST, HIGHEST = 1.0, -1.0, 6.0
+#: Harmless segments that the tail is fitted to, and the steepest fall taken from a finite sample.
+TAIL, STEEPEST = 20, 4.0
 KEPT_WORDS = 200_000
 
 
@@ -69,7 +71,7 @@ class Model:
         self.kept: dict[bytes, float] = {}
 
     def score(self, word: bytes) -> float:
-        best = max(float(self.odds[bucket(t, BUCKETS)]) for t in tokens(word))
+        best = max(self.odds.item(bucket(t, BUCKETS)) for t in tokens(word))
         return min(HIGHEST, max(LOWEST, best)) - COST
 
     def scores(self, found: list[bytes]) -> np.ndarray:
@@ -79,8 +81,7 @@ class Model:
         except KeyError:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-            for w in set(found) - kept.keys():
-                kept[w] = self.score(w)
+            kept.update((w, self.score(w)) for w in set(found) if w not in kept)
             return np.fromiter(map(kept.__getitem__, found), "f8", len(found))
 
     def probability(self, segments: list[float], n: int) -> float:
@@ -157,13 +158,18 @@ def calibrate(model: Model, tokens_: dict[float, int], segments: dict[float, int
         return
     v, p = np.array(list(tokens_)), (np.array(list(tokens_.values()), "f8")) / (total + 1)
     v, p = np.append(v, HIGHEST), np.append(p, 1 / (total + 1))  # a highest score may yet come
-    low, high = 1e-3, 50.0
-    for _ in range(100):
+    low, high = 1e-3, STEEPEST
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(mid * v)).sum() < 1 else (low, mid)
     model.rate = low
-    # K so that as many segments are foreseen as were seen; each tells of K by exp(lambda s)
-    model.factor = max(1.0, sum(n * math.exp(model.rate * s) for s, n in segments.items())) / total / max(1, len(segments))
+    # K so that as many of the highest harmless segments are foreseen as were seen
+    at, above = 0.0, 0
+    for at, n in sorted(segments.items(), reverse=True):
+        above += n
+        if above >= TAIL:
+            break
+    model.factor = max(above, 1) * math.exp(model.rate * at) / total
 
 
 def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
