@@ -18,15 +18,15 @@ def source(spark: SparkSession, root: str, per_trigger: int = 10) -> DataFrame:
     return files.select("cohort", F.col("_metadata.file_name").alias("file"), "value")
 
 
-def into(store: Store, name: str = "silver", log: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts all ten tables. A batch that is run again leaves them as they are."""
+def into(store: Store, name: str = "silver", log: bool = False, tables: tuple[str, ...] = tuple(silver.TABLES), on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts the tables, all ten by default. A batch that is run again changes nothing."""
 
     def merge(bronze: DataFrame, number: int) -> None:
         res = silver.resources(bronze).persist()
         try:
             results = []
             now = F.current_timestamp()
-            for table in silver.TABLES.values():
+            for table in map(silver.TABLES.__getitem__, tables):
                 df = silver.build(table.name, res, now)
                 store.table("silver", table.name).merge(df, table.key, batch=f"{name}-{number}")
                 if log:
