@@ -32,9 +32,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int
     before, on = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
     everyone = W.partitionBy()
     level = (F.sum("source_size").over(everyone) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_w").over(on)
-    rows = rows.withColumn("_level", level)
-    # the first source, in this order, whose limit isn't below the level of the rest
-    rows = rows.withColumn("_level", F.min(F.when(F.col("_limit") >= F.col("_level") * F.col("_w"), F.struct(F.col("_limit") / F.col("_w"), F.col("_level").alias("level")))).over(everyone)["level"])
+    rows = rows.withColumns({"_level": level, "_place": F.row_number().over(order)})
+    # the level of the first source, in this order, whose limit isn't below it
+    first = F.min(F.when(F.col("_limit") >= F.col("_level") * F.col("_w"), F.struct("_place", F.col("_level").alias("level")))).over(everyone)
+    rows = rows.withColumn("_level", first["level"])
     target = F.coalesce(F.least(F.col("_limit"), F.col("_level") * F.col("_w")), F.col("_limit"))
     return rows.select("source", "source_size", target.alias("target"))
 
