@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import durable, packed, running, shuffle_partitions, unpacked
 
-LIMIT, SLICES = 3, 4096
+LIMIT, SLICES, HASH_BITS = 3, 4096, 60
 
 
 def words(text: Column) -> Column:
@@ -66,7 +66,8 @@ def below(df: DataFrame, key: str, weight: str, budget: float) -> float:
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.lit(seed))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}")).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")  # 60 bits
     return packed(docs, _doc=F.col("doc_id"), _source=F.col("source"), size=words(F.col("text")), _h=key)
 
 
@@ -82,7 +83,7 @@ def decisions(small: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int
     bits = max(5, shuffle_partitions(small.sparkSession).bit_length() + 1)
     sizes = small.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumnRenamed("_source", "source")
     aims = durable(targets(sizes, weights, limit))
-    told = running(small, ["_source"], F.shiftright("_h", 64 - bits), [F.col("_h")], F.col("size"), "_so_far", peers=True)
+    told = running(small, ["_source"], F.shiftright("_h", HASH_BITS - bits), [F.col("_h")], F.col("size"), "_so_far", peers=True)
     told = durable(told.join(aims, F.col("_source").eqNullSafe(F.col("source"))).where("target > 0").select("source", "size", "_h", "_so_far", "source_size", "target"))
     served = told.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
     finish = lambda k: (k * F.col("source_size") + F.col("_so_far")) / F.col("target")

@@ -72,5 +72,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_url_filter, op8_simhash_dedup, op9_media_columns, op10_personal_data)}
 
 
+RULE_SQL = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN struct_pack(rule := '{h}{p}', verdict := '{v}')"
+    for v, h, p in sorted(hosts.RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
+) + " END"
+
+
+def strength_sql(children: str) -> str:
+    used = "n > 0 AND up > 0 AND up < 1"
+    spread = f"sum(CASE WHEN {used} THEN CAST(n AS DOUBLE) * pow(bad / CAST(n AS DOUBLE) - up, 2.0) / (up * (1 - up)) END) - count(*) FILTER (WHERE {used})"
+    pairs = f"sum(CASE WHEN {used} THEN CAST(n AS DOUBLE) - 1 END)"
+    return f"(SELECT 1 / least({hosts.LOOSE}, greatest({hosts.TIGHT}, coalesce(({spread}) / CASE WHEN {pairs} > 0 THEN {pairs} END, {hosts.TIGHT}))) - 1 FROM {children})"
+
+
+OP7_SQL = f"""
+WITH a AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
+c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
+hosts AS (SELECT host, regexp_extract(host, '[^.]*(?:\\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(quality) AS n, coalesce(sum(1 - quality), 0) AS bad
+  FROM c LEFT JOIN labels ON page_id = doc_id WHERE host <> '' GROUP BY 1),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM hosts) AS up FROM domains GROUP BY 1),
+s2 AS (SELECT suffix, (bad + k * up) / (n + k) AS mean FROM (SELECT *, {strength_sql("s1")} AS k FROM s1)),
+d1 AS (SELECT domains.*, mean AS up FROM domains JOIN s2 USING (suffix)),
+d2 AS (SELECT domain, (bad + k * up) / (n + k) AS mean FROM (SELECT *, {strength_sql("d1")} AS k FROM d1)),
+h1 AS (SELECT hosts.*, mean AS up FROM hosts JOIN d2 USING (domain)),
+h2 AS (SELECT host, bad + k * up AS alpha, n - bad + k * (1 - up) AS beta FROM (SELECT *, {strength_sql("h1")} AS k FROM h1)),
+h3 AS (SELECT host AS known, alpha / (alpha + beta) - sqrt({1 / hosts.DOUBT - 1!r}) * sqrt(alpha / (alpha + beta) * (1 - alpha / (alpha + beta)) / (alpha + beta + 1)) AS low FROM h2),
+r AS (SELECT page_id, host, path, low, {RULE_SQL} AS r FROM c LEFT JOIN h3 ON host = known)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN low > {hosts.WORST} THEN 'block' ELSE 'allow' END) AS verdict FROM r
+"""
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#0'), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w, 3 * CAST(source_size AS DOUBLE) AS most FROM s),
+l AS (SELECT *, row_number() OVER o AS place, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM w WINDOW o AS (ORDER BY most / w, source IS NULL, source)),
+t AS (SELECT source, source_size, coalesce(least(most, w * (SELECT arg_min(level, place) FROM l WHERE most >= level * w)), most) AS target FROM l),
+c AS (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT (k * source_size + so_far) / target AS finish, size FROM c, (SELECT unnest([0, 1, 2]) AS k) WHERE target > 0),
+e AS (SELECT finish, sum(size) OVER (ORDER BY finish RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS taken FROM f),
+z AS (SELECT coalesce(max(finish), -1) AS last FROM e WHERE taken <= (SELECT sum(source_size) FROM s))
+SELECT doc_id, size, source_size, target, CASE WHEN target > 0 THEN size * (CAST(so_far / target <= last AS BIGINT) + CAST((source_size + so_far) / target <= last AS BIGINT) + CAST((2 * source_size + so_far) / target <= last AS BIGINT)) ELSE 0 END AS taken FROM c, z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; the others are tested against plain versions."""
+    return {"op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
