@@ -24,6 +24,10 @@ def alert(level: str, message: str, raising: bool = False) -> None:
         raise RuntimeError(message)
 
 
+def metric(table: str, name: str, value: float) -> None:
+    logger.info("metric table=%s %s=%s", table, name, value)
+
+
 def build_silver(store: Store, root: str, cohort: str | None = None, images: str | None = None) -> list[quality.Result]:
     """Parse a cohort, or all, once; upsert the ten tables; append to the ingest log. No files: RuntimeError."""
     spark = store.spark
@@ -41,6 +45,7 @@ def build_silver(store: Store, root: str, cohort: str | None = None, images: str
             df = silver.build(table.name, res, F.lit(now), **({"headers": headers} if table.name == "imaging_study" else {}))
             store.table("silver", table.name).merge(df, table.key)
             results.append(quality.validate(table.name, store.table("silver", table.name).read()))
+            metric(table.name, "rows", results[-1].row_count)
         store.table("silver", "ingest_log").append(quality.log_rows(spark, results, now))
         return results
     finally:

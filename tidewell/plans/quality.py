@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -179,3 +180,18 @@ def dictionary() -> str:
         rows = "\n".join(f"| {f.name} | {f.dataType.simpleString()} | {'key' if f.name == key else ''} |" for f in fields)
         parts.append(f"## {name}\n\n| column | type | |\n|-|-|-|\n{rows}\n")
     return "\n".join(parts)
+
+
+#: Generated files, by their names in the repository.
+GENERATED = {"schemas/encounter_summary.json": lambda: json.dumps(json_schema(), indent=2, sort_keys=True) + "\n", "docs/data_dictionary.md": dictionary}
+
+
+def generate(root: str, check: bool = False) -> list[str]:
+    """Write the generated files below a folder, or name those that aren't as they should be."""
+    from pathlib import Path
+
+    stale = [n for n, make in GENERATED.items() if not (p := Path(root, n)).exists() or p.read_text(encoding="utf-8") != make()]
+    for n in [] if check else stale:
+        Path(root, n).parent.mkdir(parents=True, exist_ok=True)
+        Path(root, n).write_text(GENERATED[n](), encoding="utf-8")
+    return stale

@@ -104,3 +104,24 @@ def read_text(spark: SparkSession, name: str) -> str | None:
         return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def land_assets(spark: SparkSession, source: str, root: str, name: str, pattern: str) -> dict:
+    """Copy files of any kind to ``root/name``; those there already stay. They are landed, not read.
+
+    The copies run beside each other in the driver: assets are few and large.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    fs, path = filesystem(spark, source)
+    to, _ = filesystem(spark, root)
+    folder = path(f"{root}/{name}")
+    to.mkdirs(folder)
+    conf, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
+    new = [f.getPath() for f in fs.globStatus(path(f"{source}/{pattern}")) or [] if not to.exists(path(folder, f.getPath().getName()))]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda p: util.copy(fs, p, to, path(folder, p.getName()), False, conf), new))
+    landed = [f.getLen() for f in to.globStatus(path(folder, pattern)) or []]
+    manifest = {"file_count": len(landed), "total_bytes": sum(landed)}
+    write_text(spark, f"{root}/_metadata/{name}.json", json.dumps(manifest))
+    return manifest

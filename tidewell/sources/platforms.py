@@ -1,0 +1,60 @@
+"""Where tables live: platforms by name, chosen by an argument or the environment."""
+
+from __future__ import annotations
+
+import importlib
+import os
+from dataclasses import dataclass
+
+from pyspark.sql import SparkSession
+
+from tidewell.sources.tables import Store
+
+ENV, DEFAULT = "TIDEWELL_PLATFORM", "local"
+#: name -> module:class; a class takes a session and has ``store``, ``bronze`` and ``files``.
+PLATFORMS = {"local": "tidewell.sources.platforms:Local", "object": "tidewell.sources.platforms:ObjectStore"}
+
+
+@dataclass
+class Local:
+    """Folders of a file system that driver and executors share."""
+
+    spark: SparkSession
+    root: str = ""
+    variable = "TIDEWELL_ROOT"
+
+    def __post_init__(self) -> None:
+        self.root = (self.root or os.environ.get(self.variable, "") or self.default()).rstrip("/")
+
+    def default(self) -> str:
+        return os.path.abspath("lake")
+
+    @property
+    def store(self) -> Store:
+        return Store(self.spark, self.root)
+
+    @property
+    def bronze(self) -> str:
+        return f"{self.root}/bronze/fhir"
+
+    def files(self, *parts: str) -> str:
+        return "/".join((self.root, *parts))
+
+
+class ObjectStore(Local):
+    """A prefix of an object store, by any URL that Hadoop's file systems know."""
+
+    def default(self) -> str:
+        raise OSError(f"{self.variable} names no root such as s3a://bucket/prefix")
+
+
+def get(spark: SparkSession, name: str | None = None) -> Local:
+    """The platform of a name, or of the environment. Unknown names: ValueError; missing classes: ImportError."""
+    key = (name or os.environ.get(ENV, DEFAULT)).strip().lower()
+    if key not in PLATFORMS:
+        raise ValueError(f"no platform {key!r}; known: {', '.join(sorted(PLATFORMS))}")
+    module, _, kind = PLATFORMS[key].partition(":")
+    found = getattr(importlib.import_module(module), kind, None)
+    if found is None:
+        raise ImportError(f"{module} has no {kind}")
+    return found(spark)
