@@ -119,6 +119,28 @@ SELECT doc_id, size, source_size, target, CASE WHEN target > 0 THEN size * (CAST
 """
 
 
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i FROM g WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM p, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+m AS (SELECT d.doc_id, CASE WHEN regexp_full_match(lang, '[a-z]{{2}}') THEN lang ELSE 'other' END AS stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[!?]')) AS marks, len(l) AS n_lines
+    FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+f AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_lines,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeats, coalesce(marks / nullif(n_words, 0), 0.0) AS shouting, coalesce(word_chars / nullif(n_words, 0), 0.0) AS word_length FROM m),
+v AS ({" UNION ALL ".join(f"SELECT stratum, '{x}' AS feature, {x} AS value FROM f JOIN labels USING (doc_id) WHERE quality = 1" for x in rules.GRIDS)}),
+k AS (SELECT stratum, v.feature, cut, count(*) AS n, count(*) FILTER (WHERE value > cut) AS k FROM v JOIN (VALUES {", ".join(f"('{x}', {c})" for x, grid in rules.GRIDS.items() for c in grid)}) AS grid(feature, cut) ON v.feature = grid.feature GROUP BY 1, 2, 3),
+b AS (SELECT stratum, feature, cut, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rules.RISK / len(rules.GRIDS)!r}) + (n - i) * ln({1 - rules.RISK / len(rules.GRIDS)!r})))) AS chance FROM k),
+c AS (SELECT stratum AS cut_for, {", ".join(f"min(cut) FILTER (WHERE feature = '{x}') AS cut_{x}" for x in rules.GRIDS)} FROM b
+    WHERE chance <= {1 - rules.CONFIDENCE!r} / ({sum(map(len, rules.GRIDS.values()))} * (SELECT count(DISTINCT stratum) FROM v)) GROUP BY 1)
+SELECT doc_id, {", ".join(rules.COUNTS)}, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({x} > cut_{x}, false)" for x in rules.GRIDS)}) AS kept, {", ".join(rules.GRIDS)},
+    {", ".join(f"CAST(cut_{x} AS DOUBLE) AS cut_{x}" for x in rules.GRIDS)} FROM f LEFT JOIN c ON stratum = cut_for
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against plain versions."""
-    return {"op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
