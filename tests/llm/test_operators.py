@@ -270,6 +270,15 @@ def test_reputation(spark):
     assert got["c.bad.org"].low > got["z.net"].low  # an unseen host has its domain's name
 
 
+def test_pages_without_much(spark):
+    out = spark.createDataFrame([(1, True)], "page_id long, bad boolean").selectExpr("page_id", "cast(bad as int) as bad")
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h"), (1, "http://a.b/x", "h"), (None, None, None), (2, "http:///p", None)], "page_id long, url string, low string")
+    assert hosts.judge(pages.limit(0), out).count() == 0
+    rows = hosts.judge(pages, out).collect()
+    assert sorted((r.page_id or 0, r.host, r.path) for r in rows) == [(0, "", ""), (1, "a.b", "/x"), (1, "a.b", "/x"), (2, "", "/p")]
+    assert hosts.judge(pages, out.limit(0)).where("verdict = 'allow'").count() == 4
+
+
 # media
 
 

@@ -32,11 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: it is computed once and survives lost executors."""
+    """Write a frame to the shared folder and read it back: it is computed once and survives lost executors.
+
+    The tables of an application go when it ends, those given to discard() at once.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = files(spark, home)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame of durable() that nothing reads any more."""
+    fs, place = files(df.sparkSession, df._durable)
+    fs.delete(place, True)
+
+
+def files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
