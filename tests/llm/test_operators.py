@@ -238,6 +238,15 @@ def test_maximal_segments():
         assert np.allclose([x[0] for x in got], [x[0] for x in segments(scores)])
 
 
+def test_segments_take_linear_time():
+    import time
+
+    down, up = np.tile([1.0, -2.0], 100_000), np.tile([2.0, -1.0], 100_000)
+    began = time.process_time()
+    assert len(toxicity.maximal(down)) == 100_000 and len(toxicity.maximal(up)) == 1
+    assert time.process_time() - began < 5
+
+
 def test_toxic_passages(spark):
     rng = random.Random(6)
     plain = lambda n: [f"word{rng.randint(0, 300)}" for _ in range(n)]
@@ -313,6 +322,8 @@ def test_disclosing_terms(spark):
 
 def test_long_runs():
     assert privacy.base("a" * 200_000 + "@b") == [] and privacy.base("1" * 200_000) == [] and len(privacy.base("a@b.c " * 1000)) == 1000
+    many = " near word a@b.c" * 20_000
+    assert len(privacy.near(many, privacy.base(many))) > 20_000
     assert privacy.base("1." * 50_000)[:1] == [(0, 7, "ip")]
 
 

@@ -46,13 +46,14 @@ def below(df: DataFrame, key: str, weight: str, budget: float) -> float:
     The order by key is cut into slices that are summed where their rows lie; the slice in which the budget is
     met is cut again until it holds one key. A pass brings one row per slice to the driver.
     """
-    low, high, = df.agg(F.min(key), F.max(key)).first()
+    low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return float("-inf")
     held, best = 0, float("-inf")
     while True:
         width = (high - low) / SLICES
-        slot = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(SLICES - 1)) if width else F.lit(0).cast("long")
+        # a width of 0: one key is left, or some that lie closer together than numbers can tell
+        slot = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(SLICES - 1)) if width else (F.col(key) > low).cast("long")
         inside = df.where(F.col(key).between(low, high)).groupBy(slot.alias("s")).agg(F.sum(weight).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
         for s in sorted(inside.collect()):
             if held + s["n"] > budget:

@@ -44,20 +44,20 @@ def maximal(scores: np.ndarray) -> list[tuple[float, int, int]]:
     if not len(places):
         return []
     sums = np.concatenate([[0.0], np.cumsum(scores, dtype="f8")])
-    open_: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    open_: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, the nearest that starts lower
     for k in places.tolist():
         low, high, first = sums[k], sums[k + 1], k
-        while open_:
-            # an earlier segment that starts lower may take this one in if it doesn't end higher
+        while True:
+            # an earlier segment that starts lower takes this one in unless it ends as high
             j = len(open_) - 1
             while j >= 0 and open_[j][0] >= low:
-                j -= 1
+                j = open_[j][4]
             if j < 0 or open_[j][1] >= high:
                 break
             low, first = open_[j][0], open_[j][2]
             del open_[j:]
-        open_.append((low, high, first, k))
-    return [(high - low, first, last) for low, high, first, last in open_]
+        open_.append((low, high, first, k, j))
+    return [(high - low, first, last) for low, high, first, last, _ in open_]
 
 
 @dataclass
