@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                     part = ids[4 * start : 4 * (start + length)]
                     for to, x in zip(out, (key, k, start, length, zlib.crc32(part), *[np.frombuffer(part, "<u4").astype("i4")] * with_ids), strict=True):
                         to.append(x)
-                if sum(map(len, out[-1:])) >= 50_000:
+                if len(out[0]) >= (2_000 if with_ids else 50_000):
                     yield table(names, out)
                     out = [[] for _ in names]
             yield table(names, out)
