@@ -160,6 +160,9 @@ def test_stream(spark, raw, tables, tmp_path):
     for n in ("patient", "observation", "soap_note"):
         got = store.table("silver", n).read().drop("ingest_timestamp", "source_file")
         assert got.exceptAll(tables[n].drop("ingest_timestamp", "source_file")).count() <= (n == "patient") and got.count() == tables[n].count()
+    before = store.table("silver", "patient").version()
+    replay.replay(store, raw, str(tmp_path / "other"), per_trigger=9, tables=("patient",)).awaitTermination()
+    assert store.table("silver", "patient").version() == before + 1  # another stream's batches are its own
 
 
 def test_scalars(spark):

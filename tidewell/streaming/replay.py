@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans import quality, silver
+from tidewell.sources.bronze import read_text
 from tidewell.sources.tables import Store
 
 
@@ -18,10 +20,14 @@ def source(spark: SparkSession, root: str, per_trigger: int = 10) -> DataFrame:
     return files.select("cohort", F.col("_metadata.file_name").alias("file"), "value")
 
 
-def into(store: Store, name: str = "silver", log: bool = False, tables: tuple[str, ...] = tuple(silver.TABLES), on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts the tables, all ten by default. A batch that is run again changes nothing."""
+def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ...] = tuple(silver.TABLES), on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts the tables, all ten by default. A batch that is run again changes nothing.
+
+    Batches are named by the stream's id, which its checkpoint holds, so those of other streams don't count.
+    """
 
     def merge(bronze: DataFrame, number: int) -> None:
+        name = json.loads(read_text(store.spark, f"{checkpoint}/metadata"))["id"]
         res = silver.resources(bronze).persist()
         try:
             results = []
@@ -46,10 +52,10 @@ def into(store: Store, name: str = "silver", log: bool = False, tables: tuple[st
 def replay(store: Store, root: str, checkpoint: str, per_trigger: int = 10, **options):
     """Work through what has arrived, batch by batch, then stop."""
     stream = source(store.spark, root, per_trigger).writeStream.option("checkpointLocation", checkpoint)
-    return stream.trigger(availableNow=True).foreachBatch(into(store, **options)).start()
+    return stream.trigger(availableNow=True).foreachBatch(into(store, checkpoint, **options)).start()
 
 
 def watch(store: Store, root: str, checkpoint: str, seconds: int = 30, per_trigger: int = 10, **options):
     """Merge files as they arrive; the caller stops the query or waits for a time."""
     stream = source(store.spark, root, per_trigger).writeStream.option("checkpointLocation", checkpoint)
-    return stream.trigger(processingTime=f"{seconds} seconds").foreachBatch(into(store, **options)).start()
+    return stream.trigger(processingTime=f"{seconds} seconds").foreachBatch(into(store, checkpoint, **options)).start()
