@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_bytes, durable, in_arrow, packed, shuffle_partitions, unpacked
+from tidewell.llm.common import as_bytes, discard, durable, in_arrow, packed, shuffle_partitions, unpacked
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a trie node that one task holds, and rows that are traversed together.
@@ -234,8 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.where("u <> v"))
     seen = sign(edges)
     while True:
-        edges = durable(star(star(edges, True), False))
+        before, edges = edges, durable(star(star(edges, True), False))
         now = sign(edges)
+        discard(before)
         if now == seen:
             break
         seen = now
@@ -248,10 +249,9 @@ def grouped(docs: DataFrame, budget: int, width: int) -> DataFrame:
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = components(links(classes, budget))
     roots = durable(classes.join(groups, classes.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    smallest = smallest.select(F.col("root").alias("_root"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = roots.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    ids = salted.join(smallest, (F.col("root") == F.col("_root")) & (F.col("salt") == F.col("_salt"))).select(F.col("fp").alias("_fp"), "root", "component_id")
+    smallest = durable(roots.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root"))
+    # both sides are read from tables, so that Spark can split the rows of a large group
+    ids = roots.join(smallest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
     return prints.join(durable(ids), F.col("fp") == F.col("_fp")).drop("_fp")
 
 
