@@ -320,6 +320,27 @@ def test_disclosing_terms(spark):
     assert clean[0].text == texts[0].replace("bluebeard", "[REMOVED]").replace("jo@ex.org", "[EMAIL]") and clean[0].n_chars == len(clean[0].text) and clean[10].text == texts[10]
 
 
+def test_terms_far_off_and_of_rare_entities(spark):
+    filler = " ".join("the end of the story with all of it and more".split() * 20)
+    far = f"Bluebeard Qi wrote this. {filler} regards jo@ex.org or +1 555 010 9988, bluebeard"
+    texts = [far, *(f"{filler} number{i}" for i in range(2000))]
+    out = {r.doc_id: r for r in privacy.report(docs(spark, *texts, far, far)).collect()}
+    second = far.rindex("bluebeard")
+    for d in (0, len(texts), len(texts) + 1):
+        assert {x for x in out[d].spans.split(",") if x[:4] in ("name", "term")} >= {"name:0:9", "name:10:12", f"name:{second}:{second + 9}"}
+        assert f":{far.index('story')}:" not in out[d].spans
+    assert out[1].spans == ""
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs(spark, *texts)).collect()}
+    assert clean[0].startswith("[REMOVED] [REMOVED] ") and "luebeard" not in clean[0] and clean[1] == texts[1]
+
+
+def test_chance_of_meeting(spark):
+    for k, n, p in ((1, 1, 0.001), (1, 4, 1 / 64), (4, 4, 1 / 16), (30, 200, 0.01), (2, 2, 1.0)):
+        got = spark.range(1).select(privacy.by_chance(F.lit(k).cast("long"), F.lit(n).cast("long"), F.lit(p))).first()[0]
+        want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert got is None if p == 1 else want * (1 - 1e-6) <= got <= want * 1.01
+
+
 def test_long_runs():
     assert privacy.base("a" * 200_000 + "@b") == [] and privacy.base("1" * 200_000) == [] and len(privacy.base("a@b.c " * 1000)) == 1000
     many = " near word a@b.c" * 20_000

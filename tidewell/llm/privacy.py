@@ -1,25 +1,29 @@
 """Personal data: base patterns, and terms that disclose them by corpus co-occurrence.
 
 A protected entity is a distinct e-mail address, IP address, card or phone number. How strongly a term reveals
-it is the pointwise mutual information of term and entity over the corpus, as a share of the entity's own
-information: 1 if the term occurs with the entity only. Terms near the entity that exceed the threshold are
-generalised, those that all but name it are removed. The statistics count documents; besides, a term must have
-met the entity in several different texts.
+it is the pointwise mutual information of term and entity over the corpus's documents, as a share of the entity's
+own information: 1 if the term occurs with the entity only. All words of a document meet all its entities. Terms
+that exceed the threshold are generalised, those that all but name the entity are removed, wherever they stand in
+a document that holds it. Besides, term and entity must meet in more different texts than chance explains: the
+binomial tail, times the number of terms that the entity meets, is ``DOUBT`` at most. An entity of a single text
+has such terms too, where they are rare enough.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import as_texts, durable, in_arrow
+from tidewell.llm.rules import log_factorial
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,11 +34,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W_]+")
-#: Words, and characters, on either side of an entity, least letters of a term, texts in which term and entity must have met.
-NEAR, REACH, LETTERS, SUPPORT = 6, 240, 3, 3
+#: Most chance of a term that meets an entity by accident, over all terms that meet it.
+DOUBT = 0.05
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
-COUNTED = 150_000
+COUNTED, ROWS = 150_000, 250
 Span = tuple[int, int, str]  # start, end, kind
 
 
@@ -84,49 +88,55 @@ def entity(text: str, span: Span) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{name}".encode()) - (1 << 63)
 
 
-def near(text: str, spans: list[Span]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span; words that touch a span are no terms.
-
-    Near are the ``NEAR`` next words on either side, within ``REACH`` characters.
-    """
-    out, starts, ends = set(), [], []
+def near(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text with spans; words that touch a span are no terms."""
+    starts, ends = [], []
     for a, b, _ in sorted(spans):  # spans of several kinds may overlap
         if starts and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
             starts.append(a)
             ends.append(b)
-    for span in spans:
-        a, b, _ = span
-        left = list(WORD.finditer(text, max(0, a - REACH), a))[-NEAR:]
-        right = [m for _, m in zip(range(NEAR), WORD.finditer(text, b, b + REACH), strict=False)]
-        for m in left + right:
-            term, at = m[0].lower(), bisect_left(starts, m.end()) - 1
-            if len(term) >= LETTERS and (at < 0 or ends[at] <= m.start()):
-                out.add((entity(text, span), term, m.start(), m.end()))
-    return sorted(out)
+    out = []
+    for m in WORD.finditer(text):
+        at = bisect_left(starts, m.end()) - 1
+        if at < 0 or ends[at] <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS`` rows at most, so that few texts' terms are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base (start, end, kind), near (entity, term, start, end) of every document."""
+    """doc_id, text_key, base (start, end, kind), entities, terms (term, start, end) of every document."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
     key = to_arrow_type(kind)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    close = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, spans, terms = [], [], []
+        for batch in parts(batches):
+            keys, spans, held, terms, starts, ends, upto = [], [], [], [], array("q"), array("q"), [0]
             for text in as_texts(batch.column(1)):
                 s = base(text)
                 keys.append(text_key(text))
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in s])
-                terms.append([dict(zip(("entity", "term", "start", "end"), t, strict=True)) for t in near(text, s)] if s else [])
-            yield pa.record_batch([batch.column(0).cast(key), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(terms, close)], names=["doc_id", "text_key", "base", "near"])
+                held.append(sorted({entity(text, x) for x in s}))
+                for term, a, b in near(text, s) if s else ():
+                    terms.append(term)
+                    starts.append(a)
+                    ends.append(b)
+                upto.append(len(terms))
+            places = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["term", "start", "end"])
+            yield pa.record_batch([batch.column(0).cast(key), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(held, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), places)], names=["doc_id", "text_key", "base", "entities", "terms"])
 
-    return in_arrow(docs.select("doc_id", "text"), rows, f"doc_id {kind.simpleString()}, text_key long, base array<struct<start:long,end:long,kind:string>>, near array<struct<entity:long,term:string,start:long,end:long>>")
+    return in_arrow(docs.select("doc_id", "text"), rows, f"doc_id {kind.simpleString()}, text_key long, base array<struct<start:long,end:long,kind:string>>, entities array<long>, terms array<struct<term:string,start:long,end:long>>")
 
 
 def text_key(text: str) -> int:
@@ -144,9 +154,9 @@ def document_counts(docs: DataFrame) -> DataFrame:
         def part() -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-        for batch in batches:
+        for batch in parts(batches):
             for text in as_texts(batch.column(0)):
-                total.update({t for t in WORD.findall(text.lower()) if len(t) >= LETTERS})
+                total.update({t.lower() for t in set(WORD.findall(text))})
                 if len(total) > COUNTED:
                     yield part()
                     total.clear()
@@ -155,43 +165,68 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("text"), rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """entity, term, ratio of the terms that reveal an entity; ``spans`` is found(docs), durable."""
-    near_ = spans.where(F.size("near") > 0)
-    met = near_.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = met.groupBy("x.entity", "x.term", "text_key").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = near_.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = durable(pairs.join(entities, "entity"))
-    if not pairs.take(1):
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    n = float(spans.count())
-    pairs = pairs.join(document_counts(docs), "term")
+def holders(texts: DataFrame) -> DataFrame:
+    """text_key, copies, entity, n_e (documents), texts_e of every entity in ``texts``.
+
+    Entities that stand in one text only meet the same terms equally often, so one of them stands for all.
+    """
+    each = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    counts = each.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e"))
+    shared = F.when(F.col("texts_e") > 1, F.col("entity")).alias("_shared")
+    return each.join(counts, "entity").groupBy("text_key", shared).agg(F.min("entity").alias("entity"), *(F.first(c).alias(c) for c in ("copies", "n_e", "texts_e"))).drop("_shared")
+
+
+def meetings(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of ``held`` with each different term of the text."""
+    words = texts.select("text_key", F.array_distinct(F.transform("terms", lambda x: x["term"])).alias("_words"))
+    return held.join(words, "text_key").select(*held.columns, F.explode("_words").alias("term"))
+
+
+def by_chance(k: Column, n: Column, p: Column) -> Column:
+    """A bound of P(X >= k) for a binomial X: its first term and a geometric series; null where k is not above n * p."""
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(p) + F.when(n > k, (n - k) * F.log(1 - p)).otherwise(0.0)
+    step = F.when(n > k, F.try_divide((n - k) * p, (k + 1) * (1 - p))).otherwise(0.0)
+    return F.when((k > n * p) & (step < 1), F.exp(first) / F.when(step < 1, 1 - step))
+
+
+def disclosing(docs: DataFrame, spans: DataFrame, texts: DataFrame, held: DataFrame, doubt: float = DOUBT, threshold: float = GENERALISE) -> DataFrame:
+    """entity, term, ratio of the terms that reveal an entity.
+
+    The ratio counts documents. Chance counts texts, as copies are no further evidence; of the documents with a
+    term, only the copies of texts that hold the entity are known and left out.
+    """
+    pairs = meetings(texts, held).groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et"), F.first("n_e").alias("n_e"), F.first("texts_e").alias("texts_e"))
+    pairs = durable(pairs)
+    n, n_texts = map(float, spans.agg(F.count("*"), F.count_distinct("text_key")).first())
+    pairs = pairs.join(pairs.groupBy("entity").agg(F.count("*").alias("tested")), "entity").join(document_counts(docs), "term")
     met_share, own = F.col("n_et") / n, F.col("n_e") / n
     ratio = F.try_divide(F.log(met_share / (own * F.greatest("n_t", "n_et") / n)), -F.log(own))  # null if all texts have it
-    return durable(pairs.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold))
+    others = F.greatest(F.col("n_t") - F.col("n_et"), F.lit(0))
+    chance = by_chance(F.col("texts_et"), F.col("texts_e"), F.least(F.lit(1.0), (others + F.col("texts_et")) / n_texts))
+    return durable(pairs.select("entity", "term", ratio.alias("ratio"), (chance * F.col("tested")).alias("_chance")).where((F.col("ratio") >= threshold) & (F.col("_chance") <= doubt)).drop("_chance"))
 
 
-def marked(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def marked(docs: DataFrame, doubt: float = DOUBT, threshold: float = GENERALISE) -> DataFrame:
     """doc_id, text_key, base, terms (start, end, kind) of every document; kind is "term" or "name"."""
     spans = durable(found(docs))
-    told = disclosing(docs, spans, support, threshold).select(F.col("entity").alias("_e"), F.col("term").alias("_t"), "ratio")
-    rows = spans.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).distinct()
-    hit = rows.join(told, (F.col("x.entity") == F.col("_e")) & (F.col("x.term") == F.col("_t")))
+    texts = durable(spans.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    held = durable(holders(texts))
+    told = disclosing(docs, spans, texts, held, doubt, threshold)
     kind = F.when(F.col("ratio") >= REMOVE, "name").otherwise("term")
-    terms = hit.groupBy("text_key", F.col("x.start").alias("start"), F.col("x.end").alias("end")).agg(F.min(kind).alias("kind"))
-    terms = terms.groupBy(F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    return spans.join(durable(terms), F.col("text_key") == F.col("_key"), "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")).alias("terms"))
+    hit = meetings(texts, held.select("text_key", "entity")).join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.min(kind).alias("kind"))
+    places = texts.select("text_key", F.explode("terms").alias("x")).select("text_key", "x.term", "x.start", "x.end")
+    terms = places.join(hit, ["text_key", "term"]).groupBy(F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_terms"))
+    return spans.join(durable(terms), F.col("text_key") == F.col("_key"), "left").select("doc_id", "text_key", "base", F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")).alias("terms"))
 
 
-def report(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def report(docs: DataFrame, doubt: float = DOUBT, threshold: float = GENERALISE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind (email, ip, card, phone, name,
-    term), comma-joined. Null and empty texts have none. Repeated rows are reported alike and count once in the
-    support; a null doc_id stays null; no documents give no rows. Other columns are ignored.
+    term), comma-joined. Null and empty texts have none. Repeated rows are reported alike and count once as
+    evidence; a null doc_id stays null; no documents give no rows. Other columns are ignored.
     """
-    return digest(marked(docs, support, threshold))
+    return digest(marked(docs, doubt, threshold))
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -219,13 +254,13 @@ def sanitised(text: str, terms: list[Span]) -> str:
     return text
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def sanitise(docs: DataFrame, doubt: float = DOUBT, threshold: float = GENERALISE) -> DataFrame:
     """The documents with all their columns, their texts without the spans of report(); n_chars, if there, follows.
 
     Documents without spans stay as they are, null texts stay null. Only texts with a digit or an at sign can
     hold an entity; the others pass by without a shuffle.
     """
-    found_ = marked(docs, support, threshold).where(F.size("terms") > 0)
+    found_ = marked(docs, doubt, threshold).where(F.size("terms") > 0)
     terms = durable(found_.groupBy(F.col("text_key").alias("_tw_key")).agg(F.first("terms").alias("_tw_terms")))
     may = F.coalesce(F.rlike("text", F.lit("[0-9@]")), F.lit(False))
     risky = docs.where(may).withColumn("_tw_of", F.xxhash64("text")).join(terms, F.col("_tw_of") == F.col("_tw_key"), "left")
