@@ -288,6 +288,18 @@ def test_pages_without_much(spark):
     assert hosts.judge(pages, out.limit(0)).where("verdict = 'allow'").count() == 4
 
 
+def test_outcomes_are_those_of_carried_documents(spark, tmp_path):
+    urls = ["http://bad.org/en/100", "http://bad.org/en/101/", "http://bad.org/en/102.html?x=1", "http://good.org/en/103#top", "http://good.org/en/x104", "http://good.org/100", None]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    marks = labels(spark, *((i, 1, 0) for i in range(7)), (100, 0, 0), (101, 0, 0), (102, 0, 0), (103, 1, 0), (104, 0, 0))
+    assert sorted(map(tuple, hosts.outcomes(pages, marks).collect())) == [(0, 1), (1, 1), (2, 1), (3, 0)]
+    many = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.org/en/{1000 + i}", "") for i in range(400)], pages.schema)
+    many.write.parquet(str(tmp_path / "pages.parquet"))
+    labels(spark, *((1000 + i, 1 - i % 2, 0) for i in range(400)), *((i, 1, 0) for i in range(400))).write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op7_url_filter(spark, str(tmp_path)).collect()
+    assert all((r.verdict == "block") == (r.host == "bad.org") for r in got)
+
+
 # media
 
 

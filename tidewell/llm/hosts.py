@@ -24,6 +24,17 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, bad of the pages (page_id, url) whose paths name a labelled document: /lang/doc_id, then a dot, a slash or no more.
+
+    ``labels``: doc_id, quality (1 good).
+    """
+    _, path = parts(F.col("url"))
+    named = F.regexp_extract(path, r"^/[^/]*/([0-9]{1,18})(?:[./]|$)", 1)
+    carried = pages.select("page_id", F.when(named != "", named).cast("long").alias("_doc")).distinct()
+    return carried.join(labels.select("doc_id", "quality"), F.col("_doc") == F.col("doc_id")).select("page_id", (1 - F.col("quality")).alias("bad"))
+
+
 def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """The longest fitting rule as struct (rule, verdict), or null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")

@@ -51,9 +51,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the quality labels whose id is a page's."""
-    outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return hosts.judge(read(spark, sf_dir, "pages").select("page_id", "url"), outcomes).drop("low")
+    """Outcomes: the quality labels of the documents that pages carry, which their paths name: /lang/doc_id."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return hosts.judge(pages, hosts.outcomes(pages, read(spark, sf_dir, "labels"))).drop("low")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
