@@ -263,6 +263,16 @@ def test_toxic_passages(spark):
     assert all(any(p.first <= 40 <= p.last + 3 for p in r.passages) for r in out if r.doc_id % 6 == 0)
 
 
+def test_all_segments_count():
+    model = toxicity.Model(np.zeros(1), 0.1, rate=1.0, factor=0.01)
+    height = -math.log(10 / (0.01 * 10_000))  # chance gives ten such segments
+    assert model.probability([height] * 50, 10_000) > 0.99 and model.probability([height] * 10, 10_000) <= 0.1
+    for r, mean in ((1, 0.5), (1, 1e-9), (3, 2.9), (5, 0.01), (50, 10.0), (700, 500.0)):
+        logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(r, r + 600)]
+        assert toxicity.rank_chance(r, mean, math.inf) == pytest.approx(r * (r + 1) * math.fsum(map(math.exp, logs)), rel=1e-9)
+    assert toxicity.rank_chance(2, 5.0, 0.3) == 0.3 and model.probability([1e4], 10) == 1.0
+
+
 def test_sample_is_bounded(spark):
     many = labels(spark, *((i, i % 2, 0) for i in range(100)), (None, 1, 1))
     got = learned.sample(many, "quality", 30)

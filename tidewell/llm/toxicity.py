@@ -60,6 +60,27 @@ def maximal(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(high - low, first, last) for low, high, first, last, _ in open_]
 
 
+def rank_chance(r: int, mean: float, least: float) -> float:
+    """r (r + 1) P(N >= r) for a Poisson N of the given mean, or ``least`` where it can't be below that.
+
+    The tail is its first term, by logarithms, times a series whose terms fall, as the mean is below r.
+    """
+    if mean >= r:  # half of the chance at least
+        return least
+    if mean <= 0:
+        return 0.0
+    first = r * (r + 1) * math.exp(r * math.log(mean) - mean - math.lgamma(r + 1))
+    if first >= least:
+        return least
+    total = term = 1.0
+    i = r
+    while term > 1e-17 * total:
+        i += 1
+        term *= mean / i
+        total += term
+    return first * total
+
+
 @dataclass
 class Model:
     odds: np.ndarray  # by bucket
@@ -85,14 +106,12 @@ class Model:
             return np.fromiter(map(kept.__getitem__, found), "f8", len(found))
 
     def probability(self, segments: list[float], n: int) -> float:
-        """Of toxicity, given the scores of a document's segments and its number of words."""
+        """Of toxicity, given the scores of all of a document's segments and its number of words."""
         if not 0 < self.share < 1:
             return float(self.share >= 1)
         p = 1.0
-        for r, s in enumerate(sorted(segments, reverse=True)[:5], 1):
-            mean = self.factor * n * math.exp(-self.rate * s)
-            tail = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(r)) if mean > 1e-3 else mean**r / math.factorial(r)
-            p = min(p, r * (r + 1) * tail)
+        for r, s in enumerate(sorted(segments, reverse=True), 1):
+            p = min(p, rank_chance(r, self.factor * n * math.exp(-self.rate * s), p))
         factor = -math.e * p * math.log(p) if 0 < p < 1 / math.e else float(p > 0)
         return self.share / (self.share + (1 - self.share) * factor)
 
