@@ -310,6 +310,18 @@ def test_outcomes_are_those_of_carried_documents(spark, tmp_path):
     assert all((r.verdict == "block") == (r.host == "bad.org") for r in got)
 
 
+def test_small_hosts_are_blocked_by_the_posterior_itself(spark):
+    cases = [(9.0, 2.0, 0.5, 11 / 1024), (1.0, 1.0, 0.3, 0.3), (2.0, 1.0, 0.5, 0.25), (40.0, 60.0, 0.5, sum(math.comb(99, i) for i in range(40, 100)) / 2**99)]
+    for a, b, x, want in cases:
+        assert spark.range(1).select(hosts.tail(F.lit(x), F.lit(a), F.lit(b))).first()[0] == pytest.approx(want, rel=1e-6)
+    pages = [(f"h{i}.ex.org", int(j < i)) for i in range(9) for j in range(8)]
+    df = spark.createDataFrame([(i, f"http://{h}/x") for i, (h, _) in enumerate(pages)], "page_id long, url string")
+    out = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pages)], "page_id long, bad int")
+    got = {r.host: r for r in hosts.judge(df, out).collect()}
+    assert got["h7.ex.org"].verdict == "block" and got["h7.ex.org"].low < 0.5
+    assert got["h0.ex.org"].verdict == "allow" and got["h5.ex.org"].verdict == "allow"
+
+
 # media
 
 

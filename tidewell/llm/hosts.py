@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import durable
+from tidewell.llm.rules import bound
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -57,12 +58,42 @@ def strength(children: DataFrame, parent_mean: str) -> float:
     return 1 / children.agg(ratio(children, parent_mean).alias("r")).first()[0] - 1
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
-    """host, n, bad -> host, alpha, beta, low: the beta posterior of each host's share of bad pages and its lower bound.
+def tail(x: Column, a: Column, b: Column) -> Column:
+    """P(share <= x) for a beta distribution: Lentz's continued fraction, taken on the side where it converges fast."""
+    near = x < (a + 1) / (a + b + 2)
+    p, q, y = F.when(near, a).otherwise(b), F.when(near, b).otherwise(a), F.when(near, x).otherwise(1 - x)
+
+    def series(v: Column) -> Column:
+        p, q, y = v["p"], v["q"], v["y"]
+        safe = lambda z: F.when(F.abs(z) < 1e-300, 1e-300).otherwise(z)
+        start = bound(1 / safe(1 - (p + q) * y / (p + 1)), lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("f")))
+
+        def once(s: Column, factor: Column) -> Column:
+            both = F.struct((1 / safe(1 + factor * s["d"])).alias("d"), safe(1 + factor / s["c"]).alias("c"))
+            return bound(both, lambda z: F.struct(z["c"].alias("c"), z["d"].alias("d"), (s["f"] * z["c"] * z["d"]).alias("f")))
+
+        def twice(s: Column, i: Column) -> Column:
+            even, odd = i * (q - i) * y / ((p + 2 * i - 1) * (p + 2 * i)), -(p + i) * (p + q + i) * y / ((p + 2 * i) * (p + 2 * i + 1))
+            return bound(once(s, even), lambda z: once(z, odd))
+
+        steps = F.transform(F.sequence(F.lit(1), (30 + 3 * F.sqrt(p + q)).cast("int")), lambda i: i.cast("double"))
+        fraction = F.aggregate(steps, start, twice, lambda s: s["f"])
+        return F.exp(p * F.log(y) + q * F.log(1 - y) - v["beta"]) * fraction / p
+
+    def log_gamma(z: Column) -> Column:  # Stirling's series from z + 10 on
+        up = z + 10
+        return (up - 0.5) * F.log(up) - up + 0.9189385332046727 + 1 / (12 * up) - 1 / (360 * F.pow(up, F.lit(3.0))) + 1 / (1260 * F.pow(up, F.lit(5.0))) - sum((F.log(z + i) for i in range(10)), F.lit(0.0))
+
+    value = bound(F.struct(p.alias("p"), q.alias("q"), y.alias("y"), (log_gamma(p) + log_gamma(q) - log_gamma(p + q)).alias("beta")), series)
+    return F.when(near, value).otherwise(1 - value)
+
+
+def reputations(hosts: DataFrame, worst: float = WORST) -> DataFrame:
+    """host, n, bad -> host, alpha, beta, low, chance: the beta posterior of each host's share of bad pages, its lower
+    bound, and the posterior's own chance of a share of ``worst`` or less.
 
     Shares are shrunk from level to level: a suffix towards all pages, a registered domain towards its suffix, a
-    host towards its domain, each with a prior whose strength is estimated from the spread at that level. The
-    bound is the posterior's mean less a multiple of its deviation (Cantelli's inequality, which holds for any
+    host towards its domain, each with a prior whose strength is estimated from the spread at that level. ``low`` is the posterior's mean less a multiple of its deviation (Cantelli's inequality, which holds for any
     distribution).
     """
     hosts = durable(hosts.withColumn("domain", F.regexp_extract("host", r"[^.]*(?:\.[^.]*)?$", 0)).withColumn("suffix", F.substring_index("host", ".", -1)))
@@ -84,14 +115,14 @@ def reputations(hosts: DataFrame) -> DataFrame:
     a, b = F.col("bad") + k * F.col("up"), F.col("n") - F.col("bad") + k * (1 - F.col("up"))
     mean = a / (a + b)
     low = mean - (1 / DOUBT - 1) ** 0.5 * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return durable(hosts.select("host", "n", "bad", a.alias("alpha"), b.alias("beta"), low.alias("low")))
+    return durable(hosts.select("host", "n", "bad", a.alias("alpha"), b.alias("beta"), low.alias("low"), tail(F.lit(worst), a, b).alias("chance")))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, worst: float = WORST) -> DataFrame:
     """page_id, host, path, rule, verdict, low for every page (page_id, url).
 
     ``outcomes``: page_id, bad (0 or 1) of labelled pages. Where no rule fits, a page is blocked if its host's
-    share of bad pages lies above ``worst`` by the posterior's lower bound. Null urls and urls without host have
+    share of bad pages lies above ``worst`` but for a chance of ``DOUBT``. Null urls and urls without host have
     empty parts, no reputation, and are allowed. Repeated rows are judged alike, and each counts; a page with
     several outcomes counts each. Other columns are ignored. No pages give no rows.
     """
@@ -99,7 +130,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, worst: fl
     rows = durable(pages.select("page_id", host.alias("host"), path.alias("path")))
     seen = rows.select("page_id", "host").join(outcomes.select(F.col("page_id").alias("_page"), "bad"), F.col("page_id") == F.col("_page"), "left")
     hosts = seen.where("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    known = reputations(hosts).select(F.col("host").alias("_host"), "low")
+    known = reputations(hosts, worst).select(F.col("host").alias("_host"), "low", "chance")
     out = rows.join(known, F.col("host") == F.col("_host"), "left").withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce("_r.verdict", F.when(F.col("low") > worst, "block").otherwise("allow"))
+    verdict = F.coalesce("_r.verdict", F.when(F.col("chance") <= DOUBT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "low")
