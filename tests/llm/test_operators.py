@@ -89,24 +89,60 @@ def test_license_spans(spark):
 # packing
 
 
-def test_match_places_everything():
-    rng = random.Random(1)
-    for cap in (7, 64, 1024):
-        for _ in range(10):
-            counts = {rng.randint(1, cap): rng.randint(1, 500) for _ in range(rng.randint(1, 60))}
-            parts, used = {}, Counter()
-            for size, first, n, seq, offset in packing.match(counts, cap).tolist():
-                assert first == used[size]
-                used[size] += n
-                for s in range(seq, seq + n):
-                    parts.setdefault(s, []).append((offset, size))
-            fill = {}
-            for s, x in parts.items():
-                for offset, size in sorted(x):
-                    assert fill.get(s, 0) == offset
-                    fill[s] = offset + size
-            assert used == Counter(counts) and max(fill.values()) <= cap
-            assert len(fill) <= 1.05 * best_fit_decreasing(counts, cap) + 3
+def filled(out, cap):
+    """Sequence -> tokens of rows with sequence_id, offset and length; every sequence is gapless and holds ``cap`` at most."""
+    fill = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert fill.get(r.sequence_id, 0) == r.offset
+        fill[r.sequence_id] = r.offset + r.length
+    assert not fill or max(fill.values()) <= cap
+    return fill
+
+
+@pytest.mark.parametrize(("low", "high", "cap"), [(300, 519, 1024), (1, 64, 64), (40, 400, 1024), (7, 7, 30)])
+def test_sequences_are_nearly_those_of_best_fit_decreasing(spark, low, high, cap):
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(6000)]
+    df = spark.createDataFrame([(None if i % 7 == 0 else i // 2, i % 3, x, "mine") for i, x in enumerate(sizes)], "doc_id long, piece int, length long, seq string").repartition(5)
+    out = packing.pack(df, cap).collect()
+    assert Counter(r.length for r in out) == Counter(sizes) and all(r.seq == "mine" for r in out)
+    assert len(filled(out, cap)) <= 1.01 * best_fit_decreasing(Counter(sizes), cap) + 1
+
+
+def test_one_size_fills_a_third_and_ranges_meet_by_rank(spark):
+    sizes = [600] * 500 + [400] * 700 + [30] * 900 + [1024] * 3 + [1] * 50
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(sizes)], "doc_id long, piece int, length long").repartition(7)
+    found = len(filled(packing.pack(df).collect(), 1024))
+    assert found <= 1.01 * best_fit_decreasing(Counter(sizes), 1024) + 1
+    assert packing.pack(df.limit(0)).count() == 0 and len(filled(packing.pack(df.where("length = 1024")).collect(), 1024)) == 3
+    counts = {0: (0, 5), 1: (2, 3), 2: (4, 0), 4: (9, 1)}
+    met = packing.across(counts)
+    assert met == [(0, 1, 0, 0, 3, 2), (2, 2, 0, 1, 0, 3), (5, 2, 3, 0, 2, 1), (6, 4, 0, 0, 0, 2)]
+
+
+def test_sweep_takes_the_nearest_piece(spark):
+    rng = random.Random(9)
+    pieces, slots = [(i, rng.randint(1, 99)) for i in range(400)], [(i, rng.randint(1, 99), 1) for i in range(300)]
+    events, free, want = sorted([(s, 0, i) for i, s in pieces] + [(s, 1, i) for i, s, _ in slots]), [], {}
+    for size, gap, i in events:
+        if not gap:
+            free.append((size, i))
+        elif free:
+            want[i] = free.pop()[0]
+    got = packing.sweep(spark.createDataFrame(pieces, "id long, size long").repartition(3), spark.createDataFrame(slots, "id long, size long, slot int")).collect()
+    assert sorted(r.id for r in got) == list(range(400)) and {r.seq: r["size"] for r in got if r.seq is not None} == want
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+
+    with open(queries.tokenizer(), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert packing.ranked_bytes(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec))
+    enc = packing.Encoder(str(tmp_path / "lower.json"))
+    assert not enc.known and enc.ids("Hello WORLD") == packing.Encoder(queries.tokenizer()).ids("hello world")
 
 
 def best_fit_decreasing(counts, cap):

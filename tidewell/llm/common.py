@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import ship
@@ -23,9 +23,11 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,16 +39,27 @@ def durable(df: DataFrame) -> DataFrame:
     The tables of an application go when it ends, those given to discard() at once.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
-    path = f"{home}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    fs, place = files(spark, home)
-    fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable = path
     return out
 
 
+def durable_counted(df: DataFrame, *counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """durable(), and named aggregates that are taken while it is written."""
+    seen = Observation()
+    return durable(df.observe(seen, *counts)), seen.get
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A place for a table of this application, which goes with it."""
+    home = f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
+    fs, place = files(spark, home)
+    fs.deleteOnExit(place)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame of durable() that nothing reads any more."""
     fs, place = files(df.sparkSession, df._durable)

@@ -1,12 +1,10 @@
 """Best-fit packing: documents become pieces, pieces fill sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit. Pieces and gaps are ranges of an order by size: equal sizes are one run of that
-order, and a piece's place in its run is its rank, computed by a distributed running count. A round sweeps the
-two sorted run lists together; each gap takes the nearest piece that is no longer than itself (its successor
-seen from the piece), conflicts within a run are resolved by rank, gaps shrink, and the next round begins.
-Rows of a run are interchangeable, so a sweep needs run lengths only: at most ``capacity`` runs, however many
-documents there are. Documents never leave their partitions but for ranking; (run, rank) then looks its
-sequence up in the table of matched ranges.
+Bulk-synchronous best fit. A round range-sorts pieces and gaps together by size and sweeps every range where it
+lies: each gap takes the nearest free piece that is no longer than itself. What a range leaves free meets that of
+others by rank, from one row per range. Gaps shrink, and the next round begins. Rounds take size classes from the
+largest down, so there are some per class, however many documents there are; a gap with room for several pieces of
+a class takes as many in one round.
 """
 
 from __future__ import annotations
@@ -20,10 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_texts, durable, in_arrow, running, shuffle_partitions, spread
+from tidewell.llm.common import as_texts, durable, durable_counted, fresh_path, in_arrow, packed, running
 
 CAPACITY, END_ID = 1024, 2
 #: Fixed value: how byte-level BPE splits text before it merges.
@@ -41,11 +41,11 @@ def letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file of the tokenizers library, as little-endian 32-bit integers.
+    """Token ids of a file of the tokenizers library, as little-endian 32-bit integers.
 
-    The file's vocabulary lists merges by rank, so tiktoken, given its tokens as ranks, makes the same ids some
-    seven times faster. Texts that hold one of the file's added tokens go through the tokenizers library, which
-    alone knows how they are treated.
+    Where the file is plain byte-level BPE whose vocabulary lists merges by rank, tiktoken, given its tokens as
+    ranks, makes the same ids some seven times faster. Other files, and texts that hold one of the file's added
+    tokens, go through the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -58,12 +58,14 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        byte = letters()
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
-        self.plain, self.fast = (tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE_SPACED))
+        self.known = ranked_bytes(spec)
+        if self.known:
+            byte = letters()
+            ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+            self.plain, self.fast = (tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE_SPACED))
 
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
+        if not self.known or any(x in text for x in self.added):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             found = (self.plain if DOUBLE_SPACE.search(text) else self.fast)(text)
@@ -73,6 +75,19 @@ class Encoder:
         return out.tobytes()
 
 
+def ranked_bytes(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE without normalizer whose merges come in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    letter = letters()
+    singles = [i for token, i in vocab.items() if token in letter]
+    return None not in made and all(a < b for a, b in zip(made, made[1:], strict=False)) and len(singles) == 256 and max(singles) < min(made, default=1 << 32)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -114,93 +129,155 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     return in_arrow(docs.select("doc_id", "text"), rows, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def sweep(items: list[list[int]], gaps: list[list[int]]) -> list[tuple[int, int, int]]:
-    """One round over sorted runs [size, count]: (gap size, piece size, how many), each gap used once at most."""
-    matches, open_, i = [], [], 0
-    for size, free in gaps:
-        while i < len(items) and items[i][0] <= size:
-            open_.append(items[i].copy())
-            i += 1
-        while free and open_:
-            n = min(free, open_[-1][1])
-            matches.append((size, open_[-1][0], n))
-            free -= n
-            open_[-1][1] -= n
-            if not open_[-1][1]:
-                open_.pop()
-    return matches
-
-
-def match(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (size, first rank, how many, first sequence, offset) that place every piece of every run.
-
-    ``counts``: pieces by size. Rounds go on until no piece is left; where no piece fits any gap, as many of the
-    largest pieces as the rest's tokens need at least open new sequences.
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(least, most) of size classes, the largest first: sizes of which equally many fill a sequence; halves below an eighth."""
+    out, most = [], capacity
+    while most:
+        least = capacity // (capacity // most + 1) + 1
+        if 8 * most <= capacity:
+            least = min(least, most // 2 + 1)
+        out.append((least, most))
+        most = least - 1
+    return out
+
+
+def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweep one range of rows in order (size, gaps behind pieces): each gap takes the nearest piece before it that is free.
+
+    A taken piece has the gap's sequence and slot. What stays free is numbered: gaps in order, pieces from the least up.
+    """
+    part = TaskContext.get().partitionId()
+    free: list[tuple[int, int]] = []
+    n = 0
+    for batch in batches:
+        out: list[tuple] = []
+        for size, gap, row, slot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not gap:
+                free.append((row, size))
+            elif free:
+                piece, taken = free.pop()
+                out.append((False, -1, piece, taken, row, slot))
+            else:
+                out.append((True, n, row, size, None, slot))
+                n += 1
+        yield swept_rows(part, out)
+    for start in range(0, len(free), 50_000):
+        yield swept_rows(part, [(False, k, row, size, None, None) for k, (row, size) in enumerate(free[start : start + 50_000], start)])
+
+
+SWEPT = "part int, gap boolean, n long, id long, size long, seq long, slot int"
+
+
+def swept_rows(part: int, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.record_batch([pa.array([part] * len(rows), pa.int32()), *map(pa.array, columns, kinds)], names=[x.split(" ")[0] for x in SWEPT.split(", ")])
+
+
+def across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches between ranges, by rank: (first number, gaps' range, first gap, pieces' range, first piece, how many).
+
+    ``counts``: free gaps and pieces by range. In each range free gaps lie before free pieces, so the gaps of a range
+    take the largest pieces that earlier ranges have left.
     """
-    left = {s: n for s, n in sorted(counts.items()) if n}
-    used, gaps, sequences, placed = dict.fromkeys(left, 0), {}, 0, []  # gaps: free tokens to [(first sequence, how many)]
-
-    def take(size: int, n: int) -> int:
-        first = used[size]
-        used[size] += n
-        left[size] -= n
-        if not left[size]:
-            del left[size]
-        return first
-
-    def open_(size: int, n: int) -> None:
-        nonlocal sequences
-        placed.append((size, take(size, n), n, sequences, 0))
-        gaps.setdefault(capacity - size, []).append((sequences, n))
-        sequences += n
-
-    for size in [s for s in left if 2 * s > capacity]:
-        open_(size, left[size])
-    while left:
-        found = sweep([[s, n] for s, n in sorted(left.items())], [[g, sum(n for _, n in r)] for g, r in sorted(gaps.items()) if g])
-        if not found:
-            need = -(-sum(s * n for s, n in left.items()) // capacity)
-            while need and left:
-                size = max(left)
-                n = min(need, left[size])
-                open_(size, n)
-                need -= n
+    out, stack, number = [], [], 0
+    for part in sorted(counts):
+        gaps, pieces = counts[part]
+        done = 0
+        while done < gaps and stack:
+            of, left = stack.pop()
+            n = min(gaps - done, left)
+            out.append((number, part, done, of, left - n, n))
+            number, done = number + n, done + n
+            if left > n:
+                stack.append((of, left - n))
+        if pieces:
+            stack.append((part, pieces))
+    return out
+
+
+def sweep(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """id, size, seq, slot of all pieces (id, size) after one sweep; seq is null where no slot (id, size, slot) took it.
+
+    Pieces and slots are range-sorted together by size; every range is swept where it lies, and what several ranges
+    could match is settled by rank from a row per range.
+    """
+    spark = pieces.sparkSession
+    order = ["size", "gap", "id", "slot"]
+    rows = pieces.select("size", F.lit(False).alias("gap"), "id", F.lit(0).alias("slot")).unionAll(slots.select("size", F.lit(True), "id", "slot"))
+    swept = durable(in_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), matched, SWEPT))
+    loose = swept.where("n >= 0")
+    counts = {r[0]: (r[1], r[2]) for r in loose.groupBy("part").agg(F.count_if("gap"), F.count_if(~F.col("gap"))).collect()}  # a row per range
+    took = swept.where("not gap").select("part", "n", "id", "size", "seq", "slot")
+    if met := across(counts):
+        table = F.broadcast(spark.createDataFrame(met, "first long, gap_part int, gap_n long, piece_part int, piece_n long, many long"))  # two rows per range at most
+        gaps = loose.where("gap").join(table, (F.col("part") == F.col("gap_part")) & (F.col("n") >= F.col("gap_n")) & (F.col("n") < F.col("gap_n") + F.col("many")))
+        gaps = gaps.select((F.col("first") + F.col("n") - F.col("gap_n")).alias("number"), F.col("id").alias("met_seq"), F.col("slot").alias("met_slot"))
+        mine = (F.col("part") == F.col("piece_part")) & (F.col("n") >= F.col("piece_n")) & (F.col("n") < F.col("piece_n") + F.col("many"))
+        took = took.join(table, mine, "left").withColumn("number", F.col("first") + F.col("piece_n") + F.col("many") - 1 - F.col("n")).join(gaps, "number", "left")
+        took = took.withColumns({"seq": F.coalesce("seq", "met_seq"), "slot": F.coalesce("slot", "met_slot")})
+    return took.select("id", "size", "seq", "slot")
+
+
+def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
+    """id, seq, step, slot, size of every piece (id, size). ``sizes``: pieces by size.
+
+    Classes are taken from the largest size down. Pieces of a class are swept into the gaps until no gap takes one;
+    the rest open sequences, as many neighbours of the sorted order in each as fit. Sequences are named by the id of a
+    piece in them. Each round is written, so a lost executor costs no earlier round.
+    """
+    spark = small.sparkSession
+    wanted = sorted(s for s, n in sizes.items() if n)
+    path, step = fresh_path(spark), 0
+    names = ["id", "size", "seq", "slot"]
+    opened = small.where(F.col("size") > capacity // 2).select(*names[:2], F.col("id").alias("seq"), F.lit(0).alias("slot"))
+    gaps = opened.select("seq", (capacity - F.col("size")).alias("free"))
+    slices = small.agg(F.max(F.shiftright("id", 33))).first()[0] or 0
+    for least, most in classes(capacity):
+        held = [s for s in wanted if least <= s <= most and 2 * s <= capacity]
+        if not held:
             continue
-        fresh: dict[int, list[tuple[int, int]]] = {}
-        for gap, size, n in found:
-            while n:
-                first, free = gaps[gap].pop()
-                m = min(n, free)
-                if m < free:
-                    gaps[gap].append((first + m, free - m))
-                placed.append((size, take(size, m), m, first, capacity - gap))
-                fresh.setdefault(gap - size, []).append((first, m))
-                n -= m
-        for gap, ranges in fresh.items():
-            gaps.setdefault(gap, []).extend(ranges)
-    return np.array(sorted(placed), "i8").reshape(-1, 5)
+        low, high = held[0], held[-1]
+        left, some = small.where(F.col("size").between(low, high)), sum(sizes[s] for s in held)
+        while some:
+            fit = gaps.where(F.col("free") >= low).withColumn("k", F.greatest(F.lit(1).cast("long"), F.floor(F.col("free") / high)))
+            slots = fit.select(F.col("seq").alias("id"), F.floor(F.col("free") / F.col("k")).alias("size"), F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("slot"))
+            out, seen = durable_counted(sweep(left, slots), F.count_if(F.col("seq").isNotNull()).alias("took"), F.count("*").alias("all"))
+            if not seen["took"]:
+                break
+            step += 1
+            now = out.where("seq is not null")
+            now.write.parquet(f"{path}/step={step}")
+            gaps = shrunk(gaps, now, wanted[0])
+            left, some = out.where("seq is null").select("id", "size"), seen["all"] - seen["took"]
+        if some:
+            step += 1
+            order = F.struct((high - F.col("size")).alias("s"), (F.shiftright("id", 33) * 8 / (slices + 1)).cast("int").alias("t"))
+            ranked = running(left, [], order, [F.col("size").desc(), F.col("id")], F.lit(1).cast("long"), "rank")
+            group = F.floor((F.col("rank") - 1) / (capacity // high))
+            new = ranked.select("id", "size", F.min("id").over(W.partitionBy(group)).alias("seq"), F.lit(0).alias("slot"))
+            new.write.parquet(f"{path}/step={step}")
+            new = spark.read.schema("id long, size long, seq long, slot int").parquet(f"{path}/step={step}")
+            gaps = durable(gaps.unionAll(new.groupBy("seq").agg((capacity - F.sum("size")).alias("free")).where(F.col("free") >= wanted[0])))
+    first = opened.withColumn("step", F.lit(0))
+    return first.unionByName(spark.read.schema("id long, size long, seq long, slot int, step int").parquet(path)) if step else first
+
+
+def shrunk(gaps: DataFrame, now: DataFrame, least: int) -> DataFrame:
+    """The gaps after what they took; those that no piece fits any more go."""
+    took = now.groupBy(F.col("seq").alias("_seq")).agg(F.sum("size").alias("_took"))
+    free = F.col("free") - F.coalesce("_took", F.lit(0))
+    return durable(gaps.join(took, F.col("seq") == F.col("_seq"), "left").select("seq", free.alias("free")).where(F.col("free") >= least))
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...); any order of rows, ties in any order."""
-    spark = cuts.sparkSession
-    buckets = max(32, 2 * shuffle_partitions(spark))
-    counts = {r[0]: r[1] for r in cuts.groupBy("length").count().collect()}  # a row per size: capacity rows at most
-    plan = match(counts, capacity)
-    sizes, firsts, seqs, offsets = plan[:, 0], plan[:, 1], plan[:, 3], plan[:, 4]
-    keys = (sizes << 44) + firsts
-    ranked = running(cuts, ["length"], spread(F.struct("doc_id", "piece"), buckets), [F.col("doc_id"), F.col("piece")], F.lit(1).cast("long"), "_rank")
-    table = spark.sparkContext.broadcast((keys, firsts, seqs, offsets))  # its size depends on the capacity alone
-    names, kinds = [f.name for f in cuts.schema], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, firsts, seqs, offsets = table.value
-        for batch in batches:
-            size, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy() - 1
-            at = np.searchsorted(keys, (size << 44) + rank, "right") - 1
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(seqs[at] + rank - firsts[at]), pa.array(offsets[at])], names=[*names, "sequence_id", "offset"])
-
-    return in_arrow(ranked.select(*names, "_rank"), rows, f"{kinds}, sequence_id long, offset long")
+    rows = durable(packed(cuts, _id=F.monotonically_increasing_id(), _size=F.col("length").cast("long")))
+    small = rows.select(F.col("_id").alias("id"), F.col("_size").alias("size"))
+    sizes = {r[0]: r[1] for r in small.groupBy("size").count().collect()}  # a row per size: capacity rows at most
+    before = W.partitionBy("seq").orderBy("step", "slot", "id").rowsBetween(W.unboundedPreceding, -1)  # a sequence has capacity rows at most
+    found = placed(small, sizes, capacity).select(F.col("id").alias("_of"), "seq", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("_offset"))
+    return rows.join(found, F.col("_id") == F.col("_of")).select("_row.*", F.col("seq").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
