@@ -22,6 +22,44 @@ def licenses(text):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def license_labels(text, phrases, notices, covered=0.8, drift=6):
+    """(label, first, last) of the phrases and notices that a text holds, word by word."""
+    words = LICENSE_WORD.findall((text or "").translate(UPPER))
+    out, found = [], []
+    for phrase, label in phrases:
+        p = phrase.split()
+        out += [(label, i, i + len(p) - 1) for i in range(len(words)) if words[i : i + len(p)] == p]
+    for family, label, needed, notice in notices:
+        t = LICENSE_WORD.findall(notice.translate(UPPER))
+        k = 2 if len(t) < 16 else 4
+        lines = defaultdict(list)  # diagonal -> places of the template
+        for i in range(len(words) - k + 1):
+            for j in range(len(t) - k + 1):
+                if words[i : i + k] == t[j : j + k]:
+                    lines[i - j].append(j)
+        spans = []  # [first, last, diagonal, template words]
+        for d, js in sorted(lines.items(), key=lambda x: (x[0] + min(x[1]), x[0] + max(x[1]) + k - 1, x[0])):
+            first, last, hit = d + min(js), d + max(js) + k - 1, {j + x for j in js for x in range(k)}
+            if spans and first <= max(s[1] for s in spans) + drift and abs(d - spans[-1][2]) <= drift:
+                a = spans[-1]
+                spans[-1] = [min(a[0], first), max(a[1], last), d, a[3] | hit]
+            else:
+                spans.append([first, last, d, hit])
+        for first, last, _, hit in spans:
+            if len(hit) >= covered * len(t) and all(any(t[j] == w for j in hit) for w in needed.split()):
+                found.append((family, first, last, len(hit), len(hit) / len(t), label))
+    for family in {f[0] for f in found}:
+        groups, end = [], -1
+        for f in sorted((f for f in found if f[0] == family), key=lambda f: f[1:3]):
+            if f[1] > end:
+                groups.append([])
+            groups[-1].append(f)
+            end = max(end, f[2])
+        for g in groups:
+            out += [(f[5], f[1], f[2]) for f in g if f[3:5] == max(x[3:5] for x in g)]
+    return sorted(out)
+
+
 def quality(text):
     text = text or ""
     words = WORD.findall(text)

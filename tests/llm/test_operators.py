@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tidewell.llm import hosts, learned, licenses, media, mixing, near, packing, privacy, queries, resampling, rules, toxicity
+from tidewell.llm import hosts, learned, license_texts, licenses, media, mixing, near, packing, privacy, queries, resampling, rules, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -79,13 +79,42 @@ def test_without_labels(spark):
 
 
 def test_license_spans(spark):
-    text = "Intro words here. " + licenses.NOTICES[7][1].replace("free of charge", "entirely free of any charge") + " more"
+    text = "Intro words here. " + license_texts.MIT.replace("free of charge", "entirely free of any charge") + " more"
     r = licenses.scan(docs(spark, text, "mit license mit license", "nothing at all")).orderBy("doc_id").collect()
     assert r[0].labels == "mit" and r[0].n_base == 0 and r[0].spans[0].first == 3 and 0.8 <= r[0].score < 1
     assert (r[1].n_base, r[1].first_word, r[1].last_word, r[1].labels, r[1].score) == (2, 0, 2, "mit", 1.0)
     assert (r[2].labels, r[2].score, r[2].spans) == ("", 0.0, None)
 
 
+def test_license_kin_and_changed_notices(spark):
+    want = {
+        "licensed under the terms of the GNU Lesser General Public License": "lgpl",
+        "licensed under the terms of the Apache License, Version 2.0": "apache,apache-2.0",
+        "is licensed under the terms of the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "licensed under the GNU General Public License.": "gpl",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "licensed under the GNU General Public License, version 2. Also licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0,gpl,gpl-2.0",
+        "under the terms of the treaty, version 2, he was licensed to go": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, *want)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+    with pytest.raises(ValueError):
+        licenses.scan(docs(spark, "x"), phrases=(("one", "x"),))
+
+
+def test_licenses_as_a_plain_version_finds_them(spark):
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for _, _, _, notice in licenses.NOTICES:
+        for change in (0, 0.03, 0.08, 0.3):
+            w = [x for y in notice.split() for x in ([y] if rng.random() > change else rng.choice(([], ["other"], [y, "and", "more"])))]
+            texts.append(f"Some words {' '.join(w)} and then {rng.choice(licenses.NOTICES)[3]}")
+    got = {r.doc_id: sorted((x.label, x["first"], x["last"]) for x in r.spans or ()) for r in licenses.scan(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute.license_labels(t, licenses.PHRASES, licenses.NOTICES) for t in texts]
+    assert sum(map(len, got.values())) > 200
+
+
 # packing
 
 

@@ -1,135 +1,86 @@
-"""License scans by diagonal voting.
+"""License scans by diagonal voting, in DataFrame functions.
 
-Every document's rolling word k-grams are joined with the places where templates hold them. A hit at word i of a
-document and word j of a template votes for the diagonal i - j. Votes are counted by diagonal, neighbouring
-diagonals (words put in or left out) are merged to spans, and a span is verified by the share of the template's
-words that its hits cover. A gram is the packed numbers of its words in the templates' vocabulary, so equal grams
-are equal words; grams with other words can't be in a template and are left out where they arise.
+The hashes of all rolling word k-grams of every document are joined with the places where templates hold them. A hit
+at word i of a document and word j of a template votes for the diagonal i - j. Votes are counted by diagonal,
+neighbouring diagonals (words put in or left out) are merged to spans, and a span is verified by the share of the
+template's words that its hits cover and by the words that tell the license from its kin. Of spans of one family that
+overlap, the one that covers most words holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_BYTES, as_bytes, durable, in_arrow
+from tidewell.llm.common import durable
+from tidewell.llm.license_texts import NOTICES
+from tidewell.llm.rules import bound
 
 #: Base phrases: each place where the words stand consecutively counts.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Notices as their licenses word them; the method adds their labels.
-NOTICES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-)
-PAIR, GRAM, WORD_BITS = 2, 4, 14
-#: Share of a notice's words that a verified span covers; most words between diagonals of one span.
+#: Words of a gram, for phrases and templates of fewer than SHORT words, and for longer ones.
+PAIR, GRAM, SHORT = 2, 4, 16
+#: Share of a template's words that a verified span covers; most words between diagonals of one span.
 COVERED, DRIFT = 0.8, 6
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words(text: Column) -> Column:
+    """Words of a text with A-Z lower-cased; null has none."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def grams(words: Column) -> Column:
+    """Hashes at each word: element 2 i is that of the pair from word i, 2 i + 1 that of the longer gram; the last is 0, a mark."""
+
+    def hashed(w: Column, i: Column, k: int) -> Column:
+        return F.when(i + k <= F.size(w), F.xxhash64(*(F.get(w, i + x) for x in range(k))))
 
+    def all_of(w: Column) -> Column:
+        at = lambda j: F.when(j == 2 * F.size(w), F.lit(0).cast("long")).when(j % 2 == 0, hashed(w, (j / 2).cast("int"), PAIR)).otherwise(hashed(w, (j / 2).cast("int"), GRAM))
+        return F.transform(F.sequence(F.lit(0), 2 * F.size(w)), at)
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
-
-
-class Templates:
-    """Vocabulary, gram places and lengths of phrases (by pairs) and notices (by longer grams)."""
-
-    def __init__(self, phrases: tuple = PHRASES, notices: tuple = NOTICES):
-        self.rows, self.number = [], {}
-        for base, k, given in ((True, PAIR, [(label, text) for text, label in phrases]), (False, GRAM, notices)):
-            for label, text in given:
-                ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text.encode())], "i8")
-                if len(ids) < k or len(self.number) >> WORD_BITS:
-                    raise ValueError(f"a template needs {k} words at least, all together {1 << WORD_BITS} words at most: {text}")
-                self.rows.append((label, base, k, len(ids), grams(ids, k)))
-
-    def places(self) -> list[tuple[int, int, int]]:
-        return [(int(g), t, j) for t, (*_, found) in enumerate(self.rows) for j, g in enumerate(found)]
-
-
-def grams(ids: np.ndarray, k: int) -> np.ndarray:
-    """Packed numbers of every k words; 0 where one is no template word. Pairs and longer grams never agree."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, "i8")
-    out, known = np.full(n, k, "i8"), np.ones(n, bool)
-    for i in range(k):
-        part = ids[i : i + n]
-        out = (out << WORD_BITS) | part
-        known &= part > 0
-    return np.where(known, out, 0)
-
-
-def hits(docs: DataFrame, templates: Templates) -> DataFrame:
-    """doc_id, text_key, n_words, hits (pos, gram) of every document; only grams of some template are hits."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = docs.schema["doc_id"].dataType
-    key = to_arrow_type(kind)
-    number, known = templates.number, np.array(sorted({g for g, _, _ in templates.places()}), "i8")
-    names = ["doc_id", "text_key", "n_words", "hits"]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            counts, found = [], []
-            for text in texts:
-                w = words(text)
-                counts.append(len(w))
-                ids = np.fromiter((get(x, 0) for x in w), "i8", len(w))
-                at = []
-                if np.count_nonzero(ids) > 1:
-                    for k in (PAIR, GRAM):
-                        g = grams(ids, k)
-                        at += [{"pos": int(i), "gram": int(g[i])} for i in np.flatnonzero(np.isin(g, known))]
-                found.append(at)
-            yield pa.record_batch(
-                [
-                    batch.column(0).cast(key),
-                    pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], "u8").view("i8")),
-                    pa.array(counts, pa.int64()),
-                    pa.array(found, pa.list_(pa.struct([("pos", pa.int64()), ("gram", pa.int64())]))),
-                ],
-                names=names,
-            )
-
-    return in_arrow(docs.select("doc_id", "text"), rows, f"doc_id {kind.simpleString()}, text_key long, n_words long, hits array<struct<pos:long,gram:long>>")
+    return bound(words, all_of)
+
+
+def places(spark: SparkSession, phrases: tuple, notices: tuple) -> DataFrame:
+    """gram, template, j, label, family, base, k, n, needed (words): a row per place of a template, and one for the mark."""
+    rows = [(t, label, "", True, "", text) for t, (text, label) in enumerate(phrases)]
+    rows += [(t, label, family, False, needed, text) for t, (family, label, needed, text) in enumerate(notices, len(rows))]
+    df = spark.createDataFrame(rows, "template int, label string, family string, base boolean, needed string, text string")
+    df = df.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
+    df = df.withColumn("k", F.when(F.col("base") | (F.col("n") < SHORT), PAIR).otherwise(GRAM))
+    needed = F.array_remove(F.split("needed", " "), "")
+    # where each needed word stands in the template
+    found = F.transform(needed, lambda x: F.filter(F.transform("w", lambda w, i: F.when(w == x, i)), lambda i: i.isNotNull()))
+    df = df.select("template", "label", "family", "base", "k", "n", found.alias("needed"), F.posexplode(grams(F.col("w"))).alias("at", "gram"))
+    df = df.where((F.col("gram") != 0) & (F.col("at") % 2 == F.when(F.col("k") == PAIR, 0).otherwise(1)))
+    mark = df.limit(1).select(F.lit(-1).alias("template"), *df.columns[1:-1], F.lit(0).cast("long").alias("gram"))
+    return df.unionAll(mark).withColumn("j", (F.col("at") / 2).cast("int")).drop("at")
 
 
 def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:
     """Licenses of every document (doc_id, text).
 
-    Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first, last,
-    score; words from 0). n_base counts all places of phrases; first_word and last_word are their smallest and
+    ``phrases``: (text of two words or more, label); ``notices``: (family, label, needed words, text), see
+    license_texts. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (first,
+    last, label, score; words from 0). n_base counts all places of phrases; first_word and last_word are their smallest and
     largest start. Labels are distinct, sorted and comma-joined. The score is that of the best span, 1 for a
     phrase. Null and empty texts have no words and no spans; repeated rows are scanned alike; a null doc_id stays
     null; no documents give no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    templates = Templates(phrases, notices)
-    rows = durable(hits(docs, templates)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")))
-    places = spark.createDataFrame([(g, t, j, label, base, k, n) for t, (label, base, k, n, found) in enumerate(templates.rows) for j, g in enumerate(found.tolist())], "gram long, template int, j int, label string, base boolean, k int, n int")
-    votes = rows.where(F.size("hits") > 0).select("_id", "text_key", F.explode("hits").alias("h")).select("_id", "text_key", "h.pos", "h.gram")
-    votes = votes.join(F.broadcast(places), "gram")  # as many rows as the given templates have words
-    doc = ["_id", "text_key", "template", "label", "base", "k", "n"]
+    short = [x for x in (*(p[0] for p in phrases), *(n[3] for n in notices)) if len(x.split()) < PAIR]
+    if short:
+        raise ValueError(f"a template needs {PAIR} words at least: {short[0]}")
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), key, F.posexplode(grams(words(F.col("text")))).alias("at", "gram"))
+    known = places(docs.sparkSession, phrases, notices)
+    met = own.join(F.broadcast(known), "gram").withColumn("pos", (F.col("at") / 2).cast("long"))  # as many rows as the given templates have words
+    met = durable(met.drop("gram", "at"))  # the mark brings one row for each document
+    rows = met.where("template < 0").select("doc_id", "_id", "text_key", F.col("pos").alias("n_words"))
+    votes = met.where("template >= 0")
+    doc = ["_id", "text_key", "template", "label", "family", "base", "k", "n", "needed"]
     lines = votes.groupBy(*doc, (F.col("pos") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("k") - 1).alias("last"))
     # phrases: a diagonal with every pair; notices: neighbouring diagonals, near each other in the text, are one span
     order = W.partitionBy("_id", "text_key", "template").orderBy("first", "last", "diagonal")
@@ -137,11 +88,13 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     apart = F.col("base") | so_far.isNull() | (F.col("first") > so_far + DRIFT) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT)
     merged = lines.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = merged.groupBy(*doc, "span").agg(F.flatten(F.collect_list("js")).alias("js"), F.min("first").alias("first"), F.max("last").alias("last"))
-    hit_words = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("k") - 1)))))
-    spans = spans.withColumn("score", hit_words / F.col("n")).where(F.when(F.col("base"), F.col("score") == 1).otherwise(F.col("score") >= COVERED))
+    spans = spans.withColumn("hit", F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("k") - 1)))))
+    spans = spans.withColumn("covered", F.size("hit")).withColumn("score", F.col("covered") / F.col("n"))
+    told = F.forall("needed", lambda at: F.arrays_overlap(at, F.col("hit")))
+    spans = spans.where(F.when(F.col("base"), F.col("score") == 1).otherwise((F.col("score") >= COVERED) & told)).drop("js", "hit", "needed", "span")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     start = F.when(F.col("base"), F.col("first"))
-    found = spans.groupBy("_id", "text_key").agg(
+    found = best(spans).groupBy("_id", "text_key").agg(
         F.count_if("base").alias("n_base"),
         F.min(start).alias("first_word"),
         F.max(start).alias("last_word"),
@@ -153,3 +106,13 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     out = rows.join(found, ["_id", "text_key"], "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+def best(spans: DataFrame) -> DataFrame:
+    """All phrases; of notices of one family that overlap those that cover most words, by score where they tie."""
+    order = W.partitionBy("_id", "text_key", "base", "family").orderBy("first", "last", "template")
+    so_far = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    new = (F.col("base") | so_far.isNull() | (F.col("first") > so_far)).cast("int")
+    groups = spans.withColumn("new", new).withColumn("group", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    most = F.max(F.struct("covered", "score")).over(W.partitionBy("_id", "text_key", "base", "family", "group"))
+    return groups.withColumn("most", most).where(F.col("base") | (F.struct("covered", "score") == F.col("most")))
