@@ -350,13 +350,31 @@ def test_sample_is_bounded(spark):
 def test_reputation(spark):
     rows = [("a.bad.org", 40, 40), ("b.bad.org", 30, 29), ("c.bad.org", 0, 0), ("x.good.org", 50, 1), ("y.good.org", 1, 1), ("z.net", 20, 0)]
     got = {r.host: r for r in hosts.reputations(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
-    assert got["a.bad.org"].low > 0.5 and got["y.good.org"].low < 0.5 and got["z.net"].low < got["x.good.org"].low + 0.1
-    assert got["c.bad.org"].low > got["z.net"].low  # an unseen host has its domain's name
+    mean = {h: r.alpha / (r.alpha + r.beta) for h, r in got.items()}
+    assert got["a.bad.org"].chance < 0.05 < got["y.good.org"].chance and mean["z.net"] < mean["x.good.org"] + 0.1
+    assert mean["c.bad.org"] > 0.5 > mean["z.net"]  # an unseen host has its domain's name
+
+
+def test_sites_and_registered_domains(spark):
+    want = {
+        "bad.co.uk": ("bad.co.uk", "bad.co.uk", "co.uk"), "www.good.co.uk:8080": ("www.good.co.uk", "good.co.uk", "co.uk"), "a:b@x.y.org.": ("x.y.org", "y.org", "org"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+        "1.2.3.4:80": ("1.2.3.4", "1.2.3.4", "#"), "9.9.3.4": ("9.9.3.4", "9.9.3.4", "#"), "[::1]:8080": ("[::1]", "[::1]", "#"), "localhost": ("localhost", "localhost", "localhost"), "": ("", "", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string").withColumn("site", hosts.site(F.col("host")))
+    assert {r.host: (r.site, r.d, r.s) for r in df.select("*", hosts.parents(F.col("site"))[0].alias("d"), hosts.parents(F.col("site"))[1].alias("s")).collect()} == want
+    # neighbours below a public suffix and addresses have no reputation in common
+    urls = [f"http://{h}/{i}" for h in ("bad.co.uk", "1.2.3.4:80") for i in range(40)] + [f"http://s{i}.org.uk/x" for i in range(60)] + ["http://good.co.uk/x", "http://9.9.3.4/x", "http://u:p@bad.co.uk:81/new"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = spark.createDataFrame([(i, int(i < 80)) for i in range(140)], "page_id long, bad int")
+    got = {urls[r.page_id]: r.verdict for r in hosts.judge(pages, out).collect()}
+    assert got["http://bad.co.uk/0"] == got["http://u:p@bad.co.uk:81/new"] == got["http://1.2.3.4:80/0"] == "block" and got["http://good.co.uk/x"] == got["http://s1.org.uk/x"] == "allow"
+    listed = hosts.judge(pages, out, suffixes=("uk",)).where("page_id = 140").first()
+    assert listed.verdict == "block"  # a list without co.uk makes it one domain
 
 
 def test_pages_without_much(spark):
     out = spark.createDataFrame([(1, True)], "page_id long, bad boolean").selectExpr("page_id", "cast(bad as int) as bad")
-    pages = spark.createDataFrame([(1, "http://a.b/x", "h"), (1, "http://a.b/x", "h"), (None, None, None), (2, "http:///p", None)], "page_id long, url string, low string")
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h"), (1, "http://a.b/x", "h"), (None, None, None), (2, "http:///p", None)], "page_id long, url string, chance string")
     assert hosts.judge(pages.limit(0), out).count() == 0
     rows = hosts.judge(pages, out).collect()
     assert sorted((r.page_id or 0, r.host, r.path) for r in rows) == [(0, "", ""), (1, "a.b", "/x"), (1, "a.b", "/x"), (2, "", "/p")]
@@ -368,6 +386,8 @@ def test_outcomes_are_those_of_carried_documents(spark, tmp_path):
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
     marks = labels(spark, *((i, 1, 0) for i in range(7)), (100, 0, 0), (101, 0, 0), (102, 0, 0), (103, 1, 0), (104, 0, 0))
     assert sorted(map(tuple, hosts.outcomes(pages, marks).collect())) == [(0, 1), (1, 1), (2, 1), (3, 0)]
+    ruled = spark.createDataFrame([(1, "http://a.net/fr/100"), (2, "http://a.net/en/100"), (3, "http://a.com/en/100"), (3, "http://a.com/en/100")], "page_id long, url string")
+    assert sorted(map(tuple, hosts.outcomes(ruled, marks).collect())) == [(1, 1), (2, 1), (3, 0)]
     many = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.org/en/{1000 + i}", "") for i in range(400)], pages.schema)
     many.write.parquet(str(tmp_path / "pages.parquet"))
     labels(spark, *((1000 + i, 1 - i % 2, 0) for i in range(400)), *((i, 1, 0) for i in range(400))).write.parquet(str(tmp_path / "labels.parquet"))
@@ -383,7 +403,7 @@ def test_small_hosts_are_blocked_by_the_posterior_itself(spark):
     df = spark.createDataFrame([(i, f"http://{h}/x") for i, (h, _) in enumerate(pages)], "page_id long, url string")
     out = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pages)], "page_id long, bad int")
     got = {r.host: r for r in hosts.judge(df, out).collect()}
-    assert got["h7.ex.org"].verdict == "block" and got["h7.ex.org"].low < 0.5
+    assert got["h7.ex.org"].verdict == "block" and got["h7.ex.org"].chance < 0.05
     assert got["h0.ex.org"].verdict == "allow" and got["h5.ex.org"].verdict == "allow"
 
 

@@ -12,6 +12,14 @@ from tidewell.llm.rules import bound
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: A host is blocked where its share of bad pages is above WORST, but for a chance of DOUBT at most.
 WORST, DOUBT = 0.5, 0.05
+#: Public suffixes of more than one label. Others are the last label; give judge() a full list where it matters.
+SUFFIXES = tuple(
+    "co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz net.nz govt.nz co.jp or.jp ne.jp ac.jp go.jp co.kr or.kr go.kr "
+    "com.br net.br org.br gov.br com.cn net.cn org.cn gov.cn edu.cn com.tw org.tw co.in net.in org.in gov.in com.mx org.mx com.ar com.tr co.za org.za "
+    "com.sg com.hk org.hk co.il org.il com.ua github.io".split()
+)
+#: What stands for the suffix of IP addresses.
+ADDRESS = "#"
 #: Bounds of the correlation of pages below one parent, whose inverse is a prior's strength.
 LOOSE, TIGHT = 0.9, 0.0001
 
@@ -25,15 +33,34 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, bad of the pages (page_id, url) whose paths name a labelled document: /lang/doc_id, then a dot, a slash or no more.
+def site(host: Column) -> Column:
+    """A host without user part, port and a dot at its end."""
+    h = F.regexp_replace(host, r"^.*@", "")
+    return F.regexp_replace(F.when(F.startswith(h, F.lit("[")), F.regexp_extract(h, r"^\[[^\]]*\]?", 0)).otherwise(F.regexp_replace(h, r":[0-9]*$", "")), r"\.$", "")
 
-    ``labels``: doc_id, quality (1 good).
+
+def parents(site: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a site. Addresses are domains of their own below ADDRESS."""
+    address = F.rlike(site, F.lit(r"^(?:[0-9]+(?:\.[0-9]+){3}$|\[)"))
+    suffix, domain = F.substring_index(site, ".", -1), F.substring_index(site, ".", -2)
+    for n in sorted({x.count(".") + 1 for x in suffixes} - {1}):
+        known = F.substring_index(site, ".", -n).isin([x for x in suffixes if x.count(".") + 1 == n])
+        suffix, domain = F.when(known, F.substring_index(site, ".", -n)).otherwise(suffix), F.when(known, F.substring_index(site, ".", -n - 1)).otherwise(domain)
+    return F.when(address, site).otherwise(domain), F.when(address, ADDRESS).otherwise(suffix)
+
+
+def outcomes(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, bad of the pages (page_id, url) whose outcome is known.
+
+    A page that a rule decides has the rule's outcome. Others have that of the document they carry, which their paths
+    name: /lang/doc_id, then a dot, a slash or no more. ``labels``: doc_id, quality (1 good).
     """
-    _, path = parts(F.col("url"))
+    host, path = parts(F.col("url"))
     named = F.regexp_extract(path, r"^/[^/]*/([0-9]{1,18})(?:[./]|$)", 1)
-    carried = pages.select("page_id", F.when(named != "", named).cast("long").alias("_doc")).distinct()
-    return carried.join(labels.select("doc_id", "quality"), F.col("_doc") == F.col("doc_id")).select("page_id", (1 - F.col("quality")).alias("bad"))
+    rows = pages.select("page_id", F.when(named != "", named).cast("long").alias("_named"), ruled(host, path, rules)["verdict"].alias("_verdict")).distinct()
+    told = rows.where("_verdict is not null").select("page_id", (F.col("_verdict") == "block").cast("int").alias("bad"))
+    carried = rows.where("_verdict is null").join(labels.select("doc_id", "quality"), F.col("_named") == F.col("doc_id")).select("page_id", (1 - F.col("quality")).cast("int").alias("bad"))
+    return told.unionAll(carried)
 
 
 def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -88,49 +115,49 @@ def tail(x: Column, a: Column, b: Column) -> Column:
     return F.when(near, value).otherwise(1 - value)
 
 
-def reputations(hosts: DataFrame, worst: float = WORST) -> DataFrame:
-    """host, n, bad -> host, alpha, beta, low, chance: the beta posterior of each host's share of bad pages, its lower
-    bound, and the posterior's own chance of a share of ``worst`` or less.
+def reputations(sites: DataFrame, worst: float = WORST, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """host, n, bad -> host, n, bad, alpha, beta, chance: the beta posterior of each host's share of bad pages, and its
+    chance of a share of ``worst`` or less.
 
-    Shares are shrunk from level to level: a suffix towards all pages, a registered domain towards its suffix, a
-    host towards its domain, each with a prior whose strength is estimated from the spread at that level. ``low`` is the posterior's mean less a multiple of its deviation (Cantelli's inequality, which holds for any
-    distribution).
+    Shares are shrunk from level to level: a public suffix towards all pages, a registered domain towards its suffix, a
+    host towards its domain, each with a prior whose strength is estimated from the spread at that level. A public suffix
+    is shared by strangers: hosts of domains without any outcome have no reputation, and their chance is null.
     """
-    hosts = durable(hosts.withColumn("domain", F.regexp_extract("host", r"[^.]*(?:\.[^.]*)?$", 0)).withColumn("suffix", F.substring_index("host", ".", -1)))
+    domain, suffix = parents(F.col("host"), suffixes)
+    sites = durable(sites.withColumn("domain", domain).withColumn("suffix", suffix))
     totals = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = durable(totals(hosts, "domain", "suffix"))
-    suffixes = durable(totals(domains, "suffix"))
-    n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    domains = durable(totals(sites, "domain", "suffix"))
+    suffixed = durable(totals(domains, "suffix"))
+    n, bad = suffixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     up = F.lit((bad + 0.5) / (n + 1))
 
-    def shrunk(rows: DataFrame, parent: str, k: float) -> DataFrame:
-        return rows.withColumn("mean", (F.col("bad") + k * F.col(parent)) / (F.col("n") + k))
+    def shrunk(rows: DataFrame, key: str, k: float) -> DataFrame:
+        return durable(rows.select(F.col(key).alias("_key"), F.col("n").alias("_n"), ((F.col("bad") + k * F.col("up")) / (F.col("n") + k)).alias("up")))
 
-    suffixes = suffixes.withColumn("up", up)
-    suffixes = durable(shrunk(suffixes, "up", strength(suffixes, "up")).select(F.col("suffix").alias("_s"), F.col("mean").alias("up")))
-    domains = durable(domains.join(suffixes, F.col("suffix") == F.col("_s")))
-    domains = durable(shrunk(domains, "up", strength(domains, "up")).select(F.col("domain").alias("_d"), F.col("mean").alias("up")))
-    hosts = durable(hosts.join(domains, F.col("domain") == F.col("_d")))
-    k = strength(hosts, "up")
+    suffixed = suffixed.withColumn("up", up)
+    means = shrunk(suffixed, "suffix", strength(suffixed, "up"))
+    domains = durable(domains.join(means, F.col("suffix") == F.col("_key")).drop("_key", "_n"))
+    means = shrunk(domains, "domain", strength(domains, "up"))
+    sites = durable(sites.join(means, F.col("domain") == F.col("_key")))
+    k = strength(sites, "up")
     a, b = F.col("bad") + k * F.col("up"), F.col("n") - F.col("bad") + k * (1 - F.col("up"))
-    mean = a / (a + b)
-    low = mean - (1 / DOUBT - 1) ** 0.5 * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return durable(hosts.select("host", "n", "bad", a.alias("alpha"), b.alias("beta"), low.alias("low"), tail(F.lit(worst), a, b).alias("chance")))
+    return durable(sites.select("host", "n", "bad", a.alias("alpha"), b.alias("beta"), F.when(F.col("_n") > 0, tail(F.lit(worst), a, b)).alias("chance")))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, worst: float = WORST) -> DataFrame:
-    """page_id, host, path, rule, verdict, low for every page (page_id, url).
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, worst: float = WORST, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, chance for every page (page_id, url).
 
-    ``outcomes``: page_id, bad (0 or 1) of labelled pages. Where no rule fits, a page is blocked if its host's
-    share of bad pages lies above ``worst`` but for a chance of ``DOUBT``. Null urls and urls without host have
-    empty parts, no reputation, and are allowed. Repeated rows are judged alike, and each counts; a page with
-    several outcomes counts each. Other columns are ignored. No pages give no rows.
+    ``outcomes``: page_id, bad (0 or 1) of labelled pages. Where no rule fits, a page is blocked if its site's
+    share of bad pages lies above ``worst`` but for a ``chance`` of ``DOUBT``; a site is the host without user part and
+    port. Null urls and urls without host have empty parts, no reputation, and are allowed. Repeated rows are judged
+    alike, and each counts; a page with several outcomes counts each. Null outcomes don't count. Other columns are
+    ignored. No pages give no rows.
     """
     host, path = parts(F.col("url"))
-    rows = durable(pages.select("page_id", host.alias("host"), path.alias("path")))
-    seen = rows.select("page_id", "host").join(outcomes.select(F.col("page_id").alias("_page"), "bad"), F.col("page_id") == F.col("_page"), "left")
-    hosts = seen.where("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    known = reputations(hosts, worst).select(F.col("host").alias("_host"), "low", "chance")
-    out = rows.join(known, F.col("host") == F.col("_host"), "left").withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
+    rows = durable(pages.select("page_id", host.alias("host"), path.alias("path"), site(host).alias("_site")))
+    seen = rows.select("page_id", "_site").join(outcomes.select(F.col("page_id").alias("_page"), "bad"), F.col("page_id") == F.col("_page"), "left")
+    sites = seen.where("_site <> ''").groupBy(F.col("_site").alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    known = reputations(sites, worst, suffixes).select(F.col("host").alias("_known"), "chance")
+    out = rows.join(known, F.col("_site") == F.col("_known"), "left").withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("_r.verdict", F.when(F.col("chance") <= DOUBT, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "low")
+    return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "chance")

@@ -51,9 +51,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the quality labels of the documents that pages carry, which their paths name: /lang/doc_id."""
+    """Outcomes: what the rules say of pages, and the quality labels of the documents that other pages carry."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return hosts.judge(pages, hosts.outcomes(pages, read(spark, sf_dir, "labels"))).drop("low")
+    return hosts.judge(pages, hosts.outcomes(pages, read(spark, sf_dir, "labels"))).drop("chance")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,22 +85,31 @@ def strength_sql(children: str) -> str:
     return f"(SELECT 1 / least({hosts.LOOSE}, greatest({hosts.TIGHT}, coalesce(({spread}) / CASE WHEN {pairs} > 0 THEN {pairs} END, {hosts.TIGHT}))) - 1 FROM {children})"
 
 
+SITE_SQL = "regexp_replace(CASE WHEN starts_with(u, '[') THEN regexp_extract(u, '^\\[[^\\]]*\\]?') ELSE regexp_replace(u, ':[0-9]*$', '') END, '\\.$', '')"
+PUBLIC_SQL = f"regexp_extract(site, '[^.]*\\.[^.]*$') IN ({', '.join(f"'{x}'" for x in hosts.SUFFIXES)})"
+ADDRESS_SQL = "regexp_matches(site, '^(?:[0-9]+(?:\\.[0-9]+){3}$|\\[)')"
+#: P(share <= x) of a beta distribution as a series of positive terms.
+TAIL_SQL = f"""exp(alpha * ln({hosts.WORST}) + beta * ln(1 - {hosts.WORST}) - ln(alpha) - lgamma(alpha) - lgamma(beta) + lgamma(alpha + beta))
+  * list_sum(list_transform(range(0, CAST(3 * (alpha + beta) + 400 AS BIGINT)), lambda i: exp(lgamma(alpha + beta + i) - lgamma(alpha + beta) - lgamma(alpha + 1 + i) + lgamma(alpha + 1) + i * ln({hosts.WORST}))))"""
 OP7_SQL = f"""
 WITH a AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
 c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
-hosts AS (SELECT host, regexp_extract(host, '[^.]*(?:\\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(quality) AS n, coalesce(sum(1 - quality), 0) AS bad
-  FROM c LEFT JOIN labels ON page_id = doc_id WHERE host <> '' GROUP BY 1),
-domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
-s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM hosts) AS up FROM domains GROUP BY 1),
+p AS (SELECT *, {SITE_SQL} AS site, {RULE_SQL} AS r FROM (SELECT *, regexp_replace(host, '^.*@', '') AS u FROM c)),
+o AS (SELECT DISTINCT page_id, r.verdict AS v, regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:[./]|$)', 1) AS named FROM p),
+outcomes AS (SELECT page_id, CAST(v = 'block' AS INTEGER) AS bad FROM o WHERE v IS NOT NULL UNION ALL SELECT page_id, 1 - quality FROM o JOIN labels ON CAST(nullif(named, '') AS BIGINT) = doc_id WHERE v IS NULL),
+sites AS (SELECT site, CASE WHEN {ADDRESS_SQL} THEN site WHEN {PUBLIC_SQL} THEN regexp_extract(site, '(?:[^.]*\\.)?[^.]*\\.[^.]*$') ELSE regexp_extract(site, '[^.]*(?:\\.[^.]*)?$') END AS domain,
+  CASE WHEN {ADDRESS_SQL} THEN '#' WHEN {PUBLIC_SQL} THEN regexp_extract(site, '[^.]*\\.[^.]*$') ELSE regexp_extract(site, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM p LEFT JOIN outcomes USING (page_id) WHERE site <> '' GROUP BY 1),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM sites GROUP BY 1, 2),
+s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM sites) AS up FROM domains GROUP BY 1),
 s2 AS (SELECT suffix, (bad + k * up) / (n + k) AS mean FROM (SELECT *, {strength_sql("s1")} AS k FROM s1)),
 d1 AS (SELECT domains.*, mean AS up FROM domains JOIN s2 USING (suffix)),
-d2 AS (SELECT domain, (bad + k * up) / (n + k) AS mean FROM (SELECT *, {strength_sql("d1")} AS k FROM d1)),
-h1 AS (SELECT hosts.*, mean AS up FROM hosts JOIN d2 USING (domain)),
-h2 AS (SELECT host, bad + k * up AS alpha, n - bad + k * (1 - up) AS beta FROM (SELECT *, {strength_sql("h1")} AS k FROM h1)),
-h3 AS (SELECT host AS known, alpha / (alpha + beta) - sqrt({1 / hosts.DOUBT - 1!r}) * sqrt(alpha / (alpha + beta) * (1 - alpha / (alpha + beta)) / (alpha + beta + 1)) AS low FROM h2),
-r AS (SELECT page_id, host, path, low, {RULE_SQL} AS r FROM c LEFT JOIN h3 ON host = known)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN low > {hosts.WORST} THEN 'block' ELSE 'allow' END) AS verdict FROM r
+d2 AS (SELECT domain, n AS seen, (bad + k * up) / (n + k) AS mean FROM (SELECT *, {strength_sql("d1")} AS k FROM d1)),
+h1 AS (SELECT sites.*, seen, mean AS up FROM sites JOIN d2 USING (domain)),
+h2 AS (SELECT site, seen, bad + k * up AS alpha, n - bad + k * (1 - up) AS beta FROM (SELECT *, {strength_sql("h1")} AS k FROM h1)),
+h3 AS (SELECT site AS known, CASE WHEN seen > 0 THEN {TAIL_SQL} END AS chance FROM h2)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN chance <= {hosts.DOUBT} THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN h3 ON site = known
 """
 
 OP4_SQL = """
