@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -136,6 +137,50 @@ def personal(text):
     return kinds["email"], kinds["ip"], kinds["card"], kinds["phone"], hashlib.sha256(spans.encode()).hexdigest(), spans
 
 
+def disclosed(texts, threshold=0.8, remove=0.95, doubt=0.05, beginnings=(5, 3, 2, 1)):
+    """For each text (start, end, kind, said) of the words that disclose its entities, by plain counts over all texts."""
+    word = re.compile(r"[^\W_]+")
+    spans = [[(int(a), int(b), k) for x in filter(None, personal(t)[5].split(",")) for k, a, b in [x.split(":")]] for t in texts]
+
+    def name(t, a, b, k):
+        found = t[a:b]
+        return k, found.lower() if k == "email" else ".".join(str(int(x)) for x in found.split(".")) if k == "ip" else re.sub(r"[^0-9]", "", found)
+
+    held = [{name(t, *s) for s in x} for t, x in zip(texts, spans)]
+    words = [[(m[0].lower(), m.start(), m.end()) for m in word.finditer(t) if all(m.end() <= a or m.start() >= b for a, b, _ in x)] for t, x in zip(texts, spans)]
+    n, n_texts, n_t = len(texts), len(set(texts)), Counter()
+    for t in texts:
+        seen = {x.lower() for x in word.findall(t)}
+        n_t.update(seen | {(x[:k],) for x in seen for k in beginnings if len(x) > k})
+    told = {}
+    for e in set().union(*held):
+        mine = [i for i in range(n) if e in held[i]]
+        n_e, texts_e = len(mine), len({texts[i] for i in mine})
+        met = {w for i in mine for w, _, _ in words[i]}
+        for w in met:
+            with_w = [i for i in mine if any(w == x for x, _, _ in words[i])]
+            n_et, texts_et = len(with_w), len({texts[i] for i in with_w})
+            if n_e == n:
+                continue
+            ratio = math.log((n_et / n) / (n_e / n * max(n_t[w], n_et) / n)) / -math.log(n_e / n)
+            p = min(1, (max(n_t[w] - n_et, 0) + texts_et) / n_texts)
+            if texts_et <= texts_e * p:
+                continue
+            chance = sum(math.comb(texts_e, i) * p**i * (1 - p) ** (texts_e - i) for i in range(texts_et, texts_e + 1))
+            if ratio >= threshold and chance * len(met) <= doubt:
+                fits = [w[:k] + "…" for k in beginnings if len(w) > k and math.log(n / n_t[(w[:k],)]) / math.log(n / n_e) < threshold]
+                told[e, w] = ("name", None) if ratio >= remove else ("term", max(fits, key=len, default=None))
+    out = []
+    for i in range(n):
+        kinds = {}
+        for e in held[i]:
+            for w, _, _ in words[i]:
+                if (e, w) in told:
+                    kinds[w] = min(kinds.get(w, ("x", "")), told[e, w], key=lambda x: (x[0], len(x[1] or "")))
+        out.append([(a, b, *kinds[w]) for w, a, b in words[i] if w in kinds])
+    return out
+
+
 def media(text):
     data = (text or "").encode()
     padded = data + b"\xff" * (-len(data) % 576 if data else 576)
