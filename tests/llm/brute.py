@@ -197,3 +197,82 @@ def host_rule(url):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
+
+
+def resampled(rows, marks, buckets=10_000, seed=0):
+    """doc_id -> (log weight, score, kept) of (doc_id, text) rows, given marks doc_id -> 0 or 1."""
+    token = re.compile(r"[a-z0-9\x80-\U0010ffff]+|[^\sa-z0-9\x80-\U0010ffff]+", re.ASCII)
+
+    def found(text):
+        h = [zlib.crc32(x.encode()) for x in token.findall((text or "").translate(UPPER))]
+        pairs = [((a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F) % 2**64) >> 16 for a, b in zip(h, h[1:])]
+        return [x % buckets for x in h + pairs]
+
+    features = {d: found(t) for d, t in rows}
+    raw, good = Counter(), Counter()
+    for d, f in features.items():
+        raw.update(f)
+        if marks.get(d):
+            good.update(f)
+    p = {b: math.log((good[b] + 1) / (sum(good.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets)) for b in raw}
+    out = {}
+    for d, f in features.items():
+        w = sum(p[b] for b in f)
+        u = (xxhash.xxh64_intdigest(str(d), seed) + 0.5) / 2**64
+        out[d] = w, w - math.log(-math.log(u))
+    k = math.floor(sum(marks.values()) / len(marks) * len(rows) + 0.5)
+    cut = sorted((s for _, s in out.values()), reverse=True)[k - 1]
+    return {d: (w, s, s >= cut) for d, (w, s) in out.items()}
+
+
+def toxicity(rows, marks, buckets=1 << 18, stem=5, prior=2.0, sigmas=2.0, cost=1.0, lowest=-1.0, highest=6.0, tail=20, steepest=4.0):
+    """doc_id -> probability of (doc_id, text) rows; the model is fitted on marks doc_id -> 0 or 1."""
+    words = {d: LICENSE_WORD.findall((t or "").translate(UPPER)) for d, t in rows}
+    tokens = lambda w: [zlib.crc32(x) % buckets for x in ([b"=" + w.encode(), b"^" + w.encode()[:stem]] if len(w.encode()) >= stem else [b"=" + w.encode()])]
+    n, seen = Counter(marks.values()), (Counter(), Counter())
+    for d, y in marks.items():
+        seen[y].update({b for w in set(words[d]) for b in tokens(w)})
+
+    def odds(b):
+        a = prior * (seen[0][b] + seen[1][b] + 0.01) / (n[0] + n[1])
+        y0, y1 = seen[0][b] + a, seen[1][b] + a
+        z = math.log(y1 / max(n[1] + prior - y1, 0.5)) - math.log(y0 / max(n[0] + prior - y0, 0.5)) - sigmas * math.sqrt(1 / y0 + 1 / y1)
+        rare = math.log((y1 + 0.5) / (n[1] + 1)) - math.log((y0 + 0.5) / (n[0] + 1)) - sigmas / math.sqrt(y1 + 0.5)
+        return max(z, rare) if seen[1][b] >= 5 else min(z, 0.0)
+
+    score = {w: min(highest, max(lowest, max(map(odds, tokens(w))))) - cost for w in {w for x in words.values() for w in x}}
+    scores = {d: [score[w] for w in x] for d, x in words.items()}
+
+    def segments(s):  # the best one, then what lies before and behind it
+        if not any(x > 0 for x in s):
+            return []
+        best, low, at, total = (0, 0, 0), 0.0, 0, 0.0
+        for i, x in enumerate(s):
+            total += x
+            if total - low > best[0]:
+                best = (total - low, at, i)
+            if total < low:
+                low, at = total, i + 1
+        return [*segments(s[: best[1]]), best[0], *segments(s[best[2] + 1 :])]
+
+    harmless = [scores[d] for d, y in marks.items() if not y]
+    single = Counter(math.ceil(x * 20) / 20 for s in harmless for x in s)
+    total = sum(single.values())
+    single[highest] += 1
+    low, high = 1e-3, steepest
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(c / (total + (total > 0)) * math.exp(mid * v) for v, c in single.items()) < 1 else (low, mid)
+    tops = sorted((math.ceil(x * 20) / 20 for s in harmless for x in segments(s)), reverse=True)
+    at = tops[min(tail, len(tops)) - 1] if tops else 0.0
+    factor = max(sum(x >= at for x in tops), 1) * math.exp(low * at) / total
+    share, out = n[1] / len(marks), {}
+    for d, s in scores.items():
+        p = 1.0
+        for r, x in enumerate(sorted(segments(s), reverse=True), 1):
+            mean = factor * len(s) * math.exp(-low * x)
+            if mean < r:
+                p = min(p, r * (r + 1) * math.fsum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(r, r + 200)))
+        bayes = -math.e * p * math.log(p) if 0 < p < 1 / math.e else float(p > 0)
+        out[d] = share / (share + (1 - share) * bayes)
+    return out

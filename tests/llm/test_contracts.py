@@ -103,8 +103,17 @@ def test_mixing(spark, table):
 
 def test_resampling(spark, table):
     found = by_id(rows(spark, table, "op5_quality_classifier"), table)
-    kept = [r.score for r in found.values() if r.kept]
-    assert min(kept) > max(r.score for r in found.values() if not r.kept)
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    want = brute.resampled([(d, r.text) for d, r in table[1].items()], marks)
+    for d, r in found.items():
+        assert (r.log_weight, r.score) == (pytest.approx(want[d][0], rel=1e-9, abs=1e-6), pytest.approx(want[d][1], rel=1e-9, abs=1e-6)) and r.kept == want[d][2], d
+
+
+def test_toxicity_as_a_plain_model_scores(spark, table):
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    want = brute.toxicity([(d, r.text) for d, r in table[1].items()], marks)
+    for d, r in by_id(rows(spark, table, "op6_toxicity"), table).items():
+        assert r.score == pytest.approx(want[d], rel=1e-6, abs=1e-9), d
 
 
 def test_toxicity(spark, table):

@@ -333,6 +333,14 @@ def test_toxic_passages(spark):
     assert all(any(p.first <= 40 <= p.last + 3 for p in r.passages) for r in out if r.doc_id % 6 == 0)
 
 
+def test_other_types_of_ids(spark):
+    rows = [(f"d{i}", ("vile wretch " if i % 3 == 0 else "good words ") * 30) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{i}", int(i % 3 > 0), int(i % 3 == 0)) for i in range(60)], "doc_id string, quality int, toxic int")
+    assert all((r.score >= 0.5) == (int(r.doc_id[1:]) % 3 == 0) for r in toxicity.toxic(d, marks).collect())
+    assert resampling.resample(d, marks).where("kept").count() == 40
+
+
 def test_all_segments_count():
     model = toxicity.Model(np.zeros(1), 0.1, rate=1.0, factor=0.01)
     height = -math.log(10 / (0.01 * 10_000))  # chance gives ten such segments
@@ -426,6 +434,45 @@ def test_foreign_container():
     assert media.tracks(b"junk") == [] and media.tracks(data[:60]) is not None
 
 
+def test_deeply_nested_boxes_end():
+    data = b""
+    for _ in range(3000):
+        data = media.box(b"moov", data)
+    assert media.tracks(data) == [] and len(list(media.walk(memoryview(data), 0, len(data)))) == media.DEPTH + 1
+
+
+def fragmented():
+    """One track of 1000 ticks a second: two samples in the sample tables (4-bit sizes), then three and two in fragments."""
+    b, f = media.box, media.full
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    table = b(b"stbl", f(b"stsd", u(2), b(b"avc1", bytes(70)), b(b"hvc1", bytes(9))), f(b"stts", u(1, 2, 10)), f(b"stsc", u(1, 1, 2, 1)), f(b"stz2", b"\0\0\0\x04", u(2), b"\x5a"), f(b"stco", u(1, 50)))
+    trak = b(b"trak", f(b"tkhd", u(0, 0, 7, 0, 0), bytes(60)), b(b"mdia", f(b"mdhd", u(0, 0, 1000, 20, 0)), b(b"minf", table)))
+    head = b(b"moov", trak, b(b"mvex", f(b"trex", u(7, 1, 10, 6, 0x10000))))
+    run = f(b"trun", u(3), (200).to_bytes(4, "big"), u(0), u(4, 5, 6), flags=0x205)  # offset, flags of the first, sizes
+    one = b(b"moof", f(b"mfhd", u(1)), b(b"traf", f(b"tfhd", u(7), flags=0x20000), f(b"tfdt", u(100)), run))
+    two = b(b"moof", b(b"traf", f(b"tfhd", u(7, 25), flags=0x20008), f(b"trun", u(2))), b(b"traf", f(b"tfhd", u(9)), f(b"trun", u(1))))
+    return head, one, two
+
+
+def test_fragments():
+    head, one, two = fragmented()
+    t, = media.tracks(head + one + two)
+    first, second = len(head), len(head) + len(one)
+    assert t.codec == "avc1+hvc1" and t.samples[:2] == [(50, 55), (55, 65)]
+    assert t.samples[2:5] == [(first + 200, first + 204), (first + 204, first + 209), (first + 209, first + 215)]
+    assert t.samples[5:] == [(second, second + 6), (second + 6, second + 12)] and t.times == [0, 10, 100, 110, 120, 130, 155]
+    assert t.keyframes == [0, 1, 2] and t.seconds == 0.18
+
+
+def test_describe_files(spark):
+    head, one, two = fragmented()
+    df = spark.createDataFrame([(1, bytearray(head + one)), (2, None), (3, bytearray(b"junk")), (1, bytearray(head + one))], "id int, content binary").withColumn("codec", F.lit("mine"))
+    got = [(r.id, r.codec, r.tracks) for r in media.describe(df).orderBy("id").collect()]
+    assert [len(x[2]) if x[2] is not None else None for x in got] == [1, 1, None, 0] and got[0] == got[1]
+    t = got[0][2][0]
+    assert (t.codec, t.samples, t.keyframes, tuple(t.ranges[0])) == ("avc1+hvc1", 5, 3, (50, 65)) and media.describe(df.limit(0)).count() == 0
+
+
 def test_stored_bytes(spark):
     for r in media.media(docs(spark, "", "é" * 400), with_media=True).collect():
         t = media.tracks(bytes(r.media))[0]

@@ -75,7 +75,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     ids = sample(labels, "quality", most)
     good = {i: y for i, y in ids.items() if y}
     raw = counts(docs, buckets)
-    target = counts(only(docs, good), buckets) if good else raw
+    target = counts(only(docs, good, labels.schema["doc_id"].dataType), buckets) if good else raw
     if share is None:
         share = len(good) / len(ids) if ids else 1.0
     p, q = target + SMOOTH, raw + SMOOTH

@@ -138,7 +138,7 @@ def counted(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model of ``labels`` (doc_id, toxic), on ``most`` labelled documents at most."""
     ids = sample(labels, "toxic", most)
-    train = only(docs, ids)
+    train = only(docs, ids, labels.schema["doc_id"].dataType)
     n1, n0 = sum(ids.values()), len(ids) - sum(ids.values())
     if not n0 or not n1:
         return Model(np.full(BUCKETS, LOWEST), float(bool(n1)))
