@@ -9,6 +9,7 @@ a class takes as many in one round.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import zlib
@@ -141,41 +142,39 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+SWEPT = "part int, n long, id long, size long, seq long, room long"
+
+
 def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sweep one range of rows in order (size, gaps behind pieces): each gap takes the nearest piece before it that is free.
 
-    A taken piece has the gap's sequence and slot. What stays free is numbered: gaps in order, pieces from the least up.
+    A taken piece and its gap are one row. What stays free is numbered: gaps in order, pieces from the least up.
     """
     part = TaskContext.get().partitionId()
     free: list[tuple[int, int]] = []
     n = 0
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.record_batch([pa.array([part] * len(out), pa.int32()), *(pa.array(c, pa.int64()) for c in columns)], names=[x.split(" ")[0] for x in SWEPT.split(", ")])
+
     for batch in batches:
         out: list[tuple] = []
-        for size, gap, row, slot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for size, gap, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not gap:
                 free.append((row, size))
             elif free:
-                piece, taken = free.pop()
-                out.append((False, -1, piece, taken, row, slot))
+                out.append((-1, *free.pop(), row, size))
             else:
-                out.append((True, n, row, size, None, slot))
+                out.append((n, None, None, row, size))
                 n += 1
-        yield swept_rows(part, out)
+        yield rows(out)
     for start in range(0, len(free), 50_000):
-        yield swept_rows(part, [(False, k, row, size, None, None) for k, (row, size) in enumerate(free[start : start + 50_000], start)])
-
-
-SWEPT = "part int, gap boolean, n long, id long, size long, seq long, slot int"
-
+        yield rows([(k, *x, None, None) for k, x in enumerate(free[start : start + 50_000], start)])
 
-def swept_rows(part: int, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.record_batch([pa.array([part] * len(rows), pa.int32()), *map(pa.array, columns, kinds)], names=[x.split(" ")[0] for x in SWEPT.split(", ")])
 
-
-def across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches between ranges, by rank: (first number, gaps' range, first gap, pieces' range, first piece, how many).
+def across(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int]]]:
+    """Matches between ranges, by rank: (first number, gaps' range, first gap, pieces' range, first piece, how many); (range, pieces left).
 
     ``counts``: free gaps and pieces by range. In each range free gaps lie before free pieces, so the gaps of a range
     take the largest pieces that earlier ranges have left.
@@ -193,34 +192,35 @@ def across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int,
                 stack.append((of, left - n))
         if pieces:
             stack.append((part, pieces))
-    return out
+    return out, stack
 
 
-def sweep(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    """id, size, seq, slot of all pieces (id, size) after one sweep; seq is null where no slot (id, size, slot) took it.
+def sweep(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rows of SWEPT for all pieces (id, size) and gaps (seq, room) after one sweep, and the pieces left by range.
 
-    Pieces and slots are range-sorted together by size; every range is swept where it lies, and what several ranges
-    could match is settled by rank from a row per range.
+    Pieces and gaps are range-sorted together by size; every range is swept where it lies, and what several ranges
+    could match is settled by rank from a row per range. A row has a piece and its gap, or one of them alone; the n-th
+    piece alone of a range is its n-th by size.
     """
     spark = pieces.sparkSession
-    order = ["size", "gap", "id", "slot"]
-    rows = pieces.select("size", F.lit(False).alias("gap"), "id", F.lit(0).alias("slot")).unionAll(slots.select("size", F.lit(True), "id", "slot"))
+    order = ["size", "gap", "id"]
+    rows = pieces.select("size", F.lit(False).alias("gap"), "id").unionAll(gaps.select("room", F.lit(True), "seq"))
     swept = durable(in_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), matched, SWEPT))
-    loose = swept.where("n >= 0")
-    counts = {r[0]: (r[1], r[2]) for r in loose.groupBy("part").agg(F.count_if("gap"), F.count_if(~F.col("gap"))).collect()}  # a row per range
-    took = swept.where("not gap").select("part", "n", "id", "size", "seq", "slot")
-    if met := across(counts):
-        table = F.broadcast(spark.createDataFrame(met, "first long, gap_part int, gap_n long, piece_part int, piece_n long, many long"))  # two rows per range at most
-        gaps = loose.where("gap").join(table, (F.col("part") == F.col("gap_part")) & (F.col("n") >= F.col("gap_n")) & (F.col("n") < F.col("gap_n") + F.col("many")))
-        gaps = gaps.select((F.col("first") + F.col("n") - F.col("gap_n")).alias("number"), F.col("id").alias("met_seq"), F.col("slot").alias("met_slot"))
-        mine = (F.col("part") == F.col("piece_part")) & (F.col("n") >= F.col("piece_n")) & (F.col("n") < F.col("piece_n") + F.col("many"))
-        took = took.join(table, mine, "left").withColumn("number", F.col("first") + F.col("piece_n") + F.col("many") - 1 - F.col("n")).join(gaps, "number", "left")
-        took = took.withColumns({"seq": F.coalesce("seq", "met_seq"), "slot": F.coalesce("slot", "met_slot")})
-    return took.select("id", "size", "seq", "slot")
+    alone = swept.where("n >= 0").groupBy("part").agg(F.count("seq"), F.count("id"))
+    met, left = across({r[0]: (r[1], r[2]) for r in alone.collect()})  # a row per range
+    if not met:
+        return swept, left
+    table = F.broadcast(spark.createDataFrame(met, "first long, gap_part int, gap_n long, piece_part int, piece_n long, many long"))  # two rows per range at most
+    mine = F.when(F.col("seq").isNotNull(), (F.col("part") == F.col("gap_part")) & F.col("n").between(F.col("gap_n"), F.col("gap_n") + F.col("many") - 1))
+    mine = mine.otherwise((F.col("part") == F.col("piece_part")) & F.col("n").between(F.col("piece_n"), F.col("piece_n") + F.col("many") - 1))
+    number = F.col("first") + F.when(F.col("seq").isNotNull(), F.col("n") - F.col("gap_n")).otherwise(F.col("piece_n") + F.col("many") - 1 - F.col("n"))
+    told = swept.where("n >= 0").join(table, mine, "left").withColumn("number", number).select(*swept.columns, "number")
+    pairs = told.where("number is not null").groupBy("number").agg(F.min("part").alias("part"), F.lit(-1).cast("long").alias("n"), *(F.max(c).alias(c) for c in ("id", "size", "seq", "room")))
+    return swept.where("n < 0").unionAll(told.where("number is null").drop("number")).unionAll(pairs.drop("number")), left
 
 
 def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
-    """id, seq, step, slot, size of every piece (id, size). ``sizes``: pieces by size.
+    """id, seq, step, size of every piece (id, size). ``sizes``: pieces by size.
 
     Classes are taken from the largest size down. Pieces of a class are swept into the gaps until no gap takes one;
     the rest open sequences, as many neighbours of the sorted order in each as fit. Sequences are named by the id of a
@@ -228,46 +228,51 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
     """
     spark = small.sparkSession
     wanted = sorted(s for s, n in sizes.items() if n)
-    path, step = fresh_path(spark), 0
-    names = ["id", "size", "seq", "slot"]
-    opened = small.where(F.col("size") > capacity // 2).select(*names[:2], F.col("id").alias("seq"), F.lit(0).alias("slot"))
-    gaps = opened.select("seq", (capacity - F.col("size")).alias("free"))
-    slices = small.agg(F.max(F.shiftright("id", 33))).first()[0] or 0
+    path, step, names = fresh_path(spark), 0, ["id", "size", "seq"]
+    opened = small.where(F.col("size") > capacity // 2).select(*names[:2], F.col("id").alias("seq"))
+    gaps = opened.select("seq", (capacity - F.col("size")).alias("room"))
+    widest = capacity - min((s for s in wanted if 2 * s > capacity), default=capacity)
+
+    def kept(gaps: DataFrame) -> tuple[DataFrame, int]:
+        """The gaps that some piece fits, and the widest."""
+        out, seen = durable_counted(gaps.where(F.col("room") >= wanted[0]), F.max("room").alias("widest"))
+        return out, seen["widest"] or 0
+
     for least, most in classes(capacity):
         held = [s for s in wanted if least <= s <= most and 2 * s <= capacity]
         if not held:
             continue
         low, high = held[0], held[-1]
-        left, some = small.where(F.col("size").between(low, high)), sum(sizes[s] for s in held)
-        while some:
-            fit = gaps.where(F.col("free") >= low).withColumn("k", F.greatest(F.lit(1).cast("long"), F.floor(F.col("free") / high)))
-            slots = fit.select(F.col("seq").alias("id"), F.floor(F.col("free") / F.col("k")).alias("size"), F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("slot"))
-            out, seen = durable_counted(sweep(left, slots), F.count_if(F.col("seq").isNotNull()).alias("took"), F.count("*").alias("all"))
+        pieces, ranges = small.where(F.col("size").between(low, high)), None
+        while ranges is None or (pieces is not None and widest >= low):
+            fit, rest = gaps.where(F.col("room") >= low), gaps.where(F.col("room") < low)
+            several = widest >= 2 * high  # then gaps of the class take several pieces at once
+            if several:
+                k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / high))
+                fit = fit.withColumn("k", k).select("seq", F.explode(F.array_repeat(F.floor(F.col("room") / F.col("k")), F.col("k").cast("int"))).alias("room"))
+            out, ranges = sweep(pieces, fit)
+            out, seen = durable_counted(out, F.count_if(F.col("id").isNotNull() & F.col("seq").isNotNull()).alias("took"), F.min(F.when(F.col("seq").isNull(), F.col("size"))).alias("low"))
+            pieces, low = (out.where("seq is null"), seen["low"]) if ranges else (None, low)
             if not seen["took"]:
                 break
             step += 1
-            now = out.where("seq is not null")
+            now = out.where("id is not null and seq is not null").select(*names)
             now.write.parquet(f"{path}/step={step}")
-            gaps = shrunk(gaps, now, wanted[0])
-            left, some = out.where("seq is null").select("id", "size"), seen["all"] - seen["took"]
-        if some:
+            if several:
+                took = now.groupBy(F.col("seq").alias("_seq")).agg(F.sum("size").alias("_took"))
+                gaps, widest = kept(gaps.join(took, F.col("seq") == F.col("_seq"), "left").select("seq", (F.col("room") - F.coalesce("_took", F.lit(0))).alias("room")))
+            else:
+                gaps, widest = kept(rest.unionAll(out.where("seq is not null").select("seq", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))))
+        if pieces is not None:
             step += 1
-            order = F.struct((high - F.col("size")).alias("s"), (F.shiftright("id", 33) * 8 / (slices + 1)).cast("int").alias("t"))
-            ranked = running(left, [], order, [F.col("size").desc(), F.col("id")], F.lit(1).cast("long"), "rank")
-            group = F.floor((F.col("rank") - 1) / (capacity // high))
-            new = ranked.select("id", "size", F.min("id").over(W.partitionBy(group)).alias("seq"), F.lit(0).alias("slot"))
-            new.write.parquet(f"{path}/step={step}")
-            new = spark.read.schema("id long, size long, seq long, slot int").parquet(f"{path}/step={step}")
-            gaps = durable(gaps.unionAll(new.groupBy("seq").agg((capacity - F.sum("size")).alias("free")).where(F.col("free") >= wanted[0])))
+            before = dict(zip((r for r, _ in ranges), itertools.accumulate((n for _, n in ranges), initial=0), strict=False))
+            starts = F.broadcast(spark.createDataFrame(list(before.items()), "range int, start long"))  # a row per range
+            group = W.partitionBy(F.floor((F.col("n") + F.col("start")) / (capacity // high)))
+            new = durable(pieces.join(starts, F.col("part") == F.col("range")).select("id", "size", F.min("id").over(group).alias("seq"), (capacity - F.sum("size").over(group)).alias("room")))
+            new.select(*names).write.parquet(f"{path}/step={step}")
+            gaps, widest = kept(gaps.unionAll(new.where("id = seq").select("seq", "room")))
     first = opened.withColumn("step", F.lit(0))
-    return first.unionByName(spark.read.schema("id long, size long, seq long, slot int, step int").parquet(path)) if step else first
-
-
-def shrunk(gaps: DataFrame, now: DataFrame, least: int) -> DataFrame:
-    """The gaps after what they took; those that no piece fits any more go."""
-    took = now.groupBy(F.col("seq").alias("_seq")).agg(F.sum("size").alias("_took"))
-    free = F.col("free") - F.coalesce("_took", F.lit(0))
-    return durable(gaps.join(took, F.col("seq") == F.col("_seq"), "left").select("seq", free.alias("free")).where(F.col("free") >= least))
+    return first.unionByName(spark.read.schema("id long, size long, seq long, step int").parquet(path)) if step else first
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -275,7 +280,7 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = durable(packed(cuts, _id=F.monotonically_increasing_id(), _size=F.col("length").cast("long")))
     small = rows.select(F.col("_id").alias("id"), F.col("_size").alias("size"))
     sizes = {r[0]: r[1] for r in small.groupBy("size").count().collect()}  # a row per size: capacity rows at most
-    before = W.partitionBy("seq").orderBy("step", "slot", "id").rowsBetween(W.unboundedPreceding, -1)  # a sequence has capacity rows at most
+    before = W.partitionBy("seq").orderBy("step", "id").rowsBetween(W.unboundedPreceding, -1)  # a sequence has capacity rows at most
     found = placed(small, sizes, capacity).select(F.col("id").alias("_of"), "seq", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("_offset"))
     return rows.join(found, F.col("_id") == F.col("_of")).select("_row.*", F.col("seq").alias("sequence_id"), F.col("_offset").alias("offset"))
 
