@@ -113,7 +113,12 @@ def report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = L
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = LIMIT, seed: int = 0) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken. Cases as in report()."""
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    Documents without words have size 0: they take nothing of the budget and come with their source's share. A null
+    source is a source of its own; repeated rows are documents of their own, taken alike; no documents give no rows;
+    columns may have any names.
+    """
     rows = sized(docs, seed)
     decided = decisions(durable(rows.drop("_row")), weights, limit)
     return unpacked(with_copies(rows, decided).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))))

@@ -24,6 +24,8 @@ from tidewell.llm.common import as_bytes, discard, durable, in_arrow, packed, sh
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a trie node that one task holds, and rows that are traversed together.
 PART, TOGETHER, SALTS = 1024, 60_000, 16
+#: Most nodes of a graph whose edges are dealt out by salt.
+HUBS = 100_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -211,16 +213,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (u, v) touches; root is the smallest node of its group.
 
     Large-star and small-star steps alternate until nothing changes: the rounds grow with the logarithm of the
-    number of nodes. Minima are aggregated before the shuffle, and joins on a hub are salted.
+    number of nodes. Minima are aggregated before the shuffle. Hubs are nodes of so many edges that there are at most
+    HUBS of them: their edges are dealt out by salt and their minima repeated as often; other nodes are joined plainly.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, least: int) -> DataFrame:
         if large:
             near = e.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(e.select(F.col("v").alias("a"), F.col("u").alias("b")))
         else:
             near = e.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-        low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        near = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        low = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hubs = low.where((F.col("n") > least) & F.col("m").isNotNull()).select(F.col("a").alias("hub"))  # both columns, so that Spark aggregates once
+        salts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        low = low.select("a", F.least("a", "m").alias("m"), F.explode(salts).alias("salt"))
+        near = near.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")  # HUBS rows at most
+        near = near.select("a", "b", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
         met = near.join(low, ["a", "salt"])
         if large:
             out = met.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
@@ -234,7 +241,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.where("u <> v"))
     seen = sign(edges)
     while True:
-        before, edges = edges, durable(star(star(edges, True), False))
+        # a star has 2 count ends at most, and the one made of it no more edges than that
+        least = max(PART, 4 * seen[0] // HUBS)
+        before, edges = edges, durable(star(star(edges, True, least), False, least))
         now = sign(edges)
         discard(before)
         if now == seen:
@@ -268,7 +277,8 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) ->
 def dedup(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """One document of each group, with all columns: that of the smallest doc_id, nulls last, then by a hash of its text.
 
-    Of repeated rows one stays.
+    Null and empty texts are one group, whose first document stays. Of repeated rows one stays. No documents give no
+    rows; columns may have any names.
     """
     from pyspark.sql import Window as W
 

@@ -159,6 +159,10 @@ def assess(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: f
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """The documents kept, with all their columns. Cases as in assess()."""
+    """The documents kept, with all their columns.
+
+    Null texts go, as they have no words; a null doc_id or an odd lang is no reason to go; repeated rows stay or go
+    together; no documents give no rows; columns may have any names. Without labels only the base rules hold.
+    """
     rows = packed(docs, _id=F.col("doc_id"), _lang=F.col("lang"), _m=measured(F.col("text")))
     return judged(durable(with_features(rows)), labels, risk, confidence).where("kept").select("_row.*")
