@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import mixing, near, packing, privacy, queries, rules
-from tidewell.llm.common import shared_dir
+from tidewell.llm.common import discard, durable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the table documents."""
-    docs = queries.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The rows of the last stage over the table documents. A stage's table goes when the next one is written."""
+    docs, before = queries.read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
