@@ -1,4 +1,5 @@
 import json
+import os
 import uuid
 from datetime import UTC, date, datetime
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tests import bundles
 from tidewell.functions import scalars
 from tidewell.plans import gold, jobs, notebook, quality, silver
-from tidewell.sources import bronze, dicom
+from tidewell.sources import bronze, dicom, platforms
 from tidewell.sources.tables import Store
 
 
@@ -107,10 +108,18 @@ def test_summary(spark, tables):
     salted = gold.encounter_summary(tables, datetime(2024, 1, 1, tzinfo=UTC), {"patient": 3}, salts=4)
     assert sorted(map(str, salted.collect())) == sorted(map(str, rows.values()))
     notebook.register(tables, df)
-    for name in notebook.QUERIES:
-        if name != "log_tail":
-            notebook.run(spark, name, **({"patient": "p1"} if ":patient" in notebook.QUERIES[name] else {})).collect()
-    assert notebook.run(spark, "coverage").first().with_labs == 2
+    assert spark.sql("SELECT count(*) AS n FROM gold JOIN silver_patient USING (patient_id)").first().n == 4
+    assert notebook.coverage(df).first().with_labs == 2 and notebook.span(df).first().distinct_patients == 2
+    assert [r.soap_preview[:10] for r in notebook.timeline(df, "p1", preview=10).collect()] == ["SUBJECTIVE", "# Chief Co"]
+    assert notebook.first_note(df, "p1").first().soap_note_text == bundles.CLASSIC and notebook.note_search(df, ["COUGH", "rest"], k=3).count() == 3
+    assert [tuple(r) for r in notebook.problem_load(df, bounds=(0, 1)).collect()] == [("2+", 4, 100.0)]
+    assert notebook.listed(df, "active_conditions", "condition", 1).first().condition == "Chronic" and notebook.rich_patients(df, 2, 2).count() == 2
+    assert notebook.quantiles(df, notebook.VITAL_QUANTILES).first().hr_p50 == 72.0
+
+
+def test_long_stays_are_dealt_out(spark):
+    enc = spark.createDataFrame([("a",)] * 50 + [("b",)], "patient_id string")
+    assert gold.salts_for(enc, 20) == 3 and gold.salts_for(enc.limit(0)) == 1
 
 
 def test_empty_summary(spark):
@@ -121,40 +130,101 @@ def test_empty_summary(spark):
         gold.encounter_summary({})
 
 
-def test_jobs(spark, raw, tmp_path):
-    store = Store(spark, str(tmp_path), buckets=4)
+def test_jobs(spark, raw, tmp_path, caplog):
+    from tidewell.plans import preview
+
+    platform = platforms.Local(spark, str(tmp_path))
+    os.makedirs(tmp_path / "bronze")
+    os.symlink(raw, platform.bronze)
+    store = platform.store
     with pytest.raises(KeyError):
-        jobs.build_gold(store)
-    for cohort in ("A", "B", "B"):
-        results = jobs.build_silver(store, raw, cohort)
+        jobs.build_gold(platform)
+    with caplog.at_level("INFO", logger="tidewell"):
+        for cohort in ("A", "B", "B"):
+            results = jobs.build_silver(platform, cohort)
+    assert "metric table=patient rows=2" in caplog.text and "quality_score" in caplog.text
     assert {r.table: r.row_count for r in results}["patient"] == 2 and not results[0].passed
     with pytest.raises(RuntimeError):
-        jobs.build_silver(store, raw, "Z")
+        jobs.build_silver(platform, "Z")
+    assert not list((tmp_path / "_staging").iterdir())
     assert store.table("silver", "ingest_log").read().count() == 30
-    m = jobs.build_gold(store)
-    assert m["row_count"] == 4 and m["silver_sources"][0] == {"table": "silver.patient", "row_count": 2, "delta_version": 2}
-    g = store.table("gold", "encounter_summary").read()
+    m = jobs.build_gold(platform)
+    assert m["row_count"] == 4 and m["silver_sources"][0] == {"table": "silver.patient", "row_count": 2, "delta_version": 2} and platform.read_manifest() == m
+    g = platform.read_gold("encounter_summary")
     assert quality.gates(g, m).passed and not quality.gates(g, None).passed
-    assert jobs.anchor(g) == "p1" and "|" in jobs.markdown(g)
+    seen = {n: platform.read_silver(n) for n in ("patient", "condition", "medication_request", "soap_note")}
+    assert jobs.anchor(**seen) == jobs.anchor(**seen, conditions=99) == "p1" and jobs.anchor(**{n: df.limit(0) for n, df in seen.items()}) is None
+    assert jobs.anchor(**seen | {"soap_note": seen["soap_note"].limit(0)}) == "p1"
+    told = preview.walkthrough(platform)
+    assert "`p1`" in told and "| `Observation` |" in told and "#### SOAP note" in told and "cough" in told
+    files = platform.read_bronze()
+    assert preview.bundle(files, "none.json").startswith("_(bundle not found") and preview.bundle_of(files, "p1") and preview.bundle_of(files, "nobody") is None
+    assert preview.sample(g.limit(0)) == "_(empty table)_" and "| `patient_age` | `int` |" in preview.schema(g) and preview.cell("a|b\n" + "x" * 99).startswith("a\\|b xx") and preview.cell(None) == "_null_"
+    assert "| Rule | Passed | Detail |" in preview.rules(quality.outcome_rows(spark, results).where("table = 'patient'"))
+    assert len(list(platform.bronze_files("A"))) == files.where("cohort = 'A'").count()
+
+
+def test_one_odd_field_costs_itself_only(spark):
+    import copy
+
+    good = bundles.bundle("p7")
+    odd = copy.deepcopy(good)
+    for e in odd["entry"]:
+        r = e["resource"]
+        if r["id"] == "p7-o1":
+            r["valueQuantity"]["value"] = "72"
+        if r["id"] == "p7-o3":
+            r["valueQuantity"] = "much"
+        if r["id"] == "p7-i1":
+            r["numberOfSeries"] = 1.0
+        if r["id"] == "p7-n1":
+            r["context"]["encounter"] = r["context"]["encounter"][0]
+        if r["id"] == "p7-c1":
+            r["encounter"] = [r["encounter"]]
+    odd["entry"][3:3] = ["junk", {"resource": 7}]
+    build = lambda b: silver.build_all(spark.createDataFrame([("A", "f.json", json.dumps(b))], "cohort string, file string, value string"), F.lit(datetime(2024, 1, 1)))
+    want, got = build(good), build(odd)
+    for n in silver.TABLES:
+        a, b = ({str(r) for r in x[n].collect()} for x in (want, got))
+        assert len(a) == len(b) and len(b - a) == (n == "observation"), n
+    assert got["observation"].where("observation_id = 'p7-o3'").first().value is None
 
 
 def test_landing(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
     for k in range(5):
-        (src / f"f{k}.json").write_text(json.dumps({"k": k}))
+        (src / f"f {k}+é#.json").write_bytes(json.dumps({"k": k}).encode() + b"\r\n" * (k % 2))
     root = str(tmp_path / "raw")
     for _ in range(2):
         m = bronze.land(spark, str(src), root, 2)
         assert m["files"] == 5 and {c: x["files"] for c, x in m["cohorts"].items()} == {"A": 3, "B": 2}
     assert bronze.manifest(spark, root) == m
-    assert {r.file: (r.cohort, json.loads(r.value)) for r in bronze.scan(spark, root).collect()}["f3.json"] == ("B", {"k": 3})
+    assert {r.file: (r.cohort, json.loads(r.value)) for r in bronze.scan(spark, root).collect()}["f 3+é#.json"] == ("B", {"k": 3})
+    for k in range(5):
+        name = f"f {k}+é#.json"
+        assert (tmp_path / "raw" / f"cohort={'AB'[k % 2]}" / name).read_bytes() == (src / name).read_bytes()
+    assert bronze.land(spark, str(src), str(tmp_path / "some"), 2, most=2)["files"] == 2
+
+
+def test_landing_gives_up_after_some_errors(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for k in range(4):
+        (tmp_path / "src" / f"{k}.json").write_text("{}")
+    root = tmp_path / "raw"
+    root.mkdir()
+    (root / "cohort=A").write_text("no folder")  # 0 and 2 can't be written
+    assert bronze.land(spark, str(tmp_path / "src"), str(root), 2, errors=2)["files"] >= 2
+    for f in (root / "cohort=B").iterdir():
+        f.unlink()
+    with pytest.raises(bronze.Failed):
+        bronze.land(spark, str(tmp_path / "src"), str(root), 2, errors=1)
 
 
 def test_stream(spark, raw, tables, tmp_path):
     from tidewell.streaming import replay
 
-    store = Store(spark, str(tmp_path / "lake"), buckets=2)
+    store = Store(spark, str(tmp_path / "lake"))
     for _ in range(2):
         replay.replay(store, raw, str(tmp_path / "check"), per_trigger=2, log=True).awaitTermination()
     for n in ("patient", "observation", "soap_note"):
@@ -165,6 +235,31 @@ def test_stream(spark, raw, tables, tmp_path):
     assert store.table("silver", "patient").version() == before + 1  # another stream's batches are its own
 
 
+def test_watching(spark, raw, tmp_path):
+    import time
+
+    from tidewell.streaming import replay
+
+    store, seen = Store(spark, str(tmp_path / "lake")), []
+    query = replay.watch(store, raw, str(tmp_path / "check"), seconds=1, per_trigger=2, tables=("patient",), on_batch=lambda df, n: seen.append(n))
+    try:
+        for _ in range(120):
+            if store.table("silver", "patient").version() is not None and not query.status["isTriggerActive"] and len(seen) >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert seen[:2] == [0, 1] and store.table("silver", "patient").read().count() >= 1
+
+
+def test_new_cohorts(spark, raw):
+    from tidewell.streaming import replay
+
+    ran = []
+    assert replay.new_cohorts(spark, raw, {"A"}) == ["B"]
+    assert replay.watch_cohorts(spark, raw, ran.append, seconds=0, polls=3) == {"A", "B"} and ran == ["A", "B"]
+
+
 def test_scalars(spark):
     refs = [("urn:uuid:x", "x"), ("Patient/x", "x"), ("x", "x"), (None, ""), ("", ""), ("http://h/Patient/a", "a"), ("urn:oid:1.2", "1.2")]
     assert all(r.got == r.want for r in spark.createDataFrame(refs, "ref string, want string").select(scalars.strip_reference(F.col("ref")).alias("got"), "want").collect())
@@ -181,11 +276,14 @@ def test_scalars(spark):
 
 def test_coercion(spark):
     schema = "id string, at timestamp, dob date, score double, count int, flag boolean, extra string"
-    df = spark.createDataFrame([("1", "2021-03-15T09:00:00-04:00", "1980-07-15", "1.5", "3.0", "true"), ("2", "x", "x", "x", "x", "x")], "id string, at string, dob string, score string, count string, flag string")
+    rows = [("1", "2021-03-15T09:00:00-04:00", "1980-07-15", "1.5", " 3 ", "true"), ("2", "x", "x", "x", "3.7", ""), ("3", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, at string, dob string, score string, count string, flag string")
     from pyspark.sql import types as T
 
-    a, b = silver.coerced(df, T._parse_datatype_string(schema)).orderBy("id").collect()
-    assert tuple(a) == ("1", datetime(2021, 3, 15, 13), date(1980, 7, 15), 1.5, 3, True, None) and tuple(b) == ("2", *[None] * 6)
+    a, b, c = silver.coerced(df, T._parse_datatype_string(schema)).orderBy("id").collect()
+    assert tuple(a) == ("1", datetime(2021, 3, 15, 13), date(1980, 7, 15), 1.5, 3, True, None)
+    assert tuple(b) == ("2", None, None, None, None, False, None) and tuple(c) == ("3", *[None] * 6)
+    assert silver.coerced(spark.createDataFrame([(3.7,)], "count double"), T._parse_datatype_string("count int")).first()["count"] == 3
 
 
 def test_rules(spark):
@@ -196,6 +294,7 @@ def test_rules(spark):
     r = quality.validate("x", notes, {"min_char_count": 100, "max_short_pct": 0.2, "required_section_flags": ["has_plan"], "required_sections_pct": 0.8})
     assert r.failed_checks == ["short_notes_pct>0.2(=0.50)", "sections_pct<0.8(=0.50)"]
     assert quality.validate("x", df.limit(0), {"unique_keys": ["ecg_id"], "min_rows": 0}).passed
+    assert quality.score([r]) == 0.0 and quality.score([]) == 1.0
     s = quality.json_schema()
     assert s["properties"]["recent_labs"]["items"]["properties"]["value"] == {"type": ["number", "null"]} and s["properties"]["patient_age"]["type"] == ["integer", "null"]
     assert "| heart_rate_bpm | int | |" in quality.dictionary().replace(" |  |", " | |")

@@ -21,6 +21,25 @@ def test_choice(spark, tmp_path, monkeypatch):
         platforms.get(spark, "object")
 
 
+def test_platform_methods(spark, tmp_path, monkeypatch):
+    p = platforms.Local(spark, str(tmp_path), strict=True)
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert p.path("silver", "t").endswith("/silver/t") and p.version("silver", "t") is None and p.read_manifest() is None
+    with pytest.raises(ValueError):
+        p.path("copper", "t")
+    assert p.write_silver("t", df, key="k") == 0 and p.write_silver("t", df, key="k") == 1 and p.write_silver("t", df, "append") == 2
+    assert p.read_silver("t").count() == 4 and p.read_silver("t", 0).count() == 2 and p.write_silver("t", df, "overwrite", "k") == 3
+    for mode, key in (("merge", None), ("upsert", "k")):
+        with pytest.raises(ValueError):
+            p.write_silver("t", df, mode, key)
+    assert p.write_gold("g", df) == 0 and p.write_gold("g", df) == 1 and p.read_gold("g").count() == 2
+    p.alert("warning", "go on")
+    with pytest.raises(RuntimeError):
+        p.alert("critical", "stop")
+    platforms.Local(spark, str(tmp_path)).alert("critical", "go on")
+    assert str(tmp_path) not in repr(p)
+
+
 def test_assets(spark, tmp_path):
     (tmp_path / "src").mkdir()
     for k in range(3):
@@ -30,7 +49,7 @@ def test_assets(spark, tmp_path):
 
 
 def test_lost_race(spark, tmp_path, monkeypatch):
-    t = Store(spark, str(tmp_path), 2).table("silver", "t")
+    t = Store(spark, str(tmp_path)).table("silver", "t")
     t.create(spark.createDataFrame([("a", 1)], "k string, v int"), "k")
     monkeypatch.setattr(type(t), "version", lambda self: None)
     with pytest.raises(Conflict):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewell.plans import bundled, driver
+from tidewell.plans import bundled, driver, frames
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +28,7 @@ def value(x):
 
 @pytest.mark.parametrize("name", sorted(driver.QUERIES))
 def test_query(spark, duck, name):
-    assert bundled
+    assert bundled and frames
     df = driver.QUERIES[name](spark, SF)
     got = [tuple(value(r[c]) for c in sorted(df.columns)) for r in df.collect()]
     if name not in driver.SQL:

@@ -77,10 +77,15 @@ ECG_WORDS = ("ecg", "ekg", "electrocardiogram", "electrocardiographic")
 GENOMIC_WORDS = ("genetic", "genomic", "gene panel", "dna", "sequencing", "variant")
 
 
+# How headers are marked, as Markdown and at the start of a line.
+MARKDOWN_HEADER = r"(?dm)^#+\s*(.+?)\s*$"
+LINE_HEADER = r"(?dim)^\s*(subjective|objective|assessment|plan)\s*:"
+
+
 def section_headers(text: Column) -> Column:
     """Markdown headers and line-start markers of a note, in lower case."""
-    marks = F.regexp_extract_all(text, F.lit(r"(?dm)^#+\s*(.+?)\s*$"), F.lit(1))
-    lines = F.regexp_extract_all(text, F.lit(r"(?dim)^\s*(subjective|objective|assessment|plan)\s*:"), F.lit(1))
+    marks = F.regexp_extract_all(text, F.lit(MARKDOWN_HEADER), F.lit(1))
+    lines = F.regexp_extract_all(text, F.lit(LINE_HEADER), F.lit(1))
     return F.transform(F.array_union(marks, lines), lambda h: F.lower(F.trim(h)))
 
 

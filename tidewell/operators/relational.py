@@ -52,10 +52,25 @@ def earliest(df: DataFrame, keys: Sequence[str], when: str, name: str) -> DataFr
     return df.groupBy(*keys).agg(F.min(when).alias(name))
 
 
-def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Upsert: rows of the source win, others of the target stay. The target loses its duplicates, as does the source."""
-    fresh = source.dropDuplicates([key])
-    return target.dropDuplicates([key]).join(fresh.select(key), key, "left_anti").unionByName(fresh)
+def one_each(df: DataFrame, key: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """One row per key, the last by ``order``; where that ties, by a hash of the row, so that partitions don't matter."""
+    return keep_last(df, key, [*order, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))])
+
+
+def same_key(left: str, right: str) -> Column:
+    """Join condition by which null is a key like others."""
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def merged(target: DataFrame, source: DataFrame, key: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Upsert: rows of the source win, others of the target stay. Both lose duplicates of a key, see one_each()."""
+    fresh = one_each(source, key, order)
+    return one_each(target, key, order).join(fresh.select(F.col(key).alias("_key")), same_key(key, "_key"), "left_anti").unionByName(fresh)
+
+
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """key, n of the keys that several rows have; null counts as a key."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -63,7 +78,7 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     columns = [c for c in after.columns if c != key]
     b = before.select(F.col(key).alias("_bk"), F.struct(*before.columns).alias("_b"))
     a = after.select(F.col(key).alias("_ak"), F.struct(*after.columns).alias("_a"))
-    both = b.join(a, F.col("_bk") == F.col("_ak"), "full")
+    both = b.join(a, same_key("_bk", "_ak"), "full")
     same = F.lit(True)
     for c in columns:
         same = same & F.col(f"_b.{c}").eqNullSafe(F.col(f"_a.{c}"))
@@ -76,13 +91,23 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(F.explode(out).alias("x")).select("x.row.*", F.col("x.kind").alias("_change_type"))
 
 
-def round_robin(files: DataFrame, name: str, cohorts: int, out: str = "cohort") -> DataFrame:
-    """Deal rows to cohorts in turn, by name. Names are listed in one order, so the window runs over all of them.
+def numbered(df: DataFrame, name: str, out: str, slices: int = 64) -> DataFrame:
+    """Number rows from 0 by a column, without putting all into one task.
 
-    It is meant for lists of files; their rows hold names and sizes only.
+    Some rows of a hash sample split the order into slices, which are counted and numbered where they lie.
     """
-    place = F.row_number().over(W.orderBy(name)) - 1
-    return files.withColumn(out, F.char(F.lit(65) + place % cohorts))
+    bounds = sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).orderBy(F.xxhash64(name), name).limit(slices - 1).collect())
+    slot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(name))) if bounds else F.lit(0)
+    rows = df.withColumn("_slot", F.coalesce(slot, F.lit(-1)))
+    counts = rows.groupBy("_slot").agg(F.count("*").alias("_n"))  # a row per slice
+    starts = counts.select(F.col("_slot").alias("_of"), F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_slot").orderBy(name)) - 1
+    return rows.withColumn("_place", place).join(starts, F.col("_slot") == F.col("_of")).withColumn(out, F.col("_place") + F.col("_start")).drop("_slot", "_of", "_place", "_start")
+
+
+def round_robin(files: DataFrame, name: str, cohorts: int, out: str = "cohort") -> DataFrame:
+    """Deal rows to cohorts in turn, by name."""
+    return numbered(files, name, "_number").withColumn(out, F.char(F.lit(65) + F.col("_number") % cohorts)).drop("_number")
 
 
 def members(left: DataFrame, right: DataFrame, key: str, inside: bool = True) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.plans import silver
-from tidewell.plans.driver import BIRTH_SQL, Tables, birth, query
-from tidewell.sources import bronze
+from tidewell.plans.driver import AGE_SQL, BIRTH_SQL, Tables, birth, query, stored
+from tidewell.session import scratch
+from tidewell.sources import bronze, dicom
 from tidewell.sources.tables import Store
 
 
@@ -35,80 +33,161 @@ def wrapped(df: DataFrame, key: str, entry: Column) -> DataFrame:
 
 
 def table(name: str, raw: DataFrame, **options) -> DataFrame:
-    return silver.build(name, silver.resources(raw), **options)
+    """A table built from bundles, without the time of its making; times as text."""
+    return shown(silver.build(name, silver.resources(raw), **options).drop("ingest_timestamp"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes))
 
 
 def instant(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-@query(f"SELECT CAST(c_custkey AS VARCHAR) AS patient_id, {BIRTH_SQL} AS birth_date, c_name AS city, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'group ' || c_nationkey END AS race, c_custkey % 7 = 0 AS deceased FROM customer")
+def at(c: str) -> str:
+    return f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS patient_id, {BIRTH_SQL} AS birth_date, CASE WHEN c_custkey % 3 = 0 THEN 'female' END AS gender, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'group ' || c_nationkey END AS race, 'kind ' || c_nationkey AS ethnicity,
+ 'S' || c_nationkey AS state, c_name AS city, lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip, c_custkey % 7 = 0 OR c_custkey % 5 = 0 AS deceased, CASE WHEN c_custkey % 7 = 0 THEN '2020-01-01 00:00:00' END AS deceased_date, c_custkey || '.json' AS source_file FROM customer"""
+)
 def fhir_patient(t: Tables) -> DataFrame:
     even = F.col("c_custkey") % 2 == 0
+    nation = lambda word: F.concat(F.lit(word), F.col("c_nationkey").cast("string"))
     sub = lambda url, **v: F.struct(F.lit(url).alias("url"), v.get("s", F.lit(None).cast("string")).alias("valueString"), F.struct(v.get("d", F.lit(None).cast("string")).alias("display")).alias("valueCoding"))
-    race = F.struct(F.lit("http://x/us-core-race").alias("url"), F.array(sub("ombCategory", d=F.concat(F.lit("group "), F.col("c_nationkey").cast("string"))), sub("text", s=F.when(even, F.col("c_mktsegment")))).alias("extension"))
-    raw = bundles(t.customer, "c_custkey", "Patient", birthDate=birth().cast("string"), address=F.array(F.struct(F.col("c_name").alias("city"))), extension=F.array(race), deceasedDateTime=F.when(F.col("c_custkey") % 7 == 0, "2020-01-01"))
-    return table("patient", raw).select("patient_id", "birth_date", "city", "race", "deceased")
-
-
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, CAST(o_custkey AS VARCHAR) AS patient_id, o_orderpriority AS type_display, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS class_code FROM orders")
+    race = F.struct(F.lit("http://x/us-core-race").alias("url"), F.array(sub("ombCategory", d=nation("group ")), sub("text", s=F.when(even, F.col("c_mktsegment")))).alias("extension"))
+    kin = F.struct(F.lit("http://x/us-core-ethnicity").alias("url"), F.array(sub("ombCategory", d=nation("kind ")), sub("text")).alias("extension"))
+    home = F.struct(F.col("c_name").alias("city"), nation("S").alias("state"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("postalCode"))
+    raw = bundles(
+        t.customer, "c_custkey", "Patient", birthDate=birth().cast("string"), gender=F.when(F.col("c_custkey") % 3 == 0, "female"), address=F.array(home), extension=F.array(race, kin),
+        deceasedDateTime=F.when(F.col("c_custkey") % 7 == 0, "2020-01-01"), deceasedBoolean=F.when(F.col("c_custkey") % 5 == 0, True),
+    )
+    return table("patient", raw)
+
+
+@query(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, CAST(o_custkey AS VARCHAR) AS patient_id, '1' AS type_code, o_orderpriority AS type_display, o_orderstatus AS class_code, {at("o_orderdate")} AS start_date, {at("o_orderdate + INTERVAL 1 HOUR")} AS end_date,
+ 'finished' AS status, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'd' || o_custkey END AS provider_id, CASE WHEN o_orderkey % 2 = 0 THEN 'r' || o_orderkey % 10 ELSE '' END AS reason_code, CASE WHEN o_orderkey % 2 = 0 THEN 'because' ELSE '' END AS reason_display, o_orderkey || '.json' AS source_file FROM orders"""
+)
 def fhir_encounter(t: Tables) -> DataFrame:
-    raw = bundles(t.orders, "o_orderkey", "Encounter", subject=refer("urn:uuid:", F.col("o_custkey")), type=F.array(coded(F.lit("1"), F.lit(""), F.col("o_orderpriority"))), period=F.struct(instant("o_orderdate").alias("start")), **{"class": F.struct(F.col("o_orderstatus").alias("code"))})
-    return table("encounter", raw).select("encounter_id", "patient_id", "type_display", F.to_date("start_date").alias("day"), "class_code")
+    doctor = F.when(F.col("o_custkey") % 4 != 0, F.struct(refer("Practitioner/d", F.col("o_custkey")).alias("individual")))
+    nobody = F.struct(F.struct(F.lit(None).cast("string").alias("reference")).alias("individual"))
+    reason = F.when(F.col("o_orderkey") % 2 == 0, F.array(coded(F.concat(F.lit("r"), (F.col("o_orderkey") % 10).cast("string")), F.lit("because"))))
+    when = F.struct(instant("o_orderdate").alias("start"), F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("end"))
+    raw = bundles(
+        t.orders, "o_orderkey", "Encounter", subject=refer("urn:uuid:", F.col("o_custkey")), type=F.array(coded(F.lit("1"), F.lit(""), F.col("o_orderpriority"))), period=when, status=F.lit("finished"), reasonCode=reason,
+        participant=F.array_compact(F.array(nobody, doctor)), **{"class": F.struct(F.col("o_orderstatus").alias("code"))},
+    )
+    return table("encounter", raw)
 
 
-LINES = "(SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS id FROM lineitem)"
-
-
-def lines(t: Tables) -> DataFrame:
-    """One row per order and line; a bundle's key is the order's."""
-    return t.lineitem.dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+#: Of rows with one order and line number the last, as bundles list them in this order.
+LAST_LINES = "(SELECT *, l_orderkey || '-' || l_linenumber AS id, l_orderkey || '.json' AS source_file FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_returnflag DESC) = 1)"
 
 
 def line_bundles(t: Tables, kind: str, **fields: Column) -> DataFrame:
-    """All lines of an order in one bundle."""
-    r = F.struct(F.lit(kind).alias("resourceType"), F.col("id"), refer("urn:uuid:", F.col("l_orderkey")).alias("encounter"), *(c.alias(n) for n, c in fields.items()))
-    rows = lines(t).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat(F.lit("urn:uuid:"), F.col("id")).alias("fullUrl"), r.alias("resource"))).alias("entry"))
+    """All lines of an order in one bundle, repeated ones too."""
+    own = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    r = F.struct(F.lit(kind).alias("resourceType"), own.alias("id"), refer("Patient/", F.col("l_suppkey")).alias("subject"), refer("urn:uuid:", F.col("l_orderkey")).alias("encounter"), *(c.alias(n) for n, c in fields.items()))
+    entry = F.struct(F.concat(F.lit("urn:uuid:"), own).alias("fullUrl"), r.alias("resource"))
+    placed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", entry.alias("entry"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["entry"]).alias("entry"))
     return wrapped(rows, "l_orderkey", F.col("entry"))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS encounter_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1")
+LINE_IDS = "CAST(l_suppkey AS VARCHAR) AS patient_id, CAST(l_orderkey AS VARCHAR) AS encounter_id, source_file"
+
+
+@query(f"SELECT id AS condition_id, {LINE_IDS}, CAST(l_partkey AS VARCHAR) AS code, 'part' AS display, l_returnflag AS clinical_status, {at('l_shipdate')} AS onset_date, CASE WHEN l_linestatus = 'F' THEN {at('l_shipdate + INTERVAL 90 DAY')} END AS abatement_date, {at('l_shipdate')} AS recorded_date FROM {LAST_LINES}")
 def fhir_condition(t: Tables) -> DataFrame:
-    raw = line_bundles(t, "Condition", code=coded(F.col("l_partkey"), F.lit("part")), onsetDateTime=instant("l_shipdate"))
-    return table("condition", raw).where("display = 'part' and onset_date is not null").groupBy("encounter_id").agg(F.count("*").alias("n"))
+    over = F.when(F.col("l_linestatus") == "F", F.date_format(F.col("l_shipdate") + F.expr("INTERVAL 90 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table("condition", line_bundles(t, "Condition", code=coded(F.col("l_partkey"), F.lit("part")), clinicalStatus=coded(F.col("l_returnflag")), onsetDateTime=instant("l_shipdate"), abatementDateTime=over, recordedDate=instant("l_shipdate")))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS encounter_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1")
+@query(f"SELECT id AS medication_request_id, {LINE_IDS}, CAST(l_partkey AS VARCHAR) AS code, 'part' AS display, 'active' AS status, 'order' AS intent, {at('l_shipdate')} AS authored_on, 'take ' || l_linenumber AS dosage_text FROM {LAST_LINES}")
 def fhir_medication_request(t: Tables) -> DataFrame:
-    raw = line_bundles(t, "MedicationRequest", medicationCodeableConcept=coded(F.col("l_partkey"), F.lit("part")), authoredOn=instant("l_shipdate"), status=F.lit("active"))
-    return table("medication_request", raw).where("status = 'active' and authored_on is not null").groupBy("encounter_id").agg(F.count("*").alias("n"))
+    dose = F.array(F.struct(F.concat(F.lit("take "), F.col("l_linenumber").cast("string")).alias("text")))
+    return table("medication_request", line_bundles(t, "MedicationRequest", medicationCodeableConcept=coded(F.col("l_partkey"), F.lit(""), F.lit("part")), authoredOn=instant("l_shipdate"), status=F.lit("active"), intent=F.lit("order"), dosageInstruction=dose))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS encounter_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1")
+@query(f"SELECT id AS procedure_id, {LINE_IDS}, CAST(l_suppkey AS VARCHAR) AS code, 'supply' AS display, 'done' AS status, {at('l_shipdate')} AS performed_start, CASE WHEN l_linenumber % 2 = 0 THEN {at('l_shipdate + INTERVAL 1 DAY')} END AS performed_end FROM {LAST_LINES}")
 def fhir_procedure(t: Tables) -> DataFrame:
-    raw = line_bundles(t, "Procedure", code=coded(F.col("l_suppkey"), F.lit("supply")), performedDateTime=instant("l_shipdate"))
-    return table("procedure", raw, instants=True).where("performed_start is not null").groupBy("encounter_id").agg(F.count("*").alias("n"))
+    """Every second one has a period, the others an instant."""
+    even = F.col("l_linenumber") % 2 == 0
+    period = F.when(even, F.struct(instant("l_shipdate").alias("start"), F.date_format(F.col("l_shipdate") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("end")))
+    raw = line_bundles(t, "Procedure", code=coded(F.col("l_suppkey"), F.lit("supply")), status=F.lit("done"), performedDateTime=F.when(~even, instant("l_shipdate")), performedPeriod=period)
+    return table("procedure", raw, instants=True)
+
+
+@query("SELECT role AS resource_type, count(*) AS n FROM conversations GROUP BY 1")
+def resource_histogram(t: Tables) -> DataFrame:
+    one = F.struct(F.struct(F.col("role").alias("resourceType"), F.concat_ws("-", "conv_id", "turn").alias("id")).alias("resource"))
+    rows = t.conversations.groupBy("conv_id").agg(F.collect_list(one).alias("entry"))
+    return silver.histogram(silver.resources(wrapped(rows, "conv_id", F.col("entry"))))
+
+
+@query(
+    """SELECT 'o' || s_suppkey AS id, CAST(s_suppkey AS VARCHAR) AS patient_id, CASE s_suppkey % 4 WHEN 0 THEN 'e1' WHEN 1 THEN 'e2' ELSE '' END AS encounter_id, CASE s_suppkey % 4 WHEN 3 THEN NULL ELSE CAST(s_nationkey + 0.5 AS DOUBLE) END AS value, CASE s_suppkey % 4 WHEN 2 THEN '' ELSE 'c' END AS code,
+ CASE s_suppkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS series_count, CASE s_suppkey % 4 WHEN 3 THEN '' ELSE 'n' || s_suppkey END AS note_encounter FROM supplier"""
+)
+def fhir_odd_fields(t: Tables) -> DataFrame:
+    """Bundles with values of another type than expected, references as objects and lists, and entries that are no resources: only the odd field is lost."""
+    key, nation, k = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 4
+    pick = lambda *texts: F.when(k == 0, texts[0]).when(k == 1, texts[1]).when(k == 2, texts[2]).otherwise(texts[3])
+    met = pick(F.lit('{"reference":"urn:uuid:e1"}'), F.lit('[{"reference":"Encounter/e2"},{"reference":"x"}]'), F.lit('"e3"'), F.lit("[]"))
+    value = pick(F.concat(F.lit('"'), nation, F.lit('.5"')), F.concat(nation, F.lit(".50")), F.concat(nation, F.lit(".5")), F.lit('{"a":1}'))
+    code = pick(F.lit('{"coding":[{"code":"c"}]}'), F.lit('{"coding":[{"code":"c","display":7}],"text":[1]}'), F.lit('"c"'), F.lit('{"coding":[{"code":"c"}],"text":"t"}'))
+    note = pick(F.concat(F.lit('{"reference":"Encounter/n'), key, F.lit('"}')), F.concat(F.lit('[{"reference":"Encounter/n'), key, F.lit('"}]')), F.concat(F.lit('{"reference":"n'), key, F.lit('"}')), F.lit("7"))
+    text = F.concat(
+        F.lit('{"resourceType":"Bundle","id":5,"entry":["junk",7,null,{"resource":{"resourceType":"Observation","id":"o'), key, F.lit('","subject":{"reference":"Patient/'), key, F.lit('"},"encounter":'), met,
+        F.lit(',"category":{},"component":[{"valueQuantity":{"value":[]}}],"code":'), code, F.lit(',"valueQuantity":{"value":'), value, F.lit('}}},{"resource":{"resourceType":"ImagingStudy","id":"i'), key,
+        F.lit('","numberOfSeries":'), pick(F.lit("3.0"), F.lit('"4"'), F.lit("3.7"), F.lit('"many"')), F.lit('}},{"resource":{"resourceType":"DocumentReference","id":"d'), key, F.lit('","context":{"encounter":'), note, F.lit('},"content":[{"attachment":{"data":"eA=="}}]}}]}'),
+    )
+    raw = t.supplier.select(F.lit("A").alias("cohort"), key.alias("file"), text.alias("value"))
+    res = stored(silver.resources(raw))
+    seen = silver.build("observation", res).select("observation_id", "patient_id", "encounter_id", "value", "code")
+    image = silver.build("imaging_study", res).select(F.concat(F.lit("o"), F.substring("study_id", 2, 99)).alias("observation_id"), "series_count")
+    notes = silver.build("soap_note", res).select(F.concat(F.lit("o"), F.substring("note_id", 2, 99)).alias("observation_id"), F.col("encounter_id").alias("note_encounter"))
+    return seen.join(image, "observation_id").join(notes, "observation_id").withColumnRenamed("observation_id", "id")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS file FROM supplier WHERE s_suppkey % 3 = 0")
+def unreadable_files(t: Tables) -> DataFrame:
+    """Files cut short, of another kind, or whose entries are no list."""
+    k = F.col("s_suppkey")
+    bad = F.when(k % 9 == 0, '{"entry":[{"resource":').when(k % 9 == 3, "no json").otherwise('{"entry":{"a":1}}')
+    raw = t.supplier.select(F.lit("A").alias("cohort"), k.cast("string").alias("file"), F.when(k % 3 == 0, bad).otherwise('{"resourceType":"Bundle","id":{},"entry":[{"resource":{"resourceType":"Patient","id":"1"}}]}').alias("value"))
+    return silver.staged(raw, scratch(t.spark))[1].select("file")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS observation_id, CAST(user_id AS VARCHAR) AS encounter_id, event_type AS code, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+@query(
+    f"""SELECT CAST(event_id AS VARCHAR) AS observation_id, '' AS patient_id, CAST(user_id AS VARCHAR) AS encounter_id, event_type AS code, event_type AS display, 'c' || event_id % 3 AS category, value, 'u' AS unit, CASE WHEN event_id % 2 = 0 THEN 'said' END AS value_string,
+ {at("ts")} AS effective_date, event_id || '.json' AS source_file, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events"""
+)
 def fhir_observation(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     part = F.struct(coded(F.lit("k")).alias("code"), F.struct(k.alias("value")).alias("valueQuantity"))
-    raw = bundles(t.events, "event_id", "Observation", encounter=refer("Encounter/", F.col("user_id")), code=coded(F.col("event_type"), F.col("event_type")), valueQuantity=F.struct(F.col("value")), component=F.array(part), effectiveDateTime=instant("ts"))
+    said = F.when(F.col("event_id") % 2 == 0, coded(F.lit("s"), F.lit(None).cast("string"), F.lit("said")))
+    raw = bundles(
+        t.events, "event_id", "Observation", encounter=refer("Encounter/", F.col("user_id")), code=coded(F.col("event_type"), F.col("event_type")), category=F.array(coded(F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")))),
+        valueQuantity=F.struct(F.col("value"), F.lit("u").alias("unit")), valueCodeableConcept=said, component=F.array(part), effectiveDateTime=instant("ts"),
+    )
     parts = F.from_json("components_json", "array<struct<code:string,value:double>>")
-    return table("observation", raw).select("observation_id", "encounter_id", "code", "value", F.get(parts, F.lit(0))["value"].alias("k"))
+    return table("observation", raw).withColumn("k", F.get(parts, F.lit(0))["value"]).drop("components_json")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS note_id, md5(text) AS digest, CAST(length(text) AS INTEGER) AS char_count, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'b' || doc_id END AS binary_id FROM documents WHERE text <> ''")
 def fhir_soap_note(t: Tables) -> DataFrame:
-    """Every second note lies in a Binary resource of its bundle."""
+    """Every second note lies in a Binary resource of its bundle. Notes without text are none."""
     data, inline = F.base64(F.encode("text", "UTF-8")), F.col("doc_id") % 2 == 0
     name = F.concat(F.lit("b"), F.col("doc_id").cast("string"))
     att = F.struct(F.when(inline, data).alias("data"), F.when(~inline, F.concat(F.lit("urn:uuid:"), name)).alias("url"))
     none = F.lit(None)
     doc = F.struct(F.lit("DocumentReference").alias("resourceType"), F.col("doc_id").cast("string").alias("id"), F.array(F.struct(att.alias("attachment"))).alias("content"), none.cast("string").alias("data"))
     blob = F.struct(F.lit("Binary").alias("resourceType"), name.alias("id"), none.cast("array<struct<attachment:struct<data:string,url:string>>>").alias("content"), data.alias("data"))
-    raw = wrapped(t.documents.where("text <> ''"), "doc_id", F.array(F.struct(doc.alias("resource")), F.struct(blob.alias("resource"))))
+    raw = wrapped(t.documents, "doc_id", F.array(F.struct(doc.alias("resource")), F.struct(blob.alias("resource"))))
     return table("soap_note", raw).select("note_id", F.md5(F.col("note_text").cast("binary")).alias("digest"), "char_count", "binary_id")
 
 
@@ -129,15 +208,46 @@ def fhir_ecg_metadata(t: Tables) -> DataFrame:
     return table("ecg_metadata", raw).select("ecg_id", "heart_rate_bpm", "rhythm")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS study_id, p_brand AS modality, CAST(p_size AS INTEGER) AS series_count, CASE WHEN p_partkey % 2 = 0 THEN '1.2.' || p_partkey END AS dicom_binary_id FROM part")
-def fhir_imaging_study(t: Tables) -> DataFrame:
-    """Every second study has image headers, which are joined by study UID."""
-    uid = F.concat(F.lit("1.2."), F.col("p_partkey").cast("string"))
-    raw = bundles(t.part, "p_partkey", "ImagingStudy", identifier=F.array(F.struct(F.concat(F.lit("urn:oid:"), uid).alias("value"))), series=F.array(F.struct(F.struct(F.col("p_brand").alias("code")).alias("modality"))), numberOfSeries=F.col("p_size"))
-    from tidewell.sources.dicom import HEADER_FIELDS
+def dicom_files(t: Tables) -> DataFrame:
+    """An image header for each supplier, as executors read it from files; the first name is that of a file of others."""
+    key = F.col("s_suppkey").cast("string")
+    even = lambda c: F.when(F.length(c) % 2 == 1, F.concat(c, F.lit(" "))).otherwise(c)
+    two = lambda n: F.unhex(F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("00")))
 
-    headers = t.part.where("p_partkey % 2 = 0").select(uid.alias("study_uid"), *(F.lit(None).cast(k).alias(n) for n, k in HEADER_FIELDS.items()))
-    return table("imaging_study", raw, headers=headers).select("study_id", "modality", "series_count", "dicom_binary_id")
+    def element(tag: str, kind: str, value: Column) -> Column:
+        return F.concat(F.unhex(F.lit(tag)), F.encode(F.lit(kind), "UTF-8"), two(F.octet_length(value)), value)
+
+    said = lambda tag, kind, c: element(tag, kind, F.encode(even(c), "UTF-8"))
+    content = F.concat(
+        F.unhex(F.lit("00" * 128)), F.encode(F.lit("DICM"), "UTF-8"), element("02001000", "UI", F.unhex(F.lit(b"1.2.840.10008.1.2.1\0".hex()))), said("08002000", "DA", F.lit("19940115")), said("08007000", "LO", F.col("s_name")),
+        said("08003010", "LO", F.when(F.col("s_suppkey") % 2 == 0, "UNKNOWN").otherwise(F.concat(F.lit("study "), key))), said("18005000", "DS", F.lit("1.5")), element("28001000", "US", two(F.col("s_nationkey") + 1)), F.unhex(F.lit("e07f1000")), F.encode(F.lit("OW"), "UTF-8"), F.unhex(F.lit("ffff")),
+    )
+    name = F.concat(F.lit("Ann1_Bee2_00000000-0000-0000-0000-"), F.lpad(key, 12, "0"), F.lit("1.2."), key, F.lit(".dcm"))
+    root = scratch(t.spark)
+    rows = t.supplier.select(F.lit("A").alias("cohort"), name.alias("file"), content.alias("content"))
+    more = t.spark.createDataFrame([("A", "other.dcm", bytearray(b"x")), ("A", "A_B_00000000-0000-0000-0000-0000000000001.9.dcm", bytearray(b"no image"))], "cohort string, file string, content binary")
+    failed, why = bronze.copy_files(rows.unionByName(more), root)
+    assert not failed, why
+    return dicom.read(t.spark, root)
+
+
+HEADERS_SQL = """(SELECT '1.2.' || s_suppkey AS study_uid, CASE WHEN s_suppkey % 2 = 1 THEN 'study ' || s_suppkey END AS study_description, CAST(NULL AS VARCHAR) AS series_description, DATE '1994-01-15' AS study_date, s_name AS manufacturer,
+ CAST(NULL AS DOUBLE) AS magnetic_field_strength, CAST(1.5 AS DOUBLE) AS slice_thickness_mm, CAST(s_nationkey + 1 AS INTEGER) AS rows, CAST(NULL AS INTEGER) AS columns FROM supplier)"""
+
+
+@query(f"SELECT * FROM {HEADERS_SQL}")
+def dicom_headers(t: Tables) -> DataFrame:
+    return dicom_files(t)
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS study_id, '' AS patient_id, '' AS encounter_id, CAST(NULL AS VARCHAR) AS started_date, 'available' AS status, p_brand AS modality, 's' || p_partkey AS body_site, p_type AS body_site_display, CAST(p_size AS INTEGER) AS series_count, CAST(p_size + 1 AS INTEGER) AS instance_count,
+ study_description, series_description, study_date, manufacturer, magnetic_field_strength, slice_thickness_mm, h.rows AS rows, h.columns AS columns, study_uid AS dicom_binary_id, study_uid IS NOT NULL AS dicom_extracted, p_partkey || '.json' AS source_file FROM part LEFT JOIN {HEADERS_SQL} h ON study_uid = '1.2.' || p_partkey""")
+def fhir_imaging_study(t: Tables) -> DataFrame:
+    """Studies that have image headers are joined with them by study UID."""
+    uid = F.concat(F.lit("urn:oid:1.2."), F.col("p_partkey").cast("string"))
+    series = F.struct(F.struct(F.col("p_brand").alias("code")).alias("modality"), F.struct(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_type").alias("display")).alias("bodySite"))
+    raw = bundles(t.part, "p_partkey", "ImagingStudy", status=F.lit("available"), identifier=F.array(F.struct(F.lit("x").alias("value")), F.struct(uid.alias("value"))), series=F.array(series), numberOfSeries=F.col("p_size"), numberOfInstances=F.col("p_size") + 1)
+    return table("imaging_study", raw, headers=dicom_files(t))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS report_id, s_name AS gene_panel_name, s_suppkey % 2 = 1 AS has_pathogenic_variant, s_suppkey % 3 = 0 AS family_history_flag FROM (SELECT s_suppkey, 'DNA ' || s_name AS s_name FROM supplier)")
@@ -148,16 +258,55 @@ def fhir_genomic_report(t: Tables) -> DataFrame:
     return table("genomic_report", raw).select("report_id", "gene_panel_name", "has_pathogenic_variant", "family_history_flag")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS city FROM customer")
+def people(t: Tables) -> DataFrame:
+    """Forty bundles of customers with their orders and one problem each, as files' contents: cohort, file, content."""
+    urn = lambda c: F.concat(F.lit("urn:uuid:"), c.cast("string"))
+    none = lambda kind: F.lit(None).cast(kind)
+    ref_type, concept = "struct<reference:string>", "struct<coding:array<struct<code:string,display:string>>>"
+
+    def entry(kind, key, **x):
+        r = F.struct(F.lit(kind).alias("resourceType"), key.alias("id"), *(x.get(n, none(k)).alias(n) for n, k in {"birthDate": "string", "address": "array<struct<city:string>>", "subject": ref_type, "period": "struct<start:string>", "code": concept, "onsetDateTime": "string"}.items()))
+        return F.struct(urn(key).alias("fullUrl"), r.alias("resource"))
+
+    shown_code = F.struct(F.array(F.struct(F.lit("1").alias("code"), F.col("c_mktsegment").alias("display"))).alias("coding"))
+    who = F.col("c_custkey").cast("string")
+    own = t.customer.select("c_custkey", F.explode(F.array(
+        entry("Patient", who, birthDate=birth().cast("string"), address=F.array(F.struct(F.col("c_name").alias("city")))),
+        entry("Condition", F.concat(F.lit("c"), who), subject=refer("Patient/", F.col("c_custkey")), code=shown_code, onsetDateTime=F.lit("1996-01-01")),
+    )).alias("e"))
+    met = t.orders.select(F.col("o_custkey").alias("c_custkey"), entry("Encounter", F.concat(F.lit("e"), F.col("o_orderkey").cast("string")), subject=refer("urn:uuid:", F.col("o_custkey")), period=F.struct(instant("o_orderdate").alias("start"))).alias("e"))
+    rows = own.unionAll(met).groupBy((F.col("c_custkey") % 40).alias("part")).agg(F.collect_list("e").alias("entry"))
+    return wrapped(rows, "part", F.col("entry")).select("cohort", "file", F.encode("value", "UTF-8").alias("content"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS patient_id, {BIRTH_SQL} AS birth_date, c_name AS city FROM customer")
 def stream_replay(t: Tables) -> DataFrame:
-    """Customers as bundle files, landed, streamed and merged twice: the table is that of one batch."""
+    """Bundle files, streamed and merged twice: the table is that of one batch."""
     from tidewell.streaming.replay import replay
 
-    root = f"{(t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewell-')).rstrip('/')}/replay-{uuid.uuid4().hex}"
-    one = F.struct(F.struct(F.lit("Patient").alias("resourceType"), F.col("c_custkey").cast("string").alias("id"), F.array(F.struct(F.col("c_name").alias("city"))).alias("address")).alias("resource"))
-    rows = t.customer.withColumn("part", F.col("c_custkey") % 6).groupBy("part").agg(F.collect_list(one).alias("entry"))
-    bronze.copy_texts(wrapped(rows, "part", F.col("entry")), f"{root}/raw")
-    store = Store(t.spark, f"{root}/lake", 2)
+    root = scratch(t.spark)
+    bronze.copy_files(people(t), f"{root}/raw")
+    store = Store(t.spark, f"{root}/lake")
     for _ in range(2):
-        replay(store, f"{root}/raw", f"{root}/check", per_trigger=3, tables=("patient",)).awaitTermination()
-    return store.table("silver", "patient").read().select("patient_id", "city")
+        replay(store, f"{root}/raw", f"{root}/check", per_trigger=14, tables=("patient",)).awaitTermination()
+    return store.table("silver", "patient").read().select("patient_id", "birth_date", "city")
+
+
+@query(f"""WITH e AS (SELECT *, CAST(o_orderdate AS DATE) AS day, {BIRTH_SQL} AS b FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+ SELECT 'e' || o_orderkey AS encounter_id, CAST(o_custkey AS VARCHAR) AS patient_id, day AS encounter_date, {AGE_SQL} AS patient_age, CASE WHEN day >= DATE '1996-01-01' THEN c_mktsegment ELSE '' END AS conditions, (SELECT count(*) FROM customer) AS patients, (SELECT count(*) FROM orders) AS manifest_rows, 1 AS log_runs FROM e""")
+def bundles_to_summary(t: Tables) -> DataFrame:
+    """The whole way: files landed in cohorts, ten tables, ingest log, summary and manifest, by the jobs themselves."""
+    from tidewell.plans import jobs
+    from tidewell.sources.platforms import Local
+
+    root = scratch(t.spark)
+    platform = Local(t.spark, f"{root}/lake")
+    bronze.copy_files(people(t), f"{root}/source")
+    for cohort in "ABC":
+        bronze.land(t.spark, f"{root}/source/cohort={cohort}", f"{platform.bronze}", 2)
+    results = jobs.build_silver(platform)
+    manifest = jobs.build_gold(platform)
+    runs = platform.read_silver("ingest_log").groupBy("table").count().agg(F.max("count")).first()[0]
+    rows = platform.read_gold("encounter_summary").select("encounter_id", "patient_id", "encounter_date", "patient_age", F.array_join("active_conditions", "|").alias("conditions"))
+    patients = next(r.row_count for r in results if r.table == "patient")
+    return rows.withColumns({"patients": F.lit(patients).cast("long"), "manifest_rows": F.lit(manifest["row_count"]).cast("long"), "log_runs": F.lit(runs).cast("int")})

@@ -6,17 +6,17 @@ F), requests (active where l_returnflag is A) and procedures, events for observa
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions import scalars as S
 from tidewell.operators import relational as R
 from tidewell.plans import quality
 from tidewell.plans.gold import NAMESPACE
+from tidewell.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,13 @@ def encounters(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("patient_id"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("kind"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A frame as a table in the shared folder, so that what reads it several times computes it once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def facts(t: Tables) -> DataFrame:
     """patient_id, display, start, stop, status of every lineitem row."""
     start = F.to_date("l_shipdate")
@@ -156,24 +163,6 @@ def summary_uuid5(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("encounter_id"), S.uuid5(NAMESPACE, F.col("o_orderkey").cast("string")).alias("summary_id"))
 
 
-@query(
-    f"""WITH {FACTS} SELECT summary_id, e.encounter_id, e.patient_id, {AGE_SQL} AS age, c_mktsegment AS segment, kind, day, coalesce(active_conditions, '') AS active_conditions, coalesce(active_medications, '') AS active_medications,
- coalesce(procedures, '') AS procedures, v.value AS last_purchase, coalesce(v.n, 0) AS n_events, v.n IS NOT NULL AS has_events
- FROM enc e JOIN {UUID_SQL} u ON e.encounter_id = u.encounter_id LEFT JOIN (SELECT *, {BIRTH_SQL} AS b FROM customer) ON e.patient_id = c_custkey
- LEFT JOIN ({CONDITIONS_SQL}) c ON c.encounter_id = e.encounter_id LEFT JOIN ({MEDICATIONS_SQL}) m ON m.encounter_id = e.encounter_id
- LEFT JOIN (SELECT encounter_id, string_agg(DISTINCT display, '|' ORDER BY display) AS procedures FROM facts GROUP BY 1) p ON p.encounter_id = e.encounter_id
- LEFT JOIN (SELECT user_id, count(*) AS n, max(value) FILTER (WHERE event_type = 'purchase' AND rn = 1) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY 1) v ON v.user_id = e.encounter_id"""
-)
-def encounter_summary(t: Tables) -> DataFrame:
-    done = facts(t).groupBy("encounter_id").agg(R.distinct_list(F.col("display")).alias("procedures"))
-    seen = t.events.groupBy(F.col("user_id").alias("encounter_id")).agg(F.count("*").alias("n"), R.latest_if(F.col("event_type") == "purchase", F.col("value"), F.col("ts"), F.col("event_id")).alias("last_purchase"))
-    rows = base(t)
-    for part in (conditions(t), medications(t), done, seen):
-        rows = rows.join(part, "encounter_id", "left")
-    listed = [F.coalesce(joined(c), F.lit("")).alias(c) for c in ("active_conditions", "active_medications", "procedures")]
-    return rows.select(S.uuid5(NAMESPACE, F.col("encounter_id").cast("string")).alias("summary_id"), "encounter_id", "patient_id", "age", "segment", "kind", "day", *listed, "last_purchase", F.coalesce("n", F.lit(0).cast("long")).alias("n_events"), F.col("n").isNotNull().alias("has_events"))
-
-
 @query("SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN 'ref:none' ELSE 'ref:' || substr(sha256(source), 1, 10) END AS ref FROM documents")
 def redact_ref(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.redact(F.col("source")).alias("ref"))
@@ -190,10 +179,10 @@ def strip_reference(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", S.strip_reference(form).alias("stripped"))
 
 
-@query("SELECT doc_id, md5(text) AS digest, true AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT doc_id, md5(text) AS digest, true AS same FROM documents")
 def soap_base64_roundtrip(t: Tables) -> DataFrame:
     text = S.decoded_text(F.base64(F.encode("text", "UTF-8")))
-    return t.documents.where("text <> ''").select("doc_id", F.md5(text.cast("binary")).alias("digest"), (text == F.col("text")).alias("same"))
+    return t.documents.select("doc_id", F.md5(text.cast("binary")).alias("digest"), text.eqNullSafe(F.col("text")).alias("same"))
 
 
 NOTE_SQL = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# Chief Complaint' || chr(10) WHEN 1 THEN '## Assessment and Plan' || chr(10) WHEN 2 THEN ' plan : ' ELSE '' END || text AS note FROM documents)"
@@ -222,11 +211,11 @@ def keyword_classify_precedence(t: Tables) -> DataFrame:
     return t.part.groupBy(F.coalesce(S.report_kind(said), F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, contains(s, 'pathogenic') AND NOT (" + " OR ".join(f"contains(s, '{w}')" for w in S.DENIALS) + ") AS asserted FROM (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'No pathogenic variants. ' WHEN 1 THEN 'Likely Pathogenic. ' ELSE '' END || text) AS s FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, coalesce(contains(s, 'pathogenic') AND NOT (" + " OR ".join(f"contains(s, '{w}')" for w in S.DENIALS) + "), false) AS asserted FROM (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'No pathogenic variants. ' WHEN 1 THEN 'Likely Pathogenic. ' ELSE '' END || text) AS s FROM documents)")
 def pathogenic_negation(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
     said = F.concat(F.when(k == 0, "No pathogenic variants. ").when(k == 1, "Likely Pathogenic. ").otherwise(""), "text")
-    return t.documents.where("text is not null").select("doc_id", S.denied_aware(said).alias("asserted"))
+    return t.documents.select("doc_id", S.denied_aware(said).alias("asserted"))
 
 
 @query("SELECT o_orderkey, " + ", ".join(f"max(CASE WHEN l_returnflag = '{f}' THEN q END) AS q_{f.lower()}" for f in "ANR") + " FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag, l_quantity AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1) ON o_orderkey = l_orderkey GROUP BY 1")
@@ -243,9 +232,15 @@ def nested_extension_lookup(t: Tables) -> DataFrame:
     return t.events.select("event_id", subs.alias("subs")).select("event_id", F.coalesce(first("text"), first("k"), F.lit("")).alias("value"))
 
 
-@query("SELECT event_id, TRY_CAST(event_type AS DOUBLE) AS bad, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS good, TRY_CAST(substr(CAST(ts AS VARCHAR), 1, 10) AS DATE) AS day, TRY_CAST(event_type AS DATE) AS no_day FROM events")
+@query("""SELECT event_id, TRY_CAST(event_type AS DOUBLE) AS bad, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS good, TRY_CAST(substr(CAST(ts AS VARCHAR), 1, 10) AS DATE) AS day, TRY_CAST(event_type AS DATE) AS no_day,
+ CAST(event_id AS INTEGER) AS whole, CAST(NULL AS INTEGER) AS fraction, event_id % 2 = 0 AS flag, CAST(trunc(value) AS INTEGER) AS number, CAST(NULL AS VARCHAR) AS missing FROM events""")
 def typed_coercion_try_cast(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.col("event_type").try_cast("double").alias("bad"), F.col("value").cast("string").try_cast("double").alias("good"), S.as_date(F.col("ts").cast("string")).alias("day"), S.as_date(F.col("event_type")).alias("no_day"))
+    from tidewell.plans.silver import coerced
+
+    odd = {"bad": F.col("event_type"), "good": F.col("value").cast("string"), "day": F.col("ts").cast("string"), "no_day": F.col("event_type"), "whole": F.concat(F.lit(" "), F.col("event_id").cast("string"))}
+    odd |= {"fraction": F.concat(F.col("event_id").cast("string"), F.lit(".7")), "flag": F.when(F.col("event_id") % 2 == 0, "no").otherwise(""), "number": F.col("value")}
+    schema = T._parse_datatype_string("event_id long, bad double, good double, day date, no_day date, whole int, fraction int, flag boolean, number int, missing string")
+    return coerced(t.events.select("event_id", *(c.alias(n) for n, c in odd.items())), schema)
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -258,11 +253,30 @@ def round_robin_cohort(t: Tables) -> DataFrame:
     return R.round_robin(t.documents.select(F.concat("source", F.lit(".json")).alias("name")).distinct(), "name", 3)
 
 
-@query("SELECT source AS cohort, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+@query("SELECT chr(CAST(65 + s_suppkey % 3 AS INTEGER)) AS cohort, count(*) AS files, CAST(sum(length('{\"k\": ' || s_suppkey || '}')) AS BIGINT) AS bytes FROM supplier GROUP BY 1")
 def bronze_inventory(t: Tables) -> DataFrame:
-    from tidewell.sources.bronze import totals
+    """Files written by the executors, then listed."""
+    from tidewell.sources import bronze
 
-    return totals(t.documents.select(F.col("source").alias("cohort"), F.col("n_chars").alias("bytes")))
+    root, key = scratch(t.spark), F.col("s_suppkey").cast("string")
+    content = F.encode(F.concat(F.lit('{"k": '), key, F.lit("}")), "UTF-8")
+    failed, _ = bronze.copy_files(t.supplier.select(F.char(F.lit(65) + F.col("s_suppkey") % 3).alias("cohort"), F.concat(key, F.lit(".json")).alias("file"), content.alias("content")), root)
+    assert not failed
+    return bronze.totals(bronze.inventory(t.spark, root))
+
+
+@query("""SELECT chr(CAST(65 + (row_number() OVER (ORDER BY name) - 1) % 2 AS INTEGER)) AS cohort, name AS file, length(name) + 6 AS bytes FROM (SELECT s_name || '.json' AS name FROM supplier) ORDER BY name LIMIT 30""")
+def bronze_landing(t: Tables) -> DataFrame:
+    """The first 30 files by name, landed in two cohorts, twice: the second time changes nothing."""
+    from tidewell.sources import bronze
+
+    root = scratch(t.spark)
+    name = F.concat("s_name", F.lit(".json"))
+    bronze.copy_files(t.supplier.select(F.lit("X").alias("cohort"), name.alias("file"), F.encode(F.concat(F.lit('["'), name, F.lit('"]\r\n')), "UTF-8").alias("content")), f"{root}/source")
+    for _ in range(2):
+        told = bronze.land(t.spark, f"{root}/source/cohort=X", f"{root}/raw", 2, most=30)
+    assert told == bronze.manifest(t.spark, f"{root}/raw") and told["files"] == min(30, t.supplier.count())
+    return bronze.inventory(t.spark, f"{root}/raw").select("cohort", "file", "bytes")
 
 
 def accounts(t: Tables, changed: bool = False) -> DataFrame:
@@ -277,39 +291,52 @@ CHANGED_SQL = "src AS (SELECT c_custkey, c_mktsegment, c_acctbal + 1 AS c_acctba
 MERGED_SQL = "SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE c_custkey NOT IN (SELECT c_custkey FROM src)"
 
 
+def accounts_table(t: Tables, *, twice: bool = False, share: float = 0.2):
+    """A stored table of accounts, into which the changes are merged."""
+    from tidewell.sources.tables import Store
+
+    table = Store(t.spark, scratch(t.spark), share).table("silver", "accounts")
+    table.create(accounts(t).unionByName(accounts(t).where("c_custkey % 7 = 0"))) if twice else table.merge(accounts(t), "c_custkey")
+    table.merge(accounts(t, True), "c_custkey", batch="one")
+    return table
+
+
 @query(f"WITH {CHANGED_SQL} {MERGED_SQL}")
 def merge_upsert(t: Tables) -> DataFrame:
-    return R.merged(accounts(t), accounts(t, True), "c_custkey")
+    return accounts_table(t).read()
+
+
+@query(f"WITH {CHANGED_SQL} {MERGED_SQL}")
+def merge_by_delta(t: Tables) -> DataFrame:
+    """The same where the changes stay beside the table, are merged again, and are read by version."""
+    table = accounts_table(t, share=10.0)
+    table.merge(accounts(t, True).where("c_custkey % 20 = 0"), "c_custkey")
+    assert len(table.commit_of(2)["deltas"]) == 2
+    return table.read(2)
 
 
-@query(f"WITH {CHANGED_SQL} SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, count(*) - count(DISTINCT c_custkey) AS n_duplicates FROM ({MERGED_SQL})")
+@query(f"WITH {CHANGED_SQL} SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, count(*) - count(DISTINCT c_custkey) AS n_duplicates, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS n_before FROM ({MERGED_SQL})")
 def merge_dirty_target(t: Tables) -> DataFrame:
-    dirty = accounts(t).unionByName(accounts(t).where("c_custkey % 7 = 0"))
-    out = R.merged(dirty, accounts(t, True), "c_custkey")
-    return out.agg(F.count("*").alias("n_rows"), F.countDistinct("c_custkey").alias("n_keys")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_keys"))
+    table = accounts_table(t, twice=True)
+    before = R.duplicates(table.read(0), "c_custkey").agg(F.count("*").alias("n_before"))
+    return table.read().agg(F.count("*").alias("n_rows"), F.countDistinct("c_custkey").alias("n_keys")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_keys")).join(before)
 
 
 @query(f"""WITH {CHANGED_SQL} SELECT c_custkey, c_acctbal, CASE WHEN c_custkey IN (SELECT c_custkey FROM tgt) THEN 'update_postimage' ELSE 'insert' END AS _change_type FROM src
  UNION ALL SELECT c_custkey, c_acctbal, 'update_preimage' FROM tgt WHERE c_custkey IN (SELECT c_custkey FROM src)""")
 def change_feed(t: Tables) -> DataFrame:
-    before = accounts(t)
-    return R.changes(before, R.merged(before, accounts(t, True), "c_custkey"), "c_custkey").select("c_custkey", "c_acctbal", "_change_type")
+    return accounts_table(t).changes(1, 1).select("c_custkey", "c_acctbal", "_change_type")
 
 
-@query()
+@query(f"""WITH {CHANGED_SQL}, n AS (SELECT count(*) AS n FROM tgt), m AS (SELECT count(*) AS m FROM ({MERGED_SQL})) SELECT 0 AS version, 'create' AS operation, n AS rows FROM n UNION ALL SELECT 1, 'merge', m FROM m
+ UNION ALL SELECT 2, 'append', m + (SELECT count(*) FROM tgt WHERE c_custkey % 100 = 1) FROM m UNION ALL SELECT 3, 'overwrite', n FROM n""")
 def table_versions(t: Tables) -> DataFrame:
-    """A stored table through three commits: its history."""
-    import tempfile
-
-    from tidewell.sources.tables import Store
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-    table = Store(t.spark, f"{root.rstrip('/')}/lake-{uuid.uuid4().hex}", 4).table("silver", "accounts")
-    table.merge(accounts(t), "c_custkey")
-    table.merge(accounts(t, True), "c_custkey", batch="one")
+    """A stored table through four commits; a batch that comes again is none."""
+    table = accounts_table(t)
     table.merge(accounts(t, True), "c_custkey", batch="one")
-    table.append(accounts(t).limit(5))
-    return table.history().select("version", "operation", "rows")
+    table.append(accounts(t).where("c_custkey % 100 = 1"))
+    table.overwrite(accounts(t))
+    return table.history().select(F.col("version").cast("int").alias("version"), "operation", "rows")
 
 
 @query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -357,12 +384,6 @@ def ingest_log(t: Tables) -> DataFrame:
     return quality.log_tail(rows).select(F.col("table").alias("tbl"), "row_count", "passed")
 
 
-@query(f"WITH {FACTS}, c AS (SELECT e.encounter_id, count(DISTINCT f.display) AS n FROM enc e LEFT JOIN facts f ON e.patient_id = f.patient_id AND f.start <= e.day AND (f.stop IS NULL OR f.stop > e.day) GROUP BY 1) SELECT count(*) AS encounters, (SELECT count(DISTINCT patient_id) FROM enc) AS distinct_patients, count(*) FILTER (WHERE n > 0) AS with_conditions, round(avg(n), 3) AS avg_conditions FROM c")
-def corpus_stats(t: Tables) -> DataFrame:
-    rows = encounters(t).join(conditions(t), "encounter_id", "left").withColumn("n", F.coalesce(F.size("active_conditions"), F.lit(0)))
-    return rows.agg(F.count("*").alias("encounters"), F.countDistinct("patient_id").alias("distinct_patients"), F.count_if(F.col("n") > 0).alias("with_conditions"), F.round(F.avg("n"), 3).alias("avg_conditions"))
-
-
 COUNTS = ("customer", "orders", "lineitem", "part", "events", "documents", "conversations")
 
 
@@ -452,11 +473,6 @@ def year_segment_volume(t: Tables) -> DataFrame:
     return per.join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment")), F.col("o_custkey") == F.col("c_custkey")).groupBy("year", "segment").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT role AS resource_type, count(*) AS n FROM conversations GROUP BY 1")
-def resource_histogram(t: Tables) -> DataFrame:
-    return t.conversations.groupBy(F.col("role").alias("resource_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "resource_type")
-
-
 @query("SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def orphan_references(t: Tables) -> DataFrame:
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count("*").alias("n"))

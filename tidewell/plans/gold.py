@@ -19,6 +19,7 @@ SOURCES = tuple(TABLES)
 NAMESPACE = uuid.UUID("5c0d9b1e-1f7a-5a3c-9b2e-7d6f4a2c8e10")
 HEART_RATE, TEMPERATURE, OXYGEN, PRESSURE = ("8867-4",), ("8310-5",), ("2708-6", "59408-5"), "85354-9"
 SYSTOLIC, DIASTOLIC = "8480-6", "8462-4"
+# Columns of the summary, and which of them must be there and may be null.
 VITALS = "struct<heart_rate:double,bp_systolic:double,bp_diastolic:double,temperature:double,o2_saturation:double>"
 LABS = "array<struct<name:string,value:double,unit:string>>"
 IMAGING = "struct<has_imaging:boolean,modality:string,body_site_display:string,study_description:string,study_date:date,series_count:int,dicom_binary_id:string>"
@@ -37,19 +38,21 @@ def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
     return encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date")).join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
 
 
-def conditions(base: DataFrame, condition: DataFrame, salts: int = 1) -> DataFrame:
-    """Problems that hold on each encounter's day, whichever encounter recorded them."""
-    facts = condition.where("display is not null").select("patient_id", "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to")).distinct()
-    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), facts, "patient_id", "encounter_date", "_from", "_to", salts)
-    return met.groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("active_conditions"))
+def problems(base: DataFrame, condition: DataFrame, request: DataFrame, salts: int = 1) -> DataFrame:
+    """Conditions that hold on each encounter's day, whichever encounter recorded them, and active medications from
+    their earliest start on: one join for both."""
+    held = condition.where("display is not null").select("patient_id", F.lit("c").alias("_what"), "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to")).distinct()
+    active = request.where("display is not null and status = 'active'").select("patient_id", "display", F.to_date("authored_on").alias("_on"))
+    taken = earliest(active, ["patient_id", "display"], "_on", "_from").select("patient_id", F.lit("m").alias("_what"), "display", "_from", F.lit(None).cast("date").alias("_to"))
+    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), held.unionByName(taken), "patient_id", "encounter_date", "_from", "_to", salts)
+    of = lambda what: distinct_list(F.when(F.col("_what") == what, F.col("display")))
+    return met.groupBy("encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
 
 
-def medications(base: DataFrame, request: DataFrame, salts: int = 1) -> DataFrame:
-    """Active medications from their earliest start on."""
-    active = request.where("display is not null and status = 'active'").select("patient_id", "display", F.to_date("authored_on").alias("_on"))
-    facts = earliest(active, ["patient_id", "display"], "_on", "_from")
-    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), facts, "patient_id", "encounter_date", "_from", None, salts)
-    return met.groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("active_medications"))
+def salts_for(encounter: DataFrame, most: int = 20_000) -> int:
+    """Parts to deal a patient's encounters to, so that none has more than ``most``."""
+    n = encounter.groupBy("patient_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-n // most))
 
 
 def observed(observation: DataFrame) -> DataFrame:
@@ -86,8 +89,7 @@ def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Colum
     done = s["procedure"].where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
     rows = base
     for part in (
-        conditions(base, s["condition"], salts),
-        medications(base, s["medication_request"], salts),
+        problems(base, s["condition"], s["medication_request"], salts),
         observed(s["observation"]),
         done,
         last_row(s["soap_note"], "note_date", "note_id", soap_note_text="note_text", soap_note_id="note_id"),
@@ -131,6 +133,7 @@ def coverage(gold: DataFrame) -> dict:
     return r.asDict()
 
 
+# The keys of the manifest.
 def manifest(gold: DataFrame, counts: Mapping[str, int], created: datetime, platform: str, versions: Mapping[str, int | None] | None = None) -> dict:
     stats = coverage(gold)
     return {

@@ -4,75 +4,70 @@ from __future__ import annotations
 
 import argparse
 import json
-import logging
+import os
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans import gold, quality, silver
-from tidewell.sources import bronze, dicom
-from tidewell.sources.tables import Store
+from tidewell.sources import bronze, dicom, platforms
+from tidewell.sources.platforms import Platform
 
-logger = logging.getLogger("tidewell")
 
-
-def alert(level: str, message: str, raising: bool = False) -> None:
-    """Log a message; a critical one may stop the job."""
-    logger.log({"info": 20, "warning": 30, "critical": 50}.get(level, 30), message)
-    if raising and level == "critical":
-        raise RuntimeError(message)
-
-
-def metric(table: str, name: str, value: float) -> None:
-    logger.info("metric table=%s %s=%s", table, name, value)
-
-
-def build_silver(store: Store, root: str, cohort: str | None = None, images: str | None = None) -> list[quality.Result]:
+def build_silver(platform: Platform, cohort: str | None = None, images: str | None = None) -> list[quality.Result]:
     """Parse a cohort, or all, once; upsert the ten tables; append to the ingest log. No files: RuntimeError."""
-    spark = store.spark
-    raw = bronze.scan(spark, root, cohort)
-    bad = silver.unreadable(raw).count()
-    if bad:
-        alert("warning", f"{bad} files could not be read")
-    res = silver.resources(raw).persist()
+    spark, store = platform.spark, platform.store
+    fs, path = bronze.filesystem(spark, platform.root)
+    place = platform.files("_staging", uuid.uuid4().hex)
     try:
+        res, unreadable = silver.staged(platform.read_bronze(cohort), place)
+        bad = unreadable.count()
+        if bad:
+            platform.alert("warning", f"{bad} files could not be read")
         if res.isEmpty():
             raise RuntimeError(f"no bundles in {'any cohort' if cohort is None else f'cohort {cohort}'}")
         headers = dicom.read(spark, images) if images else None
         now, results = datetime.now(UTC), []
         for table in silver.TABLES.values():
             df = silver.build(table.name, res, F.lit(now), **({"headers": headers} if table.name == "imaging_study" else {}))
-            store.table("silver", table.name).merge(df, table.key)
-            results.append(quality.validate(table.name, store.table("silver", table.name).read()))
-            metric(table.name, "rows", results[-1].row_count)
+            platform.write_silver(table.name, df, key=table.key)
+            results.append(quality.validate(table.name, platform.read_silver(table.name)))
+            platform.metric(table.name, "rows", results[-1].row_count)
+            if not results[-1].passed:
+                platform.alert("warning", f"{table.name}: {','.join(results[-1].failed_checks)}")
+        platform.metric("silver", "quality_score", quality.score(results))
         store.table("silver", "ingest_log").append(quality.log_rows(spark, results, now))
         return results
     finally:
-        res.unpersist()
+        fs.delete(path(place), True)
+
 
+def build_gold(platform: Platform, salts: int | None = None) -> dict:
+    """Build, overwrite and describe the summary; returns the manifest, which is written beside the table.
 
-def build_gold(store: Store, platform: str = "spark") -> dict:
-    """Build, overwrite and describe the summary; returns the manifest, which is written beside the table."""
-    tables = {n: store.table("silver", n) for n in silver.TABLES}
-    missing = [n for n, t in tables.items() if t.version() is None]
+    ``salts``: parts that the encounters of each patient are dealt to, by their number if not given.
+    """
+    missing = [n for n in silver.TABLES if platform.version("silver", n) is None]
     if missing:
         raise KeyError(f"missing tables: {', '.join(missing)}")
-    versions, now = {n: t.version() for n, t in tables.items()}, datetime.now(UTC)
-    frames = {n: t.read() for n, t in tables.items()}
-    out = store.table("gold", "encounter_summary")
-    out.overwrite(gold.encounter_summary(frames, now, versions), "encounter_id")
-    manifest = gold.manifest(out.read(), {n: t.commit_of(versions[n]) and t.read().count() for n, t in tables.items()}, now, platform, versions)
-    bronze.write_text(store.spark, f"{store.path('gold')}/_metadata/corpus_manifest.json", json.dumps(manifest, indent=2))
+    versions, now = {n: platform.version("silver", n) for n in silver.TABLES}, datetime.now(UTC)
+    frames = {n: platform.read_silver(n, v) for n, v in versions.items()}
+    platform.write_gold("encounter_summary", gold.encounter_summary(frames, now, versions, salts or gold.salts_for(frames["encounter"])), "encounter_id")
+    rows = {n: platform.store.table("silver", n).commit_of(v)["rows"] for n, v in versions.items()}
+    manifest = gold.manifest(platform.read_gold("encounter_summary"), rows, now, platform.name, versions)
+    platform.write_manifest(manifest)
     return manifest
 
 
-def anchor(gold_: DataFrame, conditions: int = 3, medications: int = 3) -> str | None:
-    """The first patient with enough conditions, medications and a note; with fewer demands where there is none."""
-    r = gold_.groupBy("patient_id").agg(F.max(F.size("active_conditions")).alias("c"), F.max(F.size("active_medications")).alias("m"), F.count("soap_note_text").alias("s"))
-    full = F.when((F.col("c") >= conditions) & (F.col("m") >= medications) & (F.col("s") >= 1), 0).when((F.col("c") >= conditions) & (F.col("s") >= 1), 1).when(F.col("s") >= 1, 2).otherwise(3)
-    first = r.orderBy(full, "patient_id").limit(1).collect()
-    return first[0].patient_id if first else None
+def anchor(patient: DataFrame, condition: DataFrame, medication_request: DataFrame, soap_note: DataFrame, conditions: int = 3, medications: int = 3) -> str | None:
+    """The first patient with enough conditions, medications and a note; else the first with a note, else the first."""
+    per = lambda df, n: df.groupBy("patient_id").agg(F.count("*").alias(n))
+    rows = per(soap_note, "s").join(per(condition, "c"), "patient_id", "left").join(per(medication_request, "m"), "patient_id", "left")
+    enough = F.coalesce((F.col("c") >= conditions) & (F.col("m") >= medications), F.lit(False))
+    best = rows.agg(F.min(F.when(enough, F.col("patient_id"))).alias("a"), F.min("patient_id").alias("b")).first()
+    return best.a or best.b or patient.agg(F.min("patient_id")).first()[0]
 
 
 def card(gold_: DataFrame) -> dict | None:
@@ -81,19 +76,13 @@ def card(gold_: DataFrame) -> dict | None:
     return rows[0].asDict(True) if rows else None
 
 
-def markdown(df: DataFrame, rows: int = 5, width: int = 60) -> str:
-    """The first rows as a Markdown table; long values end in an ellipsis."""
-    cell = lambda x: (s if len(s := str(x).replace("|", "\\|").replace("\n", " ")) <= width else s[: width - 1] + "…")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(rows).collect()])
-
-
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidewell")
     parser.add_argument("step", choices=["land", "silver", "gold", "all"])
     parser.add_argument("--source", help="folder of JSON bundles to land")
-    parser.add_argument("--bronze", required=True)
-    parser.add_argument("--root", required=True, help="folder of the tables")
+    parser.add_argument("--platform", help="name of a platform; TIDEWELL_PLATFORM by default")
+    parser.add_argument("--root", help="folder of all layers; TIDEWELL_ROOT by default")
+    parser.add_argument("--salts", type=int, help="parts that the encounters of each patient are dealt to")
     parser.add_argument("--cohort")
     parser.add_argument("--cohorts", type=int, default=3)
     parser.add_argument("--images")
@@ -101,14 +90,16 @@ def main(args: list[str] | None = None) -> int:
     from tidewell.session import session
 
     spark = SparkSession.getActiveSession() or session()
-    store = Store(spark, given.root)
+    if given.root:
+        os.environ[platforms.Platform.variable] = given.root
+    platform = platforms.get(spark, given.platform)
     if given.step in ("land", "all") and given.source:
-        print(json.dumps(bronze.land(spark, given.source, given.bronze, given.cohorts)))
+        print(json.dumps(bronze.land(spark, given.source, platform.bronze, given.cohorts)))
     if given.step in ("silver", "all"):
-        for r in build_silver(store, given.bronze, given.cohort, given.images):
+        for r in build_silver(platform, given.cohort, given.images):
             print(r.table, r.row_count, "passed" if r.passed else ",".join(r.failed_checks))
     if given.step in ("gold", "all"):
-        print(json.dumps(build_gold(store)))
+        print(json.dumps(build_gold(platform, given.salts)))
     return 0
 
 

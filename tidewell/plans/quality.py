@@ -16,21 +16,26 @@ from tidewell.plans import gold, silver
 LOG_SCHEMA = "table string, row_count long, passed boolean, failed_checks string, ingest_timestamp timestamp"
 
 
-def keyed(key: str, rows: int, *more: str, **rest) -> dict:
-    return {"min_rows": rows, "required_non_null": [key, "patient_id", *more], "unique_keys": [key], **rest}
-
-
+# The rules of the ten tables, and the names that rules go by.
 RULES: dict[str, dict] = {
     "patient": {"min_rows": 100, "required_non_null": ["patient_id", "gender"], "unique_keys": ["patient_id"]},
-    "encounter": keyed("encounter_id", 100),
-    "condition": keyed("condition_id", 50, "code"),
-    "observation": keyed("observation_id", 100, "code"),
-    "medication_request": keyed("medication_request_id", 0),
-    "procedure": keyed("procedure_id", 0),
-    "soap_note": keyed("note_id", 50, "note_text", min_char_count=100, max_short_pct=0.2, required_section_flags=["has_subjective", "has_assessment", "has_plan"], required_sections_pct=0.8),
-    "ecg_metadata": keyed("ecg_id", 0, numeric_ranges={"heart_rate_bpm": [30, 250]}),
-    "imaging_study": keyed("study_id", 0),
-    "genomic_report": keyed("report_id", 0, "data_limitation"),
+    "encounter": {"min_rows": 100, "required_non_null": ["encounter_id", "patient_id"], "unique_keys": ["encounter_id"]},
+    "condition": {"min_rows": 50, "required_non_null": ["condition_id", "patient_id", "code"], "unique_keys": ["condition_id"]},
+    "observation": {"min_rows": 100, "required_non_null": ["observation_id", "patient_id", "code"], "unique_keys": ["observation_id"]},
+    "medication_request": {"min_rows": 0, "required_non_null": ["medication_request_id", "patient_id"], "unique_keys": ["medication_request_id"]},
+    "procedure": {"min_rows": 0, "required_non_null": ["procedure_id", "patient_id"], "unique_keys": ["procedure_id"]},
+    "soap_note": {
+        "min_rows": 50,
+        "required_non_null": ["note_id", "patient_id", "note_text"],
+        "unique_keys": ["note_id"],
+        "min_char_count": 100,
+        "max_short_pct": 0.2,
+        "required_section_flags": ["has_subjective", "has_assessment", "has_plan"],
+        "required_sections_pct": 0.8,
+    },
+    "ecg_metadata": {"min_rows": 0, "required_non_null": ["ecg_id", "patient_id"], "unique_keys": ["ecg_id"], "numeric_ranges": {"heart_rate_bpm": [30, 250]}},
+    "imaging_study": {"min_rows": 0, "required_non_null": ["study_id", "patient_id"], "unique_keys": ["study_id"]},
+    "genomic_report": {"min_rows": 0, "required_non_null": ["report_id", "patient_id", "data_limitation"], "unique_keys": ["report_id"]},
 }
 
 
@@ -139,6 +144,21 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> int:
     return child.where(F.coalesce(key, F.lit("")) != "").join(parent.select(key).distinct(), key, "left_anti").count()
 
 
+def score(results: list[Result], weights: Mapping[str, float] | None = None) -> float:
+    """Share of rules passed, 0 to 1, over all tables; ``weights`` by the rule's name up to its first mark, 1 by default."""
+    total = good = 0.0
+    for r in results:
+        for c in r.checks:
+            w = (weights or {}).get(c.name.partition(":")[0].partition("<")[0].partition(">")[0], 1.0)
+            total, good = total + w, good + w * c.passed
+    return good / total if total else 1.0
+
+
+def outcome_rows(spark: SparkSession, results: list[Result]) -> DataFrame:
+    """table, rule, passed, detail: a row per rule."""
+    return spark.createDataFrame([(r.table, c.name, c.passed, c.detail) for r in results for c in r.checks], "table string, rule string, passed boolean, detail string")
+
+
 def drifted(before: int, now: int, most: float = 0.1) -> bool:
     """Whether a row count changed by more than a share of itself."""
     return abs(now - before) > most * before

@@ -15,26 +15,30 @@ from tidewell.operators.relational import keep_last
 CODING = "struct<system:string,code:string,display:string>"
 CONCEPT = f"struct<coding:array<{CODING}>,text:string>"
 REF = "struct<reference:string>"
-QUANTITY = "struct<value:double,unit:string>"
+#: A reference or a list of them, as JSON text.
+ANY_REF = "string"
+QUANTITY = "struct<value:string,unit:string>"
 PERIOD = "struct<start:string,end:string>"
-#: Every field that a projection reads, of any resource.
+#: Every field that a projection reads, of any resource. Numbers and flags are text here, which takes any JSON value;
+#: projections convert them one by one, so that a value of another type costs nothing but itself.
 RESOURCE = {
     "resourceType": "string", "id": "string", "status": "string", "intent": "string", "gender": "string", "birthDate": "string",
-    "deceasedBoolean": "boolean", "deceasedDateTime": "string", "address": "array<struct<city:string,state:string,postalCode:string>>",
-    "extension": f"array<struct<url:string,valueBoolean:boolean,extension:array<struct<url:string,valueString:string,valueCoding:{CODING}>>>>",
-    "class": CODING, "type": f"array<{CONCEPT}>", "subject": REF, "encounter": REF, "period": PERIOD,
+    "deceasedBoolean": "string", "deceasedDateTime": "string", "address": "array<struct<city:string,state:string,postalCode:string>>",
+    "extension": f"array<struct<url:string,valueBoolean:string,extension:array<struct<url:string,valueString:string,valueCoding:{CODING}>>>>",
+    "class": CODING, "type": f"array<{CONCEPT}>", "subject": ANY_REF, "encounter": ANY_REF, "period": PERIOD,
     "participant": f"array<struct<individual:{REF}>>", "reasonCode": f"array<{CONCEPT}>", "clinicalStatus": CONCEPT, "code": CONCEPT,
     "category": f"array<{CONCEPT}>", "onsetDateTime": "string", "abatementDateTime": "string", "recordedDate": "string",
     "effectiveDateTime": "string", "valueQuantity": QUANTITY, "valueString": "string", "valueCodeableConcept": CONCEPT,
     "component": f"array<struct<code:{CONCEPT},valueQuantity:{QUANTITY}>>", "medicationCodeableConcept": CONCEPT, "authoredOn": "string",
     "dosageInstruction": "array<struct<text:string>>", "performedPeriod": PERIOD, "performedDateTime": "string", "date": "string",
-    "content": "array<struct<attachment:struct<contentType:string,data:string,url:string>>>", "context": f"struct<encounter:array<{REF}>>",
+    "content": "array<struct<attachment:struct<contentType:string,data:string,url:string>>>", "context": f"struct<encounter:{ANY_REF}>",
     "data": "string", "contentType": "string", "conclusion": "string", "result": f"array<{REF}>", "presentedForm": "array<struct<url:string,contentType:string>>",
-    "identifier": "array<struct<system:string,value:string>>", "started": "string", "numberOfSeries": "int", "numberOfInstances": "int",
+    "identifier": "array<struct<system:string,value:string>>", "started": "string", "numberOfSeries": "string", "numberOfInstances": "string",
     "series": f"array<struct<modality:{CODING},bodySite:{CODING}>>",
 }
 ENTRY = "struct<fullUrl:string,resource:struct<" + ",".join(f"`{k}`:{v}" for k, v in RESOURCE.items()) + ">>"
-BUNDLE = f"struct<resourceType:string,id:string,entry:array<{ENTRY}>,_corrupt_record:string>"
+#: Entries stay text at first: what one holds can't spoil the others.
+BUNDLE = "struct<resourceType:string,id:string,entry:array<string>,_corrupt_record:string>"
 #: Fixed value: what every genomic row says of itself.
 LIMITATION = "Synthea simulated inheritance — not clinical variants"
 #: Codes of an ECG's observations.
@@ -47,23 +51,40 @@ def parsed(bronze: DataFrame) -> DataFrame:
     return bronze.withColumn("bundle", F.from_json("value", BUNDLE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).drop("value")
 
 
+NO_BUNDLE = "bundle is null or (bundle._corrupt_record is not null and bundle.entry is null)"
+
+
 def unreadable(bronze: DataFrame) -> DataFrame:
-    """The files that hold no JSON object."""
-    return parsed(bronze).where("bundle is null or bundle._corrupt_record is not null").select("cohort", "file")
+    """The files that hold no JSON object, or one whose entries are no list."""
+    return parsed(bronze).where(NO_BUNDLE).select("cohort", "file")
 
 
 def resources(bronze: DataFrame) -> DataFrame:
-    """cohort, file, pos, url, r: a row per resource. Persist it when several tables are built from it."""
-    rows = parsed(bronze).where("bundle._corrupt_record is null").select("cohort", "file", F.posexplode("bundle.entry").alias("pos", "entry"))
-    return rows.select("cohort", "file", "pos", F.col("entry.fullUrl").alias("url"), F.col("entry.resource").alias("r")).where("r is not null")
+    """cohort, file, pos, url, r, kind: a row per resource. Fields of another type than a projection reads are null."""
+    rows = parsed(bronze).select("cohort", "file", F.posexplode("bundle.entry").alias("pos", "entry"))
+    return of_entries(rows).where("r is not null")
+
+
+def of_entries(rows: DataFrame) -> DataFrame:
+    read = rows.withColumn("e", F.from_json("entry", ENTRY))
+    return read.select("cohort", "file", "pos", F.col("e.fullUrl").alias("url"), F.col("e.resource").alias("r"), F.col("e.resource.resourceType").alias("kind"))
+
+
+def staged(bronze: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Parse once into a table of resources partitioned by kind: (resources, unreadable files). It outlives lost executors."""
+    rows = parsed(bronze).withColumn("bad", F.expr(NO_BUNDLE)).select("cohort", "file", "bad", F.posexplode_outer("bundle.entry").alias("pos", "entry"))
+    read = rows.withColumn("e", F.from_json("entry", ENTRY)).select("cohort", "file", "bad", "pos", F.col("e.fullUrl").alias("url"), F.col("e.resource").alias("r"), F.col("e.resource.resourceType").alias("kind"))
+    read.where("bad or r is not null").write.partitionBy("kind").parquet(path)
+    table = bronze.sparkSession.read.schema(read.schema).parquet(path)
+    return table.where("r is not null").drop("bad"), table.where("kind is null and bad").select("cohort", "file")
 
 
 def histogram(res: DataFrame) -> DataFrame:
-    return res.groupBy(F.col("r.resourceType").alias("resource_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "resource_type")
+    return res.groupBy(F.col("kind").alias("resource_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "resource_type")
 
 
 def of(res: DataFrame, kind: str) -> DataFrame:
-    return res.where(F.col("r.resourceType") == kind)
+    return res.where(F.col("kind") == kind)
 
 
 def text_id(c: str = "r.id") -> Column:
@@ -71,7 +92,23 @@ def text_id(c: str = "r.id") -> Column:
 
 
 def ref(c: str) -> Column:
-    return strip_reference(F.col(f"{c}.reference"))
+    """Id of a reference, or of the first one of a list; '' where there is none."""
+    first = F.coalesce(F.get_json_object(c, "$.reference"), F.get_json_object(c, "$[0].reference"))
+    return strip_reference(first)
+
+
+def whole(text: Column) -> Column:
+    """The whole number that a text is, also one written with a fraction of zeros; null for others."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*$", 1)
+    return F.nullif(digits, F.lit("")).try_cast("int")
+
+
+def number(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def truth(text: Column) -> Column:
+    return text.try_cast("boolean")
 
 
 def us_core(suffix: str) -> Column:
@@ -88,7 +125,7 @@ def patient(res: DataFrame, **_) -> DataFrame:
     return of(res, "Patient").select(
         "cohort", "file", "pos", text_id().alias("patient_id"), as_date(F.col("r.birthDate")).alias("birth_date"), F.col("r.gender").alias("gender"),
         us_core("us-core-race").alias("race"), us_core("us-core-ethnicity").alias("ethnicity"), home["state"].alias("state"), home["city"].alias("city"), home["postalCode"].alias("zip"),
-        (F.coalesce("r.deceasedBoolean", F.lit(False)) | F.col("r.deceasedDateTime").isNotNull()).alias("deceased"), as_instant(F.col("r.deceasedDateTime")).alias("deceased_date"),
+        (F.coalesce(truth(F.col("r.deceasedBoolean")), F.lit(False)) | F.col("r.deceasedDateTime").isNotNull()).alias("deceased"), as_instant(F.col("r.deceasedDateTime")).alias("deceased_date"),
     )
 
 
@@ -110,11 +147,11 @@ def condition(res: DataFrame, **_) -> DataFrame:
 
 
 def observation(res: DataFrame, **_) -> DataFrame:
-    parts = F.transform("r.component", lambda c: F.struct(first_code(c["code"]["coding"]).alias("code"), display_of(c["code"]).alias("display"), c["valueQuantity"]["value"].alias("value"), c["valueQuantity"]["unit"].alias("unit")))
+    parts = F.transform("r.component", lambda c: F.struct(first_code(c["code"]["coding"]).alias("code"), display_of(c["code"]).alias("display"), number(c["valueQuantity"]["value"]).alias("value"), c["valueQuantity"]["unit"].alias("unit")))
     coded = F.when(F.col("r.valueCodeableConcept").isNotNull(), display_of(F.col("r.valueCodeableConcept")))
     return of(res, "Observation").select(
         "cohort", "file", "pos", text_id().alias("observation_id"), ref("r.subject").alias("patient_id"), ref("r.encounter").alias("encounter_id"), first_code(F.col("r.code.coding")).alias("code"), display_of(F.col("r.code")).alias("display"),
-        first_code(F.get("r.category", F.lit(0))["coding"]).alias("category"), F.col("r.valueQuantity.value").alias("value"), F.col("r.valueQuantity.unit").alias("unit"), F.coalesce("r.valueString", coded).alias("value_string"),
+        first_code(F.get("r.category", F.lit(0))["coding"]).alias("category"), number(F.col("r.valueQuantity.value")).alias("value"), F.col("r.valueQuantity.unit").alias("unit"), F.coalesce("r.valueString", coded).alias("value_string"),
         F.when(F.size(parts) > 0, F.to_json(parts, {"ignoreNullFields": "false"})).alias("components_json"), as_instant(F.col("r.effectiveDateTime")).alias("effective_date"),
     )
 
@@ -147,7 +184,7 @@ def soap_note(res: DataFrame, **_) -> DataFrame:
     att = F.get("r.content", F.lit(0))["attachment"]
     by_url = att["data"].isNull() & (F.coalesce(att["url"], F.lit("")) != "")
     docs = of(res, "DocumentReference").select(
-        "cohort", "file", "pos", text_id().alias("note_id"), ref("r.subject").alias("patient_id"), strip_reference(F.get("r.context.encounter", F.lit(0))["reference"]).alias("encounter_id"),
+        "cohort", "file", "pos", text_id().alias("note_id"), ref("r.subject").alias("patient_id"), ref("r.context.encounter").alias("encounter_id"),
         as_instant(F.col("r.date")).alias("note_date"), att["data"].alias("_data"), F.when(by_url, strip_reference(att["url"])).otherwise("").alias("binary_id"),
     )
     binary = findable(res, "Binary", F.col("r.data").alias("_blob")).withColumnRenamed("key", "binary_id")
@@ -170,7 +207,8 @@ def ecg_metadata(res: DataFrame, **_) -> DataFrame:
     base = reports(res, "ecg")
     own = ["cohort", "file", "pos"]
     refs = base.select(*own, F.posexplode("r.result").alias("at", "x")).select(*own, "at", strip_reference(F.col("x.reference")).alias("key"))
-    obs = findable(res, "Observation", first_code(F.col("r.code.coding")).alias("code"), F.col("r.valueQuantity.value").alias("value"), F.nullif(display_of(F.col("r.valueCodeableConcept")), F.lit("")).alias("said"))
+    near = res.join(base.select("cohort", "file").distinct(), ["cohort", "file"], "left_semi")  # only bundles with such a report
+    obs = findable(near, "Observation", first_code(F.col("r.code.coding")).alias("code"), number(F.col("r.valueQuantity.value")).alias("value"), F.nullif(display_of(F.col("r.valueCodeableConcept")), F.lit("")).alias("said"))
     met = refs.join(obs, ["cohort", "file", "key"])
     last = lambda code, value: F.max_by(F.struct(value), F.when(F.col("code") == code, F.col("at")))[value]
     found = met.groupBy(*own).agg(last(ECG_RHYTHM, "said").alias("rhythm"), *(last(code, "value").cast("int").alias(n) for n, code in ECG_CODES.items()))
@@ -188,7 +226,7 @@ def imaging_study(res: DataFrame, headers: DataFrame | None = None, **_) -> Data
     rows = of(res, "ImagingStudy").select(
         "cohort", "file", "pos", text_id().alias("study_id"), ref("r.subject").alias("patient_id"), ref("r.encounter").alias("encounter_id"), as_instant(F.col("r.started")).alias("started_date"), F.col("r.status").alias("status"),
         F.coalesce(series["modality"]["code"], F.lit("")).alias("modality"), F.coalesce(series["bodySite"]["code"], F.lit("")).alias("body_site"), F.coalesce(series["bodySite"]["display"], F.lit("")).alias("body_site_display"),
-        F.col("r.numberOfSeries").alias("series_count"), F.col("r.numberOfInstances").alias("instance_count"), F.substring(uid, 9, 1 << 20).alias("_uid"),
+        whole(F.col("r.numberOfSeries")).alias("series_count"), whole(F.col("r.numberOfInstances")).alias("instance_count"), F.substring(uid, 9, 1 << 20).alias("_uid"),
     )
     from tidewell.sources.dicom import HEADER_FIELDS
 
@@ -202,7 +240,7 @@ def imaging_study(res: DataFrame, headers: DataFrame | None = None, **_) -> Data
 def genomic_report(res: DataFrame, **_) -> DataFrame:
     family = F.get(F.filter("r.extension", lambda e: F.contains(F.lower(e["url"]), F.lit("family"))), F.lit(0))
     said = F.coalesce("r.conclusion", F.lit(""))
-    flag = F.when(family.isNotNull(), F.coalesce(family["valueBoolean"], F.lit(True))).otherwise(contains_any(F.lower(said), ("family history",)))
+    flag = F.when(family.isNotNull(), F.coalesce(truth(family["valueBoolean"]), F.lit(True))).otherwise(contains_any(F.lower(said), ("family history",)))
     return reports(res, "genomic").select(
         "cohort", "file", "pos", text_id().alias("report_id"), ref("r.subject").alias("patient_id"), ref("r.encounter").alias("encounter_id"), as_instant(F.col("r.effectiveDateTime")).alias("report_date"), F.col("r.status").alias("status"),
         F.nullif(display_of(F.col("r.code")), F.lit("")).alias("gene_panel_name"), F.nullif(said, F.lit("")).alias("result_summary"), denied_aware(said).alias("has_pathogenic_variant"), flag.alias("family_history_flag"),
@@ -222,6 +260,7 @@ class Table:
         return T._parse_datatype_string(self.schema)
 
 
+# Names, keys and columns of the ten tables.
 _WHERE = "source_file string, ingest_timestamp timestamp"
 TABLES = {
     t.name: t
@@ -253,18 +292,26 @@ def build_all(bronze: DataFrame, ingested: Column | None = None, **options) -> d
 
 
 def coerced(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of a schema in its order and types: what can't be converted is null, what is missing too."""
+    """Columns of a schema in its order and types: what can't be converted is null, what is missing too.
+
+    Text becomes a whole number only if it is one ('3.7' is null), and a flag that is true unless the text is empty.
+    """
+    kinds = dict(df.dtypes)
 
     def one(f: T.StructField) -> Column:
-        if f.name not in df.columns:
+        if f.name not in kinds:
             return F.lit(None).cast(f.dataType).alias(f.name)
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DateType) and dict(df.dtypes)[f.name] == "string":
-            return as_date(c).alias(f.name)
-        if isinstance(f.dataType, T.TimestampType) and dict(df.dtypes)[f.name] == "string":
-            return as_instant(c).alias(f.name)
-        if isinstance(f.dataType, T.IntegralType) and dict(df.dtypes)[f.name] == "string":
-            return c.try_cast("double").try_cast(f.dataType).alias(f.name)
-        return c.try_cast(f.dataType).alias(f.name)
+        c, text = F.col(f"`{f.name}`"), kinds[f.name] == "string"
+        if text and isinstance(f.dataType, T.DateType):
+            c = as_date(c)
+        elif text and isinstance(f.dataType, T.TimestampType):
+            c = as_instant(c)
+        elif text and isinstance(f.dataType, T.IntegralType):
+            c = F.when(F.rlike(c, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(c).try_cast(f.dataType))
+        elif text and isinstance(f.dataType, T.BooleanType):
+            c = F.length(c) > 0
+        else:
+            c = c.try_cast(f.dataType)
+        return c.alias(f.name)
 
     return df.select(*map(one, schema))

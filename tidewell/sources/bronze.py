@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.relational import round_robin
+from tidewell.session import ship
+
+
+def file_name() -> Column:
+    """The name of the file that a row is from, as its file system has it; Spark gives it with signs escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def scan(spark: SparkSession, root: str, cohort: str | None = None) -> DataFrame:
@@ -15,7 +25,7 @@ def scan(spark: SparkSession, root: str, cohort: str | None = None) -> DataFrame
     df = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(root)
     if "cohort" not in df.columns:
         df = df.withColumn("cohort", F.lit(None).cast("string"))
-    df = df.select(F.col("cohort").cast("string").alias("cohort"), F.col("_metadata.file_name").alias("file"), "value")
+    df = df.select(F.col("cohort").cast("string").alias("cohort"), file_name().alias("file"), "value")
     return df if cohort is None else df.where(F.col("cohort") == cohort)
 
 
@@ -24,48 +34,82 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFr
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
     if "cohort" not in df.columns:
         df = df.withColumn("cohort", F.lit(None).cast("string"))
-    return df.select(F.col("cohort").cast("string").alias("cohort"), F.col("_metadata.file_name").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return df.select(F.col("cohort").cast("string").alias("cohort"), file_name().alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def totals(files: DataFrame) -> DataFrame:
     return files.groupBy("cohort").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).orderBy("cohort")
 
 
-def land(spark: SparkSession, source: str, root: str, cohorts: int = 3, most: int | None = None) -> dict:
+def files(spark: SparkSession, root: str, cohort: str | None = None) -> Iterator[tuple[str, str, str]]:
+    """(cohort, file, text) of JSON files one by one, a partition at a time in the driver."""
+    for r in scan(spark, root, cohort).toLocalIterator():
+        yield r.cohort, r.file, r.value
+
+
+class Failed(RuntimeError):
+    """More files than allowed could not be copied."""
+
+
+def land(spark: SparkSession, source: str, root: str, cohorts: int = 3, most: int | None = None, errors: int = 25) -> dict:
     """Copy the JSON files of a folder to ``root/cohort=*``, dealt out in turn by name; what is there stays.
 
-    ``source`` is any path that Spark reads (s3a, abfss, file). Returns and writes the manifest.
+    ``source`` is any path that Spark reads (s3a, abfss, file). ``most``: the first files by name alone. Files that
+    can't be copied are left out; more than ``errors`` of them raise Failed. Returns and writes the manifest.
     """
-    files = inventory(spark, source).drop("cohort")
+    names = inventory(spark, source).drop("cohort")
     if most is not None:
-        files = files.orderBy("file").limit(most)
-    dealt = round_robin(files.select("file"), "file", cohorts)
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(source).select(F.col("_metadata.file_name").alias("file"), "value")
+        names = names.orderBy("file").limit(most)
+    dealt = round_robin(names.select("file"), "file", cohorts)
     fs, path = filesystem(spark, root)
     if fs.exists(path(root)) and len(fs.listStatus(path(root))):
         dealt = dealt.join(inventory(spark, root).select("file"), "file", "left_anti")
-    copy_texts(texts.join(dealt, "file"), root)
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(source).select(file_name().alias("file"), "content")
+    failed, first = copy_files(content.join(dealt, "file"), root)
+    if failed > errors:
+        raise Failed(f"{failed} files failed; one of them: {first}")
     found = inventory(spark, root)
     manifest = {"files": found.count(), "bytes": found.agg(F.sum("bytes")).first()[0] or 0, "cohorts": {r.cohort: {"files": r.files, "bytes": r.bytes} for r in totals(found).collect()}}
     write_text(spark, f"{root}/_manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
     return manifest
 
 
-def copy_texts(rows: DataFrame, root: str) -> None:
-    """Write each row's value to ``root/cohort=<cohort>/<file>`` from the executors, through Hadoop's file systems."""
+def copy_files(rows: DataFrame, root: str) -> tuple[int, str | None]:
+    """Write each row's content (bytes) to ``root/cohort=<cohort>/<file>`` on the executors: how many failed, and why one did.
+
+    Bytes are written as they are, beside their place, and moved there when whole; a copy that is made again replaces
+    itself.
+    """
     spark = rows.sparkSession
-    # a file of one line of text a row: Spark's writer names files itself, so they are renamed afterwards
-    rows = rows.withColumn("name", F.col("file"))
-    staged = f"{root}/_staged"
-    rows.select("cohort", "name", "value").repartition("name").write.mode("overwrite").partitionBy("cohort", "name").option("lineSep", "\n").text(staged)
+    ship(spark)
     fs, path = filesystem(spark, root)
-    for cohort in fs.globStatus(path(f"{staged}/cohort=*")) or []:
-        fs.mkdirs(path(f"{root}/{cohort.getPath().getName()}"))
-        for folder in fs.listStatus(cohort.getPath()):
-            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("name="))
-            for part in fs.listStatus(folder.getPath()):
-                fs.rename(part.getPath(), path(f"{root}/{cohort.getPath().getName()}/{name}"))
-    fs.delete(path(staged), True)
+    home = path(root).makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, base = writable(home)
+        for batch in batches:
+            out: list[str | None] = []
+            for cohort, file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    folder, part = f"{base}/cohort={cohort}", f"{base}/cohort={cohort}/.{file}.{uuid.uuid4().hex}"
+                    to.create_dir(folder, recursive=True)
+                    with to.open_output_stream(part) as stream:
+                        stream.write(content or b"")
+                    to.move(part, f"{folder}/{file}")
+                    out.append(None)
+                except OSError as e:
+                    out.append(f"{cohort}/{file}: {e}")
+            yield pa.record_batch([pa.array(out, pa.string())], names=["error"])
+
+    done = rows.select(F.col("cohort").cast("string"), "file", F.col("content").cast("binary")).mapInArrow(write, "error string")
+    return tuple(done.agg(F.count("error"), F.min("error")).first())
+
+
+def writable(uri: str):
+    """Arrow's file system and path of a URI; s3a is its s3."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
@@ -109,18 +153,32 @@ def read_text(spark: SparkSession, name: str) -> str | None:
 def land_assets(spark: SparkSession, source: str, root: str, name: str, pattern: str) -> dict:
     """Copy files of any kind to ``root/name``; those there already stay. They are landed, not read.
 
-    The copies run beside each other in the driver: assets are few and large.
+    Executors copy them, a file in parts, so that no file is held as a whole.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     fs, path = filesystem(spark, source)
     to, _ = filesystem(spark, root)
     folder = path(f"{root}/{name}")
     to.mkdirs(folder)
-    conf, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
-    new = [f.getPath() for f in fs.globStatus(path(f"{source}/{pattern}")) or [] if not to.exists(path(folder, f.getPath().getName()))]
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(lambda p: util.copy(fs, p, to, path(folder, p.getName()), False, conf), new))
+    new = [f.getPath().toString() for f in fs.globStatus(path(f"{source}/{pattern}")) or [] if not to.exists(path(folder, f.getPath().getName()))]
+    target = folder.makeQualified(to.getUri(), to.getWorkingDirectory()).toUri().toString()
+    ship(spark)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, base = writable(target)
+        for batch in batches:
+            for name_ in batch.column(0).to_pylist():
+                here, at = writable(name_)
+                end = at.rpartition("/")[2]
+                part = f"{base}/.{end}.{uuid.uuid4().hex}"
+                with here.open_input_stream(at) as stream, there.open_output_stream(part) as out:
+                    while block := stream.read(1 << 22):
+                        out.write(block)
+                there.move(part, f"{base}/{end}")
+            yield batch
+
+    if new:
+        df = spark.createDataFrame([(n,) for n in new], "path string")
+        df.repartition(min(len(new), 200)).mapInArrow(copy, "path string").count()
     landed = [f.getLen() for f in to.globStatus(path(folder, pattern)) or []]
     manifest = {"file_count": len(landed), "total_bytes": sum(landed)}
     write_text(spark, f"{root}/_metadata/{name}.json", json.dumps(manifest))

@@ -1,8 +1,9 @@
 """Versioned Parquet tables: a commit log, upserts by key, a change feed, earlier versions.
 
 A commit is one JSON file under ``_log``, put in place by a rename that fails if the version exists, so a writer
-that lost a race starts anew. Keyed tables are dealt to hash buckets; an upsert reads and rewrites only the buckets
-that its rows fall in. Executors write data folders nobody reads before the commit names them.
+that lost a race starts anew. An upsert writes its rows beside the table as a delta, whatever the table's size; reading
+joins deltas in. Once deltas hold a share of the table they are merged into it. Executors write data folders nobody
+reads before a commit names them; a commit names all folders of its version, so that no earlier one is read.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.operators.relational import changes, merged
+from tidewell.operators.relational import changes, merged, one_each, same_key
 from tidewell.sources.bronze import filesystem, read_text, write_text
 
 LAYERS = ("bronze", "silver", "gold")
+#: File systems whose rename fails where the target exists; a commit needs that.
+ATOMIC = frozenset({"file", "hdfs", "viewfs", "abfs", "abfss"})
+#: Share of a table's rows in deltas, and number of deltas, from which they are merged into it.
+SHARE, DELTAS = 0.2, 20
 
 
 class Conflict(RuntimeError):
@@ -27,11 +33,11 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Store:
-    """Tables below ``root/layer/name``; ``buckets`` for keyed ones is fixed when a table is created."""
+    """Tables below ``root/layer/name``. ``share``: see SHARE."""
 
     spark: SparkSession
     root: str
-    buckets: int = 16
+    share: float = SHARE
 
     def path(self, layer: str, name: str = "") -> str:
         if layer not in LAYERS:
@@ -39,26 +45,32 @@ class Store:
         return "/".join(x for x in (self.root.rstrip("/"), layer, name) if x)
 
     def table(self, layer: str, name: str) -> Table:
-        return Table(self.spark, self.path(layer, name), self.buckets)
+        return Table(self.spark, self.path(layer, name), self.share)
 
 
 @dataclass
 class Table:
     spark: SparkSession
     path: str
-    buckets: int = 16
+    share: float = SHARE
 
     def log(self, version: int) -> str:
         return f"{self.path}/_log/{version:020d}.json"
 
     def version(self) -> int | None:
-        """The last version, or None."""
+        """The last version, or None. A hint tells where to look; commits made since are found one by one."""
         fs, path = filesystem(self.spark, self.path)
-        folder = path(f"{self.path}/_log")
-        if not fs.exists(folder):
-            return None
-        found = [int(n[:-5]) for f in fs.listStatus(folder) if (n := f.getPath().getName()).endswith(".json")]
-        return max(found, default=None)
+        hint = read_text(self.spark, f"{self.path}/_log/_last")
+        if hint is None or not hint.isdigit() or not fs.exists(path(self.log(int(hint)))):
+            folder = path(f"{self.path}/_log")
+            if not fs.exists(folder):
+                return None
+            found = [int(n[:-5]) for f in fs.listStatus(folder) if (n := f.getPath().getName()).endswith(".json")]
+            return max(found, default=None)
+        last = int(hint)
+        while fs.exists(path(self.log(last + 1))):
+            last += 1
+        return last
 
     def commit_of(self, version: int) -> dict:
         text = read_text(self.spark, self.log(version))
@@ -67,73 +79,106 @@ class Table:
         return json.loads(text)
 
     def history(self) -> DataFrame:
-        last = self.version()
-        rows = [(v, c["operation"], c.get("batch"), c["rows"]) for v in range(0 if last is None else last + 1) for c in [self.commit_of(v)]]
-        return self.spark.createDataFrame(rows, "version long, operation string, batch string, rows long")
+        """version, operation, batch, rows (of the table after it) of every commit."""
+        schema = "version long, operation string, batch string, rows long"
+        if self.version() is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{self.path}/_log")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version, the last one by default. Unknown versions raise ValueError."""
         version = self.version() if version is None else version
         if version is None:
             raise ValueError(f"no table at {self.path}")
-        commit = self.commit_of(version)
-        return self._rows(commit["files"], T.StructType.fromJson(commit["schema"]))
+        return self._rows(self.commit_of(version))
 
-    def _rows(self, files: dict[str, list[str]], schema: T.StructType) -> DataFrame:
-        folders = [f for group in files.values() for f in group]
+    def _folders(self, folders: list[str], schema: T.StructType) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
+    def _rows(self, commit: dict) -> DataFrame:
+        schema = T.StructType.fromJson(commit["schema"])
+        out = self._folders(commit["files"], schema)
+        if commit["deltas"]:
+            fresh = self._fresh(commit, schema)
+            out = out.join(fresh.select(F.col(commit["key"]).alias("_key")), same_key(commit["key"], "_key"), "left_anti").unionByName(fresh)
+        return out.unionByName(self._folders(commit["late"], schema)) if commit["late"] else out
+
+    def _fresh(self, commit: dict, schema: T.StructType) -> DataFrame:
+        """The last row of every key in the deltas."""
+        out = None
+        for n, folder in enumerate(commit["deltas"]):
+            rows = self._folders([folder], schema).withColumn("_n", F.lit(n))
+            out = rows if out is None else out.unionByName(rows)
+        if len(commit["deltas"]) == 1:
+            return out.drop("_n")
+        last = F.row_number().over(W.partitionBy(commit["key"]).orderBy(F.desc("_n")))
+        return out.withColumn("_last", last).where("_last = 1").drop("_n", "_last")
+
     def create(self, df: DataFrame, key: str | None = None) -> int:
         if self.version() is not None:
             raise ValueError(f"there is a table at {self.path}")
-        return self._commit(0, "create", key, df.schema, {}, df, feed=self._inserts)
+        return self._first("create", df, key)
+
+    def _first(self, operation: str, df: DataFrame, key: str | None, batch: str | None = None, unique: bool = False) -> int:
+        files, n = self._write(df)
+        fresh = self._folders(files, df.schema)
+        return self._commit(0, operation, df.schema, key, files, [], [], n, batch, {}, unique, fresh.withColumn("_change_type", F.lit("insert")))
 
     def append(self, df: DataFrame, batch: str | None = None) -> int:
-        """Add rows; creates the table where there is none. A batch that was committed before is left out."""
+        """Add rows where they lie; creates the table where there is none. A batch that was committed before is left out."""
         version = self.version()
         if version is None:
-            return self._commit(0, "create", None, df.schema, {}, df, batch, feed=self._inserts)
-        if batch is not None and self._seen(batch):
-            return version
+            return self._first("create", df, None, batch)
         old = self.commit_of(version)
+        if seen(old, batch):
+            return version
         schema = T.StructType.fromJson(old["schema"])
-        return self._commit(version + 1, "append", old["key"], schema, old["files"], self._aligned(df, schema), batch, feed=self._inserts)
+        files, n = self._write(self._aligned(df, schema))
+        late = bool(old["deltas"])  # deltas don't hold for rows that come after them
+        feed = self._folders(files, schema).withColumn("_change_type", F.lit("insert"))
+        return self._commit(version + 1, "append", schema, old["key"], old["files"] + files * (not late), old["deltas"], old["late"] + files * late, old["rows"] + n, batch, old["batches"], False, feed)
 
     def overwrite(self, df: DataFrame, key: str | None = None) -> int:
         version = self.version()
         if version is None:
-            return self._commit(0, "create", key, df.schema, {}, df, feed=self._inserts)
+            return self._first("create", df, key)
         old, before = self.commit_of(version), self.read(version)
         key = key or old["key"]
-
-        def feed(now: DataFrame) -> DataFrame:
-            if key and before.schema == now.schema:
-                return changes(before.dropDuplicates([key]), now.dropDuplicates([key]), key)
-            return before.withColumn("_change_type", F.lit("delete")).unionByName(now.withColumn("_change_type", F.lit("insert")), allowMissingColumns=True)
-
-        return self._commit(version + 1, "overwrite", key, df.schema, {}, df, feed=feed)
-
-    def merge(self, df: DataFrame, key: str, batch: str | None = None) -> int:
-        """Upsert by key: source rows win. Duplicates of a key, in the table or the source, end as one row.
-
-        Buckets without source rows are neither read nor written. A batch that was committed before is left out.
+        files, n = self._write(df)
+        now = self._folders(files, df.schema)
+        if key and before.schema == now.schema:
+            feed = changes(one_each(before, key), one_each(now, key), key)
+        else:
+            feed = before.withColumn("_change_type", F.lit("delete")).unionByName(now.withColumn("_change_type", F.lit("insert")), allowMissingColumns=True)
+        return self._commit(version + 1, "overwrite", df.schema, key, files, [], [], n, None, old["batches"], False, feed)
+
+    def merge(self, df: DataFrame, key: str, batch: str | None = None, order: tuple[str, ...] = ()) -> int:
+        """Upsert by key: source rows win. Duplicates of a key, in the table or the source, end as one row: the last by ``order``.
+
+        The rows become a delta. A table that may hold duplicates, or whose deltas have grown, is written anew. A batch
+        that was committed before is left out.
         """
         version = self.version()
         if version is None:
-            return self._commit(0, "create", key, df.schema, {}, df.dropDuplicates([key]), batch, feed=self._inserts)
-        if batch is not None and self._seen(batch):
-            return version
+            return self._first("create", one_each(df, key, order), key, batch, unique=True)
         old = self.commit_of(version)
+        if seen(old, batch):
+            return version
         schema = T.StructType.fromJson(old["schema"])
-        source = self._aligned(df, schema)
-        touched = {str(r[0]) for r in source.select(self._bucket(key, old["buckets"])).distinct().collect()}  # as many as buckets at most
-        if old["key"] != key:
-            touched = set(old["files"])  # the table wasn't dealt by this key
-        before = self._rows({b: f for b, f in old["files"].items() if b in touched}, schema)
-        kept = {b: f for b, f in old["files"].items() if b not in touched}
-        return self._commit(version + 1, "merge", key, schema, kept, merged(before, source, key), batch, old["buckets"], feed=lambda now: changes(before.dropDuplicates([key]), now, key))
+        delta, n = self._write(one_each(self._aligned(df, schema), key, order))
+        source, table = self._folders(delta, schema), self._rows(old)
+        unique = old["unique"] and old["key"] == key
+        deltas = old["deltas"] + delta
+        held = sum(old["sizes"]) + n
+        if unique and len(deltas) <= DELTAS and held <= self.share * max(1, old["rows"]):
+            touched = table.join(source.select(F.col(key).alias("_key")), same_key(key, "_key"), "left_semi")
+            feed = changes(touched, source, key)
+            return self._commit(version + 1, "merge", schema, key, old["files"], deltas, [], None, batch, old["batches"], True, feed, [*old["sizes"], n], old["rows"])
+        files, n = self._write(merged(table, source, key, order))
+        feed = changes(table if unique else one_each(table, key, order), self._folders(files, schema), key)
+        return self._commit(version + 1, "merge", schema, key, files, [], [], n, batch, old["batches"], True, feed)
 
     def duplicates(self, key: str) -> int:
         """Rows beyond one per key."""
@@ -148,39 +193,47 @@ class Table:
         for v in range(start, (end if end is not None else -1) + 1):
             commit = self.commit_of(v)
             schema = T.StructType.fromJson(commit["schema"]).add("_change_type", "string")
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{commit['feed']}").withColumn("_commit_version", F.lit(v).cast("long"))
+            rows = self._folders([commit["feed"]], schema).withColumn("_commit_version", F.lit(v).cast("long"))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if out is None:
             raise ValueError(f"no versions from {start}")
         return out
 
-    def _bucket(self, key: str, buckets: int):
-        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string").alias("_bucket")
-
-    def _seen(self, batch: str) -> bool:
-        last = self.version()
-        return any(self.commit_of(v).get("batch") == batch for v in range(0 if last is None else last + 1))
-
-    def _inserts(self, now: DataFrame) -> DataFrame:
-        return now.withColumn("_change_type", F.lit("insert"))
-
     def _aligned(self, df: DataFrame, schema: T.StructType) -> DataFrame:
         return df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema))
 
-    def _commit(self, version: int, operation: str, key: str | None, schema: T.StructType, kept: dict[str, list[str]], df: DataFrame, batch: str | None = None, buckets: int | None = None, feed=None) -> int:
-        folder, told = f"data/{uuid.uuid4().hex}", f"feed/{uuid.uuid4().hex}"
-        buckets = buckets or self.buckets
-        bucket = self._bucket(key, buckets) if key else F.lit("all")
-        df.withColumn("_bucket", bucket).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+    def _write(self, df: DataFrame) -> tuple[list[str], int]:
+        """Write rows as they are partitioned; adaptive execution joins small partitions and splits large ones."""
         fs, path = filesystem(self.spark, self.path)
-        files = {b: list(f) for b, f in kept.items()}
-        for status in fs.listStatus(path(f"{self.path}/{folder}")):
-            name = status.getPath().getName()
-            if name.startswith("_bucket="):
-                files.setdefault(name.removeprefix("_bucket="), []).append(f"{folder}/{name}")
-        fresh = self._rows({b: [x for x in f if x.startswith(folder)] for b, f in files.items()}, schema)
-        feed(fresh).write.parquet(f"{self.path}/{told}")
-        commit = {"operation": operation, "key": key, "buckets": buckets, "schema": json.loads(schema.json()), "files": files, "feed": told, "batch": batch, "rows": fresh.count()}
+        if (scheme := fs.getScheme()) not in ATOMIC:
+            raise ValueError(f"a commit needs a rename that fails where the target exists; nothing shows that {scheme}:// has it")
+        folder = f"data/{uuid.uuid4().hex}"
+        df.hint("rebalance").write.parquet(f"{self.path}/{folder}")
+        return [folder], self._folders([folder], df.schema).count()  # from the files' footers
+
+    def _commit(self, version, operation, schema, key, files, deltas, late, rows, batch, batches, unique, feed, sizes=(), before=0) -> int:
+        told = f"feed/{uuid.uuid4().hex}"
+        feed.write.parquet(f"{self.path}/{told}")
+        if rows is None:  # what was inserted adds to the rows before
+            rows = before + self._folders([told], feed.schema).where("_change_type = 'insert'").count()
+        commit = {"version": version, "operation": operation, "key": key, "schema": json.loads(schema.json()), "files": files, "deltas": deltas, "sizes": list(sizes), "late": late}
+        commit |= {"rows": rows, "unique": unique, "batch": batch, "batches": with_batch(batches, batch), "feed": told}
         if not write_text(self.spark, self.log(version), json.dumps(commit), once=True):
             raise Conflict(f"version {version} of {self.path} was committed by another writer")
+        write_text(self.spark, f"{self.path}/_log/_last", str(version))
         return version
+
+
+def named(batch: str) -> tuple[str, int]:
+    """Stream and number of a batch called ``stream-number``; others are streams of their own."""
+    stream, _, number = batch.rpartition("-")
+    return (stream, int(number)) if stream and number.isdigit() else (batch, 0)
+
+
+def seen(commit: dict, batch: str | None) -> bool:
+    """Whether a batch was committed by then. A stream's batches come in the order of their numbers, so its last one tells."""
+    return batch is not None and (last := commit["batches"].get(named(batch)[0])) is not None and named(batch)[1] <= last
+
+
+def with_batch(batches: dict[str, int], batch: str | None) -> dict[str, int]:
+    return batches if batch is None else batches | dict([named(batch)])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans import quality, silver
-from tidewell.sources.bronze import read_text
+from tidewell.sources.bronze import file_name, filesystem, inventory, read_text
 from tidewell.sources.tables import Store
 
 
@@ -17,7 +18,7 @@ def source(spark: SparkSession, root: str, per_trigger: int = 10) -> DataFrame:
     """cohort, file, value of JSON files as they arrive below ``root/cohort=*``. The checkpoint knows the files seen."""
     schema = "value string, cohort string"
     files = spark.readStream.schema(schema).option("wholetext", "true").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", per_trigger).format("text").load(root)
-    return files.select("cohort", F.col("_metadata.file_name").alias("file"), "value")
+    return files.select("cohort", file_name().alias("file"), "value")
 
 
 def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ...] = tuple(silver.TABLES), on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -28,8 +29,11 @@ def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ..
 
     def merge(bronze: DataFrame, number: int) -> None:
         name = json.loads(read_text(store.spark, f"{checkpoint}/metadata"))["id"]
-        res = silver.resources(bronze).persist()
+        fs, path = filesystem(store.spark, store.root)
+        place = f"{store.root.rstrip('/')}/_staging/{name}-{number}"
+        fs.delete(path(place), True)  # of a run that was cut short
         try:
+            res, _ = silver.staged(bronze, place)
             results = []
             now = F.current_timestamp()
             for table in map(silver.TABLES.__getitem__, tables):
@@ -44,7 +48,7 @@ def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ..
             if on_batch:
                 on_batch(bronze, number)
         finally:
-            res.unpersist()
+            fs.delete(path(place), True)
 
     return merge
 
@@ -59,3 +63,21 @@ def watch(store: Store, root: str, checkpoint: str, seconds: int = 30, per_trigg
     """Merge files as they arrive; the caller stops the query or waits for a time."""
     stream = source(store.spark, root, per_trigger).writeStream.option("checkpointLocation", checkpoint)
     return stream.trigger(processingTime=f"{seconds} seconds").foreachBatch(into(store, checkpoint, **options)).start()
+
+
+def new_cohorts(spark: SparkSession, root: str, known: set[str]) -> list[str]:
+    """Cohorts that have files and aren't known yet, in order; a cohort is a folder, so there are few."""
+    return sorted(r.cohort for r in inventory(spark, root).select("cohort").distinct().collect() if r.cohort is not None and r.cohort not in known)
+
+
+def watch_cohorts(spark: SparkSession, root: str, run: Callable[[str], None], known: set[str] | None = None, seconds: float = 30, polls: int | None = None) -> set[str]:
+    """Poll for cohorts and call ``run`` once for each new one; the summary is left to its own job. Returns the known ones."""
+    known, n = set(known or ()), 0
+    while polls is None or n < polls:
+        for cohort in new_cohorts(spark, root, known):
+            run(cohort)
+            known.add(cohort)
+        n += 1
+        if polls is None or n < polls:
+            time.sleep(seconds)
+    return known
