@@ -6,15 +6,13 @@ of the input may have any name. Lineage is cut with tables in the folder that ``
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import ship
+from tidewell.session import scratch, ship
 
 #: ASCII white space, as in ``[\x20\x09-\x0D]``; bytes.split() and bytes.lower() follow the same ASCII rules.
 SPACES = "\t\n\x0b\x0c\r "
@@ -22,24 +20,13 @@ SPACES = "\t\n\x0b\x0c\r "
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and all run in one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once and survives lost executors.
 
     The tables of an application go when it ends, those given to discard() at once.
     """
     spark = df.sparkSession
-    path = fresh_path(spark)
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable = path
@@ -52,14 +39,6 @@ def durable_counted(df: DataFrame, *counts: Column) -> tuple[DataFrame, dict[str
     return durable(df.observe(seen, *counts)), seen.get
 
 
-def fresh_path(spark: SparkSession) -> str:
-    """A place for a table of this application, which goes with it."""
-    home = f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
-    fs, place = files(spark, home)
-    fs.deleteOnExit(place)
-    return f"{home}/{uuid.uuid4().hex}"
-
-
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame of durable() that nothing reads any more."""
     fs, place = files(df.sparkSession, df._durable)

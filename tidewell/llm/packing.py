@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_texts, durable, durable_counted, fresh_path, in_arrow, packed, running
+from tidewell.llm.common import as_texts, durable, durable_counted, in_arrow, packed, running
+from tidewell.session import scratch
 
 CAPACITY, END_ID = 1024, 2
 #: Fixed value: how byte-level BPE splits text before it merges.
@@ -228,7 +229,7 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
     """
     spark = small.sparkSession
     wanted = sorted(s for s, n in sizes.items() if n)
-    path, step, names = fresh_path(spark), 0, ["id", "size", "seq"]
+    path, step, names = scratch(spark), 0, ["id", "size", "seq"]
     opened = small.where(F.col("size") > capacity // 2).select(*names[:2], F.col("id").alias("seq"))
     gaps = opened.select("seq", (capacity - F.col("size")).alias("room"))
     widest = capacity - min((s for s in wanted if 2 * s > capacity), default=capacity)

@@ -24,7 +24,7 @@ def tokenizer() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,38 @@ SELECT doc_id, {", ".join(rules.COUNTS)}, base_failed, NOT base_failed AND NOT (
 """
 
 
+def told(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+GRAMS_SQL = "lead(w) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d"
+TEMPLATES = [(label, "", True, "", text) for text, label in licenses.PHRASES] + [(label, family, False, needed, text) for family, label, needed, text in licenses.NOTICES]
+IN_ORDER = "PARTITION BY doc_id, t ORDER BY first, last, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND"
+OP1_SQL = f"""
+WITH x AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM x),
+g AS (SELECT doc_id, i, w AS a, {GRAMS_SQL} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t0 AS (SELECT *, {WORDS_SQL} AS ws FROM (VALUES {", ".join(f"({t}, {told(label)}, {told(family)}, {base}, {told(needed)}, {told(text)})" for t, (label, family, base, needed, text) in enumerate(TEMPLATES))}) AS v(t, label, family, base, needed, text)),
+tm AS (SELECT t, label, family, base, len(ws) AS n, CASE WHEN base OR len(ws) < {licenses.SHORT} THEN {licenses.PAIR} ELSE {licenses.GRAM} END AS k,
+  list_transform(list_filter(string_split(needed, ' '), lambda x: x <> ''), lambda x: list_filter(range(len(ws)), lambda p: ws[p + 1] = x)) AS needed FROM t0),
+tw AS (SELECT t, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM t0),
+tg AS (SELECT g.*, k FROM (SELECT t, j, w AS a, {GRAMS_SQL} FROM tw WINDOW o AS (PARTITION BY t ORDER BY j)) g JOIN tm USING (t) WHERE j + k <= n),
+votes AS (SELECT doc_id, t, i, j, k FROM g JOIN tg ON g.a = tg.a AND g.b = tg.b AND (k = {licenses.PAIR} OR (g.c = tg.c AND g.d = tg.d))),
+lines AS (SELECT doc_id, t, i - j AS diagonal, list(j) AS js, min(i) AS first, max(i + k - 1) AS last FROM votes GROUP BY 1, 2, 3),
+m1 AS (SELECT *, max(last) OVER ({IN_ORDER} 1 PRECEDING) AS so_far, lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY first, last, diagonal) AS prev FROM lines JOIN tm USING (t)),
+m2 AS (SELECT *, sum(CASE WHEN base OR so_far IS NULL OR first > so_far + {licenses.DRIFT} OR abs(diagonal - prev) > {licenses.DRIFT} THEN 1 ELSE 0 END) OVER ({IN_ORDER} CURRENT ROW) AS span FROM m1),
+s1 AS (SELECT doc_id, t, span, any_value(label) AS label, any_value(family) AS family, any_value(base) AS base, any_value(k) AS k, any_value(n) AS n, any_value(needed) AS needed, flatten(list(js)) AS js, min(first) AS first, max(last) AS last FROM m2 GROUP BY 1, 2, 3),
+s2 AS (SELECT *, list_distinct(flatten(list_transform(js, lambda j: range(j, j + k)))) AS hit FROM s1),
+s3 AS (SELECT *, len(hit) AS covered, len(hit) / n AS score FROM s2 WHERE CASE WHEN base THEN len(hit) = n ELSE len(hit) / n >= {licenses.COVERED} AND len(list_filter(needed, lambda x: NOT list_has_any(x, hit))) = 0 END),
+b1 AS (SELECT *, max(last) OVER (PARTITION BY doc_id, base, family ORDER BY first, last, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM s3),
+b2 AS (SELECT *, sum(CASE WHEN base OR so_far IS NULL OR first > so_far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, base, family ORDER BY first, last, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM b1),
+b3 AS (SELECT * FROM b2 QUALIFY base OR (covered, score) = max((covered, score)) OVER (PARTITION BY doc_id, base, family, grp)),
+f AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM b3 GROUP BY 1)
+SELECT x.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM x LEFT JOIN f ON x.doc_id = f.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against plain versions."""
-    return {"op3_quality_rules": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_license_scan": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
