@@ -191,21 +191,33 @@ def fhir_soap_note(t: Tables) -> DataFrame:
     return table("soap_note", raw).select("note_id", F.md5(F.col("note_text").cast("binary")).alias("digest"), "char_count", "binary_id")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS ecg_id, CAST(p_size AS INTEGER) AS heart_rate_bpm, p_type AS rhythm FROM part")
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS ecg_id, 'p' || p_size AS patient_id, 'e' || p_partkey AS encounter_id, '2021-03-15 00:00:00' AS report_date, 'final' AS status, p_name AS conclusion, p_type AS rhythm, CAST(p_size AS INTEGER) AS heart_rate_bpm, CAST(p_size + 100 AS INTEGER) AS pr_interval_ms,
+ CAST(NULL AS INTEGER) AS qrs_duration_ms, p_partkey % 2 = 0 AS has_waveform, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey ELSE '' END AS waveform_binary_id, p_partkey || '.json' AS source_file FROM part WHERE p_partkey % 5 <> 0"""
+)
 def fhir_ecg_metadata(t: Tables) -> DataFrame:
-    """Reports whose rate and rhythm stand in two observations of their bundle."""
+    """Reports whose measures stand in observations of their bundle; of two rates the one referred to last holds. Every fifth report is no ECG."""
     key = F.col("p_partkey").cast("string")
-    concept, ids = "struct<coding:array<struct<code:string,display:string>>>", "array<struct<reference:string>>"
-
-    def made(kind, name, code, display, value=None, said=None, result=None):
-        shown = F.struct(F.array(F.struct(F.lit(code).alias("code"), F.lit(display).alias("display"))).alias("coding"))
-        spoken = F.struct(F.array(F.struct(F.lit("r").alias("code"), said.alias("display"))).alias("coding")) if said is not None else F.lit(None).cast(concept)
-        return F.struct(F.struct(F.lit(kind).alias("resourceType"), name.alias("id"), shown.alias("code"), (F.struct(value.cast("double").alias("value")) if value is not None else F.lit(None).cast("struct<value:double>")).alias("valueQuantity"), spoken.alias("valueCodeableConcept"), (result if result is not None else F.lit(None).cast(ids)).alias("result")).alias("resource"))
-
-    rate, rhythm = F.concat(F.lit("o"), key), F.concat(F.lit("q"), key)
-    refs = F.array(F.struct(F.concat(F.lit("urn:uuid:"), rate).alias("reference")), F.struct(F.concat(F.lit("Observation/"), rhythm).alias("reference")))
-    raw = wrapped(t.part, "p_partkey", F.array(made("DiagnosticReport", key, "1", "EKG study", result=refs), made("Observation", rate, "8867-4", "rate", value=F.col("p_size")), made("Observation", rhythm, "8893-1", "rhythm", said=F.col("p_type"))))
-    return table("ecg_metadata", raw).select("ecg_id", "heart_rate_bpm", "rhythm")
+    named = lambda prefix: F.concat(F.lit(prefix), key)
+    refs = [("urn:uuid:", "old"), ("urn:uuid:", "rate"), ("Observation/", "rhythm"), ("", "pr"), ("urn:uuid:", "nowhere")]
+    kinds = {"conclusion": "string", "subject": "struct<reference:string>", "encounter": "struct<reference:string>", "effectiveDateTime": "string", "status": "string", "valueQuantity": "struct<value:double>", "valueCodeableConcept": "struct<coding:array<struct<code:string,display:string>>>"}
+    kinds |= {"result": "array<struct<reference:string>>", "presentedForm": "array<struct<url:string>>"}
+
+    def made(kind, name, code, display, **x):
+        r = F.struct(F.lit(kind).alias("resourceType"), name.alias("id"), coded(F.lit(code), display).alias("code"), *(x.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()))
+        return F.struct(r.alias("resource"))
+
+    form = F.when(F.col("p_partkey") % 2 == 0, F.array(F.struct(F.concat(F.lit("Binary/w"), key).alias("url"))))
+    report = made(
+        "DiagnosticReport", key, "1", F.when(F.col("p_partkey") % 5 == 0, "Chest film").otherwise("EKG study"), conclusion=F.col("p_name"), subject=refer("Patient/p", F.col("p_size")), encounter=refer("Encounter/e", key), effectiveDateTime=F.lit("2021-03-15"), status=F.lit("final"),
+        result=F.array(*(F.struct(F.concat(F.lit(p), named(n)).alias("reference")) for p, n in refs)), presentedForm=form,
+    )
+    value = lambda c: F.struct(c.cast("double").alias("value"))
+    seen = [
+        made("Observation", named("old"), "8867-4", F.lit("rate"), valueQuantity=value(F.lit(1))), made("Observation", named("rate"), "8867-4", F.lit("rate"), valueQuantity=value(F.col("p_size"))),
+        made("Observation", named("rhythm"), "8893-1", F.lit("rhythm"), valueCodeableConcept=coded(F.lit("r"), F.col("p_type"))), made("Observation", named("pr"), "8625-6", F.lit("pr"), valueQuantity=value(F.col("p_size") + 100)),
+    ]
+    return table("ecg_metadata", wrapped(t.part, "p_partkey", F.array(report, *seen)))
 
 
 def dicom_files(t: Tables) -> DataFrame:
@@ -250,12 +262,55 @@ def fhir_imaging_study(t: Tables) -> DataFrame:
     return table("imaging_study", raw, headers=dicom_files(t))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS report_id, s_name AS gene_panel_name, s_suppkey % 2 = 1 AS has_pathogenic_variant, s_suppkey % 3 = 0 AS family_history_flag FROM (SELECT s_suppkey, 'DNA ' || s_name AS s_name FROM supplier)")
+@query(
+    f"""SELECT CAST(s_suppkey AS VARCHAR) AS report_id, 'p' || s_nationkey AS patient_id, '' AS encounter_id, '2021-03-15 00:00:00' AS report_date, 'final' AS status, 'DNA ' || s_name AS gene_panel_name, CASE WHEN s_suppkey % 2 = 1 THEN 'Likely pathogenic variant.' ELSE 'No pathogenic variant.' END
+ || CASE WHEN s_suppkey % 3 = 0 THEN ' Family history.' ELSE '' END AS result_summary, s_suppkey % 2 = 1 AS has_pathogenic_variant, s_suppkey % 3 = 0 AS family_history_flag, 'g' || s_suppkey AS binary_id, '{silver.LIMITATION}' AS data_limitation, s_suppkey || '.json' AS source_file FROM supplier"""
+)
 def fhir_genomic_report(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     said = F.concat(F.when(k % 2 == 1, "Likely pathogenic variant.").otherwise("No pathogenic variant."), F.when(k % 3 == 0, " Family history.").otherwise(""))
-    raw = bundles(t.supplier, "s_suppkey", "DiagnosticReport", code=coded(F.lit("1"), F.concat(F.lit("DNA "), "s_name")), conclusion=said)
-    return table("genomic_report", raw).select("report_id", "gene_panel_name", "has_pathogenic_variant", "family_history_flag")
+    form = F.array(F.struct(F.concat(F.lit("Binary/g"), k.cast("string")).alias("url")))
+    raw = bundles(t.supplier, "s_suppkey", "DiagnosticReport", code=coded(F.lit("1"), F.concat(F.lit("DNA "), "s_name")), conclusion=said, subject=refer("Patient/p", F.col("s_nationkey")), effectiveDateTime=F.lit("2021-03-15"), status=F.lit("final"), presentedForm=form)
+    return table("genomic_report", raw)
+
+
+@query("SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) AS file_count, CAST((SELECT sum(length(s_suppkey || ',' || s_name) + 1) FROM supplier) AS BIGINT) AS total_bytes FROM supplier")
+def asset_landing(t: Tables) -> DataFrame:
+    """Files of another kind, landed twice as they are and read back as what they are."""
+    root, key = scratch(t.spark), F.col("s_suppkey").cast("string")
+    rows = t.supplier.select(F.lit("A").alias("cohort"), F.concat(key, F.lit(".csv")).alias("file"), F.encode(F.concat(key, F.lit(","), "s_name", F.lit("\n")), "UTF-8").alias("content"))
+    bronze.copy_files(rows, f"{root}/source")
+    for _ in range(2):
+        told = bronze.land_assets(t.spark, f"{root}/source/cohort=A", f"{root}/raw", "csv", "*.csv")
+    found = t.spark.read.schema("s_suppkey long, s_name string").csv(f"{root}/raw/csv")
+    return found.withColumns({n: F.lit(v).cast("long") for n, v in told.items()})
+
+
+@query("SELECT * FROM (VALUES (1, 'B'), (1, 'C'), (2, 'D')) AS v(poll, cohort)")
+def cohort_sensor(t: Tables) -> DataFrame:
+    """Cohorts that a poll finds new: one is known beforehand, one is landed between two polls."""
+    from tidewell.streaming.replay import watch_cohorts
+
+    root, ran = scratch(t.spark), []
+    bronze.copy_files(people(t), root)
+    known = watch_cohorts(t.spark, root, lambda c: ran.append((1, c)), {"A"}, polls=2, seconds=0)
+    bronze.copy_files(t.spark.createDataFrame([("D", "d.json", bytearray(b"{}"))], "cohort string, file string, content binary"), root)
+    watch_cohorts(t.spark, root, lambda c: ran.append((2, c)), known, polls=2, seconds=0)
+    return t.spark.createDataFrame(ran, "poll int, cohort string")
+
+
+@query("SELECT * FROM (VALUES ('merge', CAST(0 AS BIGINT), CAST((SELECT count(*) FROM nation) AS BIGINT)), ('merge', 1, (SELECT count(*) FROM nation)), ('append', 2, (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_regionkey = 0)), ('overwrite', 3, (SELECT count(*) FROM nation)), ('gold', 0, (SELECT count(*) FROM region))) AS v(step, version, n)")
+def platform_cycle(t: Tables) -> DataFrame:
+    """A platform's writes and reads by layer, mode and version."""
+    from tidewell.sources.platforms import Local
+
+    p, steps = Local(t.spark, scratch(t.spark)), []
+    for mode, df in (("merge", t.nation), ("merge", t.nation.where("n_regionkey > 1")), ("append", t.nation.where("n_regionkey = 0")), ("overwrite", t.nation)):
+        p.write_silver("nation", df, mode, key="n_nationkey")
+        steps.append((mode, p.version("silver", "nation"), p.read_silver("nation").count()))
+    p.write_gold("region", t.region)
+    steps.append(("gold", p.version("gold", "region"), p.read_gold("region").count()))
+    return t.spark.createDataFrame(steps, "step string, version long, n long")
 
 
 def people(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.plans import gold, notebook, quality, silver
+from tidewell.plans import gold, jobs, notebook, preview, quality, silver
 from tidewell.plans.driver import AGE_SQL, BIRTH_SQL, CHECKED, CONDITIONS_SQL, FACTS, MEDICATIONS_SQL, UUID_SQL, Tables, birth, facts, query, stored
 
 #: Codes that event types stand for.
@@ -46,7 +46,7 @@ def silver_frames(t: Tables) -> dict[str, DataFrame]:
             text("event_id").alias("observation_id"), text("user_id").alias("encounter_id"), code_of(F.col("event_type")).alias("code"), F.col("event_type").alias("display"), "value", F.lit("u").alias("unit"), F.col("ts").alias("effective_date"),
             F.when(F.col("event_type") == "error", "laboratory").alias("category"), F.when(F.col("event_type") == "view", F.to_json(F.array(part(gold.SYSTOLIC, k), part(gold.DIASTOLIC, k / 2)))).alias("components_json"),
         ),
-        "soap_note": t.conversations.select(F.concat(text("conv_id"), F.lit("-"), F.lpad(text("turn"), 6, "0")).alias("note_id"), text("conv_id").alias("encounter_id"), F.col("text").alias("note_text"), F.length("text").alias("char_count")),
+        "soap_note": t.conversations.select(F.concat(text("conv_id"), F.lit("-"), F.lpad(text("turn"), 6, "0")).alias("note_id"), text("conv_id").alias("encounter_id"), text("conv_id").alias("patient_id"), F.col("text").alias("note_text"), F.length("text").alias("char_count")),
         "ecg_metadata": t.supplier.select(text("s_suppkey").alias("ecg_id"), text("s_suppkey").alias("encounter_id"), F.col("s_name").alias("conclusion"), F.concat(F.lit("n"), text("s_nationkey")).alias("rhythm"), F.col("s_nationkey").alias("heart_rate_bpm")),
         "imaging_study": t.part.select(text("p_partkey").alias("study_id"), text("p_partkey").alias("encounter_id"), F.col("p_brand").alias("modality"), F.col("p_type").alias("body_site_display"), F.col("p_size").alias("series_count")),
         "genomic_report": t.nation.select(text("n_nationkey").alias("report_id"), text("n_nationkey").alias("encounter_id"), F.col("n_name").alias("result_summary"), F.lit(silver.LIMITATION).alias("data_limitation")),
@@ -252,7 +252,7 @@ def gold_gates(t: Tables, g: DataFrame) -> DataFrame:
 
 
 @query("""SELECT 'patient' AS tbl, 'min_rows>=100' AS rule, count(*) >= 100 AS passed FROM customer UNION ALL SELECT 'patient', 'non_null:patient_id', true UNION ALL SELECT 'patient', 'non_null:gender', count(*) = count(c_mktsegment) FROM customer UNION ALL SELECT 'patient', 'unique:patient_id', count(DISTINCT c_custkey) = count(*) FROM customer
- UNION ALL SELECT 'soap_note', 'min_rows>=50', count(*) >= 50 FROM conversations UNION ALL SELECT 'soap_note', 'non_null:note_id', true UNION ALL SELECT 'soap_note', 'non_null:patient_id', false UNION ALL SELECT 'soap_note', 'non_null:note_text', count(*) = count(text) FROM conversations
+ UNION ALL SELECT 'soap_note', 'min_rows>=50', count(*) >= 50 FROM conversations UNION ALL SELECT 'soap_note', 'non_null:note_id', true UNION ALL SELECT 'soap_note', 'non_null:patient_id', true UNION ALL SELECT 'soap_note', 'non_null:note_text', count(*) = count(text) FROM conversations
  UNION ALL SELECT 'soap_note', 'unique:note_id', (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)) = count(*) FROM conversations UNION ALL SELECT 'soap_note', 'short_notes_pct<=20%', count(*) FILTER (WHERE length(text) < 100) <= 0.2 * count(*) FROM conversations
  UNION ALL SELECT 'soap_note', 'sections_pct>=80%', count(*) FILTER (WHERE role = 'user') >= 0.8 * count(*) FROM conversations
  UNION ALL SELECT 'ecg_metadata', 'min_rows>=0', true UNION ALL SELECT 'ecg_metadata', 'non_null:ecg_id', true UNION ALL SELECT 'ecg_metadata', 'non_null:patient_id', false UNION ALL SELECT 'ecg_metadata', 'unique:ecg_id', true
@@ -273,3 +273,60 @@ def quality_score(t: Tables) -> DataFrame:
     results = {n: quality.validate(n, getattr(t, n), rules) for n, rules in CHECKED.items()}
     rows = [(n, quality.score([r])) for n, r in results.items()] + [("both", quality.score(list(results.values())))]
     return t.spark.createDataFrame(rows, "tbl string, score double")
+
+
+@over_gold("""SELECT coalesce(min(n.patient_id) FILTER (WHERE c.n >= 3 AND m.n >= 3), min(n.patient_id)) AS patient_id FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS patient_id FROM conversations) n
+ LEFT JOIN (SELECT CAST(patient_id AS VARCHAR) AS patient_id, count(*) AS n FROM facts GROUP BY 1) c ON c.patient_id = n.patient_id LEFT JOIN (SELECT CAST(patient_id AS VARCHAR) AS patient_id, count(*) AS n FROM facts GROUP BY 1) m ON m.patient_id = n.patient_id""")
+def anchor_patient(t: Tables, g: DataFrame) -> DataFrame:
+    s = silver_frames(t)
+    found = jobs.anchor(**{n: s[n] for n in ("patient", "condition", "medication_request", "soap_note")})
+    return t.spark.createDataFrame([(found,)], "patient_id string")
+
+
+@over_gold(f"SELECT encounter_id, md5(soap_note_text) AS note FROM gold WHERE length(soap_note_text) >= 200 AND {N_CONDITIONS} >= 2 ORDER BY encounter_date DESC, encounter_id LIMIT 1")
+def card_pick(t: Tables, g: DataFrame) -> DataFrame:
+    found = jobs.card(g)
+    rows = [(found["encounter_id"], found["soap_note_text"])] if found else []
+    return t.spark.createDataFrame(rows, "encounter_id string, text string").select("encounter_id", F.md5(F.col("text").cast("binary")).alias("note"))
+
+
+@query("SELECT '| `r_regionkey` | `r_name` |' || chr(10) || '| - | - |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || left(repeat(replace(r_name, 'A', chr(92) || '|'), 20), 59) || '… |', chr(10) ORDER BY r_regionkey) AS shown FROM region")
+def preview_cells(t: Tables) -> DataFrame:
+    """A sample as Markdown: signs that tables know are escaped, long values cut."""
+    rows = t.region.select("r_regionkey", F.repeat(F.translate("r_name", "A", "|"), F.lit(20)).alias("r_name")).orderBy("r_regionkey")
+    return t.spark.createDataFrame([(preview.sample(rows),)], "shown string")
+
+
+COLUMNS = [c.split(" ")[0] for c in gold.SCHEMA.split(", ")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {c in gold.REQUIRED}, {c in gold.NULLABLE})" for c in COLUMNS) + ") AS v(column_name, required, nullable)")
+def summary_schema(t: Tables) -> DataFrame:
+    """The JSON Schema of the summary, a row per column."""
+    found = quality.json_schema()
+    rows = [(n, n in found["required"], "null" in x["type"]) for n, x in found["properties"].items()]
+    return t.spark.createDataFrame(rows, "column_name string, required boolean, nullable boolean")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{x.key}', CAST({len(x.schema.split(', '))} AS BIGINT))" for x in silver.TABLES.values()) + ") AS v(table_name, key, columns)")
+def data_dictionary(t: Tables) -> DataFrame:
+    """Tables, keys and numbers of columns, as the dictionary lists them."""
+    rows, name = [], None
+    for line in quality.dictionary().splitlines():
+        if line.startswith("## silver."):
+            name = line.removeprefix("## silver.")
+            rows.append([name, None, 0])
+        elif line.startswith("## "):
+            name = None
+        elif name and line.startswith("| ") and not line.startswith("| column "):
+            cells = [c.strip() for c in line.strip("|").split("|")]
+            rows[-1][2] += 1
+            rows[-1][1] = cells[0] if cells[2] == "key" else rows[-1][1]
+    return t.spark.createDataFrame(rows, "table_name string, key string, columns long")
+
+
+@over_gold("SELECT c_mktsegment AS gender, count(*) AS encounters, count(DISTINCT e.patient_id) AS patients FROM enc e JOIN customer ON e.patient_id = c_custkey GROUP BY 1")
+def nb_views(t: Tables, g: DataFrame) -> DataFrame:
+    """A question in SQL over the views."""
+    notebook.register(silver_frames(t), g)
+    return t.spark.sql("SELECT p.gender, count(*) AS encounters, count(DISTINCT g.patient_id) AS patients FROM gold g JOIN silver_patient p ON g.patient_id = p.patient_id GROUP BY p.gender")
