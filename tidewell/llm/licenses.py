@@ -32,16 +32,19 @@ def words(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """Hashes at each word: element 2 i is that of the pair from word i, 2 i + 1 that of the longer gram; the last is 0, a mark."""
+    """Hashes at each word: element 2 i is that of the pair from word i, 2 i + 1 that of the longer gram; the last is 0, a mark.
 
-    def hashed(w: Column, i: Column, k: int) -> Column:
-        return F.when(i + k <= F.size(w), F.xxhash64(*(F.get(w, i + x) for x in range(k))))
+    Words are hashed once, grams are hashes of their words' hashes.
+    """
+
+    def hashed(h: Column, i: Column, k: int) -> Column:
+        return F.when(i + k <= F.size(h), F.xxhash64(*(F.get(h, i + x) for x in range(k))))
 
-    def all_of(w: Column) -> Column:
-        at = lambda j: F.when(j == 2 * F.size(w), F.lit(0).cast("long")).when(j % 2 == 0, hashed(w, (j / 2).cast("int"), PAIR)).otherwise(hashed(w, (j / 2).cast("int"), GRAM))
-        return F.transform(F.sequence(F.lit(0), 2 * F.size(w)), at)
+    def all_of(h: Column) -> Column:
+        at = lambda j: F.when(j == 2 * F.size(h), F.lit(0).cast("long")).when(j % 2 == 0, hashed(h, F.shiftright(j, 1), PAIR)).otherwise(hashed(h, F.shiftright(j, 1), GRAM))
+        return F.transform(F.sequence(F.lit(0), 2 * F.size(h)), at)
 
-    return bound(words, all_of)
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), all_of)
 
 
 def places(spark: SparkSession, phrases: tuple, notices: tuple) -> DataFrame:
