@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tidewell.llm import hosts, learned, license_texts, licenses, media, mixing, near, packing, privacy, queries, resampling, rules, toxicity
+from tidewell.llm import common, hosts, learned, license_texts, licenses, media, mixing, near, packing, privacy, queries, resampling, rules, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -568,7 +569,7 @@ def test_resampling_prefers_the_target(spark):
 # the pipeline
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, tmp_path, monkeypatch):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
     d.write.parquet(str(tmp_path / "documents.parquet"))
@@ -602,5 +603,8 @@ def test_pipeline(spark, tmp_path):
         if r.piece == 0:
             packed[r.doc_id] += 1
     assert packed == taken
+    gone = []
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda df: gone.append(df.inputFiles()) or common.discard(df))
     again = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(gone) == 4 and not any(os.path.exists(f.removeprefix("file://")) for files in gone for f in files)
     assert Counter(r.doc_id for r in again.where("piece = 0").collect()) == packed
