@@ -233,16 +233,21 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
     opened = small.where(F.col("size") > capacity // 2).select(*names[:2], F.col("id").alias("seq"))
     gaps = opened.select("seq", (capacity - F.col("size")).alias("room"))
     widest = capacity - min((s for s in wanted if 2 * s > capacity), default=capacity)
+    room, done = sum((capacity - s) * sizes[s] for s in wanted if 2 * s > capacity), set()
 
-    def kept(gaps: DataFrame) -> tuple[DataFrame, int]:
-        """The gaps that some piece fits, and the widest."""
-        out, seen = durable_counted(gaps.where(F.col("room") >= wanted[0]), F.max("room").alias("widest"))
-        return out, seen["widest"] or 0
+    def kept(gaps: DataFrame) -> tuple[DataFrame, int, int]:
+        """The gaps that some piece fits, the widest, and what is free in all."""
+        out, seen = durable_counted(gaps.where(F.col("room") >= wanted[0]), F.max("room").alias("widest"), F.sum("room").alias("room"))
+        return out, seen["widest"] or 0, seen["room"] or 0
 
+    small_one = capacity // 8  # from here on, classes whose pieces easily fit what is free are one
     for least, most in classes(capacity):
-        held = [s for s in wanted if least <= s <= most and 2 * s <= capacity]
+        held = [s for s in wanted if least <= s <= most and 2 * s <= capacity and s not in done]
         if not held:
             continue
+        if most <= small_one and 2 * sum(s * sizes[s] for s in wanted if s <= most) <= room:
+            held = [s for s in wanted if s <= most]
+        done.update(held)
         low, high = held[0], held[-1]
         pieces, ranges = small.where(F.col("size").between(low, high)), None
         while ranges is None or (pieces is not None and widest >= low):
@@ -261,9 +266,9 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
             now.write.parquet(f"{path}/step={step}")
             if several:
                 took = now.groupBy(F.col("seq").alias("_seq")).agg(F.sum("size").alias("_took"))
-                gaps, widest = kept(gaps.join(took, F.col("seq") == F.col("_seq"), "left").select("seq", (F.col("room") - F.coalesce("_took", F.lit(0))).alias("room")))
+                gaps, widest, room = kept(gaps.join(took, F.col("seq") == F.col("_seq"), "left").select("seq", (F.col("room") - F.coalesce("_took", F.lit(0))).alias("room")))
             else:
-                gaps, widest = kept(rest.unionAll(out.where("seq is not null").select("seq", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))))
+                gaps, widest, room = kept(rest.unionAll(out.where("seq is not null").select("seq", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))))
         if pieces is not None:
             step += 1
             before = dict(zip((r for r, _ in ranges), itertools.accumulate((n for _, n in ranges), initial=0), strict=False))
@@ -271,7 +276,7 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
             group = W.partitionBy(F.floor((F.col("n") + F.col("start")) / (capacity // high)))
             new = durable(pieces.join(starts, F.col("part") == F.col("range")).select("id", "size", F.min("id").over(group).alias("seq"), (capacity - F.sum("size").over(group)).alias("room")))
             new.select(*names).write.parquet(f"{path}/step={step}")
-            gaps, widest = kept(gaps.unionAll(new.where("id = seq").select("seq", "room")))
+            gaps, widest, room = kept(gaps.unionAll(new.where("id = seq").select("seq", "room")))
     first = opened.withColumn("step", F.lit(0))
     return first.unionByName(spark.read.schema("id long, size long, seq long, step int").parquet(path)) if step else first
 
