@@ -117,6 +117,14 @@ def test_summary(spark, tables):
     assert notebook.quantiles(df, notebook.VITAL_QUANTILES).first().hr_p50 == 72.0
 
 
+def test_encounters_without_a_day(spark):
+    base = spark.createDataFrame([("e1", "p", None), ("e2", "p", date(2020, 1, 1))], "encounter_id string, patient_id string, encounter_date date")
+    cond = spark.createDataFrame([("p", "x", None, date(2021, 1, 1)), ("p", "x", date(2019, 1, 1), None), ("p", "y", None, None)], "patient_id string, display string, onset_date date, abatement_date date")
+    req = spark.createDataFrame([("p", "m", "active", date(2019, 1, 1)), ("p", "m", "active", None), ("p", "n", "active", None)], "patient_id string, display string, status string, authored_on date")
+    got = {r.encounter_id: (r.active_conditions, r.active_medications) for r in gold.problems(base, cond, req).collect()}
+    assert got == {"e1": (["y"], ["n"]), "e2": (["x", "y"], ["m", "n"])}
+
+
 def test_long_stays_are_dealt_out(spark):
     enc = spark.createDataFrame([("a",)] * 50 + [("b",)], "patient_id string")
     assert gold.salts_for(enc, 20) == 3 and gold.salts_for(enc.limit(0)) == 1

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.operators.relational import changes, keep_last, merged, numbered
+from tidewell.operators.relational import changes, keep_last, merged, numbered, stretches
 from tidewell.sources.tables import Store
 
 SCHEMA = "k string, v int"
@@ -111,6 +111,22 @@ def test_merge_properties(spark, before, source):
     assert changes(once, once, "k").count() == 0
 
 
+def test_stretches(spark):
+    import random
+
+    rng = random.Random(4)
+    facts = [(rng.choice("ab"), rng.choice([None, *range(12)]), rng.choice([None, *range(12)])) for _ in range(14)]
+    facts = [(k, a, b) for k, a, b in facts for _ in range(2)] + [("c", 3, 3), ("d", None, 4), ("d", 2, None), ("e", 1, 2), ("e", 2, 5), ("e", 7, 8), ("f", None, None)]
+    out = stretches(spark.createDataFrame(facts, "k string, a int, b int"), ["k"], "a", "b").collect()
+    holds = lambda a, b, day: (a is None or a <= day) and (b is None or b > day)
+    for k in "abcdef":
+        mine = [(r.a, r.b) for r in out if r.k == k]
+        for day in range(-1, 14):
+            assert sum(holds(a, b, day) for a, b in mine) == any(holds(a, b, day) for x, a, b in facts if x == k), (k, day)
+        assert any(r.always for r in out if r.k == k) == any(x == k and a is None and b is None for x, a, b in facts)
+    assert sorted((r.a, r.b) for r in out if r.k == "e") == [(1, 5), (7, 8)] and [(r.a, r.b) for r in out if r.k == "d"] == [(None, None)]
+
+
 def test_keep_last(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "k string, v int, at int")
     assert rows(keep_last(df, "k", ["at"])) == [("a", 2), ("b", 3)]

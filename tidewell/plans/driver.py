@@ -24,10 +24,12 @@ SQL: dict[str, str] = {}
 
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.read = spark, root, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.read[name]
 
 
 def query(sql: str | None = None):

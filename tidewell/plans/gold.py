@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import age_at, uuid5
-from tidewell.operators.relational import as_of, distinct_list, earliest, latest, latest_if
+from tidewell.operators.relational import as_of, distinct_list, earliest, latest, latest_if, stretches
 from tidewell.plans.silver import TABLES
 
 CONTRACT_VERSION, MANIFEST_VERSION = "1.1.0", "1"
@@ -40,12 +40,17 @@ def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
 
 def problems(base: DataFrame, condition: DataFrame, request: DataFrame, salts: int = 1) -> DataFrame:
     """Conditions that hold on each encounter's day, whichever encounter recorded them, and active medications from
-    their earliest start on: one join for both."""
-    held = condition.where("display is not null").select("patient_id", F.lit("c").alias("_what"), "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to")).distinct()
+    their earliest start on: one join for both.
+
+    A patient's intervals of one condition become disjoint stretches first, so an encounter meets each name once.
+    """
+    held = condition.where("display is not null").select("patient_id", "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to"))
+    held = stretches(held, ["patient_id", "display"], "_from", "_to").withColumn("_what", F.lit("c"))
     active = request.where("display is not null and status = 'active'").select("patient_id", "display", F.to_date("authored_on").alias("_on"))
-    taken = earliest(active, ["patient_id", "display"], "_on", "_from").select("patient_id", F.lit("m").alias("_what"), "display", "_from", F.lit(None).cast("date").alias("_to"))
+    taken = earliest(active, ["patient_id", "display"], "_on", "_from").withColumns({"_to": F.lit(None).cast("date"), "always": F.col("_from").isNull(), "_what": F.lit("m")})
     met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), held.unionByName(taken), "patient_id", "encounter_date", "_from", "_to", salts)
-    of = lambda what: distinct_list(F.when(F.col("_what") == what, F.col("display")))
+    met = met.where(F.col("encounter_date").isNotNull() | F.col("always"))  # without a day only what has no bounds holds
+    of = lambda what: F.array_sort(F.collect_list(F.when(F.col("_what") == what, F.col("display"))))
     return met.groupBy("encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
 
 
