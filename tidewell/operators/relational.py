@@ -49,22 +49,19 @@ def as_of(events: DataFrame, facts: DataFrame, key: str, day: str, start: str, e
 
 
 def stretches(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """keys, start, end, always: the disjoint stretches that intervals [start, end) of a key cover; null bounds are open.
+    """keys, start, end: disjoint stretches that together cover what the intervals [start, end) of a key cover.
 
-    ``always`` tells whether an interval without bounds is among them. Intervals that end as they start cover nothing.
-    A key's intervals meet one row per start before its stretches are found, however many there are.
+    Null bounds are open. Intervals that end as they start cover nothing. Only an interval without bounds makes a stretch
+    without bounds. Of equal starts the longest interval stays; in order of starts each one loses what earlier ones
+    cover.
     """
     s, e = F.col(start), F.col(end)
     rows = df.where(s.isNull() | e.isNull() | (e > s)).groupBy(*keys, start)
-    # plain columns, not structs: Spark aggregates those by hash
-    rows = rows.agg(F.max(e).alias("_end"), F.bool_or(e.isNull()).alias("_open"), F.bool_or(s.isNull() & e.isNull()).alias("_always"))
-    order = W.partitionBy(*keys).orderBy(s.asc_nulls_first())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.agg(F.max(e).alias("_end"), F.bool_or(e.isNull()).alias("_open"))  # plain columns, which Spark aggregates by hash
+    before = W.partitionBy(*keys).orderBy(s.asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({"_before": F.max("_end").over(before), "_unended": F.max("_open").over(before)})
-    new = F.col("_unended").isNull() | (~F.col("_unended") & (s > F.col("_before")))
-    rows = rows.withColumn("_n", F.sum(new.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = rows.groupBy(*keys, "_n").agg(F.min(s).alias("_s"), F.bool_or(s.isNull()).alias("_since"), F.max("_end").alias("_e"), F.bool_or("_open").alias("_on"), F.bool_or("_always").alias("always"))
-    return out.select(*keys, F.when(~F.col("_since"), F.col("_s")).alias(start), F.when(~F.col("_on"), F.col("_e")).alias(end), "always")
+    covered = F.coalesce("_unended", F.lit(False)) | (~F.col("_open") & F.coalesce(F.col("_end") <= F.col("_before"), F.lit(False)))
+    return rows.where(~covered).select(*keys, F.greatest(s, "_before").alias(start), F.when(~F.col("_open"), F.col("_end")).alias(end))
 
 
 def earliest(df: DataFrame, keys: Sequence[str], when: str, name: str) -> DataFrame:

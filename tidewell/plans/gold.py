@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import age_at, uuid5
-from tidewell.operators.relational import as_of, distinct_list, earliest, latest, latest_if, stretches
+from tidewell.operators.relational import as_of, distinct_list, latest, latest_if, stretches
 from tidewell.plans.silver import TABLES
 
 CONTRACT_VERSION, MANIFEST_VERSION = "1.1.0", "1"
@@ -32,6 +32,9 @@ REQUIRED = ("summary_id", "patient_id", "encounter_id", "patient_age", "patient_
 NULLABLE = ("patient_age", "encounter_date", "soap_note_text", "soap_note_id", "ecg_finding", "ecg_rhythm", "genomic_summary")
 
 
+LAST_DAY = date(9999, 12, 31)
+
+
 def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
     who = patient.select("patient_id", "birth_date", F.col("gender").alias("patient_gender"))
     day = F.to_date("start_date")
@@ -44,12 +47,14 @@ def problems(base: DataFrame, condition: DataFrame, request: DataFrame, salts: i
 
     A patient's intervals of one condition become disjoint stretches first, so an encounter meets each name once.
     """
-    held = condition.where("display is not null").select("patient_id", "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to"))
-    held = stretches(held, ["patient_id", "display"], "_from", "_to").withColumn("_what", F.lit("c"))
-    active = request.where("display is not null and status = 'active'").select("patient_id", "display", F.to_date("authored_on").alias("_on"))
-    taken = earliest(active, ["patient_id", "display"], "_on", "_from").withColumns({"_to": F.lit(None).cast("date"), "always": F.col("_from").isNull(), "_what": F.lit("m")})
-    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), held.unionByName(taken), "patient_id", "encounter_date", "_from", "_to", salts)
-    met = met.where(F.col("encounter_date").isNotNull() | F.col("always"))  # without a day only what has no bounds holds
+    held = condition.where("display is not null").select("patient_id", F.lit("c").alias("_what"), "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to"))
+    # no start is taken for the last of all, so that an earlier one holds where there is one
+    start = F.coalesce(F.to_date("authored_on"), F.lit(LAST_DAY))
+    taken = request.where("display is not null and status = 'active'").select("patient_id", F.lit("m").alias("_what"), "display", start.alias("_from"), F.lit(None).cast("date").alias("_to"))
+    # dealt by patient once, for the stretches and for the join
+    spans = stretches(held.unionByName(taken).repartition("patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
+    spans = spans.withColumn("_from", F.when((F.col("_what") == "c") | (F.col("_from") < F.lit(LAST_DAY)), F.col("_from")))
+    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", salts)
     of = lambda what: F.array_sort(F.collect_list(F.when(F.col("_what") == what, F.col("display"))))
     return met.groupBy("encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
 
