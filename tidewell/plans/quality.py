@@ -89,6 +89,7 @@ def metrics(df: DataFrame, rules: Mapping) -> dict:
     return dict(zip(names, row, strict=True))
 
 
+# The names that rules go by and the texts of their outcomes.
 def validate(table: str, df: DataFrame, rules: Mapping | None = None) -> Result:
     """Outcomes of a table's rules. Missing columns, and for empty tables all but the first rules, are passed over."""
     rules = RULES.get(table, {}) if rules is None else rules
