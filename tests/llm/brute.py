@@ -276,3 +276,46 @@ def toxicity(rows, marks, buckets=1 << 18, stem=5, prior=2.0, sigmas=2.0, cost=1
         bayes = -math.e * p * math.log(p) if 0 < p < 1 / math.e else float(p > 0)
         out[d] = share / (share + (1 - share) * bayes)
     return out
+
+
+def clusters(vectors, k=8, rounds=10, seed=3, scale=1024, dimensions=64):
+    """{place in vectors: (cluster, distance, inertia of the cluster, of all, hash of the centroid)} by whole scans."""
+    kept = {n: [math.floor(scale * float(x)) for x in v] for n, (_, v) in enumerate(vectors) if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v)}
+    named = sorted((vectors[n][0] is None, hashlib.sha256(f"{seed}:{vectors[n][0]}".encode()).hexdigest(), v) for n, v in kept.items())
+    centroids = [v for *_, v in named[:k]]
+    for r in range(rounds + 1):
+        found = {n: min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), j) for j, c in enumerate(centroids)) for n, v in kept.items()}
+        if r < rounds:
+            for j in range(len(centroids)):
+                if mine := [kept[n] for n in kept if found[n][1] == j]:
+                    centroids[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    per, total = Counter(), sum(d for d, _ in found.values()) if kept else 0
+    for d, j in found.values() if kept else ():
+        per[j] += d
+    return {n: (j, d, per[j], total, hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for n, (d, j) in (found.items() if kept else ())}
+
+
+def collocations(docs, longest=5, frequent=100, share=100, first=2000):
+    """(lang, rank, phrase, a, l, r, n, score) in order."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, *words[i : i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    candidates = {p: a for p, a in f.items() if len(p) > 2 and a >= frequent}
+    dropped = set()
+    for (lang, *words), a in candidates.items():
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                inner = (lang, *words[i:j])
+                if j - i < len(words) and 100 * a >= share * f[inner]:
+                    dropped.add(inner)
+    out = defaultdict(list)
+    for (lang, *words), a in candidates.items():
+        if (lang, *words) not in dropped:
+            cuts = [(1000 * a * n[lang] // (f[(lang, *words[:k])] * f[(lang, *words[k:])]), k) for k in range(1, len(words))]
+            score, k = min(cuts)
+            out[lang].append((-score, -a, " ".join(words).encode(), f[(lang, *words[:k])], f[(lang, *words[k:])]))
+    return [(lang, i, p.decode(), -a, l, r, n[lang], -s) for lang in sorted(out) for i, (s, a, p, l, r) in enumerate(sorted(out[lang])[:first], 1)]  # noqa: E741

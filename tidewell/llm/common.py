@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,19 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their keys (of so many bits), the distinct keys, and how often each stands."""
+    low = len(key).bit_length()
+    if bits + low <= 64:  # key and place in one number sort fastest
+        both = np.sort((key << np.uint64(low)) | np.arange(len(key), dtype=np.uint64))
+        places, key = (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+    else:
+        places = np.argsort(key, kind="stable")
+        key = key[places]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    return places, key[begins], np.diff(np.append(begins, len(key)))
+
+
 def spread(key: Column, buckets: int) -> Column:
     """A bucket number from 0 that depends on the key alone."""
     return F.pmod(F.xxhash64(key, F.lit("tidewell")), F.lit(buckets)).cast("int")

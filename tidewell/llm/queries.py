@@ -7,20 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import hosts, learned, licenses, media, mixing, near, packing, privacy, resampling, rules, toxicity
+from tidewell.llm import centroids, collocations, hosts, learned, licenses, media, mixing, near, packing, privacy, resampling, rules, token_files, toxicity
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, FILE_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = TOKENIZER) -> str:
     """The place of the public tokenizer; executors have the same installation."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer(FILE_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_url_filter, op8_simhash_dedup, op9_media_columns, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_url_filter, op8_simhash_dedup, op9_media_columns, op10_personal_data, op11_centroid_clustering, op12_phrase_collocations, op13_token_files)}
 
 
 RULE_SQL = "CASE " + " ".join(
@@ -182,6 +194,36 @@ SELECT x.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
 """
 
 
+def round_sql(r: int) -> str:
+    """Assignment to the centroids of round r, and the centroids after it."""
+    return f"""a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM x, c{r}) GROUP BY 1, 2),
+s{r} AS (SELECT c, i, sum(x) AS total, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(new, m) AS m FROM c{r} LEFT JOIN (SELECT c, list((total - ((total % n) + n) % n) // n ORDER BY i) AS new FROM s{r} GROUP BY 1) USING (c))"""
+
+
+OP11_SQL = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+    WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM x ORDER BY h, v LIMIT {centroids.CENTROIDS})),
+{", ".join(round_sql(r) for r in range(centroids.ROUNDS + 1))}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} USING (c)
+"""
+
+OP12_SQL = f"""
+WITH p AS (SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY 1 HAVING sum(len(ws)) > 0),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) - k + 2 AS BIGINT)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k) WHERE len(ws) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= {collocations.FREQUENT}),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.*, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM c, (SELECT unnest(range(1, {collocations.LONGEST})) AS j) WHERE j < k),
+s AS (SELECT cuts.lang, cuts.phrase, a, lf.f AS l, rf.f AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(lf.f AS HUGEINT) * rf.f) AS BIGINT) AS score, j FROM cuts JOIN n ON n.lang = cuts.lang JOIN f lf ON lf.lang = cuts.lang AND lf.phrase = lp JOIN f rf ON rf.lang = cuts.lang AND rf.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c longer ON longer.lang = c.lang AND longer.k > c.k AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * longer.a >= {collocations.SHARE} * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b ANTI JOIN held USING (lang, phrase) QUALIFY rank <= {collocations.FIRST}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against plain versions."""
-    return {"op1_license_scan": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_license_scan": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_url_filter": OP7_SQL, "op11_centroid_clustering": OP11_SQL, "op12_phrase_collocations": OP12_SQL}
