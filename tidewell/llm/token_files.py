@@ -5,9 +5,9 @@ Documents are range-sorted, so a task sees a stretch of the order; it tokenizes
 after round. Its bytes hold the rules, the length each of them expands to, and the shortened sequence, so that any
 stretch of ids is expanded without the rest. No rule reaches beyond a document's end.
 
-Layout of a shard's bytes, little-endian: ``MAGIC``; version, first nonterminal, rules, symbols, documents as u32; ids as u64;
-left and right symbols of rules, expansion lengths of rules, sequence as u32; first symbol and first id of every
-document and of the end as u64; crc32 of all that as u32.
+Layout of a shard's bytes, little-endian: ``MAGIC``; version, bytes of a symbol (2 or 4), first nonterminal, rules, symbols,
+documents as u32; ids as u64; left and right symbols of rules and the sequence in that many bytes; expansion lengths of
+rules as u32; first symbol and first id of every document and of the end as u64; crc32 of all that as u32.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_bytes, grouped, in_arrow
+from tidewell.llm.common import grouped, in_arrow
 from tidewell.llm.packing import letters
 from tidewell.session import scratch
 
@@ -38,9 +39,9 @@ IDS = 1 << 20
 FREQUENT, GAIN = 32, 0.02
 #: The end of a word in a vocabulary.
 WORD_END = "</w>"
-MAGIC, VERSION, HEAD = b"TWRP", 1, struct.Struct("<4s5IQ")
-#: Rows of an Arrow batch that are tokenized at a time.
-ROWS = 256
+MAGIC, VERSION, HEAD = b"TWRP", 1, struct.Struct("<4s6IQ")
+#: Bytes of texts that are tokenized at a time: the more, the more words are repeated ones.
+TEXT = 1 << 23
 
 
 #: Fixed value: how the public word vocabulary splits text; white space is dropped, and no match holds any.
@@ -50,10 +51,8 @@ SPACE, LETTERS = " \t-\r", "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u0
 ODD = re.compile(f"[^{SPACE}!-~\u00c0-\u00d6\u00d8-\u012f\u0131-\u0148\u014a-\u017e]|\u00f7")
 #: What PATTERN matches besides letters, in lower-case text without odd characters.
 MARKS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{SPACE}0-9{LETTERS}]+")
-#: Length from which a word goes through the tokenizers library, whose time grows more slowly with it, and isn't remembered.
+#: Length from which a word goes through the tokenizers library, whose time grows more slowly with it.
 LONG = 512
-#: Words that a task remembers with their ids.
-WORDS = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -76,7 +75,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
@@ -105,35 +104,55 @@ class WordIds:
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def plain(self, lines: str) -> list[bytes]:
-        """Of words without odd characters and added tokens, a word a line, in one go."""
+    def plain(self, lines: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n words without odd characters and added tokens, a word a line, end to end, and how many each has."""
         ranks = np.array(self.words(MARKS.sub(r" \g<0> ", lines.lower()).replace("\n", " \n") + " \n"), np.int64)
-        ends = np.flatnonzero(ranks == self.line) - np.arange(lines.count("\n") + 1)
-        data = self.of_rank[ranks[ranks != self.line]].tobytes()
-        return [data[a:b] for a, b in itertools.pairwise([0, *(4 * ends).tolist()])]
-
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        lines, odd = b"\n".join(new).decode(), {}
-        if ODD.search(lines) or any(x in lines for x in self.added) or len(max(new, key=len, default=b"")) > LONG:
-            odd = {w: x for w in new if len(x := w.decode()) > LONG or ODD.search(x) or any(y in x for y in self.added)}
-            new = [w for w in new if w not in odd]
-            lines = b"\n".join(new).decode()
-        return {w: self.library(x) for w, x in odd.items()} | (dict(zip(new, self.plain(lines), strict=True)) if new else {})
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts. Words met before are looked up."""
+        ends = np.flatnonzero(ranks == self.line) - np.arange(n)
+        return self.of_rank[ranks[ranks != self.line]], np.diff(ends, prepend=0)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has."""
+        lines = joined(words)
+        if not (ODD.search(lines) or any(x in lines for x in self.added)) and pc.max(pc.binary_length(words)).as_py() <= LONG:
+            return self.plain(lines, len(words))
+        every = words.to_pylist()
+        odd = np.array([len(x) > LONG or bool(ODD.search(x)) or any(y in x for y in self.added) for x in every])
+        rest, own = words.filter(pa.array(~odd)), [self.library(x) for x, o in zip(every, odd, strict=True) if o]
+        flat, n = self.plain(joined(rest), len(rest)) if len(rest) else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        sizes, at = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[~odd], sizes[odd] = n, [len(x) // 4 for x in own]
+        order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+        at[order] = np.arange(len(words))
+        sizes_in = sizes[order]
+        both = np.concatenate((flat, np.frombuffer(b"".join(own), "<u4")))
+        return gathered(both, np.cumsum(sizes_in) - sizes_in, sizes_in, at), sizes
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (null: empty) end to end, and where each text's end. Each distinct word is tokenized once."""
         if not self.fast:
-            return [self.library(t.decode()) for t in texts]
-        words = [t.split() for t in texts]  # at ASCII white space
-        if len(self.known) > WORDS:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
-        self.known |= self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-        for w in new:
-            if len(w) > LONG:
-                del self.known[w]
-        return out
+            found = [self.library(t or "") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        flat, sizes = self.of_words(coded.dictionary)
+        begins, of = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        upto = np.concatenate(([0], np.cumsum(sizes[of])))
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)
+        return gathered(flat, begins, sizes, of), upto[ends]
+
+
+def joined(words: pa.Array) -> str:
+    """Words, a line each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The stretches ``of`` of an array, one after the other."""
+    n = sizes[of]
+    upto = np.cumsum(n)
+    return flat[np.repeat(begins[of] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def merges_within_words(spec: dict) -> bool:
@@ -161,18 +180,20 @@ def merges_within_words(spec: dict) -> bool:
 def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Left and right symbols of rules, and the sequence; rule k has the symbol ``first + k``. No pair begins with ``end``.
 
-    A round sorts all pairs, ranks those that stand ``frequent`` times by how often they do, and replaces each place whose
+    A round sorts pairs, ranks those that stand ``frequent`` times by how often they do, and replaces each place whose
     pair outranks both that overlap it; in runs of one symbol, every second place. So the most frequent pair is replaced
-    everywhere, as one pair at a time would be, and others where that left them.
+    everywhere, as one pair at a time would be, and others where that left them. Rounds after the first sort the pairs
+    with a new symbol and those that were frequent before, as no other can become so.
     """
-    seq, left, right, top = ids.astype(np.uint64), [], [], first
-    while len(seq) > 1:
+    seq, left, right, top = ids.astype(np.uint32), [], [], first
+    open_ = np.flatnonzero(seq[:-1] != end)
+    while len(open_):
         bits = np.uint64(top.bit_length())
-        places, pairs, n = grouped(np.where(seq[:-1] == end, 0, (seq[:-1] << bits) | seq[1:]), 2 * int(bits))
-        often = (n >= frequent) & (pairs > 0)
+        places, pairs, n = grouped((seq[open_].astype(np.uint64) << bits) | seq[open_ + 1], 2 * int(bits))
+        often = n >= frequent
         if not often.any():
             break
-        places, pairs, n = places[np.repeat(often, n)], pairs[often], n[often]
+        places, pairs, n = open_[places[np.repeat(often, n)]], pairs[often], n[often]
         none = len(pairs)
         rank = np.empty(none, np.int32)
         by = np.lexsort((pairs, -n))
@@ -185,7 +206,7 @@ def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain
         kept = np.flatnonzero(np.bincount(mine[at], minlength=none) >= frequent)
         if not len(kept):
             break
-        symbol = np.zeros(none, np.uint64)
+        symbol = np.zeros(none, np.uint32)
         symbol[kept] = top + np.arange(len(kept))
         made = symbol[mine[at]]
         at, made = at[made > 0], made[made > 0]
@@ -196,7 +217,11 @@ def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain
         stays = np.ones(before, bool)
         stays[at + 1] = False
         seq[at] = made
-        seq = seq[stays]
+        again = mine < none  # pairs that were frequent, and those with a new symbol at either place
+        again[at] = True
+        seq, again = seq[stays], np.append(again, False)[stays]
+        again[:-1] |= seq[1:] >= top - len(kept)
+        open_ = np.flatnonzero(again[:-1] & (seq[:-1] != end))
         if before - len(seq) < gain * before:
             break
     none = np.empty(0, np.int64)
@@ -231,8 +256,9 @@ def encode(ids: np.ndarray, ends: np.ndarray, end: int = END_ID, frequent: int =
     sizes = lengths(first, left, right)
     upto = np.concatenate(([0], np.cumsum(np.where(seq < first, 1, sizes[np.maximum(seq - first, 0)] if len(sizes) else 1))))
     starts = np.concatenate(([0], ends))
-    head = HEAD.pack(MAGIC, VERSION, first, len(left), len(seq), len(ends), len(ids))
-    body = b"".join(x.astype("<u4").tobytes() for x in (left, right, sizes, seq))
+    width = 2 if first + len(left) <= 1 << 16 else 4
+    head = HEAD.pack(MAGIC, VERSION, width, first, len(left), len(seq), len(ends), len(ids))
+    body = b"".join(x.astype(f"<u{width}").tobytes() for x in (left, right, seq)) + sizes.astype("<u4").tobytes()
     body = head + body + np.searchsorted(upto, starts).astype("<u8").tobytes() + starts.astype("<u8").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -243,7 +269,7 @@ class Shard:
     def __init__(self, data: bytes):
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("a shard's bytes are damaged")
-        magic, version, self.first, rules, symbols, docs, self.n = HEAD.unpack_from(data)
+        magic, version, width, self.first, rules, symbols, docs, self.n = HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of token ids")
         at = HEAD.size
@@ -254,7 +280,9 @@ class Shard:
             at += out.nbytes
             return out.astype(np.int64)
 
-        self.left, self.right, self.sizes, self.seq = take(rules, "<u4"), take(rules, "<u4"), take(rules, "<u4"), take(symbols, "<u4")
+        self.left, self.right, self.seq = (take(n, f"<u{width}") for n in (rules, rules, symbols))
+        #: Ids that each symbol expands to.
+        self.sizes = np.concatenate((np.ones(self.first, np.int64), take(rules, "<u4")))
         self.symbols, self.starts = take(docs + 1, "<u8"), take(docs + 1, "<u8")
         self.rules = None
 
@@ -262,37 +290,29 @@ class Shard:
         """What every symbol expands to, end to end, and where each begins: made once, rule after rule."""
         if self.rules is None:
             begins = np.concatenate(([0], np.cumsum(self.sizes)))
-            flat = np.empty(begins[-1], np.int64)
-            done = 0
-            while done < len(self.left):  # rules that name only rules before them, together
-                ready = np.maximum(self.left[done:], self.right[done:]) < self.first + done
-                upto = len(self.left) if ready.all() else done + int(np.argmin(ready))
-                flat[begins[done] : begins[upto]] = self._gather(flat, begins, np.column_stack((self.left[done:upto], self.right[done:upto])).ravel())
+            flat = np.empty(begins[-1], np.uint32)
+            flat[: self.first] = np.arange(self.first)
+            done, last = 0, np.maximum(self.left, self.right)
+            while done < len(last):  # rules that name only rules before them, together
+                ready = last[done:] < self.first + done
+                upto = len(last) if ready.all() else done + int(np.argmin(ready))
+                both = np.column_stack((self.left[done:upto], self.right[done:upto])).ravel()
+                flat[begins[self.first + done] : begins[self.first + upto]] = gathered(flat, begins, self.sizes, both)
                 done = upto
             self.rules = flat, begins
         return self.rules
 
-    def _gather(self, flat: np.ndarray, begins: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= self.first
-        k = np.where(rule, symbols - self.first, 0)
-        size = np.where(rule, self.sizes[k], 1) if len(self.sizes) else np.ones(len(symbols), np.int64)
-        upto = np.cumsum(size)
-        from_ = np.repeat(begins[k] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
-        single = np.repeat(~rule, size)
-        out = np.repeat(symbols, size)
-        out[~single] = flat[from_[~single]]
-        return out
-
     def expand(self, lo: int, hi: int) -> np.ndarray:
         """Ids of the symbols from lo to hi."""
-        return self._gather(*self.opened(), self.seq[lo:hi])
+        flat, begins = self.opened()
+        return gathered(flat, begins, self.sizes, self.seq[lo:hi])
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[k], self.symbols[k + 1])
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a place of the shard, expanding only the symbols that hold them."""
-        upto = np.concatenate(([0], np.cumsum(np.where(self.seq < self.first, 1, self.sizes[np.maximum(self.seq - self.first, 0)] if len(self.sizes) else 1))))
+        upto = np.concatenate(([0], np.cumsum(self.sizes[self.seq])))
         lo, hi = int(np.searchsorted(upto, start, "right")) - 1, int(np.searchsorted(upto, start + n))
         return self.expand(lo, hi)[start - upto[lo] : start - upto[lo] + n]
 
@@ -300,8 +320,20 @@ class Shard:
 # files of shards
 
 
+def portions(batch: pa.RecordBatch, size: int = TEXT) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch (key, text) with some ``size`` bytes of texts at a time, one row at least."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + size)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, ids: int = IDS, frequent: int = FREQUENT, gain: float = GAIN) -> None:
-    """Write the token ids of documents (doc_id, text) as shards: part, shard, first_doc, last_doc, docs, n_ids, content.
+    """Write the token ids of documents (doc_id, text) as shards: part, start (ids of the part before it), first_doc, last_doc,
+    docs, n_ids, content.
 
     Documents are in ascending order of doc_id, null first; of equal ones in the order of a hash of their texts, then of
     the input, so repeated ids split over tasks. A null text is empty and has the end id alone; other columns are left
@@ -310,29 +342,36 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, ids: in
     from pyspark.sql.pandas.types import to_arrow_type
 
     key = to_arrow_type(docs.schema["doc_id"].dataType)
-    schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("first_doc", key), ("last_doc", key), ("docs", pa.list_(key)), ("n_ids", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("first_doc", key), ("last_doc", key), ("docs", pa.list_(key)), ("n_ids", pa.int64()), ("content", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = word_ids(tokenizer), np.array([end], "<u4").tobytes()
-        part, shard = TaskContext.get().partitionId(), 0
-        keys, held, n = [], [], 0
+        words, part, start = word_ids(tokenizer), TaskContext.get().partitionId(), 0
+        keys, held, ends, n = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in held])
-            row = [part, shard, keys[0], keys[-1], keys, len(all_ids), encode(all_ids, ends, end, frequent, gain)]
+            row = [part, start, keys[0], keys[-1], keys, n, encode(np.concatenate(held), np.concatenate(ends), end, frequent, gain)]
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                for k, found in zip(some.column(0).to_pylist(), words.ids(as_bytes(some.column(1))), strict=True):
-                    keys.append(k)
-                    held.append(found + last)
-                    n += len(held[-1]) // 4
+            for some in portions(batch):
+                found, upto = words.ids(some.column(1))
+                names, upto = some.column(0).to_pylist(), upto + np.arange(1, len(upto) + 1)
+                all_ids = np.empty(len(found) + len(upto), np.uint32)  # each document's ids and the end id
+                all_ids[upto - 1] = end
+                inner = np.ones(len(all_ids), bool)
+                inner[upto - 1] = False
+                all_ids[inner] = found
+                done = done_ids = 0
+                while done < len(upto):
+                    last = min(int(np.searchsorted(upto, done_ids + ids - n)) + 1, len(upto))  # the document that fills the shard
+                    keys += names[done:last]
+                    held.append(all_ids[done_ids : upto[last - 1]])
+                    ends.append(upto[done:last] - done_ids + n)
+                    n += int(upto[last - 1]) - done_ids
+                    done, done_ids = last, int(upto[last - 1])
                     if n >= ids:
                         yield closed()
-                        shard, keys, held, n = shard + 1, [], [], 0
+                        start, keys, held, ends, n = start + n, [], [], [], 0
         if keys:
             yield closed()
 
@@ -340,18 +379,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, ids: in
     ordered = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *rest)
     ordered = ordered.repartitionByRange("_id", "_hash", "_place").sortWithinPartitions("_id", "_hash", "_place")
     told = docs.schema["doc_id"].dataType.simpleString()
-    out = in_arrow(ordered.select("_id", "_text"), rows, f"part int, shard long, first_doc {told}, last_doc {told}, docs array<{told}>, n_ids long, content binary")
+    out = in_arrow(ordered.select("_id", "_text"), rows, f"part int, start long, first_doc {told}, last_doc {told}, docs array<{told}>, n_ids long, content binary")
     out.write.parquet(path)
 
 
 def placed(shards: DataFrame) -> DataFrame:
-    """Shards with ``_start``, the ids of all shards before; the only window over all has a row per part."""
-    sizes = shards.select("part", "shard", "n_ids")
+    """Shards with ``_start``, the ids of all shards before: what a part has before it comes from a row per part."""
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_parts"))
-    within = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
-    return shards.join(starts.select("part", "shard", (F.col("_parts") + F.col("_within")).alias("_start")), ["part", "shard"])
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_parts"))
+    return shards.join(F.broadcast(parts), "part").withColumn("_start", F.col("_parts") + F.col("start"))
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -368,7 +404,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             for at in range(batch.num_rows):
                 docs, content, begin = (batch.column(c)[at].as_py() for c in range(3))
                 shard = Shard(content)
-                ids = shard.expand(0, len(shard.seq)).astype("<u4")
+                ids = shard.expand(0, len(shard.seq)).astype("<u4", copy=False)
                 ends, data = shard.starts[1:], memoryview(ids.tobytes())
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(shard.starts[:-1].tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array(docs, key), pa.array(begin + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())]
@@ -387,8 +423,8 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     shards = spark.read.parquet(path)
     kind = shards.schema["first_doc"].dataType
     key = to_arrow_type(kind)
-    places = shards.select("part", "shard", F.posexplode("docs").alias("_k", "doc_id"))
-    places = places.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("part", "shard").agg(F.collect_list("_k").alias("_ks"))
+    places = shards.select("part", "start", F.posexplode("docs").alias("_k", "doc_id"))
+    places = places.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("part", "start").agg(F.collect_list("_k").alias("_ks"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +433,7 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 shard = Shard(content)
                 yield pa.record_batch([pa.array([docs[k] for k in ks], key), pa.array([shard.document(k).astype(np.int32) for k in ks], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    found = shards.join(places, ["part", "shard"]).select("docs", "content", "_ks")
+    found = shards.join(places, ["part", "start"]).select("docs", "content", "_ks")
     return in_arrow(found, rows, f"doc_id {kind.simpleString()}, ids array<int>")
 
 
