@@ -27,7 +27,7 @@ from tidewell.llm.common import as_bytes, as_texts, discard, durable, durable_co
 
 LONGEST, FREQUENT, SHARE, FIRST, UNKNOWN = 5, 100, 100, 2000, "und"
 #: Words from which a shard is closed; a piece of a text is never cut.
-WORDS = 1 << 21
+WORDS = 1 << 20
 #: Bytes from which a text is cut at the end of a piece, so that few words are held as objects.
 PART = 1 << 22
 #: Bits of the bitmap, a power of two: 8 MB.
