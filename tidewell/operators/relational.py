@@ -9,11 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, so that callers' columns may have any."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_last(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the last by ``order`` (nulls first). Spark limits groups before the shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     by = [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("_rn = 1").drop("_rn")
+    at = free("_rn", df)
+    return df.withColumn(at, F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col(at) == 1).drop(at)
 
 
 def latest(value: Column, when: Column, tie: Column) -> Column:
@@ -31,21 +40,29 @@ def distinct_list(value: Column) -> Column:
     return F.array_sort(F.collect_set(value))
 
 
-def as_of(events: DataFrame, facts: DataFrame, key: str, day: str, start: str, end: str | None = None, salts: int = 1) -> DataFrame:
+def as_of(events: DataFrame, facts: DataFrame, key: str, day: str, start: str, end: str | None = None, most: int = 20_000) -> DataFrame:
     """Events with each fact of their key that holds on their day: start <= day < end, null bounds open.
 
-    A null day meets facts without bounds only. Equal facts should be made distinct beforehand. ``salts`` above 1
-    deals the events of each key out and repeats its facts as often, for keys with very many events.
+    A null day meets facts without bounds only. Equal facts should be made distinct beforehand. A key with more than
+    ``most`` events has its time cut into ranges of about as many: an event is in one, a fact in those that it
+    overlaps, carried on from range to range as long as it holds. So an event meets the facts that hold in its range
+    instead of all of its key, and a key's ranges are tasks of their own.
     """
-    on = [key]
-    if salts > 1:
-        events = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-        facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("_salt")
+    at, n, low, high = (free(c, events, facts) for c in ("_range", "_n", "_low", "_high"))
+    time = lambda c, df: (F.unix_date(c) if (kind := dict(df.dtypes)[c]) == "date" else F.col(c).cast("timestamp") if kind.startswith("timestamp") else F.col(c)).cast("double")
+    busy = events.groupBy(key).agg(F.count("*").alias(n), F.min(time(day, events)).alias(low), F.max(time(day, events)).alias(high))
+    busy = busy.where((F.col(n) > most) & (F.col(high) > F.col(low)))
+    last = F.ceil(F.col(n) / most) - 1
+    place = lambda x: F.greatest(F.lit(0), F.least(last, F.floor((x - F.col(low)) / (F.col(high) - F.col(low)) * (last + 1))))
+    of = lambda x, default: F.when(F.col(n).isNull(), 0).otherwise(F.when(x.isNull(), default).otherwise(place(x))).cast("int")
+    met = events.join(busy, key, "left").withColumn(at, of(time(day, events), F.lit(0))).drop(n, low, high)
+    first = of(time(start, facts), F.lit(0))
+    upto = of(time(end, facts), last) if end else F.when(F.col(n).isNull(), 0).otherwise(last).cast("int")
+    spread = facts.join(busy, key, "left").withColumn(at, F.explode(F.sequence(first, F.greatest(first, upto)))).drop(n, low, high)
     holds = F.col(start).isNull() | (F.col(start) <= F.col(day))
     if end:
         holds = holds & (F.col(end).isNull() | (F.col(end) > F.col(day)))
-    return events.join(facts, on).where(holds).drop("_salt")
+    return met.join(spread, [key, at]).where(holds).drop(at)
 
 
 def stretches(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -56,12 +73,13 @@ def stretches(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataF
     cover.
     """
     s, e = F.col(start), F.col(end)
+    stop, open_, before_, unended = (free(c, df) for c in ("_end", "_open", "_before", "_unended"))
     rows = df.where(s.isNull() | e.isNull() | (e > s)).groupBy(*keys, start)
-    rows = rows.agg(F.max(e).alias("_end"), F.bool_or(e.isNull()).alias("_open"))  # plain columns, which Spark aggregates by hash
+    rows = rows.agg(F.max(e).alias(stop), F.bool_or(e.isNull()).alias(open_))  # plain columns, which Spark aggregates by hash
     before = W.partitionBy(*keys).orderBy(s.asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumns({"_before": F.max("_end").over(before), "_unended": F.max("_open").over(before)})
-    covered = F.coalesce("_unended", F.lit(False)) | (~F.col("_open") & F.coalesce(F.col("_end") <= F.col("_before"), F.lit(False)))
-    return rows.where(~covered).select(*keys, F.greatest(s, "_before").alias(start), F.when(~F.col("_open"), F.col("_end")).alias(end))
+    rows = rows.withColumns({before_: F.max(stop).over(before), unended: F.max(open_).over(before)})
+    covered = F.coalesce(unended, F.lit(False)) | (~F.col(open_) & F.coalesce(F.col(stop) <= F.col(before_), F.lit(False)))
+    return rows.where(~covered).select(*keys, F.greatest(s, before_).alias(start), F.when(~F.col(open_), F.col(stop)).alias(end))
 
 
 def earliest(df: DataFrame, keys: Sequence[str], when: str, name: str) -> DataFrame:
@@ -80,8 +98,8 @@ def same_key(left: str, right: str) -> Column:
 
 def merged(target: DataFrame, source: DataFrame, key: str, order: Sequence[Column | str] = ()) -> DataFrame:
     """Upsert: rows of the source win, others of the target stay. Both lose duplicates of a key, see one_each()."""
-    fresh = one_each(source, key, order)
-    return one_each(target, key, order).join(fresh.select(F.col(key).alias("_key")), same_key(key, "_key"), "left_anti").unionByName(fresh)
+    fresh, k = one_each(source, key, order), free("_key", target)
+    return one_each(target, key, order).join(fresh.select(F.col(key).alias(k)), same_key(key, k), "left_anti").unionByName(fresh)
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -89,9 +107,12 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Rows by which two states with unique keys differ, with _change_type: insert, delete, update_preimage, update_postimage."""
-    columns = [c for c in after.columns if c != key]
+def changes(before: DataFrame, after: DataFrame, key: str, quiet: Sequence[str] = ()) -> DataFrame:
+    """Rows by which two states with unique keys differ, with _change_type: insert, delete, update_preimage, update_postimage.
+
+    Rows that differ in ``quiet`` columns alone, such as the time of a build, count as equal.
+    """
+    columns = [c for c in after.columns if c != key and c not in quiet]
     b = before.select(F.col(key).alias("_bk"), F.struct(*before.columns).alias("_b"))
     a = after.select(F.col(key).alias("_ak"), F.struct(*after.columns).alias("_a"))
     both = b.join(a, same_key("_bk", "_ak"), "full")
@@ -113,17 +134,19 @@ def numbered(df: DataFrame, name: str, out: str, slices: int = 64) -> DataFrame:
     Some rows of a hash sample split the order into slices, which are counted and numbered where they lie.
     """
     bounds = sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).orderBy(F.xxhash64(name), name).limit(slices - 1).collect())
-    slot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(name))) if bounds else F.lit(0)
-    rows = df.withColumn("_slot", F.coalesce(slot, F.lit(-1)))
-    counts = rows.groupBy("_slot").agg(F.count("*").alias("_n"))  # a row per slice
-    starts = counts.select(F.col("_slot").alias("_of"), F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy("_slot").orderBy(name)) - 1
-    return rows.withColumn("_place", place).join(starts, F.col("_slot") == F.col("_of")).withColumn(out, F.col("_place") + F.col("_start")).drop("_slot", "_of", "_place", "_start")
+    slot, n, start, place, of = (free(c, df) for c in ("_slot", "_n", "_start", "_place", "_of"))
+    which = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(name))) if bounds else F.lit(0)
+    rows = df.withColumn(slot, F.coalesce(which, F.lit(-1)))
+    counts = rows.groupBy(slot).agg(F.count("*").alias(n))  # a row per slice
+    starts = counts.select(F.col(slot).alias(of), F.coalesce(F.sum(n).over(W.orderBy(slot).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    at = F.row_number().over(W.partitionBy(slot).orderBy(name)) - 1
+    return rows.withColumn(place, at).join(starts, F.col(slot) == F.col(of)).withColumn(out, F.col(place) + F.col(start)).drop(slot, of, place, start)
 
 
 def round_robin(files: DataFrame, name: str, cohorts: int, out: str = "cohort") -> DataFrame:
     """Deal rows to cohorts in turn, by name."""
-    return numbered(files, name, "_number").withColumn(out, F.char(F.lit(65) + F.col("_number") % cohorts)).drop("_number")
+    at = free("_number", files)
+    return numbered(files, name, at).withColumn(out, F.char(F.lit(65) + F.col(at) % cohorts)).drop(at)
 
 
 def members(left: DataFrame, right: DataFrame, key: str, inside: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.plans import silver
@@ -286,19 +287,101 @@ def asset_landing(t: Tables) -> DataFrame:
     return found.withColumns({n: F.lit(v).cast("long") for n, v in told.items()})
 
 
-@query("SELECT * FROM (VALUES (1, 'B'), (1, 'C'), (2, 'D')) AS v(poll, cohort)")
+#: Customers of a file that people() makes.
+A_FILE = 50
+PART_SQL = f"c_custkey // {A_FILE}"
+
+
+@query(f"WITH c AS (SELECT DISTINCT chr(CAST(65 + ({PART_SQL}) % 3 AS INTEGER)) AS cohort FROM customer) SELECT 1 AS poll, cohort FROM c WHERE cohort > 'A' UNION ALL SELECT 2, chr(CAST(ascii(max(cohort)) + 1 AS INTEGER)) FROM c")
 def cohort_sensor(t: Tables) -> DataFrame:
-    """Cohorts that a poll finds new: one is known beforehand, one is landed between two polls."""
+    """Cohorts that a poll finds new: the first is known beforehand, one after the last is landed between two polls."""
     from tidewell.streaming.replay import watch_cohorts
 
-    root, ran = scratch(t.spark), []
-    bronze.copy_files(people(t), root)
+    root, ran, files = scratch(t.spark), [], people(t)
+    bronze.copy_files(files, root)
     known = watch_cohorts(t.spark, root, lambda c: ran.append((1, c)), {"A"}, polls=2, seconds=0)
-    bronze.copy_files(t.spark.createDataFrame([("D", "d.json", bytearray(b"{}"))], "cohort string, file string, content binary"), root)
+    next_ = files.select(F.char(F.ascii(F.max("cohort").over(W.partitionBy())) + 1).alias("cohort"), "file", "content").orderBy("file").limit(1)
+    bronze.copy_files(next_, root)
     watch_cohorts(t.spark, root, lambda c: ran.append((2, c)), known, polls=2, seconds=0)
     return t.spark.createDataFrame(ran, "poll int, cohort string")
 
 
+@query(f"""SELECT chr(CAST(65 + part % 3 AS INTEGER)) AS cohort, part || '.json' AS file, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT {PART_SQL} AS part, 2 AS n FROM customer UNION ALL SELECT o_custkey // {A_FILE}, 1 FROM orders)
+ GROUP BY part HAVING (part % 3) = 1""")
+def bundle_iterator(t: Tables) -> DataFrame:
+    """One cohort's files one by one, and the entries of each."""
+    import json
+
+    from tidewell.sources.platforms import Local
+
+    p = Local(t.spark, scratch(t.spark))
+    bronze.copy_files(people(t), p.bronze)
+    return t.spark.createDataFrame([(c, f, len(json.loads(text)["entry"])) for c, f, text in p.bronze_files("B")], "cohort string, file string, entries long")
+
+
+@query(f"WITH p AS (SELECT DISTINCT {PART_SQL} AS part FROM customer) SELECT count(*) FILTER (WHERE part % 3 = 0) AS failed, count(*) FILTER (WHERE part % 3 <> 0) AS landed, true AS stopped FROM p")
+def landing_errors(t: Tables) -> DataFrame:
+    """Files that can't be written are left out and counted; landing stops beyond an allowed number."""
+    root = scratch(t.spark)
+    bronze.copy_files(people(t), f"{root}/source")
+    bronze.write_text(t.spark, f"{root}/raw/cohort=A", "a file where a folder should be")
+    failed, _ = bronze.copy_files(people(t), f"{root}/raw")
+    landed = bronze.inventory(t.spark, f"{root}/raw/cohort=B").count() + bronze.inventory(t.spark, f"{root}/raw/cohort=C").count()
+    bronze.write_text(t.spark, f"{root}/other/cohort=A", "a file where a folder should be")
+    try:
+        bronze.land(t.spark, f"{root}/source", f"{root}/other", 1, errors=0)
+        stopped = False
+    except bronze.Failed:
+        stopped = True
+    return t.spark.createDataFrame([(failed, landed, stopped)], "failed long, landed long, stopped boolean")
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS city, (SELECT count(DISTINCT {PART_SQL}) FROM customer) AS files FROM customer")
+def stream_watch(t: Tables) -> DataFrame:
+    """Files merged as they arrive, until all that came are; a callback counts the files of each batch."""
+    from tidewell.streaming.replay import watch
+
+    root, seen = scratch(t.spark), []
+    bronze.copy_files(people(t), f"{root}/raw")
+    store = Store(t.spark, f"{root}/lake")
+    running = watch(store, f"{root}/raw", f"{root}/check", seconds=1, per_trigger=20, tables=("patient",), on_batch=lambda df, n: seen.append(df.count()))
+    running.processAllAvailable()
+    running.stop()
+    return store.table("silver", "patient").read().select("patient_id", "city").withColumn("files", F.lit(sum(seen)).cast("long"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS city, (SELECT count(*) FROM orders WHERE (o_custkey // {A_FILE}) % 3 = 1) AS encounters FROM customer WHERE ({PART_SQL}) % 3 = 1")
+def one_cohort(t: Tables) -> DataFrame:
+    """The job of one cohort alone, run twice: rows stay single."""
+    from tidewell.plans import jobs
+    from tidewell.sources.platforms import Local
+
+    p = Local(t.spark, scratch(t.spark))
+    bronze.copy_files(people(t), p.bronze)
+    for _ in range(2):
+        results = jobs.build_silver(p, "B")
+    n = next(r.row_count for r in results if r.table == "encounter")
+    return p.read_silver("patient").select("patient_id", "city").withColumn("encounters", F.lit(n).cast("long"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS city FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || ' 3' FROM customer WHERE c_custkey % 4 = 0")
+def ordered_upserts(t: Tables) -> DataFrame:
+    """Files whose keys overlap, merged file by file in three orders and all at once: one table each time, that of the files' order."""
+    again = people(t, where="c_custkey % 4 = 0", city=F.concat("c_name", F.lit(" 3"))).withColumn("cohort", F.lit("Z"))
+    first = people(t).withColumn("cohort", F.lit("A"))
+    value = lambda df: df.select("cohort", "file", F.decode("content", "UTF-8").alias("value"))
+    tables, now = [], F.lit("2024-01-01").cast("timestamp")
+    old, new = value(first), value(again)
+    for order in ([old, new], [new, old], [new.unionByName(old)]):
+        table = Store(t.spark, scratch(t.spark)).table("silver", "patient")
+        for files in order:
+            table.merge(silver.build("patient", silver.resources(files), now, sequenced=True), "patient_id", sequence=silver.SEQUENCE, quiet=silver.QUIET)
+        tables.append(table.read().select("patient_id", "city"))
+    if any(not a.exceptAll(tables[0]).isEmpty() or not tables[0].exceptAll(a).isEmpty() for a in tables[1:]):
+        raise AssertionError("batches in another order gave another table")
+    return tables[0]
+
+
 @query("SELECT * FROM (VALUES ('merge', CAST(0 AS BIGINT), CAST((SELECT count(*) FROM nation) AS BIGINT)), ('merge', 1, (SELECT count(*) FROM nation)), ('append', 2, (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_regionkey = 0)), ('overwrite', 3, (SELECT count(*) FROM nation)), ('gold', 0, (SELECT count(*) FROM region))) AS v(step, version, n)")
 def platform_cycle(t: Tables) -> DataFrame:
     """A platform's writes and reads by layer, mode and version."""
@@ -313,8 +396,9 @@ def platform_cycle(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(steps, "step string, version long, n long")
 
 
-def people(t: Tables) -> DataFrame:
-    """Forty bundles of customers with their orders and one problem each, as files' contents: cohort, file, content."""
+def people(t: Tables, where: str = "true", city: Column | None = None) -> DataFrame:
+    """Bundles of some customers with their orders and one problem each, as files' contents: cohort, file, content."""
+    city = F.col("c_name") if city is None else city
     urn = lambda c: F.concat(F.lit("urn:uuid:"), c.cast("string"))
     none = lambda kind: F.lit(None).cast(kind)
     ref_type, concept = "struct<reference:string>", "struct<coding:array<struct<code:string,display:string>>>"
@@ -325,12 +409,12 @@ def people(t: Tables) -> DataFrame:
 
     shown_code = F.struct(F.array(F.struct(F.lit("1").alias("code"), F.col("c_mktsegment").alias("display"))).alias("coding"))
     who = F.col("c_custkey").cast("string")
-    own = t.customer.select("c_custkey", F.explode(F.array(
-        entry("Patient", who, birthDate=birth().cast("string"), address=F.array(F.struct(F.col("c_name").alias("city")))),
+    own = t.customer.where(where).select("c_custkey", F.explode(F.array(
+        entry("Patient", who, birthDate=birth().cast("string"), address=F.array(F.struct(city.alias("city")))),
         entry("Condition", F.concat(F.lit("c"), who), subject=refer("Patient/", F.col("c_custkey")), code=shown_code, onsetDateTime=F.lit("1996-01-01")),
     )).alias("e"))
-    met = t.orders.select(F.col("o_custkey").alias("c_custkey"), entry("Encounter", F.concat(F.lit("e"), F.col("o_orderkey").cast("string")), subject=refer("urn:uuid:", F.col("o_custkey")), period=F.struct(instant("o_orderdate").alias("start"))).alias("e"))
-    rows = own.unionAll(met).groupBy((F.col("c_custkey") % 40).alias("part")).agg(F.collect_list("e").alias("entry"))
+    met = t.orders.select(F.col("o_custkey").alias("c_custkey"), entry("Encounter", F.concat(F.lit("e"), F.col("o_orderkey").cast("string")), subject=refer("urn:uuid:", F.col("o_custkey")), period=F.struct(instant("o_orderdate").alias("start"))).alias("e")).where(where)
+    rows = own.unionAll(met).groupBy(F.expr(f"c_custkey div {A_FILE}").alias("part")).agg(F.collect_list("e").alias("entry"))
     return wrapped(rows, "part", F.col("entry")).select("cohort", "file", F.encode("value", "UTF-8").alias("content"))
 
 

@@ -17,6 +17,7 @@ from tidewell.operators import relational as R
 from tidewell.plans import quality
 from tidewell.plans.gold import NAMESPACE
 from tidewell.session import scratch
+from tidewell.sources.tables import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -295,8 +296,6 @@ MERGED_SQL = "SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE c_custkey NOT
 
 def accounts_table(t: Tables, *, twice: bool = False, share: float = 0.2):
     """A stored table of accounts, into which the changes are merged."""
-    from tidewell.sources.tables import Store
-
     table = Store(t.spark, scratch(t.spark), share).table("silver", "accounts")
     table.create(accounts(t).unionByName(accounts(t).where("c_custkey % 7 = 0"))) if twice else table.merge(accounts(t), "c_custkey")
     table.merge(accounts(t, True), "c_custkey", batch="one")
@@ -313,10 +312,51 @@ def merge_by_delta(t: Tables) -> DataFrame:
     """The same where the changes stay beside the table, are merged again, and are read by version."""
     table = accounts_table(t, share=10.0)
     table.merge(accounts(t, True).where("c_custkey % 20 = 0"), "c_custkey")
-    assert len(table.commit_of(2)["deltas"]) == 2
+    assert table.commit_of(2)["marks"] and len(table.commit_of(2)["files"]) == 3
     return table.read(2)
 
 
+@query("""SELECT 'b' || (c_custkey % 3) AS _n, c_custkey AS _rn, c_name AS _key, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE c_acctbal + 1 END AS _place FROM customer""")
+def merge_batches_out_of_order(t: Tables) -> DataFrame:
+    """Named batches in any order, twice each, into a table whose columns have names that the engine uses itself."""
+    rows = t.customer.select(F.concat(F.lit("b"), F.col("c_custkey") % 3).alias("_n"), F.col("c_custkey").alias("_rn"), F.col("c_name").alias("_key"), F.col("c_acctbal").alias("_place"))
+    table = Store(t.spark, scratch(t.spark), 10.0).table("silver", "odd")
+    table.merge(rows, "_rn")
+    for day in ("2024-01-02", "2024-01-01", "2024-01-02", "2024-01-01"):
+        table.merge(rows.where(F.col("_n") == f"b{int(day[-1])}").withColumn("_place", F.col("_place") + 1), "_rn", batch=day)
+    return table.read()
+
+
+@query(f"""WITH {CHANGED_SQL}, f AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey IN (SELECT c_custkey FROM tgt) THEN 'update_postimage' ELSE 'insert' END AS _change_type, 1 AS _commit_version FROM src
+ UNION ALL SELECT c_custkey, c_acctbal, 'update_preimage', 1 FROM tgt WHERE c_custkey IN (SELECT c_custkey FROM src))
+ SELECT * FROM f UNION ALL SELECT c_custkey, c_acctbal, 'insert', 2 FROM tgt WHERE c_custkey % 100 = 1""")
+def change_feed_stream(t: Tables) -> DataFrame:
+    """The feed as a stream from version 1 on, stopped and gone on with by its checkpoint after another commit."""
+    from tidewell.streaming.feed import stream
+
+    table, root = accounts_table(t), scratch(t.spark)
+    for step in range(2):
+        if step:
+            table.append(accounts(t).where("c_custkey % 100 = 1"))
+        running = stream(table, 1).writeStream.option("checkpointLocation", f"{root}/check").trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start()
+        running.awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("c_custkey", "c_acctbal", "_change_type", F.col("_commit_version").cast("int").alias("_commit_version"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events WHERE value IS NOT NULL), q AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS share) SELECT CAST(share AS DOUBLE) AS share, n, true AS within FROM q, n")
+def stored_quantiles(t: Tables) -> DataFrame:
+    """Quantiles from sketches kept with a table's files, after an upsert, held against the ranks of all values."""
+    table = Store(t.spark, scratch(t.spark), 10.0).table("silver", "values", sketched=("value",))
+    rows, shares = t.events.select("event_id", "value"), (0.01, 0.25, 0.5, 0.75, 0.99)
+    table.merge(rows.where("event_id % 10 <> 0").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value"))), "event_id")
+    table.merge(rows.where("event_id % 10 = 0 or event_id % 7 = 0"), "event_id")
+    got = t.spark.createDataFrame(list(zip(shares, table.quantiles("value", shares), strict=True)), "share double, x double")
+    values = table.read().where("value is not null").select("value")
+    ranks = values.agg(F.count("*").alias("n"), *(F.count_if(F.col("value") < x).alias(f"l{i}") for i, (_, x) in enumerate(got.collect())), *(F.count_if(F.col("value") <= x).alias(f"h{i}") for i, (_, x) in enumerate(got.collect()))).first()
+    out = [(s, ranks.n, ranks[f"l{i}"] / ranks.n - 0.0165 <= s <= ranks[f"h{i}"] / ranks.n + 0.0165) for i, s in enumerate(shares)]
+    return t.spark.createDataFrame(out, "share double, n long, within boolean")
+
+
 @query(f"WITH {CHANGED_SQL} SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, count(*) - count(DISTINCT c_custkey) AS n_duplicates, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS n_before FROM ({MERGED_SQL})")
 def merge_dirty_target(t: Tables) -> DataFrame:
     table = accounts_table(t, twice=True)

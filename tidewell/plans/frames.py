@@ -117,15 +117,23 @@ def corpus_stats(t: Tables, g: DataFrame) -> DataFrame:
     return t.spark.createDataFrame([gold.coverage(g)], "encounters long, distinct_patients long, with_soap_note long, with_ecg long, with_imaging long, with_genomics long, with_vitals long, with_labs long, avg_conditions_per_encounter double, avg_medications_per_encounter double")
 
 
-@over_gold("SELECT " + ", ".join(f"(SELECT count(*) FROM {table}) AS {name}" for name, table in (("patients", "customer"), ("encounters", "orders"), ("observations", "events"), ("soap_notes", "conversations"), ("genomic_reports", "nation"), ("gold_encounter_summary", "orders"))))
+# The tables of the headline, and what they are made of here.
+HEADLINE = {"patients": ("patient", "customer"), "encounters": ("encounter", "orders"), "conditions": ("condition", "facts"), "observations": ("observation", "events"), "medications": ("medication_request", "facts"), "procedures": ("procedure", "facts"), "soap_notes": ("soap_note", "conversations"), "imaging_studies": ("imaging_study", "part"), "genomic_reports": ("genomic_report", "nation")}
+
+
+@over_gold("SELECT " + ", ".join(f"(SELECT count(*) FROM {of}) AS {name}" for name, (_, of) in HEADLINE.items()) + ", (SELECT count(*) FROM gold) AS gold_encounter_summary")
 def nb_headline(t: Tables, g: DataFrame) -> DataFrame:
     s = silver_frames(t)
-    return notebook.headline({"patients": s["patient"], "encounters": s["encounter"], "observations": s["observation"], "soap_notes": s["soap_note"], "genomic_reports": s["genomic_report"]}, g)
+    return notebook.headline({name: s[n] for name, (n, _) in HEADLINE.items()}, g)
 
 
-@query("SELECT column_name, column_type FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, _, k in (c.partition(" ") for c in gold.SCHEMA.split(", "))) + ") AS c(column_name, column_type)")
-def nb_contract(t: Tables) -> DataFrame:
-    return notebook.contract(summary(t))
+@over_gold("SELECT column_name, column_type, n_values FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, _, k in (c.partition(" ") for c in gold.SCHEMA.split(", "))) + """) AS c(column_name, column_type) JOIN (SELECT unnest(map_entries(MAP {
+ """ + ", ".join(f"'{n}': " + ("count(" + n + ")" if n in FLAT.split() else "count(*)") for n in (c.partition(" ")[0] for c in gold.SCHEMA.split(", "))) + """}), recursive := true) FROM gold) AS v(name, n_values) ON name = column_name""")
+def nb_contract(t: Tables, g: DataFrame) -> DataFrame:
+    """The columns of the summary as it is built, and how many values each has."""
+    counts = g.agg(*(F.count(c).alias(c) for c in g.columns))
+    values = counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, g.columns)), F.array(*g.columns))).alias("column_name", "n_values"))
+    return notebook.contract(g).join(values, "column_name")
 
 
 @over_gold("SELECT encounter_type, count(*) AS n FROM gold GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
@@ -245,10 +253,18 @@ def nb_top_utilizers(t: Tables, g: DataFrame) -> DataFrame:
     return notebook.top_utilizers(g)
 
 
-@over_gold("SELECT rule, true AS passed FROM (VALUES ('gold_rows'), ('manifest'), ('contract_version'), ('gold_table'), ('silver_sources'), ('row_count')) AS r(rule)")
+@over_gold("""SELECT c AS manifest, rule, CASE c WHEN 'its own' THEN true WHEN 'none' THEN rule = 'gold_rows' WHEN 'of half' THEN rule <> 'row_count' OR (SELECT count(*) FROM gold WHERE CAST(encounter_id AS BIGINT) % 2 = 0) = (SELECT count(*) FROM gold) ELSE rule NOT IN ('gold_rows', 'row_count') END AS passed
+ FROM (VALUES ('gold_rows'), ('manifest'), ('contract_version'), ('gold_table'), ('silver_sources'), ('row_count')) AS r(rule), (VALUES ('its own'), ('of half'), ('none'), ('no rows')) AS m(c)""")
 def gold_gates(t: Tables, g: DataFrame) -> DataFrame:
-    told = gold.manifest(g, {"patient": t.customer.count()}, datetime(2024, 1, 1), "test")
-    return quality.outcome_rows(t.spark, [quality.gates(g, told)]).select("rule", "passed")
+    """The gates with the summary's own manifest, that of half of it, none, and for a summary without rows."""
+    of = lambda df: gold.manifest(df, {"patient": t.customer.count()}, datetime(2024, 1, 1), "test")
+    own = of(g)
+    cases = {"its own": (g, own), "of half": (g, of(g.where("cast(encounter_id as long) % 2 = 0"))), "none": (g, None), "no rows": (g.where("encounter_id is null"), own)}
+    out = None
+    for name, (df, manifest) in cases.items():
+        rows = quality.outcome_rows(t.spark, [quality.gates(df, manifest)]).select(F.lit(name).alias("manifest"), "rule", "passed")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("""SELECT 'patient' AS tbl, 'min_rows>=100' AS rule, count(*) >= 100 AS passed FROM customer UNION ALL SELECT 'patient', 'non_null:patient_id', true UNION ALL SELECT 'patient', 'non_null:gender', count(*) = count(c_mktsegment) FROM customer UNION ALL SELECT 'patient', 'unique:patient_id', count(DISTINCT c_custkey) = count(*) FROM customer
@@ -290,39 +306,58 @@ def card_pick(t: Tables, g: DataFrame) -> DataFrame:
     return t.spark.createDataFrame(rows, "encounter_id string, text string").select("encounter_id", F.md5(F.col("text").cast("binary")).alias("note"))
 
 
-@query("SELECT '| `r_regionkey` | `r_name` |' || chr(10) || '| - | - |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || left(repeat(replace(r_name, 'A', chr(92) || '|'), 20), 59) || '… |', chr(10) ORDER BY r_regionkey) AS shown FROM region")
-def preview_cells(t: Tables) -> DataFrame:
-    """A sample as Markdown: signs that tables know are escaped, long values cut."""
-    rows = t.region.select("r_regionkey", F.repeat(F.translate("r_name", "A", "|"), F.lit(20)).alias("r_name")).orderBy("r_regionkey")
-    return t.spark.createDataFrame([(preview.sample(rows),)], "shown string")
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS row, 'note' AS name, left(replace(note, '|', chr(92) || '|'), 37) || '...' AS value FROM (SELECT c_custkey, repeat(c_mktsegment || '| ' || c_name || ' ', 5) AS note FROM customer ORDER BY c_custkey LIMIT 5)")
+def preview_lines(t: Tables) -> DataFrame:
+    """The first rows of a table with long values: cut, on one line, pipes escaped; missing ones left out."""
+    note = F.repeat(F.concat("c_mktsegment", F.lit("|\n"), "c_name", F.lit("\t\t")), F.lit(5))
+    rows = t.customer.select("c_custkey", note.alias("note"), F.lit(None).cast("string").alias("none"))
+    return preview.lines(rows, ["c_custkey"], 5, 40, ["note", "none"])
 
 
 COLUMNS = [c.split(" ")[0] for c in gold.SCHEMA.split(", ")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {c in gold.REQUIRED}, {c in gold.NULLABLE})" for c in COLUMNS) + ") AS v(column_name, required, nullable)")
-def summary_schema(t: Tables) -> DataFrame:
-    """The JSON Schema of the summary, a row per column."""
+@over_gold("SELECT column_name, required, nullable, n_null, nullable OR n_null = 0 AS meets FROM (VALUES " + ", ".join(f"('{c}', {c in gold.REQUIRED}, {c in gold.NULLABLE})" for c in COLUMNS) + """) AS v(column_name, required, nullable) JOIN (SELECT unnest(map_entries(MAP {
+ """ + ", ".join(f"'{c}': " + (f"count(*) - count({c})" if c in FLAT.split() else "0") for c in COLUMNS) + """}), recursive := true) FROM gold) AS n(name, n_null) ON name = column_name""")
+def summary_schema(t: Tables, g: DataFrame) -> DataFrame:
+    """The JSON Schema of the summary, a row per column, and whether the summary meets it."""
     found = quality.json_schema()
-    rows = [(n, n in found["required"], "null" in x["type"]) for n, x in found["properties"].items()]
-    return t.spark.createDataFrame(rows, "column_name string, required boolean, nullable boolean")
+    nulls = g.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in COLUMNS)).first()
+    rows = [(n, n in found["required"], "null" in x["type"], nulls[n], "null" in x["type"] or nulls[n] == 0) for n, x in found["properties"].items()]
+    return t.spark.createDataFrame(rows, "column_name string, required boolean, nullable boolean, n_null long, meets boolean")
+
+
+#: The supplied tables that the ten are made of.
+MADE_OF = {"patient": "customer", "encounter": "orders", "condition": "facts", "medication_request": "facts", "procedure": "facts", "observation": "events", "soap_note": "conversations", "ecg_metadata": "supplier", "imaging_study": "part", "genomic_report": "nation"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{x.key}', CAST({len(x.schema.split(', '))} AS BIGINT))" for x in silver.TABLES.values()) + ") AS v(table_name, key, columns)")
+@query(f"WITH {FACTS} SELECT table_name, key, columns, n FROM (VALUES " + ", ".join(f"('{x.name}', '{x.key}', CAST({len(x.schema.split(', '))} AS BIGINT))" for x in silver.TABLES.values()) + ") AS v(table_name, key, columns) JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {of}" for n, of in MADE_OF.items()) + ") ON name = table_name")
 def data_dictionary(t: Tables) -> DataFrame:
-    """Tables, keys and numbers of columns, as the dictionary lists them."""
-    rows, name = [], None
+    """Tables, keys and numbers of columns, as the dictionary lists them, and their rows."""
+    rows, name, made = [], None, silver_frames(t)
     for line in quality.dictionary().splitlines():
         if line.startswith("## silver."):
             name = line.removeprefix("## silver.")
-            rows.append([name, None, 0])
+            rows.append([name, None, 0, made[name].count()])
         elif line.startswith("## "):
             name = None
         elif name and line.startswith("| ") and not line.startswith("| column "):
             cells = [c.strip() for c in line.strip("|").split("|")]
             rows[-1][2] += 1
             rows[-1][1] = cells[0] if cells[2] == "key" else rows[-1][1]
-    return t.spark.createDataFrame(rows, "table_name string, key string, columns long")
+    return t.spark.createDataFrame(rows, "table_name string, key string, columns long, n long")
+
+
+@over_gold("""SELECT version, k, n, CASE WHEN version = 0 THEN NULL ELSE lag(n) OVER (PARTITION BY k ORDER BY version) END AS before, version > 0 AND abs(n - lag(n) OVER (PARTITION BY k ORDER BY version)) > 0.1 * lag(n) OVER (PARTITION BY k ORDER BY version) AS drifted
+ FROM (SELECT v.version, 'encounter' AS k, CASE v.version WHEN 0 THEN count(*) FILTER (WHERE o_orderkey % 2 = 0) WHEN 1 THEN count(*) ELSE count(*) END AS n FROM orders, (VALUES (0), (1), (2)) AS v(version) GROUP BY 1)""")
+def row_count_drift(t: Tables, g: DataFrame) -> DataFrame:
+    """Row counts in the ingest log from run to run: half the table, all of it, the same again."""
+    enc, runs = silver_frames(t)["encounter"], []
+    for v, df in enumerate((enc.where("cast(encounter_id as long) % 2 = 0"), enc, enc)):
+        runs.append(quality.log_rows(t.spark, [quality.validate("encounter", df)], datetime(2024, 1, 1 + v)))
+    log = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    found = log.select("ingest_timestamp", F.col("row_count").alias("n"), F.col("table").alias("k")).join(quality.drift(log).select("ingest_timestamp", "before", "drifted"), "ingest_timestamp", "left")
+    return found.select((F.day("ingest_timestamp") - 1).alias("version"), "k", "n", "before", F.coalesce("drifted", F.lit(False)).alias("drifted"))
 
 
 @over_gold("SELECT c_mktsegment AS gender, count(*) AS encounters, count(DISTINCT e.patient_id) AS patients FROM enc e JOIN customer ON e.patient_id = c_custkey GROUP BY 1")

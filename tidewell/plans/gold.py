@@ -32,7 +32,11 @@ REQUIRED = ("summary_id", "patient_id", "encounter_id", "patient_age", "patient_
 NULLABLE = ("patient_age", "encounter_date", "soap_note_text", "soap_note_id", "ecg_finding", "ecg_rhythm", "genomic_summary")
 
 
+#: Columns that differ from build to build.
+QUIET = ("created_timestamp", "silver_versions")
 LAST_DAY = date(9999, 12, 31)
+#: Encounters of a patient from which their time is cut into ranges.
+MOST = 20_000
 
 
 def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
     return encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date")).join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
 
 
-def problems(base: DataFrame, condition: DataFrame, request: DataFrame, salts: int = 1) -> DataFrame:
+def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: int = MOST) -> DataFrame:
     """Conditions that hold on each encounter's day, whichever encounter recorded them, and active medications from
     their earliest start on: one join for both.
 
@@ -54,17 +58,11 @@ def problems(base: DataFrame, condition: DataFrame, request: DataFrame, salts: i
     # dealt by patient once, for the stretches and for the join
     spans = stretches(held.unionByName(taken).repartition("patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
     spans = spans.withColumn("_from", F.when((F.col("_what") == "c") | (F.col("_from") < F.lit(LAST_DAY)), F.col("_from")))
-    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", salts)
+    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", most)
     of = lambda what: F.array_sort(F.collect_list(F.when(F.col("_what") == what, F.col("display"))))
     return met.groupBy("encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
 
 
-def salts_for(encounter: DataFrame, most: int = 20_000) -> int:
-    """Parts to deal a patient's encounters to, so that none has more than ``most``."""
-    n = encounter.groupBy("patient_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-n // most))
-
-
 def observed(observation: DataFrame) -> DataFrame:
     """Vital signs and laboratory values of each encounter, by one scan and one aggregation."""
     parts = F.from_json("components_json", "array<struct<code:string,value:double>>")
@@ -92,14 +90,14 @@ def last_row(df: DataFrame, when: str, tie: str, flag: str | None = None, **name
     return df.groupBy("encounter_id").agg(row).select("encounter_id", *(F.col(f"_r.{n}") for n in names), *([F.lit(True).alias(flag)] if flag else []))
 
 
-def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Column | None = None, versions: Mapping[str, int | None] | None = None, salts: int = 1) -> DataFrame:
-    """One row per encounter with SCHEMA. A missing table raises KeyError. ``salts``: see as_of()."""
+def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Column | None = None, versions: Mapping[str, int | None] | None = None, most: int = MOST) -> DataFrame:
+    """One row per encounter with SCHEMA. A missing table raises KeyError. ``most``: see as_of()."""
     s = {name: silver[name] for name in SOURCES}
     base = encounters(s["encounter"], s["patient"])
     done = s["procedure"].where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
     rows = base
     for part in (
-        problems(base, s["condition"], s["medication_request"], salts),
+        problems(base, s["condition"], s["medication_request"], most),
         observed(s["observation"]),
         done,
         last_row(s["soap_note"], "note_date", "note_id", soap_note_text="note_text", soap_note_id="note_id"),

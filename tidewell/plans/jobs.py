@@ -31,9 +31,10 @@ def build_silver(platform: Platform, cohort: str | None = None, images: str | No
         headers = dicom.read(spark, images) if images else None
         now, results = datetime.now(UTC), []
         for table in silver.TABLES.values():
-            df = silver.build(table.name, res, F.lit(now), **({"headers": headers} if table.name == "imaging_study" else {}))
-            platform.write_silver(table.name, df, key=table.key)
-            results.append(quality.validate(table.name, platform.read_silver(table.name)))
+            df = silver.build(table.name, res, F.lit(now), sequenced=True, **({"headers": headers} if table.name == "imaging_study" else {}))
+            facts = quality.conditions(df.columns, quality.RULES.get(table.name, {}))
+            platform.write_silver(table.name, df, key=table.key, sequence=silver.SEQUENCE, quiet=silver.QUIET, facts=facts)
+            results.append(quality.validate_stored(table.name, store.table("silver", table.name)))
             platform.metric(table.name, "rows", results[-1].row_count)
             if not results[-1].passed:
                 platform.alert("warning", f"{table.name}: {','.join(results[-1].failed_checks)}")
@@ -44,17 +45,14 @@ def build_silver(platform: Platform, cohort: str | None = None, images: str | No
         fs.delete(path(place), True)
 
 
-def build_gold(platform: Platform, salts: int | None = None) -> dict:
-    """Build, overwrite and describe the summary; returns the manifest, which is written beside the table.
-
-    ``salts``: parts that the encounters of each patient are dealt to, by their number if not given.
-    """
+def build_gold(platform: Platform) -> dict:
+    """Build, overwrite and describe the summary; returns the manifest, which is written beside the table."""
     missing = [n for n in silver.TABLES if platform.version("silver", n) is None]
     if missing:
         raise KeyError(f"missing tables: {', '.join(missing)}")
     versions, now = {n: platform.version("silver", n) for n in silver.TABLES}, datetime.now(UTC)
     frames = {n: platform.read_silver(n, v) for n, v in versions.items()}
-    platform.write_gold("encounter_summary", gold.encounter_summary(frames, now, versions, salts or gold.salts_for(frames["encounter"])), "encounter_id")
+    platform.write_gold("encounter_summary", gold.encounter_summary(frames, now, versions), "encounter_id", quiet=gold.QUIET)
     rows = {n: platform.store.table("silver", n).commit_of(v)["rows"] for n, v in versions.items()}
     manifest = gold.manifest(platform.read_gold("encounter_summary"), rows, now, platform.name, versions)
     platform.write_manifest(manifest)
@@ -82,7 +80,6 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--source", help="folder of JSON bundles to land")
     parser.add_argument("--platform", help="name of a platform; TIDEWELL_PLATFORM by default")
     parser.add_argument("--root", help="folder of all layers; TIDEWELL_ROOT by default")
-    parser.add_argument("--salts", type=int, help="parts that the encounters of each patient are dealt to")
     parser.add_argument("--cohort")
     parser.add_argument("--cohorts", type=int, default=3)
     parser.add_argument("--images")
@@ -99,7 +96,7 @@ def main(args: list[str] | None = None) -> int:
         for r in build_silver(platform, given.cohort, given.images):
             print(r.table, r.row_count, "passed" if r.passed else ",".join(r.failed_checks))
     if given.step in ("gold", "all"):
-        print(json.dumps(build_gold(platform, given.salts)))
+        print(json.dumps(build_gold(platform)))
     return 0
 
 

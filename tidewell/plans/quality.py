@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.plans import gold, silver
+from tidewell.sources.tables import Table, columns
 
 LOG_SCHEMA = "table string, row_count long, passed boolean, failed_checks string, ingest_timestamp timestamp"
 
@@ -64,36 +66,61 @@ class Result:
         self.checks.append(Check(name, passed, good if passed else bad))
 
 
-def metrics(df: DataFrame, rules: Mapping) -> dict:
-    """All numbers that the rules need, by one aggregation."""
-    has, out = set(df.columns), {"rows": F.count("*")}
+def conditions(names: Sequence[str], rules: Mapping) -> dict[str, str]:
+    """The conditions (SQL) whose rows a table's rules count, but for distinct keys; tables keep such counts with commits."""
+    has, out, sql = set(names), {}, lambda c: f"`{c}`"
     for c in rules.get("required_non_null", ()):
         if c in has:
-            out[f"null:{c}"] = F.count_if(F.col(c).isNull())
-    for c in rules.get("unique_keys", ()):
-        if c in has:
-            out[f"distinct:{c}"] = F.countDistinct(c)
+            out[f"null:{c}"] = f"{sql(c)} IS NULL"
     if "min_char_count" in rules and "char_count" in has:
-        out["short"] = F.count_if(F.col("char_count") < rules["min_char_count"])
+        out["short"] = f"char_count < {rules['min_char_count']}"
     if (flags := rules.get("required_section_flags")) and has.issuperset(flags):
-        every = F.lit(True)
-        for f in flags:
-            every = every & F.col(f)
-        out["sections"] = F.count_if(every)
+        out["sections"] = " AND ".join(map(sql, flags))
     for c, (low, high) in rules.get("numeric_ranges", {}).items():
         if c in has:
-            out[f"values:{c}"] = F.count(c)
-            out[f"outside:{c}"] = F.count_if((F.col(c) < low) | (F.col(c) > high))
+            out[f"values:{c}"] = f"{sql(c)} IS NOT NULL"
+            out[f"outside:{c}"] = f"{sql(c)} < {low} OR {sql(c)} > {high}"
+    for c in rules.get("unique_keys", ()):
+        if c in has:
+            out[f"null:{c}"] = f"{sql(c)} IS NULL"
+    return out
+
+
+def metrics(df: DataFrame, rules: Mapping) -> dict:
+    """All numbers that the rules need, by one aggregation."""
+    out = {"rows": F.count("*")} | {n: F.count_if(F.expr(c)) for n, c in conditions(df.columns, rules).items()}
+    out |= {f"distinct:{c}": F.countDistinct(F.col(f"`{c}`")) for c in rules.get("unique_keys", ()) if c in df.columns}
     names = list(out)
     row = df.agg(*(x.alias(f"m{i}") for i, x in enumerate(out.values()))).first()
     return dict(zip(names, row, strict=True))
 
 
+def kept_metrics(table: Table, rules: Mapping) -> dict:
+    """The same of a stored table, from what its commits keep; only keys that no commit knows to be unique are counted."""
+    commit = table.last()
+    names = columns(commit)
+    out = {"rows": commit["rows"]} | table.facts(conditions(names, rules))
+    for c in rules.get("unique_keys", ()):
+        if c in names:
+            known = commit["unique"] and commit["key"] == c
+            out[f"distinct:{c}"] = commit["rows"] - out[f"null:{c}"] if known else table.read().agg(F.countDistinct(F.col(f"`{c}`"))).first()[0]
+    return out
+
+
+def validate_stored(name: str, table: Table, rules: Mapping | None = None) -> Result:
+    """validate() of a stored table without reading it, as far as its commits keep what the rules need."""
+    rules = RULES.get(name, {}) if rules is None else rules
+    return judged(name, kept_metrics(table, rules), rules)
+
+
 # The names that rules go by and the texts of their outcomes.
 def validate(table: str, df: DataFrame, rules: Mapping | None = None) -> Result:
     """Outcomes of a table's rules. Missing columns, and for empty tables all but the first rules, are passed over."""
     rules = RULES.get(table, {}) if rules is None else rules
-    m = metrics(df, rules)
+    return judged(table, metrics(df, rules), rules)
+
+
+def judged(table: str, m: Mapping, rules: Mapping) -> Result:
     n, out = m["rows"], Result(table, m["rows"])
     if "min_rows" in rules or n < rules.get("min_rows", 0):
         least = rules.get("min_rows", 0)
@@ -160,6 +187,13 @@ def outcome_rows(spark: SparkSession, results: list[Result]) -> DataFrame:
     return spark.createDataFrame([(r.table, c.name, c.passed, c.detail) for r in results for c in r.checks], "table string, rule string, passed boolean, detail string")
 
 
+def drift(log: DataFrame, most: float = 0.1) -> DataFrame:
+    """table, ingest_timestamp, before, now, drifted: how each run's row count differs from the run before, by an ingest log."""
+    earlier = W.partitionBy("table").orderBy("ingest_timestamp")
+    rows = log.select("table", "ingest_timestamp", F.lag("row_count").over(earlier).alias("before"), F.col("row_count").alias("now"))
+    return rows.where("before is not null").withColumn("drifted", F.abs(F.col("now") - F.col("before")) > most * F.col("before"))
+
+
 def drifted(before: int, now: int, most: float = 0.1) -> bool:
     """Whether a row count changed by more than a share of itself."""
     return abs(now - before) > most * before

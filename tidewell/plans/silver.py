@@ -279,11 +279,21 @@ TABLES = {
 }
 
 
-def build(name: str, res: DataFrame, ingested: Column | None = None, **options) -> DataFrame:
-    """One table of the resources, a row per key: the last in order of cohort, file and place. Types are as declared."""
+#: Where a row stands among all: of rows with one key the last stays, in whatever batches they come.
+SEQUENCE = ("cohort", "file", "pos")
+#: Columns that differ from run to run.
+QUIET = ("ingest_timestamp",)
+
+
+def build(name: str, res: DataFrame, ingested: Column | None = None, sequenced: bool = False, **options) -> DataFrame:
+    """One table of the resources, a row per key: the last in order of cohort, file and place. Types are as declared.
+
+    ``sequenced``: with the columns of SEQUENCE, for Table.merge().
+    """
     table = TABLES[name]
     rows = table.project(res, **options).withColumns({"source_file": F.col("file"), "ingest_timestamp": F.current_timestamp() if ingested is None else ingested})
-    return keep_last(rows, table.key, ["cohort", "file", "pos"]).select(*(F.col(f.name).cast(f.dataType) for f in table.struct))
+    more = [F.col(c) for c in SEQUENCE] if sequenced else []
+    return keep_last(rows, table.key, SEQUENCE).select(*(F.col(f.name).cast(f.dataType) for f in table.struct), *more)
 
 
 def build_all(bronze: DataFrame, ingested: Column | None = None, **options) -> dict[str, DataFrame]:

@@ -63,22 +63,22 @@ class Platform:
     def bronze_files(self, cohort: str | None = None) -> Iterator[tuple[str, str, str]]:
         return bronze.files(self.spark, self.bronze, cohort)
 
-    def write_silver(self, table: str, df: DataFrame, mode: str = "merge", key: str | None = None) -> int:
-        """``mode``: merge (by key), append or overwrite; returns the version."""
+    def write_silver(self, table: str, df: DataFrame, mode: str = "merge", key: str | None = None, **how) -> int:
+        """``mode``: merge (by key), append or overwrite; ``how``: see Table; returns the version."""
         to = self.store.table("silver", table)
         if mode == "merge":
             if key is None:
                 raise ValueError(f"no key to merge {table} by")
-            return to.merge(df, key)
+            return to.merge(df, key, **how)
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode {mode!r} is none of merge, append, overwrite")
-        return to.append(df) if mode == "append" else to.overwrite(df, key)
+        return to.append(df, **how) if mode == "append" else to.overwrite(df, key, **how)
 
     def read_silver(self, table: str, version: int | None = None) -> DataFrame:
         return self.store.table("silver", table).read(version)
 
-    def write_gold(self, table: str, df: DataFrame, key: str | None = None) -> int:
-        return self.store.table("gold", table).overwrite(df, key)
+    def write_gold(self, table: str, df: DataFrame, key: str | None = None, **how) -> int:
+        return self.store.table("gold", table).overwrite(df, key, **how)
 
     def read_gold(self, table: str, version: int | None = None) -> DataFrame:
         return self.store.table("gold", table).read(version)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans import quality, silver
-from tidewell.sources.bronze import file_name, filesystem, inventory, read_text
+from tidewell.sources.bronze import file_name, filesystem, read_text
 from tidewell.sources.tables import Store
 
 
@@ -24,7 +24,8 @@ def source(spark: SparkSession, root: str, per_trigger: int = 10) -> DataFrame:
 def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ...] = tuple(silver.TABLES), on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts the tables, all ten by default. A batch that is run again changes nothing.
 
-    Batches are named by the stream's id, which its checkpoint holds, so those of other streams don't count.
+    Batches are named by the stream's id, which its checkpoint holds, so those of other streams don't count. Rows carry
+    their cohort, file and place, so the tables are those of one batch, in whatever batches files arrive.
     """
 
     def merge(bronze: DataFrame, number: int) -> None:
@@ -37,14 +38,14 @@ def into(store: Store, checkpoint: str, log: bool = False, tables: tuple[str, ..
             results = []
             now = F.current_timestamp()
             for table in map(silver.TABLES.__getitem__, tables):
-                df = silver.build(table.name, res, now)
-                store.table("silver", table.name).merge(df, table.key, batch=f"{name}-{number}")
+                df = silver.build(table.name, res, now, sequenced=True)
+                store.table("silver", table.name).merge(df, table.key, batch=(name, number), sequence=silver.SEQUENCE, quiet=silver.QUIET)
                 if log:
-                    results.append(quality.validate(table.name, df))
+                    results.append(quality.validate(table.name, df.drop(*silver.SEQUENCE)))
             if log:
                 from datetime import UTC, datetime
 
-                store.table("silver", "ingest_log").append(quality.log_rows(store.spark, results, datetime.now(UTC)), batch=f"{name}-{number}")
+                store.table("silver", "ingest_log").append(quality.log_rows(store.spark, results, datetime.now(UTC)), batch=(name, number))
             if on_batch:
                 on_batch(bronze, number)
         finally:
@@ -66,8 +67,18 @@ def watch(store: Store, root: str, checkpoint: str, seconds: int = 30, per_trigg
 
 
 def new_cohorts(spark: SparkSession, root: str, known: set[str]) -> list[str]:
-    """Cohorts that have files and aren't known yet, in order; a cohort is a folder, so there are few."""
-    return sorted(r.cohort for r in inventory(spark, root).select("cohort").distinct().collect() if r.cohort is not None and r.cohort not in known)
+    """Cohorts that have files and aren't known yet, in order; a cohort is a folder, and of its files one is looked for."""
+    fs, path = filesystem(spark, root)
+    folders = [(name.partition("=")[2], f.getPath()) for f in (fs.listStatus(path(root)) if fs.exists(path(root)) else []) if f.isDirectory() and (name := f.getPath().getName()).startswith("cohort=")]
+    return sorted(cohort for cohort, place in folders if cohort not in known and has_json(fs, place))
+
+
+def has_json(fs, folder) -> bool:
+    found = fs.listStatusIterator(folder)
+    while found.hasNext():
+        if (name := found.next().getPath().getName()).endswith(".json") and not name.startswith((".", "_")):
+            return True
+    return False
 
 
 def watch_cohorts(spark: SparkSession, root: str, run: Callable[[str], None], known: set[str] | None = None, seconds: float = 30, polls: int | None = None) -> set[str]:
