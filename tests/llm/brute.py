@@ -38,15 +38,21 @@ def license_labels(text, phrases, notices, covered=0.8, drift=6):
             for j in range(len(t) - k + 1):
                 if words[i : i + k] == t[j : j + k]:
                     lines[i - j].append(j)
-        spans = []  # [first, last, diagonal, template words]
-        for d, js in sorted(lines.items(), key=lambda x: (x[0] + min(x[1]), x[0] + max(x[1]) + k - 1, x[0])):
-            first, last, hit = d + min(js), d + max(js) + k - 1, {j + x for j in js for x in range(k)}
-            if spans and first <= max(s[1] for s in spans) + drift and abs(d - spans[-1][2]) <= drift:
-                a = spans[-1]
-                spans[-1] = [min(a[0], first), max(a[1], last), d, a[3] | hit]
-            else:
-                spans.append([first, last, d, hit])
-        for first, last, _, hit in spans:
+        bands, spans = [], []
+        for d in sorted(lines):  # diagonals beside each other are a band
+            if not bands or d - bands[-1][-1] > drift:
+                bands.append([])
+            bands[-1].append(d)
+        for band in bands:  # lines of a band that are near each other in the text are a span
+            own = []
+            for first, last, d in sorted((d + min(lines[d]), d + max(lines[d]) + k - 1, d) for d in band):
+                hit = {j + x for j in lines[d] for x in range(k)}
+                if own and first <= own[-1][1] + drift + 1:
+                    own[-1] = [own[-1][0], max(own[-1][1], last), own[-1][2] | hit]
+                else:
+                    own.append([first, last, hit])
+            spans += own
+        for first, last, hit in spans:
             if len(hit) >= covered * len(t) and all(any(t[j] == w for j in hit) for w in needed.split()):
                 found.append((family, first, last, len(hit), len(hit) / len(t), label))
     for family in {f[0] for f in found}:

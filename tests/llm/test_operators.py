@@ -104,6 +104,26 @@ def test_license_kin_and_changed_notices(spark):
         licenses.scan(docs(spark, "x"), phrases=(("one", "x"),))
 
 
+def test_changed_notices_keep_their_labels(spark):
+    """One to six words put in, or some left out or changed, at any tenth of every template, which may repeat phrases of its own."""
+    rows = []
+    for _, label, needed, notice in licenses.NOTICES:
+        w = brute.LICENSE_WORD.findall(notice.translate(brute.UPPER))
+        k = 2 if len(w) < licenses.SHORT else 4
+        for tenth in range(1, 10):
+            at = len(w) * tenth // 10
+            if k <= at <= len(w) - k:
+                rows += [(label, " ".join([*w[:at], *["zzz"] * n, *w[at:]])) for n in (1, 3, 6)]
+            for n in range(1, 7):
+                gone = w[at : at + n]
+                lost = n + 2 * (k - 1)  # words beside a change may lose their grams
+                if len(w) - lost >= 0.82 * len(w) and not set(gone) & set(needed.split()) and at + n < len(w):
+                    rows += [(label, " ".join([*w[:at], *w[at + n :]])), (label, " ".join([*w[:at], *["qqq"] * n, *w[at + n :]]))]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(spark, *(t for _, t in rows))).collect()}
+    missed = [(label, t[:80]) for i, (label, t) in enumerate(rows) if label not in got[i]]
+    assert len(rows) > 300 and not missed, missed[:5]
+
+
 def test_licenses_as_a_plain_version_finds_them(spark):
     rng = random.Random(8)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]

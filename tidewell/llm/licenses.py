@@ -2,9 +2,9 @@
 
 The hashes of all rolling word k-grams of every document are joined with the places where templates hold them. A hit
 at word i of a document and word j of a template votes for the diagonal i - j. Votes are counted by diagonal,
-neighbouring diagonals (words put in or left out) are merged to spans, and a span is verified by the share of the
-template's words that its hits cover and by the words that tell the license from its kin. Of spans of one family that
-overlap, the one that covers most words holds.
+neighbouring diagonals (words put in or left out) are merged to spans, whatever other diagonals a template that repeats
+itself has between them in the text, and a span is verified by the share of the template's words that its hits cover and
+by the words that tell the license from its kin. Of spans of one family that overlap, the one that covers most words holds.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     license_texts. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (first,
     last, label, score; words from 0). n_base counts all places of phrases; first_word and last_word are their smallest and
     largest start. Labels are distinct, sorted and comma-joined. The score is that of the best span, 1 for a
-    phrase. Null and empty texts have no words and no spans; repeated rows are scanned alike; a null doc_id stays
-    null; no documents give no rows. Other columns are ignored.
+    phrase; of spans that tie all hold. Null and empty texts have no words and no spans; repeated rows are scanned alike; a null doc_id stays
+    null; no documents give no rows. Other columns are ignored. A text of n words is 2 n + 1 rows.
     """
     short = [x for x in (*(p[0] for p in phrases), *(n[3] for n in notices)) if len(x.split()) < PAIR]
     if short:
@@ -85,16 +85,19 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     votes = met.where("template >= 0")
     doc = ["_id", "text_key", "template", "label", "family", "base", "k", "n", "needed"]
     lines = votes.groupBy(*doc, (F.col("pos") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("k") - 1).alias("last"))
-    # phrases: a diagonal with every pair; notices: neighbouring diagonals, near each other in the text, are one span
-    order = W.partitionBy("_id", "text_key", "template").orderBy("first", "last", "diagonal")
+    # phrases: a diagonal with every pair; notices: neighbouring diagonals are a band, and what is near in the text of a band is one span
+    one = ["_id", "text_key", "template"]
+    beside = W.partitionBy(*one).orderBy("diagonal")
+    lines = lines.withColumn("new", F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(beside) > DRIFT), F.lit(True)).cast("int"))
+    lines = lines.withColumn("band", F.sum("new").over(beside.rowsBetween(W.unboundedPreceding, 0)))
+    order = W.partitionBy(*one, "band").orderBy("first", "last", "diagonal")
     so_far = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    apart = F.col("base") | so_far.isNull() | (F.col("first") > so_far + DRIFT) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT)
-    merged = lines.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = merged.groupBy(*doc, "span").agg(F.flatten(F.collect_list("js")).alias("js"), F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = lines.withColumn("new", F.coalesce(F.col("first") > so_far + DRIFT + 1, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = merged.groupBy(*doc, "band", "span").agg(F.flatten(F.collect_list("js")).alias("js"), F.min("first").alias("first"), F.max("last").alias("last"))
     spans = spans.withColumn("hit", F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("k") - 1)))))
     spans = spans.withColumn("covered", F.size("hit")).withColumn("score", F.col("covered") / F.col("n"))
     told = F.forall("needed", lambda at: F.arrays_overlap(at, F.col("hit")))
-    spans = spans.where(F.when(F.col("base"), F.col("score") == 1).otherwise((F.col("score") >= COVERED) & told)).drop("js", "hit", "needed", "span")
+    spans = spans.where(F.when(F.col("base"), F.col("score") == 1).otherwise((F.col("score") >= COVERED) & told)).drop("js", "hit", "needed", "band", "span")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     start = F.when(F.col("base"), F.col("first"))
     found = best(spans).groupBy("_id", "text_key").agg(

@@ -169,7 +169,8 @@ def told(x: str) -> str:
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 GRAMS_SQL = "lead(w) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d"
 TEMPLATES = [(label, "", True, "", text) for text, label in licenses.PHRASES] + [(label, family, False, needed, text) for family, label, needed, text in licenses.NOTICES]
-IN_ORDER = "PARTITION BY doc_id, t ORDER BY first, last, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND"
+BESIDE = "PARTITION BY doc_id, t ORDER BY diagonal"
+IN_ORDER = "PARTITION BY doc_id, t, band ORDER BY first, last, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND"
 OP1_SQL = f"""
 WITH x AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM x),
@@ -181,9 +182,11 @@ tw AS (SELECT t, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM t0),
 tg AS (SELECT g.*, k FROM (SELECT t, j, w AS a, {GRAMS_SQL} FROM tw WINDOW o AS (PARTITION BY t ORDER BY j)) g JOIN tm USING (t) WHERE j + k <= n),
 votes AS (SELECT doc_id, t, i, j, k FROM g JOIN tg ON g.a = tg.a AND g.b = tg.b AND (k = {licenses.PAIR} OR (g.c = tg.c AND g.d = tg.d))),
 lines AS (SELECT doc_id, t, i - j AS diagonal, list(j) AS js, min(i) AS first, max(i + k - 1) AS last FROM votes GROUP BY 1, 2, 3),
-m1 AS (SELECT *, max(last) OVER ({IN_ORDER} 1 PRECEDING) AS so_far, lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY first, last, diagonal) AS prev FROM lines JOIN tm USING (t)),
-m2 AS (SELECT *, sum(CASE WHEN base OR so_far IS NULL OR first > so_far + {licenses.DRIFT} OR abs(diagonal - prev) > {licenses.DRIFT} THEN 1 ELSE 0 END) OVER ({IN_ORDER} CURRENT ROW) AS span FROM m1),
-s1 AS (SELECT doc_id, t, span, any_value(label) AS label, any_value(family) AS family, any_value(base) AS base, any_value(k) AS k, any_value(n) AS n, any_value(needed) AS needed, flatten(list(js)) AS js, min(first) AS first, max(last) AS last FROM m2 GROUP BY 1, 2, 3),
+l1 AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER ({BESIDE}) <= {licenses.DRIFT} IS NOT TRUE THEN 1 ELSE 0 END AS apart FROM lines JOIN tm USING (t)),
+l2 AS (SELECT *, sum(apart) OVER ({BESIDE}) AS band FROM l1),
+m1 AS (SELECT *, max(last) OVER ({IN_ORDER} 1 PRECEDING) AS so_far FROM l2),
+m2 AS (SELECT *, sum(CASE WHEN so_far IS NULL OR first > so_far + {licenses.DRIFT + 1} THEN 1 ELSE 0 END) OVER ({IN_ORDER} CURRENT ROW) AS span FROM m1),
+s1 AS (SELECT doc_id, t, band, span, any_value(label) AS label, any_value(family) AS family, any_value(base) AS base, any_value(k) AS k, any_value(n) AS n, any_value(needed) AS needed, flatten(list(js)) AS js, min(first) AS first, max(last) AS last FROM m2 GROUP BY 1, 2, 3, 4),
 s2 AS (SELECT *, list_distinct(flatten(list_transform(js, lambda j: range(j, j + k)))) AS hit FROM s1),
 s3 AS (SELECT *, len(hit) AS covered, len(hit) / n AS score FROM s2 WHERE CASE WHEN base THEN len(hit) = n ELSE len(hit) / n >= {licenses.COVERED} AND len(list_filter(needed, lambda x: NOT list_has_any(x, hit))) = 0 END),
 b1 AS (SELECT *, max(last) OVER (PARTITION BY doc_id, base, family ORDER BY first, last, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM s3),
