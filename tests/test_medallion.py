@@ -78,6 +78,24 @@ def test_projections(tables):
     assert (i.modality, i.body_site_display, i.series_count, i.dicom_extracted, i.dicom_binary_id) == ("MR", "Thorax", 1, False, None)
 
 
+def test_only_the_beginning_of_an_image_is_read():
+    import io
+
+    image = bundles.dicom()
+    want = dicom.headers(image)
+    assert want and dicom.beginning(io.BytesIO(image + b"x" * 5_000_000), len(image) + 5_000_000) == (want, dicom.FIRST)
+    private = b"\x09\x00\x01\x00UN\x00\x00" + (50_000).to_bytes(4, "little") + b"p" * 50_000  # before the fields of later groups
+    at = image.index(b"\x18\x00\x50\x00") if b"\x18\x00\x50\x00" in image else image.index(b"\x28\x00\x10\x00")
+    long = image[:at] + private + image[at:]
+    told, n = dicom.beginning(io.BytesIO(long + b"x" * 5_000_000), len(long) + 5_000_000)
+    assert told == want and 50_000 < n <= 131_072
+    for k in (0, 1, 131, 132, 150, 200):
+        try:
+            dicom.beginning(io.BytesIO(image[:k]), k)
+        except dicom.NotDicom:
+            assert k < 132
+
+
 def test_dicom(spark, raw, tmp_path):
     uid = "1.2.840.99." + str(sum(map(ord, "p1")))
     (tmp_path / f"Ann_Bee_{uuid.uuid4()}{uid}.dcm").write_bytes(bundles.dicom())

@@ -221,7 +221,7 @@ def fhir_ecg_metadata(t: Tables) -> DataFrame:
     return table("ecg_metadata", wrapped(t.part, "p_partkey", F.array(report, *seen)))
 
 
-def dicom_files(t: Tables) -> DataFrame:
+def dicom_files(t: Tables, pixels: int = 0, with_bytes: bool = False) -> DataFrame:
     """An image header for each supplier, as executors read it from files; the first name is that of a file of others."""
     key = F.col("s_suppkey").cast("string")
     even = lambda c: F.when(F.length(c) % 2 == 1, F.concat(c, F.lit(" "))).otherwise(c)
@@ -234,6 +234,7 @@ def dicom_files(t: Tables) -> DataFrame:
     content = F.concat(
         F.unhex(F.lit("00" * 128)), F.encode(F.lit("DICM"), "UTF-8"), element("02001000", "UI", F.unhex(F.lit(b"1.2.840.10008.1.2.1\0".hex()))), said("08002000", "DA", F.lit("19940115")), said("08007000", "LO", F.col("s_name")),
         said("08003010", "LO", F.when(F.col("s_suppkey") % 2 == 0, "UNKNOWN").otherwise(F.concat(F.lit("study "), key))), said("18005000", "DS", F.lit("1.5")), element("28001000", "US", two(F.col("s_nationkey") + 1)), F.unhex(F.lit("e07f1000")), F.encode(F.lit("OW"), "UTF-8"), F.unhex(F.lit("ffff")),
+        F.encode(F.repeat(F.lit("pixel..."), F.lit(pixels // 8)), "UTF-8"),
     )
     name = F.concat(F.lit("Ann1_Bee2_00000000-0000-0000-0000-"), F.lpad(key, 12, "0"), F.lit("1.2."), key, F.lit(".dcm"))
     root = scratch(t.spark)
@@ -241,7 +242,7 @@ def dicom_files(t: Tables) -> DataFrame:
     more = t.spark.createDataFrame([("A", "other.dcm", bytearray(b"x")), ("A", "A_B_00000000-0000-0000-0000-0000000000001.9.dcm", bytearray(b"no image"))], "cohort string, file string, content binary")
     failed, why = bronze.copy_files(rows.unionByName(more), root)
     assert not failed, why
-    return dicom.read(t.spark, root)
+    return dicom.read(t.spark, root, with_bytes)
 
 
 HEADERS_SQL = """(SELECT '1.2.' || s_suppkey AS study_uid, CASE WHEN s_suppkey % 2 = 1 THEN 'study ' || s_suppkey END AS study_description, CAST(NULL AS VARCHAR) AS series_description, DATE '1994-01-15' AS study_date, s_name AS manufacturer,
@@ -253,6 +254,13 @@ def dicom_headers(t: Tables) -> DataFrame:
     return dicom_files(t)
 
 
+@query("SELECT '1.2.' || s_suppkey AS study_uid, CAST(s_nationkey + 1 AS INTEGER) AS rows, s_name AS manufacturer, true AS little FROM supplier")
+def dicom_byte_ranges(t: Tables) -> DataFrame:
+    """Headers of files of half a megabyte of pixels each: under one percent of their bytes is read."""
+    found = dicom_files(t, pixels=1 << 19, with_bytes=True)
+    return found.select("study_uid", "rows", "manufacturer", (100 * F.col("read_bytes") < F.col("file_bytes")).alias("little"))
+
+
 @query(f"""SELECT CAST(p_partkey AS VARCHAR) AS study_id, '' AS patient_id, '' AS encounter_id, CAST(NULL AS VARCHAR) AS started_date, 'available' AS status, p_brand AS modality, 's' || p_partkey AS body_site, p_type AS body_site_display, CAST(p_size AS INTEGER) AS series_count, CAST(p_size + 1 AS INTEGER) AS instance_count,
  study_description, series_description, study_date, manufacturer, magnetic_field_strength, slice_thickness_mm, h.rows AS rows, h.columns AS columns, study_uid AS dicom_binary_id, study_uid IS NOT NULL AS dicom_extracted, p_partkey || '.json' AS source_file FROM part LEFT JOIN {HEADERS_SQL} h ON study_uid = '1.2.' || p_partkey""")
 def fhir_imaging_study(t: Tables) -> DataFrame:

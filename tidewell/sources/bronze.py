@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -150,36 +151,63 @@ def read_text(spark: SparkSession, name: str) -> str | None:
         stream.close()
 
 
-def land_assets(spark: SparkSession, source: str, root: str, name: str, pattern: str) -> dict:
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, file, bytes of the files of a folder whose names fit; a task lists them, so the driver holds none. No folder: none."""
+    ship(spark)
+    fs, path = filesystem(spark, folder)
+    home = path(folder).makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                there, base = writable(uri)
+                found = [f for f in there.get_file_info(FileSelector(base, allow_not_found=True)) if f.is_file and fnmatchcase(f.base_name, pattern) and f.base_name[0] not in "._"]
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.record_batch([pa.array([f"{uri.rstrip('/')}/{f.base_name}" for f in some], pa.string()), pa.array([f.base_name for f in some], pa.string()), pa.array([f.size for f in some], pa.int64())], names=["path", "file", "bytes"])
+
+    return spark.range(1, numPartitions=1).select(F.lit(home).alias("uri")).mapInArrow(rows, "path string, file string, bytes long")
+
+
+def land_assets(spark: SparkSession, source: str, root: str, name: str, pattern: str, errors: int = 25) -> dict:
     """Copy files of any kind to ``root/name``; those there already stay. They are landed, not read.
 
-    Executors copy them, a file in parts, so that no file is held as a whole.
+    Executors list both folders and copy, a file in parts, so neither the driver nor a task holds a file or the list. A file
+    that can't be copied is left out, and a later run goes on with it; more than ``errors`` of them raise Failed.
     """
-    fs, path = filesystem(spark, source)
-    to, _ = filesystem(spark, root)
-    folder = path(f"{root}/{name}")
-    to.mkdirs(folder)
-    new = [f.getPath().toString() for f in fs.globStatus(path(f"{source}/{pattern}")) or [] if not to.exists(path(folder, f.getPath().getName()))]
-    target = folder.makeQualified(to.getUri(), to.getWorkingDirectory()).toUri().toString()
-    ship(spark)
+    folder = f"{root}/{name}"
+    to, path = filesystem(spark, folder)
+    to.mkdirs(path(folder))
+    target = path(folder).makeQualified(to.getUri(), to.getWorkingDirectory()).toUri().toString()
+    new = listing(spark, source, pattern).join(listing(spark, folder, pattern).select("file"), "file", "left_anti")
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, base = writable(target)
         for batch in batches:
-            for name_ in batch.column(0).to_pylist():
-                here, at = writable(name_)
-                end = at.rpartition("/")[2]
-                part = f"{base}/.{end}.{uuid.uuid4().hex}"
-                with here.open_input_stream(at) as stream, there.open_output_stream(part) as out:
-                    while block := stream.read(1 << 22):
-                        out.write(block)
-                there.move(part, f"{base}/{end}")
-            yield batch
-
-    if new:
-        df = spark.createDataFrame([(n,) for n in new], "path string")
-        df.repartition(min(len(new), 200)).mapInArrow(copy, "path string").count()
-    landed = [f.getLen() for f in to.globStatus(path(folder, pattern)) or []]
-    manifest = {"file_count": len(landed), "total_bytes": sum(landed)}
+            out: list[str | None] = []
+            for uri, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = f"{base}/.{file}.{uuid.uuid4().hex}"
+                try:
+                    here, at = writable(uri)
+                    with here.open_input_stream(at) as stream, there.open_output_stream(part) as to_:
+                        while block := stream.read(1 << 22):
+                            to_.write(block)
+                    there.move(part, f"{base}/{file}")
+                    out.append(None)
+                except OSError as e:
+                    out.append(f"{file}: {e}")
+            yield pa.record_batch([pa.array(out, pa.string())], names=["error"])
+
+    failed, first = new.select("path", "file").repartition(shuffle_tasks(spark)).mapInArrow(copy, "error string").agg(F.count("error"), F.min("error")).first()
+    if failed > errors:
+        raise Failed(f"{failed} files failed; one of them: {first}")
+    landed = listing(spark, folder, pattern).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    manifest = {"file_count": landed[0], "total_bytes": landed[1]}
     write_text(spark, f"{root}/_metadata/{name}.json", json.dumps(manifest))
     return manifest
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,15 +1,17 @@
-"""DICOM headers: tags up to the pixel data, which is never read."""
+"""DICOM headers: files are read up to the pixel data, some kilobytes of each."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import ship
+from tidewell.sources.bronze import writable
 
 HEADER_FIELDS = {
     "study_description": "string", "series_description": "string", "study_date": "date", "manufacturer": "string",
@@ -25,12 +27,25 @@ LONG = frozenset({b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC",
 PIXELS, IMPLICIT, BIG, UNDEFINED = (0x7FE0, 0x0010), "1.2.840.10008.1.2", "1.2.840.10008.1.2.2", 0xFFFFFFFF
 
 
+#: Bytes of a file that are read first; twice as many each time the pixel data isn't reached.
+FIRST = 4096
+
+
 class NotDicom(ValueError):
     pass
 
 
+class Short(ValueError):
+    """The bytes end before the pixel data."""
+
+
 def elements(data: bytes) -> Iterator[tuple[tuple[int, int], bytes, bytes, str]]:
-    """(tag, kind, value, byte order) of the top level in turn, up to the pixel data; sequences are stepped over."""
+    """(tag, kind, value, byte order) of the top level in turn, up to the pixel data; sequences are stepped over.
+
+    Bytes that end before raise Short once all whole elements are told.
+    """
+    if len(data) < 132:
+        raise Short
     if data[128:132] != b"DICM":
         raise NotDicom("no DICM mark at byte 128")
     at, order, implicit, meta = 132, "<", False, True
@@ -46,11 +61,14 @@ def elements(data: bytes) -> Iterator[tuple[tuple[int, int], bytes, bytes, str]]
         if length == UNDEFINED:
             at = skip(data, at, order, implicit)
             continue
+        if at + length > len(data):
+            break
         value = data[at : at + length]
         if tag == (2, 0x10):
             syntax = value.decode("ascii", "replace").strip("\0 ")
         yield tag, kind, value, order
         at += length
+    raise Short
 
 
 def head(data: bytes, at: int, order: str, implicit: bool) -> tuple[int, bytes, int]:
@@ -81,43 +99,70 @@ def skip(data: bytes, at: int, order: str, implicit: bool) -> int:
     return at
 
 
-def headers(data: bytes) -> dict[str, str]:
-    """The fields of TAGS as text; placeholders are left out."""
+def headers(data: bytes, whole: bool = True) -> dict[str, str]:
+    """The fields of TAGS as text; placeholders are left out. Bytes that are not the ``whole`` file may raise Short."""
     out = {}
-    for tag, kind, value, order in elements(data):
-        if name := TAGS.get(tag):
-            if name in ("rows", "columns"):
-                text = str(struct.unpack_from(f"{order}H", value)[0]) if len(value) >= 2 and kind in (b"US", b"") else ""
-            else:
-                text = value.decode("utf-8", "replace").split("\\")[0].strip("\0 \t\r\n")
-            if text.upper() not in PLACEHOLDERS:
-                out[name] = text
+    try:
+        for tag, kind, value, order in elements(data):
+            if name := TAGS.get(tag):
+                if name in ("rows", "columns"):
+                    text = str(struct.unpack_from(f"{order}H", value)[0]) if len(value) >= 2 and kind in (b"US", b"") else ""
+                else:
+                    text = value.decode("utf-8", "replace").split("\\")[0].strip("\0 \t\r\n")
+                if text.upper() not in PLACEHOLDERS:
+                    out[name] = text
+    except (Short, struct.error):
+        if not whole:
+            raise Short from None
     return out
 
 
+def beginning(file: BinaryIO, size: int) -> tuple[dict[str, str], int]:
+    """The fields of an open file, and how many of its bytes were read: as many as hold them, never the pixel data."""
+    data, want = b"", FIRST
+    while True:
+        data += file.read(min(want, size) - len(data))
+        whole = len(data) >= size
+        try:
+            if whole and len(data) < 132:
+                raise NotDicom("shorter than its preamble")
+            return headers(data, whole), len(data)
+        except Short:
+            want *= 2
+
+
 def study_uid(file_name):
     """UID behind the 36 signs of an identifier in ``name_name_<uuid><uid>.dcm``; null for other names."""
     return F.nullif(F.regexp_extract(file_name, r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}([0-9.]+)\.dcm$", 1), F.lit(""))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """study_uid and HEADER_FIELDS of every readable file below a path. Files of others are left out; names never leave."""
+def read(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFrame:
+    """study_uid and HEADER_FIELDS of every readable file below a path; with_bytes adds file_bytes and read_bytes.
+
+    Spark lists the files; tasks open them and read up to the pixel data. Files that are none, or can't be opened, are
+    left out, and so are those of others; names never leave.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dcm").option("recursiveFileLookup", "true").load(path)
-    named = files.select(study_uid(F.col("_metadata.file_name")).alias("study_uid"), "content").where("study_uid is not null")
+    named = files.select(study_uid(F.col("_metadata.file_name")).alias("study_uid"), "path", F.col("length").alias("file_bytes")).where("study_uid is not null")
     names = list(HEADER_FIELDS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, found = [], []
-            for uid, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, out = [], []
+            for uid, place, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    found.append(headers(content or b""))
-                    uids.append(uid)
-                except (NotDicom, struct.error):
+                    fs, at = writable(place)
+                    with fs.open_input_file(at) as file:
+                        told, n = beginning(file, size)
+                except (NotDicom, OSError):
                     continue
-            yield pa.record_batch([pa.array(uids, pa.string()), *(pa.array([f.get(n) for f in found], pa.string()) for n in names)], names=["study_uid", *names])
+                found.append(told)
+                out.append((uid, size, n))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(columns[0], pa.string()), *(pa.array([f.get(n) for f in found], pa.string()) for n in names), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["study_uid", *names, "file_bytes", "read_bytes"])
 
-    text = named.mapInArrow(rows, "study_uid string, " + ", ".join(f"{n} string" for n in names))
+    text = named.mapInArrow(rows, "study_uid string, " + ", ".join(f"{n} string" for n in names) + ", file_bytes long, read_bytes long")
     date = F.coalesce(F.try_to_timestamp("study_date", F.lit("yyyyMMdd")).cast("date"), F.col("study_date").try_cast("date"))
-    return text.select("study_uid", *((date if n == "study_date" else F.col(n).try_cast(t)).alias(n) for n, t in HEADER_FIELDS.items()))
+    more = ["file_bytes", "read_bytes"] if with_bytes else []
+    return text.select("study_uid", *((date if n == "study_date" else F.col(n).try_cast(t)).alias(n) for n, t in HEADER_FIELDS.items()), *more)
