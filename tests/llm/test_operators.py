@@ -378,6 +378,24 @@ def test_sample_is_bounded(spark):
     assert len(got) == 30 and got == learned.sample(many.orderBy(F.rand(1)), "quality", 30)
 
 
+def test_sweeps_join_by_keys(spark, tmp_path):
+    """What ranges match among them is told by a hash join, not by comparing all rows with all ranges."""
+    pieces = spark.range(2000).selectExpr("id", "1 + id % 300 as size")
+    gaps = spark.range(2000).selectExpr("id as seq", "250 + id % 200 as room")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out, left = packing.sweep(pieces, gaps)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
+    rows = out.collect()
+    met = [r for r in rows if r.id is not None and r.seq is not None]
+    assert len(met) > 1900 and all(r["size"] <= r.room for r in met) and len({r.id for r in met}) == len({r.seq for r in met}) == len(met)
+    assert sorted(r.id for r in rows if r.id is not None) == list(range(2000)) and sorted(r.seq for r in rows if r.seq is not None) == list(range(2000))
+    assert sum(n for _, n in left) == sum(r.seq is None for r in rows)
+
+
 # hosts
 
 
@@ -406,6 +424,28 @@ def test_sites_and_registered_domains(spark):
     assert listed.verdict == "block"  # a list without co.uk makes it one domain
 
 
+def test_blocks_say_something_of_quality(spark):
+    """Hosts that differ, below suffixes that rules block or allow: what is blocked is bad far more often than what is not."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for h in range(40):
+        share = 0.9 if h % 4 == 0 else 0.1
+        rows += [(len(rows) + i, f"http://h{h}.{('org', 'net', 'info')[h % 3]}/en/{10_000 + len(rows) + i}", int(rng.random() < share)) for i in range(30)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    seen = labels(spark, *((10_000 + i, 1 - bad, 0) for i, _, bad in rows if i % 2))
+    got = {r.page_id: r for r in hosts.judge(pages, hosts.outcomes(pages, seen)).collect()}
+    of = lambda verdict: [bad for i, _, bad in rows if i % 2 == 0 and got[i].rule is None and got[i].verdict == verdict]  # noqa: E731  pages without a label
+    assert min(map(len, map(of, ("block", "allow")))) > 50 and np.mean(of("block")) > 0.8 > 0.2 > np.mean(of("allow"))
+
+
+def test_wildcards_and_exceptions_of_a_suffix_list(spark):
+    listed = ("co.uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp")
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.ck": ("x.y.ck", "y.ck"), "q.x.y.ck": ("x.y.ck", "y.ck"), "a.www.ck": ("www.ck", "ck"), "ck": ("ck", "ck"), "y.ck": ("y.ck", "y.ck"), "a.b.c.kawasaki.jp": ("b.c.kawasaki.jp", "c.kawasaki.jp"), "w.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "a.jp": ("a.jp", "jp")}
+    d, s = hosts.parents(F.col("site"), listed)
+    assert {r.site: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in want], "site string").select("site", d.alias("d"), s.alias("s")).collect()} == want
+
+
 def test_pages_without_much(spark):
     out = spark.createDataFrame([(1, True)], "page_id long, bad boolean").selectExpr("page_id", "cast(bad as int) as bad")
     pages = spark.createDataFrame([(1, "http://a.b/x", "h"), (1, "http://a.b/x", "h"), (None, None, None), (2, "http:///p", None)], "page_id long, url string, chance string")
@@ -420,8 +460,11 @@ def test_outcomes_are_those_of_carried_documents(spark, tmp_path):
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
     marks = labels(spark, *((i, 1, 0) for i in range(7)), (100, 0, 0), (101, 0, 0), (102, 0, 0), (103, 1, 0), (104, 0, 0))
     assert sorted(map(tuple, hosts.outcomes(pages, marks).collect())) == [(0, 1), (1, 1), (2, 1), (3, 0)]
-    ruled = spark.createDataFrame([(1, "http://a.net/fr/100"), (2, "http://a.net/en/100"), (3, "http://a.com/en/100"), (3, "http://a.com/en/100")], "page_id long, url string")
-    assert sorted(map(tuple, hosts.outcomes(ruled, marks).collect())) == [(1, 1), (2, 1), (3, 0)]
+    ruled = spark.createDataFrame([(1, "http://a.net/fr/103"), (2, "http://a.net/en/100"), (3, "http://a.com/en/100"), (3, "http://a.com/en/100"), (4, "http://a.net/es/1")], "page_id long, url string")
+    assert sorted(map(tuple, hosts.outcomes(ruled, marks).collect())) == [(1, 0), (2, 1), (3, 1), (4, 0)]  # whatever rules say
+    nulls = labels(spark, (100, None, 0), (None, 1, 0), (101, 0, 0), (101, 1, 0))
+    assert sorted(map(str, hosts.outcomes(pages, nulls).collect())) == ["Row(page_id=0, bad=None)", "Row(page_id=1, bad=0)", "Row(page_id=1, bad=1)"]
+    assert hosts.outcomes(pages.limit(0), marks).count() == hosts.outcomes(pages, marks.limit(0)).count() == 0
     many = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.org/en/{1000 + i}", "") for i in range(400)], pages.schema)
     many.write.parquet(str(tmp_path / "pages.parquet"))
     labels(spark, *((1000 + i, 1 - i % 2, 0) for i in range(400)), *((i, 1, 0) for i in range(400))).write.parquet(str(tmp_path / "labels.parquet"))
@@ -441,6 +484,22 @@ def test_small_hosts_are_blocked_by_the_posterior_itself(spark):
     assert got["h0.ex.org"].verdict == "allow" and got["h5.ex.org"].verdict == "allow"
 
 
+# entities that stand in the same texts
+
+
+def test_entities_of_the_same_texts_are_one(spark):
+    """Near copies with many addresses: rows grow with their length, not with addresses times terms."""
+    addresses = " ".join(f"user{i}@mail{i}.org" for i in range(400))
+    texts = [f"alpha list {addresses} end", f"beta list {addresses} other end", "gamma user7@mail7.org alone", "nothing"]
+    spans = privacy.found(docs(spark, *texts))
+    copies = spans.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts_ = copies.withColumn("text", F.xxhash64("text_key"))
+    held = privacy.holders(texts_)
+    assert sorted((r.n_e, r.texts_e) for r in held.collect()) == [(2, 2), (2, 2), (3, 3), (3, 3), (3, 3)]
+    assert privacy.meetings(texts_, held).count() < 40
+    assert privacy.holders(texts_.limit(0)).count() == 0
+
+
 # media
 
 

@@ -40,27 +40,39 @@ def site(host: Column) -> Column:
 
 
 def parents(site: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a site. Addresses are domains of their own below ADDRESS."""
+    """Registered domain and public suffix of a site. Addresses are domains of their own below ADDRESS.
+
+    ``suffixes`` may have lines of a public-suffix list: names, wildcards (``*.ck``: any name below ck is a suffix) and
+    exceptions (``!www.ck``: a domain below ck after all). The longest that fits decides, exceptions before others.
+    """
     address = F.rlike(site, F.lit(r"^(?:[0-9]+(?:\.[0-9]+){3}$|\[)"))
-    suffix, domain = F.substring_index(site, ".", -1), F.substring_index(site, ".", -2)
-    for n in sorted({x.count(".") + 1 for x in suffixes} - {1}):
-        known = F.substring_index(site, ".", -n).isin([x for x in suffixes if x.count(".") + 1 == n])
-        suffix, domain = F.when(known, F.substring_index(site, ".", -n)).otherwise(suffix), F.when(known, F.substring_index(site, ".", -n - 1)).otherwise(domain)
+    last = lambda n: F.substring_index(site, ".", -n)
+    labels = F.size(F.split(site, r"\."))
+    suffix, domain = last(1), last(2)
+    names = [x for x in suffixes if x[0] not in "*!"]
+    wild, kept = [x[2:] for x in suffixes if x.startswith("*.")], [x[1:] for x in suffixes if x.startswith("!")]
+    for n in sorted({x.count(".") + 1 for x in names} | {x.count(".") + 2 for x in wild}):
+        known = last(n).isin([x for x in names if x.count(".") + 1 == n])
+        known = known | ((labels >= n) & last(n - 1).isin([x for x in wild if x.count(".") + 2 == n])) if n > 1 else known
+        suffix, domain = F.when(known, last(n)).otherwise(suffix), F.when(known, last(n + 1)).otherwise(domain)
+    for n in sorted({x.count(".") + 1 for x in kept}):
+        known = last(n).isin([x for x in kept if x.count(".") + 1 == n])
+        suffix, domain = F.when(known, last(n - 1)).otherwise(suffix), F.when(known, last(n)).otherwise(domain)
     return F.when(address, site).otherwise(domain), F.when(address, ADDRESS).otherwise(suffix)
 
 
-def outcomes(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
+def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, bad of the pages (page_id, url) whose outcome is known.
 
-    A page that a rule decides has the rule's outcome. Others have that of the document they carry, which their paths
-    name: /lang/doc_id, then a dot, a slash or no more. ``labels``: doc_id, quality (1 good).
+    A page's outcome is that of the document it carries, which its path names: /lang/doc_id, then a dot, a slash or no
+    more. ``labels``: doc_id, quality (1 good). What rules say of a page is no outcome: it would only repeat the rules. Null
+    urls, and paths that name no labelled document, have none; null labels give null outcomes, which judge() doesn't count. A
+    page that is repeated counts once, unless its rows differ in what they carry; a document with several labels counts
+    each. No pages or no labels give no rows.
     """
-    host, path = parts(F.col("url"))
-    named = F.regexp_extract(path, r"^/[^/]*/([0-9]{1,18})(?:[./]|$)", 1)
-    rows = pages.select("page_id", F.when(named != "", named).cast("long").alias("_named"), ruled(host, path, rules)["verdict"].alias("_verdict")).distinct()
-    told = rows.where("_verdict is not null").select("page_id", (F.col("_verdict") == "block").cast("int").alias("bad"))
-    carried = rows.where("_verdict is null").join(labels.select("doc_id", "quality"), F.col("_named") == F.col("doc_id")).select("page_id", (1 - F.col("quality")).cast("int").alias("bad"))
-    return told.unionAll(carried)
+    named = F.regexp_extract(parts(F.col("url"))[1], r"^/[^/]*/([0-9]{1,18})(?:[./]|$)", 1)
+    rows = pages.select("page_id", F.when(named != "", named).cast("long").alias("_named")).distinct()
+    return rows.join(labels.select("doc_id", "quality"), F.col("_named") == F.col("doc_id")).select("page_id", (1 - F.col("quality")).cast("int").alias("bad"))
 
 
 def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:

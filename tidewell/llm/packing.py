@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_texts, durable, durable_counted, in_arrow, packed, running
+from tidewell.llm.common import as_texts, discard, durable, durable_counted, in_arrow, packed, running
 from tidewell.session import scratch
 
 CAPACITY, END_ID = 1024, 2
@@ -211,10 +211,11 @@ def sweep(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, list[tuple[int
     met, left = across({r[0]: (r[1], r[2]) for r in alone.collect()})  # a row per range
     if not met:
         return swept, left
-    table = F.broadcast(spark.createDataFrame(met, "first long, gap_part int, gap_n long, piece_part int, piece_n long, many long"))  # two rows per range at most
-    mine = F.when(F.col("seq").isNotNull(), (F.col("part") == F.col("gap_part")) & F.col("n").between(F.col("gap_n"), F.col("gap_n") + F.col("many") - 1))
-    mine = mine.otherwise((F.col("part") == F.col("piece_part")) & F.col("n").between(F.col("piece_n"), F.col("piece_n") + F.col("many") - 1))
-    number = F.col("first") + F.when(F.col("seq").isNotNull(), F.col("n") - F.col("gap_n")).otherwise(F.col("piece_n") + F.col("many") - 1 - F.col("n"))
+    # a match is a stretch of gaps and one of pieces: the n-th gap from the first meets the n-th piece from the last
+    stretches = [x for first, gap_part, gap_n, piece_part, piece_n, many in met for x in ((gap_part, True, gap_n, gap_n + many - 1, first, 1), (piece_part, False, piece_n, piece_n + many - 1, first + many - 1, -1))]
+    table = F.broadcast(spark.createDataFrame(stretches, "of int, gap boolean, low long, high long, at long, way int"))  # four rows per range at most
+    mine = (F.col("part") == F.col("of")) & (F.col("seq").isNotNull() == F.col("gap")) & F.col("n").between(F.col("low"), F.col("high"))
+    number = F.col("at") + F.col("way") * (F.col("n") - F.col("low"))
     told = swept.where("n >= 0").join(table, mine, "left").withColumn("number", number).select(*swept.columns, "number")
     pairs = told.where("number is not null").groupBy("number").agg(F.min("part").alias("part"), F.lit(-1).cast("long").alias("n"), *(F.max(c).alias(c) for c in ("id", "size", "seq", "room")))
     return swept.where("n < 0").unionAll(told.where("number is null").drop("number")).unionAll(pairs.drop("number")), left
@@ -223,7 +224,8 @@ def sweep(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, list[tuple[int
 def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
     """id, seq, step, size of every piece (id, size). ``sizes``: pieces by size.
 
-    Classes are taken from the largest size down. Pieces of a class are swept into the gaps until no gap takes one;
+    Classes are taken from the largest size down; those up to an eighth of the capacity are taken as one where what is free is
+    twice what they need, since there small pieces find room in any order. Pieces of a class are swept into the gaps until no gap takes one;
     the rest open sequences, as many neighbours of the sorted order in each as fit. Sequences are named by the id of a
     piece in them. Each round is written, so a lost executor costs no earlier round.
     """
@@ -256,8 +258,8 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
             if several:
                 k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / high))
                 fit = fit.withColumn("k", k).select("seq", F.explode(F.array_repeat(F.floor(F.col("room") / F.col("k")), F.col("k").cast("int"))).alias("room"))
-            out, ranges = sweep(pieces, fit)
-            out, seen = durable_counted(out, F.count_if(F.col("id").isNotNull() & F.col("seq").isNotNull()).alias("took"), F.min(F.when(F.col("seq").isNull(), F.col("size"))).alias("low"))
+            swept, ranges = sweep(pieces, fit)
+            out, seen = durable_counted(swept, F.count_if(F.col("id").isNotNull() & F.col("seq").isNotNull()).alias("took"), F.min(F.when(F.col("seq").isNull(), F.col("size"))).alias("low"))
             pieces, low = (out.where("seq is null"), seen["low"]) if ranges else (None, low)
             if not seen["took"]:
                 break

@@ -179,14 +179,17 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def holders(texts: DataFrame) -> DataFrame:
-    """text, copies, entity, n_e (documents), texts_e of every entity in ``texts``.
+    """text, copies, entity, n_e (documents), texts_e of entities in ``texts``.
 
-    Entities that stand in one text only meet the same terms equally often, so one of them stands for all.
+    Entities that stand in the same texts meet the same terms equally often, so one of them, the least, stands for all:
+    however many addresses the versions of a list have in common, they are one. Sets of texts are known by their number and
+    128 bits, which entities gather without holding the set.
     """
     each = texts.select("text", "copies", F.explode("entities").alias("entity"))
-    counts = each.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e"))
-    shared = F.when(F.col("texts_e") > 1, F.col("entity")).alias("_shared")
-    return each.join(counts, "entity").groupBy("text", shared).agg(F.min("entity").alias("entity"), *(F.first(c).alias(c) for c in ("copies", "n_e", "texts_e"))).drop("_shared")
+    bits = [F.bit_xor(F.xxhash64("text", F.lit(salt))).alias(f"_bits{salt}") for salt in (1, 2)]
+    counts = each.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e"), *bits)
+    least = counts.groupBy("texts_e", "_bits1", "_bits2").agg(F.min(F.struct("entity", "n_e")).alias("_x"))
+    return each.join(least.select("_x.entity", "_x.n_e", "texts_e"), "entity").select("text", "copies", "entity", "n_e", "texts_e")
 
 
 def meetings(texts: DataFrame, held: DataFrame) -> DataFrame:

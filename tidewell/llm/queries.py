@@ -51,7 +51,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: what the rules say of pages, and the quality labels of the documents that other pages carry."""
+    """Outcomes: the quality labels of the documents that pages carry."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return hosts.judge(pages, hosts.outcomes(pages, read(spark, sf_dir, "labels"))).drop("chance")
 
@@ -108,8 +108,8 @@ WITH a AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN su
 b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
 c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
 p AS (SELECT *, {SITE_SQL} AS site, {RULE_SQL} AS r FROM (SELECT *, regexp_replace(host, '^.*@', '') AS u FROM c)),
-o AS (SELECT DISTINCT page_id, r.verdict AS v, regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:[./]|$)', 1) AS named FROM p),
-outcomes AS (SELECT page_id, CAST(v = 'block' AS INTEGER) AS bad FROM o WHERE v IS NOT NULL UNION ALL SELECT page_id, 1 - quality FROM o JOIN labels ON CAST(nullif(named, '') AS BIGINT) = doc_id WHERE v IS NULL),
+o AS (SELECT DISTINCT page_id, regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:[./]|$)', 1) AS named FROM p),
+outcomes AS (SELECT page_id, 1 - quality AS bad FROM o JOIN labels ON CAST(nullif(named, '') AS BIGINT) = doc_id),
 sites AS (SELECT site, CASE WHEN {ADDRESS_SQL} THEN site WHEN {PUBLIC_SQL} THEN regexp_extract(site, '(?:[^.]*\\.)?[^.]*\\.[^.]*$') ELSE regexp_extract(site, '[^.]*(?:\\.[^.]*)?$') END AS domain,
   CASE WHEN {ADDRESS_SQL} THEN '#' WHEN {PUBLIC_SQL} THEN regexp_extract(site, '[^.]*\\.[^.]*$') ELSE regexp_extract(site, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
   FROM p LEFT JOIN outcomes USING (page_id) WHERE site <> '' GROUP BY 1),
