@@ -152,6 +152,22 @@ def test_collocations_of_long_texts(spark):
     assert {tuple(r) for r in got} == set(brute.collocations([("en", text), ("en", "one two")]))
 
 
+def test_phrases_of_one_id_are_told_apart(spark, monkeypatch):
+    """Ids of two words that are the same with one salt: the next salt is taken."""
+    text = "one two three. " * 30
+    salts = []
+    lists = collocations.lists
+
+    def same(docs, salt, words=collocations.WORDS):
+        salts.append(salt)
+        df = lists(docs, salt, words)
+        return df if salt else df.withColumn("ids", F.expr("concat(substring(ids, 1, 8), substring(ids, 1, 8), substring(ids, 17))"))
+
+    monkeypatch.setattr(collocations, "lists", same)
+    got = collocations.collocations(docs(spark, [(1, text, "en"), (2, text, "en")]), frequent=20).collect()
+    assert salts == [0, 1] and {tuple(r) for r in got} == set(brute.collocations([("en", text)] * 2, frequent=20))
+
+
 def test_scores_beyond_64_bits(spark):
     n = 10**14
     phrases = spark.createDataFrame([("en", "a", 1, n), ("en", "b", 1, n), ("en", "a b", 2, n - 1)], "lang string, phrase string, length int, f long")

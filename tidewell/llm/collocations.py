@@ -4,10 +4,13 @@ Words of documents are dealt to shards of bounded length, in which every word ha
 lie apart. A frequent word has a list of its places per shard. A phrase's list comes from merging the lists of the
 phrases one word shorter in order of place: where one that stands at a place meets one at the next place, the first is
 extended by the other's last word. So only words whose own phrase is frequent extend another, and the length of a phrase's lists
-is its exact frequency. Counts are summed over shards by Spark; lists are only written for what is frequent.
+is its exact frequency. A shard's lists stay in one row; what is exchanged are counts.
 
-A bitmap of fixed size that all frequent phrases are hashed into goes to the executors, so that lists of most others are
-never made; a join takes out the rest, however full the bitmap is.
+Counting takes two steps. First hashes of 32 bits are counted, packed by lots: a phrase whose hash isn't frequent is not
+frequent. The others' hashes set the bits of a bitmap of fixed size, which goes to the executors. Then the phrases whose bit
+is set are counted exactly, and lists are kept of them alone; those that the bitmap lets through by accident fall out by
+their exact counts, however full it is. Phrases are known by ids of 64 bits; should two of one id meet in counting, which
+all that share a frequent one's id do, the step is done again with other ids.
 """
 
 from __future__ import annotations
@@ -18,19 +21,20 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_bytes, as_texts, discard, durable, durable_counted, grouped, in_arrow
+from tidewell.llm.common import as_bytes, as_texts, discard, durable, durable_counted, grouped, in_arrow, shuffle_partitions
 
 LONGEST, FREQUENT, SHARE, FIRST, UNKNOWN = 5, 100, 100, 2000, "und"
 #: Words from which a shard is closed; a piece of a text is never cut.
 WORDS = 1 << 20
 #: Bytes from which a text is cut at the end of a piece, so that few words are held as objects.
 PART = 1 << 22
-#: Bits of the bitmap, a power of two: 8 MB.
+#: Bits of the bitmap, a multiple of UNIT: 8 MB.
 BITS = 1 << 26
 #: Bits of one bitmap of Spark's aggregate.
 UNIT = 32768
@@ -64,14 +68,8 @@ def undone(data: bytes, n: np.ndarray) -> np.ndarray:
     return sums - np.repeat(sums[begins] - steps[begins], n) if len(n) else sums
 
 
-def binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
-    """A binary array of consecutive stretches."""
-    offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-
-
-def lists(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """shard, lang, phrase, n, places of every word of every shard."""
+def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
+    """A row per shard: shard, ids, ns, places (lists of all words, end to end), langs, words, and n by lang."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, n, held = TaskContext.get().partitionId() << 32, 0, []
@@ -79,16 +77,19 @@ def lists(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             ids = np.concatenate(held).astype(np.uint64)
-            names = [(lang, w) for lang, of in known.items() for w in of]
+            named = [(k, lang, w) for lang, of in known.items() for w, k in of.items()]
+            named.sort()  # by number, as lists are grouped
             places, of, times = grouped(ids, int(ids.max()).bit_length())
-            words_ = np.array([w != END for _, w in names])  # numbers of words go language by language, not as they came
-            order = np.argsort(np.array([k for of_ in known.values() for k in of_.values()]))
-            real = words_[order][of.astype(np.int64)]
+            real = np.array([w != END for _, _, w in named])
             data = deltas(places, np.cumsum(times) - times)[np.repeat(real, times)]
-            of, times = of[real], times[real]
-            told = [names[order[k]] for k in of.astype(np.int64).tolist()]
-            columns = [pa.array(np.full(len(of), shard)), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), binaries(data.tobytes(), 4 * times)]
-            return pa.record_batch(columns, names=["shard", "lang", "phrase", "n", "places"])
+            told = [x for x in named if x[2] != END]
+            totals: dict[str, int] = {}
+            for (_, lang, _), k in zip(told, times[real].tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + k
+            own = np.array([xxhash.xxh64_intdigest(lang.encode() + END + w, salt) for _, lang, w in told], np.uint64)
+            strings = [pa.array([[x[1] for x in told]], pa.list_(pa.string())), pa.array([[x[2] for x in told]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            counts = [pa.array([list(totals)], pa.list_(pa.string())), pa.array([list(totals.values())], pa.list_(pa.int64()))]
+            return pa.record_batch([pa.array([shard]), *(pa.array([x.tobytes()]) for x in (own, times[real].astype("<i8"), data)), *strings, *counts], names=["shard", "ids", "ns", "places", "langs", "words", "of", "n"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -110,108 +111,230 @@ def lists(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield closed()
 
     some = docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("_lang"), F.col("text").alias("_text"))
-    return in_arrow(some, rows, "shard long, lang string, phrase string, n long, places binary")
+    return in_arrow(some, rows, "shard long, ids binary, ns binary, places binary, langs array<string>, words array<string>, of array<string>, n array<long>")
 
 
-def by_shard(found: DataFrame) -> DataFrame:
-    """All lists (shard, id, n, places) of a shard in one row: shard, ids, ns, places. A shard is bounded, see WORDS."""
+class Lists:
+    """The lists of one shard: ids, how long each is, and its places."""
 
-    def one(table: pa.Table) -> pa.Table:
-        ids, n = (table.column(c).to_numpy().astype("<i8") for c in ("id", "n"))
-        data = b"".join(table.column("places").to_pylist())
-        return pa.table({"shard": table.column("shard")[:1], "ids": pa.array([ids.tobytes()]), "ns": pa.array([n.tobytes()]), "places": pa.array([data])})
+    def __init__(self, ids: bytes, ns: bytes, places: bytes):
+        self.ids, self.n, self.places = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8"), places
 
-    return found.groupBy("shard").applyInArrow(one, "shard long, ids binary, ns binary, places binary")
+    def extended(self, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the lists: id, a, b of neighbours, how often they meet, and the places of a, pair by pair."""
+        at = undone(self.places, self.n)
+        low = max(1, len(self.ids).bit_length())
+        both = np.sort((at.astype(np.uint64) << np.uint64(low)) | np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.n))
+        at, who = (both >> np.uint64(low)).astype(np.int64), both & np.uint64((1 << low) - 1)
+        next_ = np.flatnonzero(at[1:] == at[:-1] + 1)
+        order, pairs, times = grouped((who[next_] << np.uint64(low)) | who[next_ + 1], 2 * low)
+        a, b = self.ids[(pairs >> np.uint64(low)).astype(np.int64)], self.ids[(pairs & np.uint64((1 << low) - 1)).astype(np.int64)]
+        return mixed(a, b, salt), a, b, times.astype(np.int64), at[next_][order]
 
 
-def extended(ids: bytes, ns: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge a shard's lists: ids of neighbours (a, b), how often they meet, and the places of a, pair by pair."""
-    ids, n = np.frombuffer(ids, "<i8"), np.frombuffer(ns, "<i8")
-    at = undone(places, n)
-    low = max(1, len(ids).bit_length())
-    both = np.sort((at.astype(np.uint64) << np.uint64(low)) | np.repeat(np.arange(len(ids), dtype=np.uint64), n))
-    at, who = (both >> np.uint64(low)).astype(np.int64), both & np.uint64((1 << low) - 1)
-    next_ = np.flatnonzero(at[1:] == at[:-1] + 1)
-    order, pairs, times = grouped((who[next_] << np.uint64(low)) | who[next_ + 1], 2 * low)
-    a, b = ids[(pairs >> np.uint64(low)).astype(np.int64)], ids[(pairs & np.uint64((1 << low) - 1)).astype(np.int64)]
-    return a, b, times.astype(np.int64), at[next_][order]
+def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """The id of a pair."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(salt))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def slot(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of a pair."""
-    with np.errstate(over="ignore"):
-        x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ b.astype(np.uint64)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+def slots(ids: np.ndarray) -> np.ndarray:
+    """The hashes that are counted first."""
+    return (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def counted(shards: DataFrame) -> DataFrame:
-    """a, b, n: how often neighbours meet in a shard."""
+def marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = slots(ids).astype(np.int64) % (8 * len(marks))
+    return (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def by_lot(lot: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(lot, bytes of each column) of the lots that have rows."""
+    order = np.argsort(lot, kind="stable")
+    lot, columns = lot[order], [c[order] for c in columns]
+    begins = np.flatnonzero(np.concatenate(([True], lot[1:] != lot[:-1]))[: len(lot)])
+    for x, y in zip(begins, [*begins[1:], len(lot)] if len(lot) else [], strict=True):
+        yield (int(lot[x]), *(c[x:y].tobytes() for c in columns))
+
+
+def of_shards(shards: DataFrame, columns: list[str], rows, schema: str) -> DataFrame:
+    """``rows(values)`` of the rows of shards, one at a time."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, n, _ = extended(*(batch.column(c)[k].as_py() for c in range(3)))
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+                out = list(zip(*rows(*(batch.column(c)[k].as_py() for c in range(len(columns)))), strict=True))
+                if out:
+                    yield pa.record_batch([pa.array(c) for c in out], names=names)
 
-    return in_arrow(shards.select("ids", "ns", "places"), rows, "a long, b long, n long")
+    return in_arrow(shards.select(*columns), run, schema)
 
 
-def bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """Which bits the pairs (a, b) have: ``bits`` / 8 bytes come to the driver, whatever the number of pairs."""
+def frequent_slots(shards: DataFrame, salt: int | None, least: int, bits: int) -> np.ndarray:
+    """The bitmap of hashes that stand ``least`` times: of words, or (with a salt) of neighbours."""
+    lots = shuffle_partitions(shards.sparkSession)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_(ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
+        if salt is None:
+            found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
+        else:
+            found, _, _, n, _ = Lists(ids, ns, places).extended(salt)
+        hashes, times = summed(slots(found).astype(np.uint64), n)
+        return by_lot(hashes % np.uint64(lots), hashes.astype("<u4"), times.astype("<u4"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Sums()
         for batch in batches:
-            yield pa.record_batch([pa.array(slot(*(batch.column(c).to_numpy() for c in range(2)), bits))], names=["bit"])
+            for h, n in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
+                total.add(np.frombuffer(h, "<u4").astype(np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
+        keys, n = total.done()
+        yield pa.record_batch([pa.array(keys[n >= least].astype(np.int64) % bits)], names=["bit"])
 
-    out = np.zeros(bits // 8, np.uint8)
-    found = in_arrow(frequent.select("a", "b"), rows, "bit long")
+    rows = of_shards(shards, ["ids", "ns", "places"], packed_, "lot long, hashes binary, ns binary")
+    found = in_arrow(rows.repartition("lot"), counted, "bit long")
     units = found.groupBy(F.floor(F.col("bit") / UNIT).alias("unit")).agg(F.bitmap_construct_agg(F.col("bit") % UNIT).alias("bits"))
-    for r in units.toLocalIterator():
+    out = np.zeros(bits // 8, np.uint8)
+    for r in units.toLocalIterator():  # bits / 8 bytes, whatever the number of phrases
         out[r.unit * (UNIT // 8) : (r.unit + 1) * (UNIT // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def likely(shards: DataFrame, marks: np.ndarray) -> DataFrame:
-    """shard, a, b, n, places of the pairs whose bit is set."""
-    bits = 8 * len(marks)
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    return keys[begins], np.add.reduceat(n, begins) if len(begins) else n
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Sums:
+    """Sums by key, held as distinct keys and what has come since they were last put together."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.new, self.waiting = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((keys, n))
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 20, len(self.keys)):
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate([x, *(y[k] for y in self.new)]) for k, x in enumerate((self.keys, self.n)))
+        (self.keys, self.n), self.new, self.waiting = summed(keys, n), [], 0
+        return self.keys, self.n
+
+
+class Clash(RuntimeError):
+    """Two phrases have one id."""
+
+
+def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFrame:
+    """id, lang, phrase, f of the words that stand ``least`` times; f is null where two have one id."""
+    lots = shuffle_partitions(shards.sparkSession)
+
+    def hits(ids: bytes, ns: bytes, langs: list[str], words: list[str]) -> Iterator[tuple]:
+        found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
+        kept = np.flatnonzero(marked(marks, found))
+        lot = (found[kept] % np.uint64(lots)).astype(np.int64)
+        for x in np.unique(lot).tolist():
+            of = kept[lot == x]
+            yield x, found[of].tobytes(), n[of].tobytes(), [langs[k] for k in of.tolist()], [words[k] for k in of.tolist()]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                shard, *rest = (batch.column(c)[k].as_py() for c in range(4))
-                a, b, n, at = extended(*rest)
-                bit = slot(a, b, bits)
-                kept = (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                at, a, b, n = at[np.repeat(kept, n)], a[kept], b[kept], n[kept]
-                columns = [pa.array(np.full(len(a), shard)), pa.array(a), pa.array(b), pa.array(n), binaries(deltas(at, np.cumsum(n) - n).tobytes(), 4 * n)]
-                yield pa.record_batch(columns, names=["shard", "a", "b", "n", "places"])
+            for ids, ns, langs, words in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                for k, n, lang, word in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ns, "<i8").tolist(), langs, words, strict=True):
+                    own = total.setdefault(k, [lang, word, 0])
+                    own[2] = own[2] + n if own[:2] == [lang, word] and own[2] is not None else None
+        found = [(k, *x) for k, x in total.items() if x[2] is None or x[2] >= least]
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["id", "lang", "phrase", "f"])
 
-    return in_arrow(shards.select("shard", "ids", "ns", "places"), rows, "shard long, a long, b long, n long, places binary")
+    rows = of_shards(shards, ["ids", "ns", "langs", "words"], hits, "lot long, ids binary, ns binary, langs array<string>, words array<string>")
+    return in_arrow(rows.repartition("lot"), counted, "id long, lang string, phrase string, f long")
 
 
-def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, words: int = WORDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def frequent_pairs(shards: DataFrame, marks: np.ndarray, salt: int, least: int) -> DataFrame:
+    """id, a, b, f of the neighbours that meet ``least`` times; f is null where two have one id."""
+    lots = shuffle_partitions(shards.sparkSession)
+
+    def hits(ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
+        found, a, b, n, _ = Lists(ids, ns, places).extended(salt)
+        kept = marked(marks, found)
+        return by_lot(found[kept] % np.uint64(lots), found[kept], a[kept], b[kept], n[kept].astype("<u4"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, firsts, seconds, clashes = Sums(), {}, {}, set()
+        for batch in batches:
+            for ids, a, b, n in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                ids, a, b = (np.frombuffer(x, "<u8") for x in (ids, a, b))
+                total.add(ids, np.frombuffer(n, "<u4").astype(np.int64))
+                for k, x, y in zip(ids.tolist(), a.tolist(), b.tolist(), strict=True):
+                    if firsts.setdefault(k, x) != x or seconds.setdefault(k, y) != y:
+                        clashes.add(k)
+        keys, n = total.done()
+        some = [(k, firsts[k], seconds[k], None if k in clashes else f) for k, f in zip(keys.tolist(), n.tolist(), strict=True) if f >= least or k in clashes]
+        columns = list(zip(*some, strict=True)) or [()] * 4
+        signed = [np.array(c, np.uint64).astype(np.int64) for c in columns[:3]]
+        yield pa.record_batch([*map(pa.array, signed), pa.array(columns[3], pa.int64())], names=["id", "a", "b", "f"])
+
+    rows = of_shards(shards, ["ids", "ns", "places"], hits, "lot long, ids binary, a binary, b binary, ns binary")
+    return in_arrow(rows.repartition("lot"), counted, "id long, a long, b long, f long")
+
+
+def kept(shards: DataFrame, marks: np.ndarray, salt: int | None) -> DataFrame:
+    """Shards with the lists whose bit is set: of words, or (with a salt) of neighbours."""
+
+    def rows(shard: int, ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
+        if salt is None:
+            found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
+            at = undone(places, n)
+        else:
+            found, _, _, n, at = Lists(ids, ns, places).extended(salt)
+        some = marked(marks, found)
+        at, found, n = at[np.repeat(some, n)], found[some], n[some]
+        yield shard, found.tobytes(), n.astype("<i8").tobytes(), deltas(at, np.cumsum(n) - n).tobytes()
+
+    return of_shards(shards, ["shard", "ids", "ns", "places"], rows, "shard long, ids binary, ns binary, places binary")
+
+
+def told(found: DataFrame) -> tuple[DataFrame, int]:
+    """A table of frequent phrases written, and their number; Clash if two have one id."""
+    out, seen = durable_counted(found, F.count("*").alias("n"), F.count_if(F.col("f").isNull()).alias("clashes"))
+    if seen["clashes"]:
+        discard(out)
+        raise Clash
+    return out, seen["n"]
+
+
+def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, words: int = WORDS, bits: int = BITS, salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words that stand ``frequent`` times in a lang: lang, phrase, length, f; and lang, n of all words."""
-    number = F.monotonically_increasing_id().alias("id")
-    postings = durable(lists(docs, words))
-    totals = durable(postings.groupBy("lang").agg(F.sum("n").alias("n")))
-    f1 = postings.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= frequent)
-    known, seen = durable_counted(f1.select(number, "lang", "phrase", F.col("phrase").alias("last"), F.lit(1).alias("length"), "f"), F.count("*").alias("n"))
-    found = [known]
-    shards = durable(by_shard(postings.join(known.select("lang", "phrase", "id"), ["lang", "phrase"]).select("shard", "id", "n", "places")))
-    discard(postings)
-    for length in range(2, longest + 1):
-        if not seen["n"]:
-            break
-        first, second = (known.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("lang", "phrase", "last"))) for c in "ab")
-        pairs = counted(shards).groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= frequent).join(first, "a").join(second, "b")
-        told = pairs.select(number, F.col("lang_a").alias("lang"), F.concat_ws(" ", "phrase_a", "last_b").alias("phrase"), F.col("last_b").alias("last"), F.lit(length).alias("length"), "f", "a", "b")
-        known, seen = durable_counted(told, F.count("*").alias("n"))
-        found.append(known.drop("a", "b"))
-        if length < longest and seen["n"]:
-            some = likely(shards, bitmap(known, bits)).join(known.select("a", "b", "id"), ["a", "b"])
-            before, shards = shards, durable(by_shard(some.select("shard", "id", "n", "places")))
-            discard(before)
+    shards = durable(lists(docs, salt, words))
+    totals = durable(shards.select(F.explode(F.arrays_zip("of", "n")).alias("x")).groupBy(F.col("x.of").alias("lang")).agg(F.sum("x.n").alias("n")))
+    try:
+        marks = frequent_slots(shards, None, frequent, bits)
+        known, n = told(frequent_words(shards, marks, frequent).select("id", "lang", "phrase", F.col("phrase").alias("last"), F.lit(1).alias("length"), "f"))
+        found, before = [known], shards
+        shards = durable(kept(shards, marks, None))
+        discard(before)
+        for length in range(2, longest + 1):
+            if not n:
+                break
+            marks = frequent_slots(shards, salt, frequent, bits)
+            first, second = (known.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("lang", "phrase", "last"))) for c in "ab")
+            pairs, n = told(frequent_pairs(shards, marks, salt, frequent))
+            known = durable(pairs.join(first, "a").join(second, "b").select("id", F.col("lang_a").alias("lang"), F.concat_ws(" ", "phrase_a", "last_b").alias("phrase"), F.col("last_b").alias("last"), F.lit(length).alias("length"), "f"))
+            found.append(known)
+            if length < longest and n:
+                before, shards = shards, durable(kept(shards, marks, salt))
+                discard(before)
+    except Clash:
+        return mined(docs, longest, frequent, words, bits, salt + 1)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -249,7 +372,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUE
 
     Texts are lower-cased in A-Z and cut at ``.,;:!?`` and line ends into pieces, and these at spaces and tabs into words. A
     null or empty text has none; repeated rows count as often as they stand; no documents give no rows; other columns
-    are left out. A task holds a shard's lists, a part of a text (PART, or a longer piece) and the bitmap. Equal scores
+    are left out. A task holds a shard's lists, a part of a text (PART, or a longer piece), the bitmap, and while counting the
+    different phrases of its lots, of which there are as many as shuffle partitions. Equal scores
     after flooring are told apart by a, then by the phrase's bytes. Frequencies have 19 digits at most, n 15.
     """
     phrases, totals = mined(docs, longest, frequent, words, bits)
