@@ -4,7 +4,7 @@ import pytest
 
 from tidewell.plans import quality
 from tidewell.sources import bronze, platforms
-from tidewell.sources.tables import Conflict, Store
+from tidewell.sources.tables import Conflict, Store, Table
 
 
 def test_choice(spark, tmp_path, monkeypatch):
@@ -56,5 +56,43 @@ def test_lost_race(spark, tmp_path, monkeypatch):
         t.merge(spark.createDataFrame([("b", 1)], "k string, v int"), "k")
 
 
+def test_one_of_two_writers_wins(spark, tmp_path):
+    """A store without an atomic rename: commits are conditional writes, and two writers race for one version."""
+    import os
+    import threading
+
+    meet = threading.Barrier(2, timeout=300)
+
+    def put(session, name, text):
+        if name.endswith("1.json"):
+            meet.wait()  # both have written their data and found the same last version
+        try:
+            with open(os.open(name, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as file:
+                file.write(text)
+        except FileExistsError:
+            return False
+        return True
+
+    os.makedirs(tmp_path / "t" / "_log")
+    table = lambda: Table(spark, str(tmp_path / "t"), put=put)
+    table().create(spark.createDataFrame([("a", 1)], "k string, v int"), "k")
+    ended = []
+
+    def write(v):
+        try:
+            ended.append((v, table().merge(spark.createDataFrame([("a", v)], "k string, v int"), "k")))
+        except Conflict:
+            ended.append((v, None))
+
+    threads = [threading.Thread(target=write, args=(v,)) for v in (2, 3)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    won = [v for v, version in ended if version == 1]
+    assert len(ended) == 2 and len(won) == 1 and [r.v for r in table().read().collect()] == won and table().version() == 1
+    assert not bronze.puts_once(spark, str(tmp_path))
+
+
 def test_generated_files_are_current(spark):
     assert quality.generate(str(Path(__file__).parent.parent), check=True) == []

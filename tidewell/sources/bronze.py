@@ -140,6 +140,37 @@ def write_text(spark: SparkSession, name: str, text: str, once: bool = False) ->
     return True
 
 
+#: What a file system says that can write a file only if there is none, in one step.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
+
+
+def puts_once(spark: SparkSession, name: str) -> bool:
+    """Whether the store of a path can do put_once(); object stores whose rename copies may."""
+    fs, path = filesystem(spark, name)
+    return fs.hasPathCapability(path(name), CONDITIONAL)
+
+
+def put_once(spark: SparkSession, name: str, text: str) -> bool:
+    """Write a small file where there is none: the store refuses all writers but one."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, path = filesystem(spark, name)
+    try:
+        out = fs.createFile(path(name)).overwrite(False).must(CONDITIONAL, "true").build()
+        out.write(bytearray(text.encode()))
+        out.close()
+    except Py4JJavaError as e:
+        kinds = []
+        cause = e.java_exception
+        while cause is not None:
+            kinds.append(cause.getClass().getSimpleName())
+            cause = cause.getCause()
+        if any("AlreadyExists" in k or "RemoteFileChanged" in k for k in kinds):
+            return False
+        raise
+    return True
+
+
 def read_text(spark: SparkSession, name: str) -> str | None:
     fs, path = filesystem(spark, name)
     if not fs.exists(path(name)):

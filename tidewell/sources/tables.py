@@ -1,7 +1,7 @@
 """Versioned Parquet tables: a commit log, upserts by key, a change feed, earlier versions.
 
-A commit is one JSON file under ``_log``, put in place by a rename that fails if the version exists, so a writer that lost a
-race starts anew. Beside the data lie, written with them: the ranges of keys of every stretch of a file, with quantile
+A commit is one JSON file under ``_log``, put in place by a rename that fails if the version exists, or by a conditional
+write where the store has that instead, so a writer that lost a race starts anew. Beside the data lie, written with them: the ranges of keys of every stretch of a file, with quantile
 sketches of chosen columns; and bitmaps of the places whose rows were replaced. An upsert looks for replaced rows only
 in files whose ranges meet its keys, and reading filters places by their bits: nothing is joined with what
 upserts wrote. Bitmaps have a bounded size; beyond it, or once replaced rows make a share of the table, it is written anew.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators.relational import changes, free, merged, one_each
-from tidewell.sources.bronze import filesystem, read_text, write_text
+from tidewell.sources.bronze import filesystem, put_once, puts_once, read_text, write_text
 
 LAYERS = ("bronze", "silver", "gold")
 #: File systems whose rename fails where the target exists; a commit needs that.
@@ -72,6 +72,8 @@ class Table:
     path: str
     share: float = SHARE
     sketched: tuple[str, ...] = ()
+    #: Writes a commit unless it is there, and says whether it did: by default what the file system is known for.
+    put: Callable[[SparkSession, str, str], bool] | None = None
 
     # the log
 
@@ -308,9 +310,7 @@ class Table:
 
     def _write(self, df: DataFrame, key: str | None, facts: Mapping[str, str] | None = None) -> Written:
         """Write rows in the order of the key, if there is one, and the ranges of their stretches."""
-        fs, path = filesystem(self.spark, self.path)
-        if (scheme := fs.getScheme()) not in ATOMIC:
-            raise ValueError(f"a commit needs a rename that fails where the target exists; nothing shows that {scheme}:// has it")
+        self._put()
         seen, folder = Observation(), f"data/{uuid.uuid4().hex}"
         rows = df.repartitionByRange(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`")) if key else df.hint("rebalance")
         # observed last, as the bounds of ranges are found by running what comes before
@@ -320,6 +320,17 @@ class Table:
         self._describe(folder, df.schema, key, n)
         return Written(folder, n, {f: counts[f] or 0 for f in facts or {}})
 
+    def _put(self) -> Callable[[SparkSession, str, str], bool]:
+        """How commits are put in place; a store that lets two writers win is refused before anything is written."""
+        if self.put:
+            return self.put
+        scheme = filesystem(self.spark, self.path)[0].getScheme()
+        if scheme in ATOMIC:
+            return lambda spark, name, text: write_text(spark, name, text, once=True)
+        if puts_once(self.spark, self.path):
+            return put_once
+        raise ValueError(f"a commit needs a rename that fails where the target exists, or a conditional write; nothing shows that {scheme}:// has one")
+
     def _describe(self, folder: str, schema: T.StructType, key: str | None, n: int) -> None:
         rows, file, place = self._placed([folder], schema)
         stretch = F.floor(F.col(place) / max(1, -(-n // RANGES)))
@@ -337,7 +348,7 @@ class Table:
         commit = {"version": version, "operation": operation, "key": key, "schema": json.loads(public(schema).json()), "stored": json.loads(schema.json()), "files": files, "marks": marks, "places": places, "held": held}
         commit |= {"rows": rows, "unique": unique, "batch": "-".join(map(str, batch)) if isinstance(batch, tuple) else batch, "streams": streams | dict([batch]) if isinstance(batch, tuple) else streams}
         commit |= {"feed": told, "facts": {f: [(conditions or {})[f], n] for f, n in counts.items()}}
-        if not write_text(self.spark, self.log(version), json.dumps(commit), once=True):
+        if not self._put()(self.spark, self.log(version), json.dumps(commit)):
             raise Conflict(f"version {version} of {self.path} was committed by another writer")
         write_text(self.spark, f"{self.path}/_log/_last", str(version))
         return version
