@@ -35,6 +35,7 @@ def test_stores_without_a_safe_rename_are_refused(spark, tmp_path, monkeypatch):
         tables.Store(spark, str(tmp_path)).table("silver", "t").append(spark.range(1))
 
 
-def test_batches():
-    commit = {"batches": tables.with_batch(tables.with_batch({}, "s-3"), "one")}
-    assert [tables.seen(commit, b) for b in ("s-2", "s-3", "s-4", "t-1", "one", "two", None)] == [True, True, False, False, True, False, False]
+def test_batches_of_streams(spark, tmp_path):
+    table, commit = tables.Table(spark, str(tmp_path / "t")), {"streams": {"s": 3, "s-3": 0}, "version": 0}
+    batches = (("s", 2), ("s", 3), ("s", 4), ("t", 1), ("s-3", 0), "s-3", None)
+    assert [table.committed(commit, b) for b in batches] == [True, True, False, False, True, False, False]
