@@ -285,7 +285,8 @@ def describe(files: DataFrame, content: str = "content", out: str = "tracks") ->
     """The rows of ``files`` with their tracks: codec, seconds, samples, keyframes, keyframe byte ranges (end exclusive).
 
     ``content`` is a binary column of whole files. Null gives null; what is no container gives no tracks; repeated rows
-    are described alike; no files give no rows. A column that is called ``out`` already is replaced.
+    are described alike; no files give no rows. Boxes are entered DEPTH deep; a file is held as a whole. A column that is
+    called ``out`` already is replaced.
     """
     names = [c for c in files.columns if c != out]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

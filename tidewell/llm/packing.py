@@ -284,7 +284,10 @@ def placed(small: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...); any order of rows, ties in any order."""
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ...); any order of rows, ties in any order.
+
+    Lengths are from 1 to ``capacity``; a null one is an error. No pieces give no rows.
+    """
     rows = durable(packed(cuts, _id=F.monotonically_increasing_id(), _size=F.col("length").cast("long")))
     small = rows.select(F.col("_id").alias("id"), F.col("_size").alias("size"))
     sizes = {r[0]: r[1] for r in small.groupBy("size").count().collect()}  # a row per size: capacity rows at most

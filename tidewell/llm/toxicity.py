@@ -23,7 +23,7 @@ from tidewell.llm.common import WORD_BYTES, as_bytes, in_arrow
 from tidewell.llm.learned import SAMPLE, bucket, only, sample
 
 BUCKETS, STEM, PRIOR, SIGMAS = 1 << 18, 5, 2.0, 2.0
-#: What each word costs, so that segments end; bounds of a word's score; most significant segments kept.
+#: What each word costs, so that segments end; bounds of a word's score.
 COST, LOWEST, HIGHEST = 1.0, -1.0, 6.0
 #: Harmless segments that the tail is fitted to, and the steepest fall taken from a finite sample.
 TAIL, STEEPEST = 20, 4.0
