@@ -46,7 +46,7 @@ def test_clusters(spark):
     assert told(df, vectors) == {vectors[n][0]: x for n, x in want.items()}
 
 
-@pytest.mark.parametrize("kept", [0, 1, 3, 7, 50])
+@pytest.mark.parametrize("kept", [0, 2, 50])
 def test_clusters_by_any_number_of_bounds(spark, kept):
     vectors = embeddings(300, kept)
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], EMBEDDINGS)
@@ -133,10 +133,10 @@ def test_collocations(spark):
     df = docs(spark, rows).withColumn("rank", F.lit(1)).withColumn("phrase", F.lit("mine")).withColumn("_lang", F.lit("mine"))
     want = brute.collocations([(lang, t) for _, t, lang in rows], frequent=7, first=40)
     assert len(want) > 60
-    for how in ({}, {"words": 50}, {"words": 300, "bits": 1 << 15}):
+    for how in ({}, {"words": 200, "bits": 1 << 15}):
         got = collocations.collocations(df.repartition(3), frequent=7, first=40, **how).orderBy("lang", "rank").collect()
         assert [tuple(r) for r in got] == want
-    for share in (50, 90, 1000):
+    for share in (50, 1000):
         got = collocations.collocations(df, frequent=7, share=share, longest=4).orderBy("lang", "rank").collect()
         assert [tuple(r) for r in got] == brute.collocations([(lang, t) for _, t, lang in rows], frequent=7, share=share, longest=4)
     assert collocations.collocations(df.limit(0)).collect() == []
