@@ -31,7 +31,7 @@ from tidewell.llm.common import as_bytes, as_texts, discard, durable, durable_co
 
 LONGEST, FREQUENT, SHARE, FIRST, UNKNOWN = 5, 100, 100, 2000, "und"
 #: Words from which a shard is closed; a piece of a text is never cut.
-WORDS = 1 << 20
+WORDS = 1 << 19
 #: Bytes from which a text is cut at the end of a piece, so that few words are held as objects.
 PART = 1 << 22
 #: Bits of the bitmap, a multiple of UNIT: 8 MB.
@@ -104,6 +104,7 @@ def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
                             n += len(found)
                             if n >= words:
                                 yield closed()
+                                pa.default_memory_pool().release_unused()
                                 shard, n, held = shard + 1, 0, []
                                 number, known = count(), {}
                                 ids = known.setdefault(lang, defaultdict(number.__next__))
@@ -169,6 +170,8 @@ def of_shards(shards: DataFrame, columns: list[str], rows, schema: str) -> DataF
                 out = list(zip(*rows(*(batch.column(c)[k].as_py() for c in range(len(columns)))), strict=True))
                 if out:
                     yield pa.record_batch([pa.array(c) for c in out], names=names)
+                del out
+                pa.default_memory_pool().release_unused()  # a task goes through many shards
 
     return in_arrow(shards.select(*columns), run, schema)
 
