@@ -37,6 +37,8 @@ QUIET = ("created_timestamp", "silver_versions")
 LAST_DAY = date(9999, 12, 31)
 #: Encounters of a patient from which their time is cut into ranges.
 MOST = 20_000
+#: Conditions and requests that a task holds, about.
+FACTS = 500_000
 
 
 def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
@@ -45,6 +47,11 @@ def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
     return encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date")).join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
 
 
+def tasks(condition: DataFrame, request: DataFrame) -> int:
+    """Tasks that conditions and requests are dealt to: as many as shuffles have, or more where these would hold over FACTS each."""
+    return max(int(condition.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(condition.count() + request.count()) // FACTS))
+
+
 def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: int = MOST) -> DataFrame:
     """Conditions that hold on each encounter's day, whichever encounter recorded them, and active medications from
     their earliest start on: one join for both.
@@ -56,7 +63,7 @@ def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: in
     start = F.coalesce(F.to_date("authored_on"), F.lit(LAST_DAY))
     taken = request.where("display is not null and status = 'active'").select("patient_id", F.lit("m").alias("_what"), "display", start.alias("_from"), F.lit(None).cast("date").alias("_to"))
     # dealt by patient once, for the stretches and for the join
-    spans = stretches(held.unionByName(taken).repartition("patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
+    spans = stretches(held.unionByName(taken).repartition(tasks(condition, request), "patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
     spans = spans.withColumn("_from", F.when((F.col("_what") == "c") | (F.col("_from") < F.lit(LAST_DAY)), F.col("_from")))
     met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", most)
     of = lambda what: F.array_sort(F.collect_list(F.when(F.col("_what") == what, F.col("display"))))
