@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +36,13 @@ RESOURCE = {
     "identifier": "array<struct<system:string,value:string>>", "started": "string", "numberOfSeries": "string", "numberOfInstances": "string",
     "series": f"array<struct<modality:{CODING},bodySite:{CODING}>>",
 }
-ENTRY = "struct<fullUrl:string,resource:struct<" + ",".join(f"`{k}`:{v}" for k, v in RESOURCE.items()) + ">>"
+
+
+def entry_of(fields: Iterable[str] = RESOURCE) -> str:
+    """The type of an entry with some fields of its resource."""
+    return "struct<fullUrl:string,resource:struct<" + ",".join(f"`{k}`:{v}" for k, v in RESOURCE.items() if k in {"resourceType", "id", *fields}) + ">>"
+
+
 #: Entries stay text at first: what one holds can't spoil the others.
 BUNDLE = "struct<resourceType:string,id:string,entry:array<string>,_corrupt_record:string>"
 #: Fixed value: what every genomic row says of itself.
@@ -59,21 +65,26 @@ def unreadable(bronze: DataFrame) -> DataFrame:
     return parsed(bronze).where(NO_BUNDLE).select("cohort", "file")
 
 
-def resources(bronze: DataFrame) -> DataFrame:
-    """cohort, file, pos, url, r, kind: a row per resource. Fields of another type than a projection reads are null."""
+def resources(bronze: DataFrame, fields: Iterable[str] = RESOURCE) -> DataFrame:
+    """cohort, file, pos, url, r, kind: a row per resource. Fields of another type than a projection reads are null.
+
+    ``fields``: those that are read, such as a table's ``reads``; all by default.
+    """
     rows = parsed(bronze).select("cohort", "file", F.posexplode("bundle.entry").alias("pos", "entry"))
-    return of_entries(rows).where("r is not null")
+    return of_entries(rows, fields).where("r is not null")
 
 
-def of_entries(rows: DataFrame) -> DataFrame:
-    read = rows.withColumn("e", F.from_json("entry", ENTRY))
-    return read.select("cohort", "file", "pos", F.col("e.fullUrl").alias("url"), F.col("e.resource").alias("r"), F.col("e.resource.resourceType").alias("kind"))
+def of_entries(rows: DataFrame, fields: Iterable[str] = RESOURCE) -> DataFrame:
+    """``rows`` with each entry read. A generator reads it once; filters that were pushed below would read it again."""
+    others = [c for c in rows.columns if c != "entry"]
+    read = rows.select(*others, F.stack(F.lit(1), F.from_json("entry", entry_of(fields))).alias("e"))
+    return read.select(*others, F.col("e.fullUrl").alias("url"), F.col("e.resource").alias("r"), F.col("e.resource.resourceType").alias("kind"))
 
 
 def staged(bronze: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Parse once into a table of resources partitioned by kind: (resources, unreadable files). It outlives lost executors."""
     rows = parsed(bronze).withColumn("bad", F.expr(NO_BUNDLE)).select("cohort", "file", "bad", F.posexplode_outer("bundle.entry").alias("pos", "entry"))
-    read = rows.withColumn("e", F.from_json("entry", ENTRY)).select("cohort", "file", "bad", "pos", F.col("e.fullUrl").alias("url"), F.col("e.resource").alias("r"), F.col("e.resource.resourceType").alias("kind"))
+    read = of_entries(rows)
     read.where("bad or r is not null").write.partitionBy("kind").parquet(path)
     table = bronze.sparkSession.read.schema(read.schema).parquet(path)
     return table.where("r is not null").drop("bad"), table.where("kind is null and bad").select("cohort", "file")
@@ -253,6 +264,7 @@ class Table:
     name: str
     key: str
     project: Callable[..., DataFrame]
+    reads: str
     schema: str
 
     @property
@@ -260,21 +272,21 @@ class Table:
         return T._parse_datatype_string(self.schema)
 
 
-# Names, keys and columns of the ten tables.
+# Names, keys, fields of resources and columns of the ten tables.
 _WHERE = "source_file string, ingest_timestamp timestamp"
 TABLES = {
     t.name: t
     for t in (
-        Table("patient", "patient_id", patient, f"patient_id string, birth_date date, gender string, race string, ethnicity string, state string, city string, zip string, deceased boolean, deceased_date timestamp, {_WHERE}"),
-        Table("encounter", "encounter_id", encounter, f"encounter_id string, patient_id string, type_code string, type_display string, class_code string, start_date timestamp, end_date timestamp, status string, provider_id string, reason_code string, reason_display string, {_WHERE}"),
-        Table("condition", "condition_id", condition, f"condition_id string, patient_id string, encounter_id string, code string, display string, clinical_status string, onset_date timestamp, abatement_date timestamp, recorded_date timestamp, {_WHERE}"),
-        Table("observation", "observation_id", observation, f"observation_id string, patient_id string, encounter_id string, code string, display string, category string, value double, unit string, value_string string, components_json string, effective_date timestamp, {_WHERE}"),
-        Table("medication_request", "medication_request_id", medication_request, f"medication_request_id string, patient_id string, encounter_id string, code string, display string, status string, intent string, authored_on timestamp, dosage_text string, {_WHERE}"),
-        Table("procedure", "procedure_id", procedure, f"procedure_id string, patient_id string, encounter_id string, code string, display string, status string, performed_start timestamp, performed_end timestamp, {_WHERE}"),
-        Table("soap_note", "note_id", soap_note, f"note_id string, patient_id string, encounter_id string, note_date timestamp, note_text string, has_subjective boolean, has_objective boolean, has_assessment boolean, has_plan boolean, char_count int, word_count int, binary_id string, {_WHERE}"),
-        Table("ecg_metadata", "ecg_id", ecg_metadata, f"ecg_id string, patient_id string, encounter_id string, report_date timestamp, status string, conclusion string, rhythm string, heart_rate_bpm int, pr_interval_ms int, qrs_duration_ms int, has_waveform boolean, waveform_binary_id string, {_WHERE}"),
-        Table("imaging_study", "study_id", imaging_study, f"study_id string, patient_id string, encounter_id string, started_date timestamp, status string, modality string, body_site string, body_site_display string, series_count int, instance_count int, study_description string, series_description string, study_date date, manufacturer string, magnetic_field_strength double, slice_thickness_mm double, rows int, columns int, dicom_binary_id string, dicom_extracted boolean, {_WHERE}"),
-        Table("genomic_report", "report_id", genomic_report, f"report_id string, patient_id string, encounter_id string, report_date timestamp, status string, gene_panel_name string, result_summary string, has_pathogenic_variant boolean, family_history_flag boolean, binary_id string, data_limitation string, {_WHERE}"),
+        Table("patient", "patient_id", patient, "birthDate gender extension address deceasedBoolean deceasedDateTime", f"patient_id string, birth_date date, gender string, race string, ethnicity string, state string, city string, zip string, deceased boolean, deceased_date timestamp, {_WHERE}"),
+        Table("encounter", "encounter_id", encounter, "type reasonCode participant subject class period status", f"encounter_id string, patient_id string, type_code string, type_display string, class_code string, start_date timestamp, end_date timestamp, status string, provider_id string, reason_code string, reason_display string, {_WHERE}"),
+        Table("condition", "condition_id", condition, "subject encounter code clinicalStatus onsetDateTime abatementDateTime recordedDate", f"condition_id string, patient_id string, encounter_id string, code string, display string, clinical_status string, onset_date timestamp, abatement_date timestamp, recorded_date timestamp, {_WHERE}"),
+        Table("observation", "observation_id", observation, "component valueCodeableConcept subject encounter code category valueQuantity valueString effectiveDateTime", f"observation_id string, patient_id string, encounter_id string, code string, display string, category string, value double, unit string, value_string string, components_json string, effective_date timestamp, {_WHERE}"),
+        Table("medication_request", "medication_request_id", medication_request, "medicationCodeableConcept subject encounter status intent authoredOn dosageInstruction", f"medication_request_id string, patient_id string, encounter_id string, code string, display string, status string, intent string, authored_on timestamp, dosage_text string, {_WHERE}"),
+        Table("procedure", "procedure_id", procedure, "subject encounter code status performedPeriod performedDateTime", f"procedure_id string, patient_id string, encounter_id string, code string, display string, status string, performed_start timestamp, performed_end timestamp, {_WHERE}"),
+        Table("soap_note", "note_id", soap_note, "content subject context date data", f"note_id string, patient_id string, encounter_id string, note_date timestamp, note_text string, has_subjective boolean, has_objective boolean, has_assessment boolean, has_plan boolean, char_count int, word_count int, binary_id string, {_WHERE}"),
+        Table("ecg_metadata", "ecg_id", ecg_metadata, "code category result subject encounter effectiveDateTime status conclusion presentedForm valueQuantity valueCodeableConcept", f"ecg_id string, patient_id string, encounter_id string, report_date timestamp, status string, conclusion string, rhythm string, heart_rate_bpm int, pr_interval_ms int, qrs_duration_ms int, has_waveform boolean, waveform_binary_id string, {_WHERE}"),
+        Table("imaging_study", "study_id", imaging_study, "series identifier subject encounter started status numberOfSeries numberOfInstances", f"study_id string, patient_id string, encounter_id string, started_date timestamp, status string, modality string, body_site string, body_site_display string, series_count int, instance_count int, study_description string, series_description string, study_date date, manufacturer string, magnetic_field_strength double, slice_thickness_mm double, rows int, columns int, dicom_binary_id string, dicom_extracted boolean, {_WHERE}"),
+        Table("genomic_report", "report_id", genomic_report, "code category extension conclusion subject encounter effectiveDateTime status presentedForm", f"report_id string, patient_id string, encounter_id string, report_date timestamp, status string, gene_panel_name string, result_summary string, has_pathogenic_variant boolean, family_history_flag boolean, binary_id string, data_limitation string, {_WHERE}"),
     )
 }
 
