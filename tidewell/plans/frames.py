@@ -258,6 +258,7 @@ def nb_top_utilizers(t: Tables, g: DataFrame) -> DataFrame:
 def gold_gates(t: Tables, g: DataFrame) -> DataFrame:
     """The gates with the summary's own manifest, that of half of it, none, and for a summary without rows."""
     of = lambda df: gold.manifest(df, {"patient": t.customer.count()}, datetime(2024, 1, 1), "test")
+    g = stored(g)  # it is asked six times
     own = of(g)
     cases = {"its own": (g, own), "of half": (g, of(g.where("cast(encounter_id as long) % 2 = 0"))), "none": (g, None), "no rows": (g.where("encounter_id is null"), own)}
     out = None
