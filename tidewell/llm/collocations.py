@@ -15,6 +15,7 @@ all that share a frequent one's id do, the step is done again with other ids.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -63,9 +64,26 @@ def deltas(places: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def undone(data: bytes, n: np.ndarray) -> np.ndarray:
     """The places that deltas() was given; n: length of each list."""
-    steps = np.frombuffer(data, "<u4").astype(np.int64)
-    sums, begins = np.cumsum(steps), np.cumsum(n) - n
-    return sums - np.repeat(sums[begins] - steps[begins], n) if len(n) else sums
+    moves = np.frombuffer(data, "<u4").astype(np.int64)
+    sums, begins = np.cumsum(moves), np.cumsum(n) - n
+    return sums - np.repeat(sums[begins] - moves[begins], n) if len(n) else sums
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, those of each rank together, compressed."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def full(data: bytes, kind: str) -> np.ndarray:
+    """The numbers that squeezed() was given."""
+    size = np.dtype(kind).itemsize
+    data = zlib.decompress(data)
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T.tobytes(), kind)
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as the first and differences."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
@@ -81,7 +99,7 @@ def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
             named.sort()  # by number, as lists are grouped
             places, of, times = grouped(ids, int(ids.max()).bit_length())
             real = np.array([w != END for _, _, w in named])
-            data = deltas(places, np.cumsum(times) - times)[np.repeat(real, times)]
+            data = squeezed(deltas(places, np.cumsum(times) - times)[np.repeat(real, times)])
             told = [x for x in named if x[2] != END]
             totals: dict[str, int] = {}
             for (_, lang, _), k in zip(told, times[real].tolist(), strict=True):
@@ -89,7 +107,7 @@ def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
             own = np.array([xxhash.xxh64_intdigest(lang.encode() + END + w, salt) for _, lang, w in told], np.uint64)
             strings = [pa.array([[x[1] for x in told]], pa.list_(pa.string())), pa.array([[x[2] for x in told]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
             counts = [pa.array([list(totals)], pa.list_(pa.string())), pa.array([list(totals.values())], pa.list_(pa.int64()))]
-            return pa.record_batch([pa.array([shard]), *(pa.array([x.tobytes()]) for x in (own, times[real].astype("<i8"), data)), *strings, *counts], names=["shard", "ids", "ns", "places", "langs", "words", "of", "n"])
+            return pa.record_batch([pa.array([shard]), *(pa.array([x]) for x in (own.tobytes(), times[real].astype("<i8").tobytes(), data)), *strings, *counts], names=["shard", "ids", "ns", "places", "langs", "words", "of", "n"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -123,7 +141,7 @@ class Lists:
 
     def extended(self, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Merge the lists: id, a, b of neighbours, how often they meet, and the places of a, pair by pair."""
-        at = undone(self.places, self.n)
+        at = undone(full(self.places, "<u4"), self.n)
         low = max(1, len(self.ids).bit_length())
         both = np.sort((at.astype(np.uint64) << np.uint64(low)) | np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.n))
         at, who = (both >> np.uint64(low)).astype(np.int64), both & np.uint64((1 << low) - 1)
@@ -152,12 +170,12 @@ def marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def by_lot(lot: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(lot, bytes of each column) of the lots that have rows."""
+    """(lot, bytes of each column) of the lots that have rows; the first column rises within them."""
     order = np.argsort(lot, kind="stable")
     lot, columns = lot[order], [c[order] for c in columns]
     begins = np.flatnonzero(np.concatenate(([True], lot[1:] != lot[:-1]))[: len(lot)])
     for x, y in zip(begins, [*begins[1:], len(lot)] if len(lot) else [], strict=True):
-        yield (int(lot[x]), *(c[x:y].tobytes() for c in columns))
+        yield (int(lot[x]), squeezed(steps(columns[0][x:y])), *(squeezed(c[x:y]) for c in columns[1:]))
 
 
 def of_shards(shards: DataFrame, columns: list[str], rows, schema: str) -> DataFrame:
@@ -192,7 +210,7 @@ def frequent_slots(shards: DataFrame, salt: int | None, least: int, bits: int) -
         total = Sums()
         for batch in batches:
             for h, n in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
-                total.add(np.frombuffer(h, "<u4").astype(np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
+                total.add(np.cumsum(full(h, "<u4"), dtype=np.uint64), full(n, "<u4").astype(np.int64))
         keys, n = total.done()
         yield pa.record_batch([pa.array(keys[n >= least].astype(np.int64) % bits)], names=["bit"])
 
@@ -231,6 +249,35 @@ class Sums:
         return self.keys, self.n
 
 
+class Pairs:
+    """Sums by pair, as arrays; pairs are known by their ids, and those of several pairs are told as clashes."""
+
+    def __init__(self, salt: int) -> None:
+        none = np.empty(0, np.uint64)
+        self.salt, self.held, self.new, self.waiting = salt, (none, none, np.empty(0, np.int64), np.empty(0, bool)), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((a, b, n, np.zeros(len(a), bool)))
+        self.waiting += len(a)
+        if self.waiting > max(1 << 20, len(self.held[0])):
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids in order, a, b, sums, and which ids clash."""
+        a, b, n, clash = (np.concatenate([x, *(y[k] for y in self.new)]) for k, x in enumerate(self.held))
+        ids = mixed(a, b, self.salt)
+        order = np.argsort(ids, kind="stable")
+        ids, a, b, n, clash = (x[order] for x in (ids, a, b, n, clash))
+        new = np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)]
+        begins = np.flatnonzero(new)
+        first = begins[np.cumsum(new) - 1] if len(begins) else begins
+        clash = clash | (a != a[first]) | (b != b[first])
+        if len(begins):
+            n, clash = np.add.reduceat(n, begins), np.logical_or.reduceat(clash, begins)
+        self.held, self.new, self.waiting = (a[begins], b[begins], n, clash), [], 0
+        return ids[begins], *self.held
+
+
 class Clash(RuntimeError):
     """Two phrases have one id."""
 
@@ -268,25 +315,21 @@ def frequent_pairs(shards: DataFrame, marks: np.ndarray, salt: int, least: int)
 
     def hits(ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
         found, a, b, n, _ = Lists(ids, ns, places).extended(salt)
-        kept = marked(marks, found)
-        return by_lot(found[kept] % np.uint64(lots), found[kept], a[kept], b[kept], n[kept].astype("<u4"))
+        kept = np.flatnonzero(marked(marks, found))
+        kept = kept[np.argsort(a[kept], kind="stable")]
+        return by_lot(found[kept] % np.uint64(lots), a[kept], b[kept], n[kept].astype("<u4"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, firsts, seconds, clashes = Sums(), {}, {}, set()
+        total = Pairs(salt)
         for batch in batches:
-            for ids, a, b, n in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                ids, a, b = (np.frombuffer(x, "<u8") for x in (ids, a, b))
-                total.add(ids, np.frombuffer(n, "<u4").astype(np.int64))
-                for k, x, y in zip(ids.tolist(), a.tolist(), b.tolist(), strict=True):
-                    if firsts.setdefault(k, x) != x or seconds.setdefault(k, y) != y:
-                        clashes.add(k)
-        keys, n = total.done()
-        some = [(k, firsts[k], seconds[k], None if k in clashes else f) for k, f in zip(keys.tolist(), n.tolist(), strict=True) if f >= least or k in clashes]
-        columns = list(zip(*some, strict=True)) or [()] * 4
-        signed = [np.array(c, np.uint64).astype(np.int64) for c in columns[:3]]
-        yield pa.record_batch([*map(pa.array, signed), pa.array(columns[3], pa.int64())], names=["id", "a", "b", "f"])
-
-    rows = of_shards(shards, ["ids", "ns", "places"], hits, "lot long, ids binary, a binary, b binary, ns binary")
+            for a, b, n in zip(*(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
+                total.add(np.cumsum(full(a, "<u8"), dtype=np.uint64), full(b, "<u8"), full(n, "<u4").astype(np.int64))
+        keys, a, b, n, clash = total.done()
+        some = (n >= least) | clash
+        signed = [pa.array(x[some].astype(np.int64)) for x in (keys, a, b)]
+        yield pa.record_batch([*signed, pa.array(n[some], pa.int64(), mask=clash[some])], names=["id", "a", "b", "f"])
+
+    rows = of_shards(shards, ["ids", "ns", "places"], hits, "lot long, a binary, b binary, ns binary")
     return in_arrow(rows.repartition("lot"), counted, "id long, a long, b long, f long")
 
 
@@ -296,12 +339,12 @@ def kept(shards: DataFrame, marks: np.ndarray, salt: int | None) -> DataFrame:
     def rows(shard: int, ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
         if salt is None:
             found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
-            at = undone(places, n)
+            at = undone(full(places, "<u4"), n)
         else:
             found, _, _, n, at = Lists(ids, ns, places).extended(salt)
         some = marked(marks, found)
         at, found, n = at[np.repeat(some, n)], found[some], n[some]
-        yield shard, found.tobytes(), n.astype("<i8").tobytes(), deltas(at, np.cumsum(n) - n).tobytes()
+        yield shard, found.tobytes(), n.astype("<i8").tobytes(), squeezed(deltas(at, np.cumsum(n) - n))
 
     return of_shards(shards, ["shard", "ids", "ns", "places"], rows, "shard long, ids binary, ns binary, places binary")
 
