@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import age_at, uuid5
-from tidewell.operators.relational import as_of, distinct_list, latest, latest_if, stretches
+from tidewell.operators.relational import as_of_ranges, dealt, distinct_list, latest, latest_if, stretches
 from tidewell.plans.silver import TABLES
 
 CONTRACT_VERSION, MANIFEST_VERSION = "1.1.0", "1"
@@ -37,43 +37,48 @@ QUIET = ("created_timestamp", "silver_versions")
 LAST_DAY = date(9999, 12, 31)
 #: Encounters of a patient from which their time is cut into ranges.
 MOST = 20_000
-#: Conditions and requests that a task holds, about.
+#: Rows that a task holds, about.
 FACTS = 500_000
 
 
-def encounters(encounter: DataFrame, patient: DataFrame) -> DataFrame:
+def encounters(encounter: DataFrame, patient: DataFrame, n: int | None = None) -> DataFrame:
     who = patient.select("patient_id", "birth_date", F.col("gender").alias("patient_gender"))
     day = F.to_date("start_date")
-    return encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date")).join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
+    rows = encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date"))
+    return dealt(rows, n, "patient_id").join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
 
 
-def tasks(condition: DataFrame, request: DataFrame) -> int:
-    """Tasks that conditions and requests are dealt to: as many as shuffles have, or more where these would hold over FACTS each."""
-    return max(int(condition.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(condition.count() + request.count()) // FACTS))
+def tasks(*frames: DataFrame) -> int:
+    """Tasks that the rows of some frames are dealt to: as many as shuffles have, or more where these would hold over FACTS each."""
+    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(df.count() for df in frames) // FACTS))
 
 
-def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: int = MOST) -> DataFrame:
+def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: int = MOST, n: int | None = None) -> DataFrame:
     """Conditions that hold on each encounter's day, whichever encounter recorded them, and active medications from
     their earliest start on: one join for both.
 
-    A patient's intervals of one condition become disjoint stretches first, so an encounter meets each name once.
+    A patient's intervals of one condition become disjoint stretches first, so an encounter meets each name once. What meets
+    is put together where it meets, so that lists and not their entries are dealt by encounter.
     """
+    n = n or tasks(condition, request)
     held = condition.where("display is not null").select("patient_id", F.lit("c").alias("_what"), "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to"))
     # no start is taken for the last of all, so that an earlier one holds where there is one
     start = F.coalesce(F.to_date("authored_on"), F.lit(LAST_DAY))
     taken = request.where("display is not null and status = 'active'").select("patient_id", F.lit("m").alias("_what"), "display", start.alias("_from"), F.lit(None).cast("date").alias("_to"))
-    # dealt by patient once, for the stretches and for the join
-    spans = stretches(held.unionByName(taken).repartition(tasks(condition, request), "patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
+    spans = stretches(held.unionByName(taken).repartition(n, "patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
     spans = spans.withColumn("_from", F.when((F.col("_what") == "c") | (F.col("_from") < F.lit(LAST_DAY)), F.col("_from")))
-    met = as_of(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", most)
-    of = lambda what: F.array_sort(F.collect_list(F.when(F.col("_what") == what, F.col("display"))))
-    return met.groupBy("encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
+    met, at = as_of_ranges(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", most, n)
+    of = lambda what: F.collect_list(F.when(F.col("_what") == what, F.col("display")))
+    lists = met.groupBy("patient_id", at, "encounter_id").agg(of("c").alias("active_conditions"), of("m").alias("active_medications"))
+    all_ = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
+    return dealt(lists, n, "encounter_id").groupBy("encounter_id").agg(all_("active_conditions"), all_("active_medications"))
 
 
 def observed(observation: DataFrame) -> DataFrame:
     """Vital signs and laboratory values of each encounter, by one scan and one aggregation."""
     parts = F.from_json("components_json", "array<struct<code:string,value:double>>")
     of_code = lambda code: F.filter(F.col("_parts"), lambda p: p["code"] == code)
+    observation = dealt(observation, tasks(observation), "encounter_id")
     rows = observation.where(F.col("code").isin(*HEART_RATE, *TEMPERATURE, *OXYGEN, PRESSURE) | (F.col("category") == "laboratory")).withColumn("_parts", F.when(F.col("code") == PRESSURE, parts))
     when, tie = F.col("effective_date"), F.col("observation_id")
 
@@ -100,11 +105,13 @@ def last_row(df: DataFrame, when: str, tie: str, flag: str | None = None, **name
 def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Column | None = None, versions: Mapping[str, int | None] | None = None, most: int = MOST) -> DataFrame:
     """One row per encounter with SCHEMA. A missing table raises KeyError. ``most``: see as_of()."""
     s = {name: silver[name] for name in SOURCES}
-    base = encounters(s["encounter"], s["patient"])
-    done = s["procedure"].where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
-    rows = base
+    n = tasks(s["condition"], s["medication_request"])
+    n = max(n, tasks(s["encounter"]), tasks(s["procedure"]))
+    base = encounters(s["encounter"], s["patient"], n)
+    done = dealt(s["procedure"], n, "encounter_id").where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
+    rows = dealt(base, n, "encounter_id")
     for part in (
-        problems(base, s["condition"], s["medication_request"], most),
+        problems(base, s["condition"], s["medication_request"], most, n),
         observed(s["observation"]),
         done,
         last_row(s["soap_note"], "note_date", "note_id", soap_note_text="note_text", soap_note_id="note_id"),
