@@ -1,16 +1,17 @@
 """Phrases whose words stand together more often than chance, by vertical positional inverted lists.
 
 Words of documents are dealt to shards of bounded length, in which every word has a number as its place; pieces of a text
-lie apart. A frequent word has a list of its places per shard. A phrase's list comes from merging the lists of the
-phrases one word shorter in order of place: where one that stands at a place meets one at the next place, the first is
-extended by the other's last word. So only words whose own phrase is frequent extend another, and the length of a phrase's lists
-is its exact frequency. A shard's lists stay in one row; what is exchanged are counts.
-
-Counting takes two steps. First hashes of 32 bits are counted, packed by lots: a phrase whose hash isn't frequent is not
-frequent. The others' hashes set the bits of a bitmap of fixed size, which goes to the executors. Then the phrases whose bit
-is set are counted exactly, and lists are kept of them alone; those that the bitmap lets through by accident fall out by
-their exact counts, however full it is. Phrases are known by ids of 64 bits; should two of one id meet in counting, which
-all that share a frequent one's id do, the step is done again with other ids.
+lie apart. A word has a list of its places per shard. Which words are frequent is counted in two steps: hashes of 32 bits
+first, whose frequent ones set the bits of a bitmap of fixed size, then the words whose bit is set, exactly. Frequent words
+get numbers, small ones where they are frequent, and the lists of all others are left out.
+
+Then lists are merged in order of place, once: the places at which frequent words stand beside each other are told with the
+words that follow. Equal ones of a shard are one with a number. They are dealt by their first three words, so that all places
+of a phrase come into one lot, and pairs, of which there may be very many places, as sums of a shard. In a lot the list of a
+phrase is extended by the next word, which cuts it in lists of longer phrases; only lists of frequent phrases are extended, and
+their length is the exact frequency. So a place is exchanged once, whatever is frequent, and what is exchanged grows as the
+input. Words and pairs are known by ids of 64 bits; should two of one id meet in counting, which all that share a frequent one's
+id do, all is done again with other ids.
 """
 
 from __future__ import annotations
@@ -133,24 +134,6 @@ def lists(docs: DataFrame, salt: int, words: int = WORDS) -> DataFrame:
     return in_arrow(some, rows, "shard long, ids binary, ns binary, places binary, langs array<string>, words array<string>, of array<string>, n array<long>")
 
 
-class Lists:
-    """The lists of one shard: ids, how long each is, and its places."""
-
-    def __init__(self, ids: bytes, ns: bytes, places: bytes):
-        self.ids, self.n, self.places = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8"), places
-
-    def extended(self, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Merge the lists: id, a, b of neighbours, how often they meet, and the places of a, pair by pair."""
-        at = undone(full(self.places, "<u4"), self.n)
-        low = max(1, len(self.ids).bit_length())
-        both = np.sort((at.astype(np.uint64) << np.uint64(low)) | np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.n))
-        at, who = (both >> np.uint64(low)).astype(np.int64), both & np.uint64((1 << low) - 1)
-        next_ = np.flatnonzero(at[1:] == at[:-1] + 1)
-        order, pairs, times = grouped((who[next_] << np.uint64(low)) | who[next_ + 1], 2 * low)
-        a, b = self.ids[(pairs >> np.uint64(low)).astype(np.int64)], self.ids[(pairs & np.uint64((1 << low) - 1)).astype(np.int64)]
-        return mixed(a, b, salt), a, b, times.astype(np.int64), at[next_][order]
-
-
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """The id of a pair."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(salt))
@@ -194,16 +177,12 @@ def of_shards(shards: DataFrame, columns: list[str], rows, schema: str) -> DataF
     return in_arrow(shards.select(*columns), run, schema)
 
 
-def frequent_slots(shards: DataFrame, salt: int | None, least: int, bits: int) -> np.ndarray:
-    """The bitmap of hashes that stand ``least`` times: of words, or (with a salt) of neighbours."""
+def frequent_slots(shards: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bitmap of hashes of words that stand ``least`` times."""
     lots = shuffle_partitions(shards.sparkSession)
 
-    def packed_(ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
-        if salt is None:
-            found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
-        else:
-            found, _, _, n, _ = Lists(ids, ns, places).extended(salt)
-        hashes, times = summed(slots(found).astype(np.uint64), n)
+    def packed_(ids: bytes, ns: bytes) -> Iterator[tuple]:
+        hashes, times = summed(slots(np.frombuffer(ids, "<u8")).astype(np.uint64), np.frombuffer(ns, "<i8"))
         return by_lot(hashes % np.uint64(lots), hashes.astype("<u4"), times.astype("<u4"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +193,7 @@ def frequent_slots(shards: DataFrame, salt: int | None, least: int, bits: int) -
         keys, n = total.done()
         yield pa.record_batch([pa.array(keys[n >= least].astype(np.int64) % bits)], names=["bit"])
 
-    rows = of_shards(shards, ["ids", "ns", "places"], packed_, "lot long, hashes binary, ns binary")
+    rows = of_shards(shards, ["ids", "ns"], packed_, "lot long, hashes binary, ns binary")
     found = in_arrow(rows.repartition("lot"), counted, "bit long")
     units = found.groupBy(F.floor(F.col("bit") / UNIT).alias("unit")).agg(F.bitmap_construct_agg(F.col("bit") % UNIT).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
@@ -283,79 +262,154 @@ class Clash(RuntimeError):
 
 
 def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFrame:
-    """id, lang, phrase, f of the words that stand ``least`` times; f is null where two have one id."""
+    """number, lang, phrase, f of the words that stand ``least`` times; f is null where two have one id. Other rows have
+    shard, at, numbers: at which places of a shard's ids such words are, and their numbers."""
     lots = shuffle_partitions(shards.sparkSession)
 
-    def hits(ids: bytes, ns: bytes, langs: list[str], words: list[str]) -> Iterator[tuple]:
+    def hits(shard: int, ids: bytes, ns: bytes, langs: list[str], words: list[str]) -> Iterator[tuple]:
         found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
         kept = np.flatnonzero(marked(marks, found))
         lot = (found[kept] % np.uint64(lots)).astype(np.int64)
         for x in np.unique(lot).tolist():
             of = kept[lot == x]
-            yield x, found[of].tobytes(), n[of].tobytes(), [langs[k] for k in of.tolist()], [words[k] for k in of.tolist()]
+            yield x, shard, of.astype("<u4").tobytes(), found[of].tobytes(), n[of].tobytes(), [langs[k] for k in of.tolist()], [words[k] for k in of.tolist()]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[int, dict[int, list]] = {}
+        of_shard = []
         for batch in batches:
-            for ids, ns, langs, words in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                for k, n, lang, word in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ns, "<i8").tolist(), langs, words, strict=True):
-                    own = total.setdefault(k, [lang, word, 0])
+            for lot, shard, at, ids, ns, langs, words in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                seen = total.setdefault(lot, {})
+                of_shard.append((lot, shard, at, ids))
+                for k, n, lang, word in zip(np.frombuffer(ids, "<u8").tolist(), np.frombuffer(ns, "<i8").tolist(), langs, words, strict=True):
+                    own = seen.setdefault(k, [lang, word, 0])
                     own[2] = own[2] + n if own[:2] == [lang, word] and own[2] is not None else None
-        found = [(k, *x) for k, x in total.items() if x[2] is None or x[2] >= least]
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["id", "lang", "phrase", "f"])
-
-    rows = of_shards(shards, ["ids", "ns", "langs", "words"], hits, "lot long, ids binary, ns binary, langs array<string>, words array<string>")
-    return in_arrow(rows.repartition("lot"), counted, "id long, lang string, phrase string, f long")
-
+        numbers = {}
+        for lot, seen in total.items():
+            found = [(k, *x) for k, x in seen.items() if x[2] is None or x[2] >= least]
+            found.sort(key=lambda x: (-(x[3] or 0), x[0]))
+            numbers[lot] = {k: 1 + lot + lots * i for i, (k, *_) in enumerate(found)}
+            yield made([(numbers[lot][k], lang, word, f, None, None, None) for k, lang, word, f in found])
+        for lot, shard, at, ids in of_shard:
+            own = np.array([numbers[lot].get(k, 0) for k in np.frombuffer(ids, "<u8").tolist()], "<u4")
+            yield made([(None, None, None, 0, shard, np.frombuffer(at, "<u4")[own > 0].tobytes(), own[own > 0].tobytes())])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"number": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "f": pa.int64(), "shard": pa.int64(), "at": pa.binary(), "numbers": pa.binary()}
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    rows = of_shards(shards, ["shard", "ids", "ns", "langs", "words"], hits, "lot long, shard long, at binary, ids binary, ns binary, langs array<string>, words array<string>")
+    return in_arrow(rows.repartition("lot"), counted, "number long, lang string, phrase string, f long, shard long, at binary, numbers binary")
+
+
+def sequence(ns: bytes, places: bytes, numbers: np.ndarray, more: int) -> np.ndarray:
+    """A shard's lists merged: the number of the word at each place, 0 for what isn't frequent, and ``more`` zeros."""
+    n = np.frombuffer(ns, "<i8")
+    at, who = undone(full(places, "<u4"), n), np.repeat(numbers, n)
+    out = np.zeros(int(at.max(initial=0)) + 1 + more, np.uint32)
+    out[at] = who
+    return out
 
-def frequent_pairs(shards: DataFrame, marks: np.ndarray, salt: int, least: int) -> DataFrame:
-    """id, a, b, f of the neighbours that meet ``least`` times; f is null where two have one id."""
-    lots = shuffle_partitions(shards.sparkSession)
 
-    def hits(ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
-        found, a, b, n, _ = Lists(ids, ns, places).extended(salt)
-        kept = np.flatnonzero(marked(marks, found))
-        kept = kept[np.argsort(a[kept], kind="stable")]
-        return by_lot(found[kept] % np.uint64(lots), a[kept], b[kept], n[kept].astype("<u4"))
+def ranked(rank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each pair of a rank and a word among the distinct ones, and a place of each of these."""
+    _, first, of = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word, return_index=True, return_inverse=True)
+    return of, first
+
+
+def neighbours(shards: DataFrame, longest: int, salt: int) -> DataFrame:
+    """lot, words, ns: of each shard the pairs of frequent words, and what of ``longest`` words stands at places where three do."""
+    lots = np.uint64(shuffle_partitions(shards.sparkSession))
+
+    def cut(lot: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> Iterator[tuple]:
+        for k, first, *others in by_lot(lot % lots, *words, n):
+            yield k, [first, *others[:-1]], others[-1]
+
+    def rows(ids: bytes, ns: bytes, places: bytes, known: list[dict] | None) -> Iterator[tuple]:
+        numbers = np.zeros(len(ids) // 8, np.uint32)
+        for x in known or []:
+            numbers[np.frombuffer(x["at"], "<u4")] = np.frombuffer(x["numbers"], "<u4")
+        seq = sequence(ns, places, numbers, longest)
+        at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+        if longest < 2 or not len(at):
+            return
+        rank, first = ranked(seq[at], seq[at + 1])
+        a, b = seq[at[first]], seq[at[first] + 1]
+        pair = mixed(a.astype(np.uint64), b.astype(np.uint64), salt)
+        yield from cut(pair, [a, b], np.bincount(rank).astype("<u4"))
+        some = seq[at + 2] > 0
+        if longest < 3 or not some.any():
+            return
+        at, rank, pair = at[some], rank[some], pair[rank[some]]
+        words = [seq[at], seq[at + 1], seq[at + 2]]
+        for k in range(3, longest):
+            words.append(np.where(words[-1] > 0, seq[at + k], 0).astype(np.uint32))
+        for word in words[2:]:
+            rank, first = ranked(rank, word)
+        words = [x[first] for x in words]
+        yield from cut(mixed(pair[first], words[2].astype(np.uint64), salt), words, np.bincount(rank).astype("<u4"))
+
+    return of_shards(shards, ["ids", "ns", "places", "known"], rows, "lot long, words array<binary>, ns binary")
+
+
+def frequent_phrases(found: DataFrame, salt: int, least: int) -> DataFrame:
+    """numbers (of words), f of the phrases of several words that stand ``least`` times; f is null where two pairs have one id."""
+
+    def opened(words: list[bytes], ns: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+        first, *others = (full(x, "<u4") for x in words)
+        return [np.cumsum(first, dtype=np.uint32), *others], full(ns, "<u4").astype(np.int64)
+
+    def made(words: list[np.ndarray], f: np.ndarray, clash: np.ndarray) -> pa.RecordBatch:
+        each = np.column_stack(words).astype(np.int64)
+        numbers = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * each.shape[1]), pa.array(each.ravel()))
+        return pa.record_batch([numbers, pa.array(f, pa.int64(), mask=clash)], names=["numbers", "f"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Pairs(salt)
+        total, lots = Pairs(salt), defaultdict(list)
         for batch in batches:
-            for a, b, n in zip(*(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
-                total.add(np.cumsum(full(a, "<u8"), dtype=np.uint64), full(b, "<u8"), full(n, "<u4").astype(np.int64))
-        keys, a, b, n, clash = total.done()
+            for lot, words, ns in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if len(words) > 2:
+                    lots[lot].append((words, ns))
+                else:
+                    (a, b), n = opened(words, ns)
+                    total.add(a.astype(np.uint64), b.astype(np.uint64), n)
+        _, a, b, n, clash = total.done()
         some = (n >= least) | clash
-        signed = [pa.array(x[some].astype(np.int64)) for x in (keys, a, b)]
-        yield pa.record_batch([*signed, pa.array(n[some], pa.int64(), mask=clash[some])], names=["id", "a", "b", "f"])
-
-    rows = of_shards(shards, ["ids", "ns", "places"], hits, "lot long, a binary, b binary, ns binary")
-    return in_arrow(rows.repartition("lot"), counted, "id long, a long, b long, f long")
-
-
-def kept(shards: DataFrame, marks: np.ndarray, salt: int | None) -> DataFrame:
-    """Shards with the lists whose bit is set: of words, or (with a salt) of neighbours."""
-
-    def rows(shard: int, ids: bytes, ns: bytes, places: bytes) -> Iterator[tuple]:
-        if salt is None:
-            found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
-            at = undone(full(places, "<u4"), n)
-        else:
-            found, _, _, n, at = Lists(ids, ns, places).extended(salt)
-        some = marked(marks, found)
-        at, found, n = at[np.repeat(some, n)], found[some], n[some]
-        yield shard, found.tobytes(), n.astype("<i8").tobytes(), squeezed(deltas(at, np.cumsum(n) - n))
-
-    return of_shards(shards, ["shard", "ids", "ns", "places"], rows, "shard long, ids binary, ns binary, places binary")
-
-
-def told(found: DataFrame) -> tuple[DataFrame, int]:
-    """A table of frequent phrases written, and their number; Clash if two have one id."""
-    out, seen = durable_counted(found, F.count("*").alias("n"), F.count_if(F.col("f").isNull()).alias("clashes"))
+        yield made([a[some], b[some]], n[some], clash[some])
+        while lots:
+            yield from extended(lots.popitem()[1])
+            pa.default_memory_pool().release_unused()
+
+    def extended(parts_: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The lists of phrases of a lot, cut by the next word, length by length."""
+        each = [opened(*x) for x in parts_]
+        words, n = [np.concatenate(x) for x in zip(*(w for w, _ in each), strict=True)], np.concatenate([n for _, n in each])
+        del each
+        rank, _ = ranked(words[0], words[1])
+        for k in range(2, len(words)):
+            on = words[k] > 0
+            words, n, rank = [x[on] for x in words], n[on], rank[on]
+            rank, first = ranked(rank, words[k])
+            order = np.argsort(rank, kind="stable")
+            f = np.add.reduceat(n[order], np.searchsorted(rank[order], np.arange(len(first)))) if len(first) else n
+            often = f >= least
+            if not often.any():
+                return
+            yield made([x[first[often]] for x in words[: k + 1]], f[often], np.zeros(int(often.sum()), bool))
+            on = often[rank]
+            words, n, rank = [x[on] for x in words], n[on], rank[on]
+
+    return in_arrow(found.repartition("lot"), counted, "numbers array<long>, f long")
+
+
+def told(found: DataFrame) -> DataFrame:
+    """A table of frequent phrases written; Clash if two have one id."""
+    out, seen = durable_counted(found, F.count_if(F.col("f").isNull()).alias("clashes"))
     if seen["clashes"]:
         discard(out)
         raise Clash
-    return out, seen["n"]
+    return out
 
 
 def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, words: int = WORDS, bits: int = BITS, salt: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -363,28 +417,20 @@ def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, wor
     shards = durable(lists(docs, salt, words))
     totals = durable(shards.select(F.explode(F.arrays_zip("of", "n")).alias("x")).groupBy(F.col("x.of").alias("lang")).agg(F.sum("x.n").alias("n")))
     try:
-        marks = frequent_slots(shards, None, frequent, bits)
-        known, n = told(frequent_words(shards, marks, frequent).select("id", "lang", "phrase", F.col("phrase").alias("last"), F.lit(1).alias("length"), "f"))
-        found, before = [known], shards
-        shards = durable(kept(shards, marks, None))
-        discard(before)
-        for length in range(2, longest + 1):
-            if not n:
-                break
-            marks = frequent_slots(shards, salt, frequent, bits)
-            first, second = (known.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("lang", "phrase", "last"))) for c in "ab")
-            pairs, n = told(frequent_pairs(shards, marks, salt, frequent))
-            known = durable(pairs.join(first, "a").join(second, "b").select("id", F.col("lang_a").alias("lang"), F.concat_ws(" ", "phrase_a", "last_b").alias("phrase"), F.col("last_b").alias("last"), F.lit(length).alias("length"), "f"))
-            found.append(known)
-            if length < longest and n:
-                before, shards = shards, durable(kept(shards, marks, salt))
-                discard(before)
+        marks = frequent_slots(shards, frequent, bits)
+        found = told(frequent_words(shards, marks, frequent))
+        names = found.where("shard is null").select("number", "lang", "phrase", "f")
+        known = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("at", "numbers")).alias("known"))
+        near = neighbours(shards.select("shard", "ids", "ns", "places").join(known, "shard"), longest, salt)
+        rows = told(frequent_phrases(near, salt, frequent)).select("f", F.size("numbers").alias("length"), *(F.get("numbers", F.lit(k)).alias(f"number_{k}") for k in range(longest)))
+        discard(shards)
     except Clash:
         return mined(docs, longest, frequent, words, bits, salt + 1)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select("lang", "phrase", "length", "f"), totals
+    for k in range(longest):
+        of = names.select(F.col("number").alias(f"number_{k}"), F.col("phrase").alias(f"phrase_{k}"), *([] if k else ["lang"]))
+        rows = rows.join(of, f"number_{k}", "left")
+    rows = durable(rows.select("lang", F.concat_ws(" ", *(f"phrase_{k}" for k in range(longest))).alias("phrase"), "length", "f"))
+    return names.select("lang", "phrase", F.lit(1).alias("length"), "f").unionByName(rows), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -419,7 +465,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUE
     Texts are lower-cased in A-Z and cut at ``.,;:!?`` and line ends into pieces, and these at spaces and tabs into words. A
     null or empty text has none; repeated rows count as often as they stand; no documents give no rows; other columns
     are left out. A task holds a shard's lists, a part of a text (PART, or a longer piece), the bitmap, and while counting the
-    different phrases of its lots, of which there are as many as shuffle partitions. Equal scores
+    different pairs of its lots, of which there are as many as shuffle partitions, and one lot's places. Equal scores
     after flooring are told apart by a, then by the phrase's bytes. Frequencies have 19 digits at most, n 15.
     """
     phrases, totals = mined(docs, longest, frequent, words, bits)
