@@ -178,7 +178,8 @@ def merges_within_words(spec: dict) -> bool:
 
 
 def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left and right symbols of rules, and the sequence; rule k has the symbol ``first + k``. No pair begins with ``end``.
+    """Left and right symbols of rules, and the sequence; rule k has the symbol ``first + k``. No pair begins with ``end``
+    or with a rule that ends in it.
 
     A round sorts pairs, ranks those that stand ``frequent`` times by how often they do, and replaces each place whose
     pair outranks both that overlap it; in runs of one symbol, every second place. So the most frequent pair is replaced
@@ -186,7 +187,8 @@ def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain
     with a new symbol and those that were frequent before, as no other can become so.
     """
     seq, left, right, top = ids.astype(np.uint32), [], [], first
-    open_ = np.flatnonzero(seq[:-1] != end)
+    closed = np.arange(max(first, end + 1)) == end  # symbols that end a document
+    open_ = np.flatnonzero(~closed[seq[:-1]])
     while len(open_):
         bits = np.uint64(top.bit_length())
         places, pairs, n = grouped((seq[open_].astype(np.uint64) << bits) | seq[open_ + 1], 2 * int(bits))
@@ -213,6 +215,7 @@ def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain
         rules = pairs[by][kept]
         left.append(rules >> bits)
         right.append(rules & ((np.uint64(1) << bits) - np.uint64(1)))
+        closed = np.concatenate((closed[:top], closed[right[-1].astype(np.int64)]))
         top, before = top + len(kept), len(seq)
         stays = np.ones(before, bool)
         stays[at + 1] = False
@@ -221,7 +224,7 @@ def repair(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, gain
         again[at] = True
         seq, again = seq[stays], np.append(again, False)[stays]
         again[:-1] |= seq[1:] >= top - len(kept)
-        open_ = np.flatnonzero(again[:-1] & (seq[:-1] != end))
+        open_ = np.flatnonzero(again[:-1] & ~closed[seq[:-1]])
         if before - len(seq) < gain * before:
             break
     none = np.empty(0, np.int64)
