@@ -272,16 +272,20 @@ def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFram
         lot = (found[kept] % np.uint64(lots)).astype(np.int64)
         for x in np.unique(lot).tolist():
             of = kept[lot == x]
-            yield x, shard, of.astype("<u4").tobytes(), found[of].tobytes(), n[of].tobytes(), [langs[k] for k in of.tolist()], [words[k] for k in of.tolist()]
+            names: dict[str, int] = {}
+            lang = np.array([names.setdefault(langs[k], len(names)) for k in of.tolist()], "<u4")
+            told_ = zlib.compress("\n".join([words[k] for k in of.tolist()]).encode(), 1)  # no word has a line's end
+            yield x, shard, squeezed(steps(of.astype("<u4"))), found[of].tobytes(), squeezed(n[of].astype("<u4")), list(names), squeezed(lang), told_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, dict[int, list]] = {}
         of_shard = []
         for batch in batches:
-            for lot, shard, at, ids, ns, langs, words in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for lot, shard, at, ids, ns, names, langs, words in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 seen = total.setdefault(lot, {})
                 of_shard.append((lot, shard, at, ids))
-                for k, n, lang, word in zip(np.frombuffer(ids, "<u8").tolist(), np.frombuffer(ns, "<i8").tolist(), langs, words, strict=True):
+                langs = [names[x] for x in full(langs, "<u4").tolist()]
+                for k, n, lang, word in zip(np.frombuffer(ids, "<u8").tolist(), full(ns, "<u4").tolist(), langs, zlib.decompress(words).decode().split("\n"), strict=True):
                     own = seen.setdefault(k, [lang, word, 0])
                     own[2] = own[2] + n if own[:2] == [lang, word] and own[2] is not None else None
         numbers = {}
@@ -292,14 +296,14 @@ def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFram
             yield made([(numbers[lot][k], lang, word, f, None, None, None) for k, lang, word, f in found])
         for lot, shard, at, ids in of_shard:
             own = np.array([numbers[lot].get(k, 0) for k in np.frombuffer(ids, "<u8").tolist()], "<u4")
-            yield made([(None, None, None, 0, shard, np.frombuffer(at, "<u4")[own > 0].tobytes(), own[own > 0].tobytes())])
+            yield made([(None, None, None, 0, shard, squeezed(steps(np.cumsum(full(at, "<u4"), dtype=np.uint32)[own > 0])), squeezed(own[own > 0]))])
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         kinds = {"number": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "f": pa.int64(), "shard": pa.int64(), "at": pa.binary(), "numbers": pa.binary()}
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    rows = of_shards(shards, ["shard", "ids", "ns", "langs", "words"], hits, "lot long, shard long, at binary, ids binary, ns binary, langs array<string>, words array<string>")
+    rows = of_shards(shards, ["shard", "ids", "ns", "langs", "words"], hits, "lot long, shard long, at binary, ids binary, ns binary, names array<string>, langs binary, words binary")
     return in_arrow(rows.repartition("lot"), counted, "number long, lang string, phrase string, f long, shard long, at binary, numbers binary")
 
 
@@ -329,7 +333,7 @@ def neighbours(shards: DataFrame, longest: int, salt: int) -> DataFrame:
     def rows(ids: bytes, ns: bytes, places: bytes, known: list[dict] | None) -> Iterator[tuple]:
         numbers = np.zeros(len(ids) // 8, np.uint32)
         for x in known or []:
-            numbers[np.frombuffer(x["at"], "<u4")] = np.frombuffer(x["numbers"], "<u4")
+            numbers[np.cumsum(full(x["at"], "<u4"), dtype=np.uint32)] = full(x["numbers"], "<u4")
         seq = sequence(ns, places, numbers, longest)
         at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
         if longest < 2 or not len(at):
@@ -421,7 +425,8 @@ def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, wor
         found = told(frequent_words(shards, marks, frequent))
         names = found.where("shard is null").select("number", "lang", "phrase", "f")
         known = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("at", "numbers")).alias("known"))
-        near = neighbours(shards.select("shard", "ids", "ns", "places").join(known, "shard"), longest, salt)
+        # both sides are as long as the corpus, so neither is sent whole, however small it is
+        near = neighbours(shards.select("shard", "ids", "ns", "places").join(known.hint("merge"), "shard"), longest, salt)
         rows = told(frequent_phrases(near, salt, frequent)).select("f", F.size("numbers").alias("length"), *(F.get("numbers", F.lit(k)).alias(f"number_{k}") for k in range(longest)))
         discard(shards)
     except Clash:
