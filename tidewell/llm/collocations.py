@@ -5,13 +5,14 @@ lie apart. A word has a list of its places per shard. Which words are frequent i
 first, whose frequent ones set the bits of a bitmap of fixed size, then the words whose bit is set, exactly. Frequent words
 get numbers, small ones where they are frequent, and the lists of all others are left out.
 
-Then lists are merged in order of place, once: the places at which frequent words stand beside each other are told with the
-words that follow. Equal ones of a shard are one with a number. They are dealt by their first three words, so that all places
-of a phrase come into one lot, and pairs, of which there may be very many places, as sums of a shard. In a lot the list of a
-phrase is extended by the next word, which cuts it in lists of longer phrases; only lists of frequent phrases are extended, and
-their length is the exact frequency. So a place is exchanged once, whatever is frequent, and what is exchanged grows as the
-input. Words and pairs are known by ids of 64 bits; should two of one id meet in counting, which all that share a frequent one's
-id do, all is done again with other ids.
+Then lists are merged in order of place. Pairs of frequent words are counted as sums of a shard, and frequent ones set the bits
+of another bitmap of that size. The places at which two such pairs follow each other are told with the words that follow, as
+far as pairs are frequent: a phrase stands nowhere else. Equal ones of a shard are one with a number. They are dealt by their
+first three words, so that all places of a phrase come into one lot. In a lot the list of a phrase is extended by the next word,
+which cuts it in lists of longer phrases; only lists of frequent phrases are extended, and their length is the exact frequency.
+So a place is exchanged once, however long its phrases are. What a lot's number tells is left out of what is sent there, so a
+message costs as much in many lots as in few. Words and pairs have ids of 64 bits; should two pairs of one id meet in counting, which all that share a
+frequent one's id do, or two words of a shard, all is done again with other ids.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tidewell.llm.common import as_bytes, as_texts, discard, durable, durable_co
 
 LONGEST, FREQUENT, SHARE, FIRST, UNKNOWN = 5, 100, 100, 2000, "und"
 #: Words from which a shard is closed; a piece of a text is never cut.
-WORDS = 1 << 19
+WORDS = 1 << 21
 #: Bytes from which a text is cut at the end of a piece, so that few words are held as objects.
 PART = 1 << 22
 #: Bits of the bitmap, a multiple of UNIT: 8 MB.
@@ -183,18 +184,32 @@ def frequent_slots(shards: DataFrame, least: int, bits: int) -> np.ndarray:
 
     def packed_(ids: bytes, ns: bytes) -> Iterator[tuple]:
         hashes, times = summed(slots(np.frombuffer(ids, "<u8")).astype(np.uint64), np.frombuffer(ns, "<i8"))
-        return by_lot(hashes % np.uint64(lots), hashes.astype("<u4"), times.astype("<u4"))
+        return by_lot(hashes % np.uint64(lots), (hashes // np.uint64(lots)).astype("<u4"), times.astype("<u4"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Sums()
         for batch in batches:
-            for h, n in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
-                total.add(np.cumsum(full(h, "<u4"), dtype=np.uint64), full(n, "<u4").astype(np.int64))
+            for lot, h, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                total.add(np.cumsum(full(h, "<u4"), dtype=np.uint64) * np.uint64(lots) + np.uint64(lot), full(n, "<u4").astype(np.int64))
         keys, n = total.done()
         yield pa.record_batch([pa.array(keys[n >= least].astype(np.int64) % bits)], names=["bit"])
 
     rows = of_shards(shards, ["ids", "ns"], packed_, "lot long, hashes binary, ns binary")
-    found = in_arrow(rows.repartition("lot"), counted, "bit long")
+    return bitmap(in_arrow(rows.repartition("lot"), counted, "bit long"), bits)
+
+
+def frequent_pairs(pairs: DataFrame, salt: int, bits: int) -> np.ndarray:
+    """The bitmap of hashes of pairs, given as numbers of words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint64) for k in range(2))
+            yield pa.record_batch([pa.array(slots(mixed(a, b, salt)).astype(np.int64) % bits)], names=["bit"])
+
+    return bitmap(in_arrow(pairs.select(*(F.get("numbers", F.lit(k)).alias(f"word_{k}") for k in range(2))), rows, "bit long"), bits)
+
+
+def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     units = found.groupBy(F.floor(F.col("bit") / UNIT).alias("unit")).agg(F.bitmap_construct_agg(F.col("bit") % UNIT).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in units.toLocalIterator():  # bits / 8 bytes, whatever the number of phrases
@@ -262,12 +277,18 @@ class Clash(RuntimeError):
 
 
 def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFrame:
-    """number, lang, phrase, f of the words that stand ``least`` times; f is null where two have one id. Other rows have
-    shard, at, numbers: at which places of a shard's ids such words are, and their numbers."""
+    """number, lang, phrase, f of the words that stand ``least`` times. Other rows have shard, at, numbers: at which places of a
+    shard's ids such words are, and their numbers. f is null where two words of a shard have one id.
+
+    Words are told by themselves and not by their ids, which are long and can't be compressed.
+    """
     lots = shuffle_partitions(shards.sparkSession)
 
     def hits(shard: int, ids: bytes, ns: bytes, langs: list[str], words: list[str]) -> Iterator[tuple]:
         found, n = np.frombuffer(ids, "<u8"), np.frombuffer(ns, "<i8")
+        order = np.argsort(found, kind="stable")
+        alike = np.flatnonzero(found[order][1:] == found[order][:-1])
+        n = np.where(np.isin(np.arange(len(n)), order[np.concatenate((alike, alike + 1))]), 0, n) if len(alike) else n
         kept = np.flatnonzero(marked(marks, found))
         lot = (found[kept] % np.uint64(lots)).astype(np.int64)
         for x in np.unique(lot).tolist():
@@ -275,27 +296,33 @@ def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFram
             names: dict[str, int] = {}
             lang = np.array([names.setdefault(langs[k], len(names)) for k in of.tolist()], "<u4")
             told_ = zlib.compress("\n".join([words[k] for k in of.tolist()]).encode(), 1)  # no word has a line's end
-            yield x, shard, squeezed(steps(of.astype("<u4"))), found[of].tobytes(), squeezed(n[of].astype("<u4")), list(names), squeezed(lang), told_
+            yield x, shard, squeezed(steps(of.astype("<u4"))), squeezed(n[of].astype("<u4")), list(names), squeezed(lang), told_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, dict[int, list]] = {}
+        places, total = defaultdict(dict), defaultdict(list)  # by lot: the place of each word, sums by place
         of_shard = []
         for batch in batches:
-            for lot, shard, at, ids, ns, names, langs, words in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                seen = total.setdefault(lot, {})
-                of_shard.append((lot, shard, at, ids))
+            for lot, shard, at, ns, names, langs, words in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                place, sums, who, times = places[lot], total[lot], [], full(ns, "<u4")
+                if not times.all():
+                    yield made([(None,) * 7])
                 langs = [names[x] for x in full(langs, "<u4").tolist()]
-                for k, n, lang, word in zip(np.frombuffer(ids, "<u8").tolist(), full(ns, "<u4").tolist(), langs, zlib.decompress(words).decode().split("\n"), strict=True):
-                    own = seen.setdefault(k, [lang, word, 0])
-                    own[2] = own[2] + n if own[:2] == [lang, word] and own[2] is not None else None
+                for n, *word in zip(times.tolist(), langs, zlib.decompress(words).decode().split("\n"), strict=True):
+                    k = place.setdefault(tuple(word), len(sums))
+                    if k == len(sums):
+                        sums.append(0)
+                    sums[k] += n
+                    who.append(k)
+                of_shard.append((lot, shard, at, np.array(who, "<u4")))
         numbers = {}
-        for lot, seen in total.items():
-            found = [(k, *x) for k, x in seen.items() if x[2] is None or x[2] >= least]
-            found.sort(key=lambda x: (-(x[3] or 0), x[0]))
-            numbers[lot] = {k: 1 + lot + lots * i for i, (k, *_) in enumerate(found)}
-            yield made([(numbers[lot][k], lang, word, f, None, None, None) for k, lang, word, f in found])
-        for lot, shard, at, ids in of_shard:
-            own = np.array([numbers[lot].get(k, 0) for k in np.frombuffer(ids, "<u8").tolist()], "<u4")
+        for lot, place in places.items():
+            found = [(total[lot][k], *word, k) for word, k in place.items() if total[lot][k] >= least]
+            found.sort(key=lambda x: (-x[0], *x[1:3]))
+            numbers[lot] = np.zeros(len(place), "<u4")
+            numbers[lot][[k for *_, k in found]] = 1 + lot + lots * np.arange(len(found))
+            yield made([(1 + lot + lots * i, lang, word, f, None, None, None) for i, (f, lang, word, _) in enumerate(found)])
+        for lot, shard, at, who in of_shard:
+            own = numbers[lot][who]
             yield made([(None, None, None, 0, shard, squeezed(steps(np.cumsum(full(at, "<u4"), dtype=np.uint32)[own > 0])), squeezed(own[own > 0]))])
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -303,7 +330,7 @@ def frequent_words(shards: DataFrame, marks: np.ndarray, least: int) -> DataFram
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    rows = of_shards(shards, ["shard", "ids", "ns", "langs", "words"], hits, "lot long, shard long, at binary, ids binary, ns binary, names array<string>, langs binary, words binary")
+    rows = of_shards(shards, ["shard", "ids", "ns", "langs", "words"], hits, "lot long, shard long, at binary, ns binary, names array<string>, langs binary, words binary")
     return in_arrow(rows.repartition("lot"), counted, "number long, lang string, phrase string, f long, shard long, at binary, numbers binary")
 
 
@@ -322,47 +349,70 @@ def ranked(rank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, first
 
 
-def neighbours(shards: DataFrame, longest: int, salt: int) -> DataFrame:
-    """lot, words, ns: of each shard the pairs of frequent words, and what of ``longest`` words stands at places where three do."""
-    lots = np.uint64(shuffle_partitions(shards.sparkSession))
+def beside(words: list[np.ndarray]) -> np.ndarray:
+    """A number of each phrase's second and third word, which with its first one gives the lot."""
+    return mixed(words[1].astype(np.uint64), words[2].astype(np.uint64) if len(words) > 2 else np.uint64(0), 0)
 
-    def cut(lot: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> Iterator[tuple]:
-        for k, first, *others in by_lot(lot % lots, *words, n):
-            yield k, [first, *others[:-1]], others[-1]
 
-    def rows(ids: bytes, ns: bytes, places: bytes, known: list[dict] | None) -> Iterator[tuple]:
-        numbers = np.zeros(len(ids) // 8, np.uint32)
+def cut(words: list[np.ndarray], n: np.ndarray, lots: int) -> Iterator[tuple]:
+    """(lot, words, ns) of phrases in order; of their first words the lot tells the remainder, so that isn't sent."""
+    lot = (words[0].astype(np.uint64) + beside(words) % np.uint64(lots)) % np.uint64(lots)
+    for k, first, *others in by_lot(lot, words[0] // np.uint32(lots), *words[1:], n):
+        yield k, [first, *others[:-1]], others[-1]
+
+
+def uncut(lot: int, words: list[bytes], lots: int) -> list[np.ndarray]:
+    """The words that cut() was given."""
+    words = [full(x, "<u4") for x in words]
+    rest = (lot + lots - (beside(words) % np.uint64(lots)).astype(np.int64)) % lots
+    words[0] = np.cumsum(words[0], dtype=np.uint32) * np.uint32(lots) + rest.astype(np.uint32)
+    return words
+
+
+def neighbours(shards: DataFrame, longest: int, salt: int, marks: np.ndarray | None = None) -> DataFrame:
+    """lot, words, ns: of each shard the pairs of frequent words, and what of ``longest`` words stands at places where three do.
+
+    ``marks``: the bitmap of frequent pairs; what holds others is left out then, and so are pairs.
+    """
+    lots = shuffle_partitions(shards.sparkSession)
+
+    def rows(ns: bytes, places: bytes, known: list[dict] | None) -> Iterator[tuple]:
+        numbers = np.zeros(len(ns) // 8, np.uint32)
         for x in known or []:
             numbers[np.cumsum(full(x["at"], "<u4"), dtype=np.uint32)] = full(x["numbers"], "<u4")
         seq = sequence(ns, places, numbers, longest)
-        at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+        paired = (seq[:-1] > 0) & (seq[1:] > 0)
+        at = np.flatnonzero(paired)
         if longest < 2 or not len(at):
             return
+        if marks is not None:
+            paired[at] = marked(marks, mixed(seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64), salt))
+            at = np.flatnonzero(paired[:-1] & paired[1:])
         rank, first = ranked(seq[at], seq[at + 1])
-        a, b = seq[at[first]], seq[at[first] + 1]
-        pair = mixed(a.astype(np.uint64), b.astype(np.uint64), salt)
-        yield from cut(pair, [a, b], np.bincount(rank).astype("<u4"))
-        some = seq[at + 2] > 0
+        if marks is None:
+            yield from cut([seq[at[first]], seq[at[first] + 1]], np.bincount(rank).astype("<u4"), lots)
+        some = paired[at + 1]
         if longest < 3 or not some.any():
             return
-        at, rank, pair = at[some], rank[some], pair[rank[some]]
-        words = [seq[at], seq[at + 1], seq[at + 2]]
+        at, rank = at[some], rank[some]
+        words, on = [seq[at], seq[at + 1], seq[at + 2]], np.ones(len(at), bool)
         for k in range(3, longest):
-            words.append(np.where(words[-1] > 0, seq[at + k], 0).astype(np.uint32))
+            on &= paired[at + k - 1]
+            words.append(np.where(on, seq[at + k], 0).astype(np.uint32))
         for word in words[2:]:
             rank, first = ranked(rank, word)
-        words = [x[first] for x in words]
-        yield from cut(mixed(pair[first], words[2].astype(np.uint64), salt), words, np.bincount(rank).astype("<u4"))
+        yield from cut([x[first] for x in words], np.bincount(rank).astype("<u4"), lots)
 
-    return of_shards(shards, ["ids", "ns", "places", "known"], rows, "lot long, words array<binary>, ns binary")
+    return of_shards(shards, ["ns", "places", "known"], rows, "lot long, words array<binary>, ns binary")
 
 
 def frequent_phrases(found: DataFrame, salt: int, least: int) -> DataFrame:
     """numbers (of words), f of the phrases of several words that stand ``least`` times; f is null where two pairs have one id."""
 
-    def opened(words: list[bytes], ns: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-        first, *others = (full(x, "<u4") for x in words)
-        return [np.cumsum(first, dtype=np.uint32), *others], full(ns, "<u4").astype(np.int64)
+    lots = shuffle_partitions(found.sparkSession)
+
+    def opened(lot: int, words: list[bytes], ns: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+        return uncut(lot, words, lots), full(ns, "<u4").astype(np.int64)
 
     def made(words: list[np.ndarray], f: np.ndarray, clash: np.ndarray) -> pa.RecordBatch:
         each = np.column_stack(words).astype(np.int64)
@@ -370,19 +420,19 @@ def frequent_phrases(found: DataFrame, salt: int, least: int) -> DataFrame:
         return pa.record_batch([numbers, pa.array(f, pa.int64(), mask=clash)], names=["numbers", "f"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lots = Pairs(salt), defaultdict(list)
+        total, waiting = Pairs(salt), defaultdict(list)
         for batch in batches:
             for lot, words, ns in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if len(words) > 2:
-                    lots[lot].append((words, ns))
+                    waiting[lot].append((lot, words, ns))
                 else:
-                    (a, b), n = opened(words, ns)
+                    (a, b), n = opened(lot, words, ns)
                     total.add(a.astype(np.uint64), b.astype(np.uint64), n)
         _, a, b, n, clash = total.done()
         some = (n >= least) | clash
         yield made([a[some], b[some]], n[some], clash[some])
-        while lots:
-            yield from extended(lots.popitem()[1])
+        while waiting:
+            yield from extended(waiting.popitem()[1])
             pa.default_memory_pool().release_unused()
 
     def extended(parts_: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -426,9 +476,14 @@ def mined(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT, wor
         names = found.where("shard is null").select("number", "lang", "phrase", "f")
         known = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("at", "numbers")).alias("known"))
         # both sides are as long as the corpus, so neither is sent whole, however small it is
-        near = neighbours(shards.select("shard", "ids", "ns", "places").join(known.hint("merge"), "shard"), longest, salt)
-        rows = told(frequent_phrases(near, salt, frequent)).select("f", F.size("numbers").alias("length"), *(F.get("numbers", F.lit(k)).alias(f"number_{k}") for k in range(longest)))
+        merged = durable(shards.select("shard", "ns", "places").join(known.hint("merge"), "shard"))
         discard(shards)
+        rows = told(frequent_phrases(neighbours(merged, min(longest, 2), salt), salt, frequent))
+        if longest > 2:
+            near = neighbours(merged, longest, salt, frequent_pairs(rows, salt, bits))
+            rows = rows.unionByName(told(frequent_phrases(near, salt, frequent)))
+        discard(merged)
+        rows = rows.select("f", F.size("numbers").alias("length"), *(F.get("numbers", F.lit(k)).alias(f"number_{k}") for k in range(longest)))
     except Clash:
         return mined(docs, longest, frequent, words, bits, salt + 1)
     for k in range(longest):
