@@ -50,7 +50,13 @@ def encounters(encounter: DataFrame, patient: DataFrame, n: int | None = None) -
 
 def tasks(*frames: DataFrame) -> int:
     """Tasks that the rows of some frames are dealt to: as many as shuffles have, or more where these would hold over FACTS each."""
-    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(df.count() for df in frames) // FACTS))
+    return needed(*frames) or int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def needed(*frames: DataFrame) -> int | None:
+    """As many tasks, or None for rows that one task may hold: those are left to Spark's own number and sizes."""
+    rows = sum(df.count() for df in frames)
+    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // FACTS)) if rows > FACTS else None
 
 
 def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: int = MOST, n: int | None = None) -> DataFrame:
@@ -60,12 +66,12 @@ def problems(base: DataFrame, condition: DataFrame, request: DataFrame, most: in
     A patient's intervals of one condition become disjoint stretches first, so an encounter meets each name once. What meets
     is put together where it meets, so that lists and not their entries are dealt by encounter.
     """
-    n = n or tasks(condition, request)
+    n = n or needed(condition, request)
     held = condition.where("display is not null").select("patient_id", F.lit("c").alias("_what"), "display", F.to_date("onset_date").alias("_from"), F.to_date("abatement_date").alias("_to"))
     # no start is taken for the last of all, so that an earlier one holds where there is one
     start = F.coalesce(F.to_date("authored_on"), F.lit(LAST_DAY))
     taken = request.where("display is not null and status = 'active'").select("patient_id", F.lit("m").alias("_what"), "display", start.alias("_from"), F.lit(None).cast("date").alias("_to"))
-    spans = stretches(held.unionByName(taken).repartition(n, "patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
+    spans = stretches(held.unionByName(taken).repartition(*([n] if n else []), "patient_id"), ["patient_id", "_what", "display"], "_from", "_to")
     spans = spans.withColumn("_from", F.when((F.col("_what") == "c") | (F.col("_from") < F.lit(LAST_DAY)), F.col("_from")))
     met, at = as_of_ranges(base.select("encounter_id", "patient_id", "encounter_date"), spans, "patient_id", "encounter_date", "_from", "_to", most, n)
     of = lambda what: F.collect_list(F.when(F.col("_what") == what, F.col("display")))
@@ -78,7 +84,7 @@ def observed(observation: DataFrame) -> DataFrame:
     """Vital signs and laboratory values of each encounter, by one scan and one aggregation."""
     parts = F.from_json("components_json", "array<struct<code:string,value:double>>")
     of_code = lambda code: F.filter(F.col("_parts"), lambda p: p["code"] == code)
-    observation = dealt(observation, tasks(observation), "encounter_id")
+    observation = dealt(observation, needed(observation), "encounter_id")
     rows = observation.where(F.col("code").isin(*HEART_RATE, *TEMPERATURE, *OXYGEN, PRESSURE) | (F.col("category") == "laboratory")).withColumn("_parts", F.when(F.col("code") == PRESSURE, parts))
     when, tie = F.col("effective_date"), F.col("observation_id")
 
@@ -105,8 +111,7 @@ def last_row(df: DataFrame, when: str, tie: str, flag: str | None = None, **name
 def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Column | None = None, versions: Mapping[str, int | None] | None = None, most: int = MOST) -> DataFrame:
     """One row per encounter with SCHEMA. A missing table raises KeyError. ``most``: see as_of()."""
     s = {name: silver[name] for name in SOURCES}
-    n = tasks(s["condition"], s["medication_request"])
-    n = max(n, tasks(s["encounter"]), tasks(s["procedure"]))
+    n = max((needed(*x) or 0 for x in ((s["condition"], s["medication_request"]), (s["encounter"],), (s["procedure"],)))) or None
     base = encounters(s["encounter"], s["patient"], n)
     done = dealt(s["procedure"], n, "encounter_id").where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
     rows = dealt(base, n, "encounter_id")
