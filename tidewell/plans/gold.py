@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import age_at, uuid5
-from tidewell.operators.relational import as_of_ranges, dealt, distinct_list, latest, latest_if, stretches
+from tidewell.operators.relational import as_of_ranges, dealt, distinct_list, latest, latest_if, merging, stretches
 from tidewell.plans.silver import TABLES
 
 CONTRACT_VERSION, MANIFEST_VERSION = "1.1.0", "1"
@@ -41,11 +41,15 @@ MOST = 20_000
 FACTS = 500_000
 
 
-def encounters(encounter: DataFrame, patient: DataFrame, n: int | None = None) -> DataFrame:
-    who = patient.select("patient_id", "birth_date", F.col("gender").alias("patient_gender"))
+def visits(encounter: DataFrame, n: int | None = None) -> DataFrame:
     day = F.to_date("start_date")
     rows = encounter.select("encounter_id", "patient_id", F.col("type_display").alias("encounter_type"), day.alias("encounter_date"))
-    return dealt(rows, n, "patient_id").join(who, "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
+    return dealt(rows, n, "patient_id")
+
+
+def encounters(encounter: DataFrame, patient: DataFrame, n: int | None = None) -> DataFrame:
+    who = patient.select("patient_id", "birth_date", F.col("gender").alias("patient_gender"))
+    return visits(encounter, n).join(merging(who, n), "patient_id", "left").withColumn("patient_age", age_at(F.col("birth_date"), F.col("encounter_date"))).drop("birth_date")
 
 
 def tasks(*frames: DataFrame) -> int:
@@ -116,7 +120,7 @@ def encounter_summary(silver: Mapping[str, DataFrame], created: datetime | Colum
     done = dealt(s["procedure"], n, "encounter_id").where("display is not null").groupBy("encounter_id").agg(distinct_list(F.col("display")).alias("procedures"))
     rows = dealt(base, n, "encounter_id")
     for part in (
-        problems(base, s["condition"], s["medication_request"], most, n),
+        problems(visits(s["encounter"], n), s["condition"], s["medication_request"], most, n),  # which asks nothing of patients
         observed(s["observation"]),
         done,
         last_row(s["soap_note"], "note_date", "note_id", soap_note_text="note_text", soap_note_id="note_id"),
